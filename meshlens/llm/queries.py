@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import mixing, secrets
+from meshlens.llm import compression_quality, mixing, order_minhash, secrets
 from meshlens.llm.common import table
 
 
@@ -23,7 +23,20 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_secrets": op5_secrets}
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = order_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near.select("doc_id", "class_id", "class_size", "kept")
+
+
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression_quality.train(compression_quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = compression_quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op5_secrets": op5_secrets, "op6_compression_quality": op6_compression_quality}
 ORACLE_SQL: dict[str, str] = {}
 
 
