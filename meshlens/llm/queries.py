@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import compression_quality, mixing, order_minhash, secrets
+from meshlens.llm import compression_quality, mixing, order_minhash, secrets, sentencepiece_nbest
 from meshlens.llm.common import table
 
+TOKENIZERS = "/opt/tokenizers"
+PIECES, WORDS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/word_bpe_49k.json"
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -36,7 +39,14 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op5_secrets": op5_secrets, "op6_compression_quality": op6_compression_quality}
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_nbest.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    best = coded.select("doc_id", "text", F.expr("segmentations[0].ids").alias("ids"), F.transform("segmentations", lambda s: s["score"]).alias("scores"), F.transform("segmentations", lambda s: F.crc32(s["ids"])).alias("ids_crc32"))
+    back = sentencepiece_nbest.decode(best, PIECES, "ids")
+    return back.select("doc_id", F.expr("length(ids) div 2").alias("n_tokens"), "scores", "ids_crc32", F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op5_secrets": op5_secrets, "op6_compression_quality": op6_compression_quality, "op8_sentencepiece_nbest": op8_sentencepiece_nbest}
 ORACLE_SQL: dict[str, str] = {}
 
 
