@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import compression_quality, mixing, order_minhash, secrets, sentencepiece_nbest
-from meshlens.llm.common import table
+from meshlens.llm import compression_quality, mixing, order_minhash, secrets, sentencepiece_nbest, token_blocks, word_piece_counts
+from meshlens.llm.common import Scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES, WORDS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/word_bpe_49k.json"
@@ -46,7 +46,19 @@ def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.expr("length(ids) div 2").alias("n_tokens"), "scores", "ids_crc32", F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op5_secrets": op5_secrets, "op6_compression_quality": op6_compression_quality, "op8_sentencepiece_nbest": op8_sentencepiece_nbest}
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Scratch(spark, 'token-blocks').root}/shards"
+    token_blocks.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, WORDS)
+    rows, starts = token_blocks.read_documents(spark.read.parquet(folder))
+    short = rows.select("part", "shard", "begin", F.col("key").alias("doc_id"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return short.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op10_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_piece_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select("doc_id", "n_words", "n_tokens")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op5_secrets": op5_secrets, "op6_compression_quality": op6_compression_quality, "op8_sentencepiece_nbest": op8_sentencepiece_nbest, "op9_token_blocks": op9_token_blocks, "op10_word_piece_counts": op10_word_piece_counts}
 ORACLE_SQL: dict[str, str] = {}
 
 
