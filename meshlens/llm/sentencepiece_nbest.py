@@ -23,10 +23,32 @@ _MISS = object()
 SEGMENTATIONS = "array<struct<score double, ids binary>>"
 
 
+class Decoder:
+    """The model's pieces alone."""
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.raw = {i: int(p[3:5], 16) for i, p in enumerate(self.pieces) if model.is_byte(i)}
+
+    def decode(self, ids: bytes) -> str:
+        seq = np.frombuffer(ids, "<u2").tolist()
+        if not seq:
+            return ""
+        if self.raw.keys().isdisjoint(seq):
+            text = "".join([self.pieces[i] for i in seq])
+        else:
+            raw, pieces = self.raw, self.pieces
+            text = b"".join([bytes((raw[i],)) if i in raw else pieces[i].encode() for i in seq]).decode("utf-8", "replace")
+        return text.replace(SPACE, " ").removeprefix(" ")
+
+
 class Lattice:
     """The model's pieces, and the segmentations of chunks. Ids are little-endian unsigned 16-bit integers."""
 
-    def __init__(self, model_file: str, cache: int = 300_000):
+    def __init__(self, model_file: str, cache: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -35,7 +57,6 @@ class Lattice:
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.code = [i.to_bytes(2, "little") for i in range(size)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
-        self.raw = {i: b for b, i in self.bytes.items()}
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.table: dict = {}
         self.together: set[str] = set()
@@ -175,19 +196,9 @@ class Lattice:
                     heapq.heappush(heap, (loss + o[pick[d]][0] - o[pick[d] + 1][0], more))
         return out[:n]
 
-    def decode(self, ids: bytes) -> str:
-        seq = np.frombuffer(ids, "<u2").tolist()
-        if not seq:
-            return ""
-        if self.raw.keys().isdisjoint(seq):
-            text = "".join([self.pieces[i] for i in seq])
-        else:
-            raw, pieces = self.raw, self.pieces
-            text = b"".join([bytes((raw[i],)) if i in raw else pieces[i].encode() for i in seq]).decode("utf-8", "replace")
-        return text.replace(SPACE, " ").removeprefix(" ")
-
 
 _lattices: dict[str, Lattice] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def lattice(model_file: str) -> Lattice:
@@ -206,7 +217,8 @@ def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", int
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = lattice(model_file)
         for part in texts:
-            yield pd.Series([[{"score": s, "ids": ids} for s, ids in model.segment(t or "", n)] for t in part])
+            for at in range(0, len(part), 256):
+                yield pd.Series([[{"score": s, "ids": ids} for s, ids in model.segment(t or "", n)] for t in part.iloc[at : at + 256]])
 
     return docs.withColumn(into, F.pandas_udf(run, SEGMENTATIONS)(F.coalesce(F.col(text), F.lit(""))))
 
@@ -215,8 +227,9 @@ def decode(docs: DataFrame, model_file: str, ids: str, into: str = "decoded") ->
     """All columns of docs and into: the text of a column of ids (null: empty)."""
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = lattice(model_file)
+        model = _decoders.get(model_file) or _decoders.setdefault(model_file, Decoder(model_file))
         for part in column:
-            yield pd.Series([model.decode(x or b"") for x in part])
+            for at in range(0, len(part), 256):
+                yield pd.Series([model.decode(x or b"") for x in part.iloc[at : at + 256]], dtype=object)
 
     return docs.withColumn(into, F.pandas_udf(run, "string")(F.expr(ids)))
