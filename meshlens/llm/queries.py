@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import compression_quality, mixing, order_minhash, secrets, sentencepiece_nbest, token_blocks, word_piece_counts
+from meshlens.llm import compression_quality, dimension_scan, html_tree, labelled_pages, mixing, order_minhash, secrets, sentencepiece_nbest, token_blocks, word_piece_counts
 from meshlens.llm.common import Scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -58,7 +58,17 @@ def op10_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_piece_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select("doc_id", "n_words", "n_tokens")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_order_minhash": op3_order_minhash, "op5_secrets": op5_secrets, "op6_compression_quality": op6_compression_quality, "op8_sentencepiece_nbest": op8_sentencepiece_nbest, "op9_token_blocks": op9_token_blocks, "op10_word_piece_counts": op10_word_piece_counts}
+def op2_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_tree.extract(pages, html_tree.train(labelled_pages.pages()))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_dimension_scan, op3_order_minhash, op4_html_tree, op5_secrets, op6_compression_quality, op8_sentencepiece_nbest, op9_token_blocks, op10_word_piece_counts)}
 ORACLE_SQL: dict[str, str] = {}
 
 
