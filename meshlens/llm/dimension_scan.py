@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS, SIGMAS, STEP, SLACK = 16, 4.0, 1024, 1e-5
@@ -37,11 +37,15 @@ class Index:
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
 
 
+def takes_part(x: Column) -> Column:
+    """Whether an array of floats is a vector: not null, not zero, every component finite."""
+    return F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
+
+
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(id, x) of the vectors that take part: not null, not zero, every component finite."""
     x = F.col(embedding).cast("array<float>")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0)
-    return vectors.select(F.col(vec_id).cast("long").alias("id"), x.alias("x")).where(fine & F.col("id").isNotNull())
+    return vectors.select(F.col(vec_id).cast("long").alias("id"), x.alias("x")).where(takes_part(F.col("x")) & F.col("id").isNotNull())
 
 
 def fit(sample: np.ndarray, lists: int, k: int = 20, recall: float = 0.96, seed: int = 3, steps: int = 8) -> Index:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import compression_quality, dimension_scan, html_tree, labelled_pages, mixing, order_minhash, secrets, sentencepiece_nbest, token_blocks, word_piece_counts
+from meshlens.llm import compression_quality, dimension_scan, html_tree, labelled_pages, mixing, nn_descent, order_minhash, secrets, sentencepiece_nbest, token_blocks, word_piece_counts
 from meshlens.llm.common import Scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -68,7 +68,11 @@ def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_dimension_scan, op3_order_minhash, op4_html_tree, op5_secrets, op6_compression_quality, op8_sentencepiece_nbest, op9_token_blocks, op10_word_piece_counts)}
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_dimension_scan, op3_order_minhash, op4_html_tree, op5_secrets, op6_compression_quality, op7_nn_descent, op8_sentencepiece_nbest, op9_token_blocks, op10_word_piece_counts)}
 ORACLE_SQL: dict[str, str] = {}
 
 
