@@ -18,6 +18,14 @@ PY_CLIENTS = r"\b(requests|httpx|aiohttp|urllib)\.(get|post|put|patch|delete|hea
 TS_CLIENTS = r"\b(axios|got|http|https|superagent|ky)\.(get|post|put|patch|delete|request|head)\(\s*([^,)]*)"
 TS_FETCH = r"\b(fetch|axios|got|ky)()\(\s*([^,)]*)"
 JAVA_CLIENTS = r"\.(getForObject|getForEntity|postForObject|postForEntity|postForLocation|patchForObject|exchange)\(\s*([^,)]*)"
+JAVA_OTHER = {  # form: pattern of a line, place of the argument; the verb where it is fixed
+    "write": (r"\.(put|delete)\(\s*([^,)]*)", 2, None),
+    "okhttp": (r"(?i:builder|request)[\w().\s]*\.(url)\(\s*([^,)]*)", 2, "ANY"),
+    "connection": (r"new\s+(?:java\.net\.)?(URL)\(\s*([^,)]*)\)\.openConnection\(", 2, "ANY"),
+    "variable": (r"\b(\w+)\.openConnection\(", 1, "ANY"),
+}
+URL_LIKE = r"://|^/|^\$ENV:|/.*(?:\{\}|%s|%d)|(?:\{\}|%s|%d).*/"
+URL_NAME = r"(?i)url|uri|endpoint|host|path|address|link"
 SPRING = {"Get": "GET", "Post": "POST", "Put": "PUT", "Delete": "DELETE", "Patch": "PATCH"}
 
 
@@ -74,13 +82,44 @@ def http_calls(rows: DataFrame) -> DataFrame:
         .when(script & t.rlike(TS_FETCH), F.struct(F.when(fetch_verb == "", "GET").otherwise(fetch_verb).alias("verb"), F.regexp_extract(t, TS_FETCH, 3).alias("argument")))
         .when((lang == "java") & t.rlike(JAVA_CLIENTS), F.struct(F.coalesce(F.nullif(java_verb, F.lit("")), exchange).alias("verb"), F.regexp_extract(t, JAVA_CLIENTS, 2).alias("argument")))
     )
-    calls = rows.select("repo", "path", "line", found.alias("c")).where("c is not null").select("repo", "path", "line", "c.verb", F.trim("c.argument").alias("argument"))
+    calls = rows.select("repo", "path", "line", found.alias("c")).where("c is not null").select("repo", "path", "line", "c.verb", F.trim("c.argument").alias("argument"), F.lit(False).alias("gated"))
+    for form, (pattern, place, verb) in JAVA_OTHER.items():
+        named = F.lit(verb) if verb else F.upper(F.regexp_extract(t, pattern, 1))
+        calls = calls.union(rows.where((lang == "java") & t.rlike(pattern)).select("repo", "path", "line", named, F.trim(F.regexp_extract(t, pattern, place)), F.lit(form == "write")))
     verbs = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
     s = score_target(F.col("target"))
     out = resolved(calls, variables(rows)).where(~is_namespace_noise(F.col("target")))
+    # put and delete are also what maps and repositories have: there the argument must look like an endpoint
+    out = out.where(~F.col("gated") | F.col("target").rlike(URL_LIKE) | F.col("argument").rlike(r"^\w+$") & F.col("argument").rlike(URL_NAME))
     return out.select("repo", "path", "line", F.when(F.col("verb").isin(*verbs), F.col("verb")).otherwise("ANY").alias("method"), s["target"].alias("target"), P.split_host_path(s["target"])["path"].alias("target_path"), s["confidence"].alias("confidence"), s["tier"].alias("tier"), F.lit("http").alias("dep_type"))
 
 
+def wrapped_axios(rows: DataFrame) -> DataFrame:
+    """(repo, path, line, method, target): calls on instances that axios.create made, their base URL put before the path."""
+    made, call = r"(\w+)\s*=\s*axios\.create\(.*baseURL\s*:\s*([^,}\s]+)", r"\b(\w+)\.(get|post|put|patch|delete|request|head)\(\s*([^,)]*)"
+    t = F.col("text")
+    values = variables(rows)
+    base = resolved(rows.where(t.rlike(made)).select("repo", "path", F.regexp_extract(t, made, 1).alias("name"), F.regexp_extract(t, made, 2).alias("argument")), values).select("repo", "path", "name", F.col("target").alias("base"))
+    used = resolved(rows.where(t.rlike(call)).select("repo", "path", "line", F.regexp_extract(t, call, 1).alias("name"), F.upper(F.regexp_extract(t, call, 2)).alias("method"), F.trim(F.regexp_extract(t, call, 3)).alias("argument")), values)
+    whole = F.when(F.col("target").startswith("/") | (F.col("target") == ""), F.concat(F.rtrim("base", F.lit("/")), "target")).otherwise(F.col("target"))
+    return used.join(base, ["repo", "path", "name"]).select("repo", "path", "line", "method", whole.alias("target"))
+
+
+def soap_calls(rows: DataFrame) -> DataFrame:
+    """(repo, path, line, target): SOAP calls whose first argument is an address."""
+    t, pattern = F.col("text"), r"\.(?:marshalSendAndReceive|sendSourceAndReceive)\(\s*([^,)]*)"
+    calls = rows.where((F.col("language") == "java") & t.rlike(pattern)).select("repo", "path", "line", F.trim(F.regexp_extract(t, pattern, 1)).alias("argument"))
+    out = resolved(calls, variables(rows)).where((P.split_host_path(F.col("target"))["host"] != "") & ~is_namespace_noise(F.col("target")))
+    return out.select("repo", "path", "line", "target")
+
+
+def web_client_calls(rows: DataFrame) -> DataFrame:
+    """(repo, path, line, method, target_path): verb().uri("/path") chains; the host isn't known there."""
+    t, pattern = F.col("text"), r"(?:\.(get|post|put|patch|delete)\(\s*\))?\s*\.uri\(\s*\"([^\"]*)\""
+    verb = F.regexp_extract(t, pattern, 1)
+    return rows.where((F.col("language") == "java") & t.rlike(pattern)).select("repo", "path", "line", F.when(verb == "", "ANY").otherwise(F.upper(verb)).alias("method"), F.regexp_extract(t, pattern, 2).alias("target_path"))
+
+
 def messages(rows: DataFrame) -> DataFrame:
     """(repo, path, line, target, dep_type): Kafka topics sent to, and gRPC channels of files that import grpc."""
     t = F.col("text")
@@ -119,7 +158,36 @@ def routes(rows: DataFrame) -> DataFrame:
     named = F.regexp_extract(t, r"RequestMethod\.(\w+)", 1)
     spring_verb = F.when(F.col("mapping") != "Request", F.upper("mapping")).when(named != "", named).otherwise("ANY")
     spring = own.select("repo", "path", "line", spring_verb, P.join_prefix(F.col("prefix"), F.col("value")), F.lit("spring"))
-    return python.union(flasks).union(node).union(spring)
+    return python.union(flasks).union(node).union(spring).union(nest_routes(rows)).union(jaxrs_routes(rows))
+
+
+def nest_routes(rows: DataFrame) -> DataFrame:
+    """Nest: @Get('x') and its like, below the @Controller('p') of the class."""
+    t = F.col("text")
+    before = Window.partitionBy("repo", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = F.last(F.when(t.rlike(r"^\s*@Controller\("), F.regexp_extract(t, r"@Controller\(\s*[\"'`]?([^\"'`)]*)", 1)), ignorenulls=True).over(before)
+    own = rows.where(F.col("language").isin("typescript", "javascript")).withColumn("prefix", prefix)
+    pattern = r"^\s*@(Get|Post|Put|Patch|Delete|Head|Options|All)\(\s*[\"'`]?([^\"'`)]*)"
+    verb = F.upper(F.regexp_extract(t, pattern, 1))
+    full = P.join_prefix(F.concat(F.lit("/"), F.ltrim("prefix", F.lit("/"))), F.regexp_extract(t, pattern, 2))
+    return own.where(t.rlike(pattern) & F.col("prefix").isNotNull()).select("repo", "path", "line", F.when(verb == "ALL", "ANY").otherwise(verb).alias("method"), full.alias("route"), F.lit("nestjs").alias("framework"))
+
+
+def jaxrs_routes(rows: DataFrame) -> DataFrame:
+    """JAX-RS: a verb's annotation and, next to it, @Path, below the class's @Path."""
+    t = F.col("text")
+    file = Window.partitionBy("repo", "path").orderBy("line")
+    before = file.rowsBetween(Window.unboundedPreceding, 0)
+    path = F.regexp_extract(t, r"@Path\(\s*\"([^\"]*)\"", 1)
+    seen = rows.where(F.col("language") == "java").withColumns({"value": F.when(t.rlike(r"@Path\("), path), "is_class": t.rlike(r"\b(?:class|interface)\s+\w+"), "is_verb": t.rlike(r"^\s*@(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b"), "ends": t.rlike(r"\)\s*(?:throws [\w, .]+)?\{")})
+    block = F.sum(F.when(F.lag("ends", 1, False).over(file) | F.lag("is_class", 1, False).over(file), 1).otherwise(0)).over(before)
+    seen = seen.withColumn("block", block)
+    first_class = F.min(F.when(F.col("is_class"), F.col("block"))).over(Window.partitionBy("repo", "path"))
+    seen = seen.withColumn("class_block", first_class)
+    base = F.max(F.when(F.col("block") == F.col("class_block"), F.col("value"))).over(Window.partitionBy("repo", "path"))
+    sub = F.max("value").over(Window.partitionBy("repo", "path", "block"))
+    got = seen.withColumns({"base": base, "sub": sub}).where("is_verb and base is not null")
+    return got.select("repo", "path", "line", F.regexp_extract(t, r"@(\w+)", 1).alias("method"), P.join_prefix(F.concat(F.lit("/"), F.ltrim("base", F.lit("/"))), F.coalesce("sub", F.lit(""))).alias("route"), F.lit("jaxrs").alias("framework"))
 
 
 def symbols(rows: DataFrame) -> DataFrame:

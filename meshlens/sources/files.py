@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Languages by ending, and folders whose content doesn't count.
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "java": "java", "ts": "typescript", "tsx": "typescript", "go": "go"}
-EXCLUDED = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".tox", "vendor")
+EXCLUDED = ("node_modules", "vendor", ".git", "__pycache__", "build", "dist", "target", ".venv", "venv")
 CONFIG_NAME = r"^(?:application[^/]*\.(?:properties|ya?ml)|bootstrap[^/]*\.ya?ml|\.env(?:\..*)?)\z"
 
 

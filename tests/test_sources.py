@@ -79,3 +79,37 @@ def test_gitignore(spark):
     rows = [("a/x.log", True), ("out/a.py", True), ("src/out/a.py", False), ("lib/a/b/gen/x.py", True), ("src/x.py", False)]
     got = spark.createDataFrame(rows, "p string, want boolean").select(F.col("p").rlike(pattern).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
+
+
+def rows_of(spark, language, text):
+    return code.lines(spark.createDataFrame([("r", "f", language, text)], "repo string, path string, language string, content string"))
+
+
+def test_java_calls(spark):
+    text = 'String url = "http://a.internal/x";\nrest.put(url, body);\nheaders.put("k", v);\nnew Request.Builder().url("http://b/y");\nnew URL("http://c/z").openConnection();\nws.marshalSendAndReceive(url, req);\nclient.get().uri("/v1/w");\n'
+    rows = rows_of(spark, "java", text)
+    assert {(r.method, r.target) for r in code.http_calls(rows).collect()} == {("PUT", "http://a.internal/x"), ("ANY", "http://b/y"), ("ANY", "http://c/z")}
+    assert [r.target for r in code.soap_calls(rows).collect()] == ["http://a.internal/x"]
+    assert [(r.method, r.target_path) for r in code.web_client_calls(rows).collect()] == [("GET", "/v1/w")]
+
+
+def test_axios_instance(spark):
+    rows = rows_of(spark, "typescript", "const api = axios.create({ baseURL: 'https://u.internal/' });\napi.get('/v1/users');\n")
+    assert [(r.method, r.target) for r in code.wrapped_axios(rows).collect()] == [("GET", "https://u.internal/v1/users")]
+
+
+def test_nest_and_jaxrs(spark):
+    nest = rows_of(spark, "typescript", "@Controller('cats')\nexport class C {\n  @Get(':id')\n  one() {}\n  @Post()\n  add() {}\n}\n")
+    assert {(r.method, r.route) for r in code.routes(nest).collect()} == {("GET", "/cats/:id"), ("POST", "/cats")}
+    java = rows_of(spark, "java", '@Path("/pay")\npublic class P {\n  @GET\n  @Path("/{id}")\n  public String one() {\n  }\n  @POST\n  public String add() {\n  }\n}\n')
+    assert {(r.method, r.route) for r in code.routes(java).collect()} == {("GET", "/pay/{id}"), ("POST", "/pay")}
+
+
+def test_identities_and_bases(spark):
+    from meshlens.sources import identities
+
+    rows = [("r", "package.json", '{"name": "@org/billing-api"}'), ("r", "go.mod", "module example.com/x/ledger\n"), ("r", "pyproject.toml", '[project]\nversion = "1"\nname = "tax"\n'), ("r", "k8s/s.yaml", "kind: Deployment\n---\nkind: Service\nmetadata:\n  labels: {}\n  name: payments-svc\n"), ("r", "src/main/resources/application.yml", "spring:\n  application:\n    name: pss\nserver:\n  servlet:\n    context-path: ${CTX:/pss}\n"), ("r", ".git/config", '[remote "origin"]\n\turl = git@h:o/pay.git\n')]
+    df = spark.createDataFrame(rows, "repo string, path string, content string")
+    got = {(r.alias, r.source) for r in identities.identities(spark.createDataFrame([("my-repo",)], "name string").selectExpr("'r' as name"), df).collect()}
+    assert got == {("r", "config"), ("billing", "package"), ("ledger", "go"), ("tax", "package"), ("payments", "k8s"), ("pss", "spring"), ("pay", "git")}
+    assert {(r.framework, r.base) for r in identities.base_paths(df).collect()} == {("spring", "/pss"), ("jaxrs", "/pss")}
