@@ -31,7 +31,7 @@ SIBLING = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "body", "head", "dialog", "address", "fieldset", "menu", "dl", "dd", "dt")
 #: Parts of class, id and role names that carry a weight of their own; a name part that begins so counts.
-NAMES = ("article", "content", "post", "story", "entry", "main", "text", "body", "nav", "menu", "bread", "head", "foot", "side", "widget", "notice", "cookie", "consent", "banner", "ad", "advert", "sponsor", "promo", "form", "search", "login", "newsletter", "subscribe", "comment", "repl", "discuss", "share", "social", "related", "recommend", "popup", "modal", "alert", "hidden", "copyright", "meta", "tag", "toolbar", "pager")
+NAMES = ("article", "contentinfo", "complementary", "primary", "secondary", "content", "post", "story", "entry", "main", "text", "body", "nav", "menu", "bread", "head", "foot", "side", "widget", "notice", "cookie", "consent", "banner", "ad", "advert", "sponsor", "promo", "form", "search", "login", "newsletter", "subscribe", "comment", "repl", "discuss", "share", "social", "related", "recommend", "popup", "modal", "alert", "hidden", "copyright", "meta", "tag", "toolbar", "pager")
 
 
 @dataclass
@@ -67,7 +67,9 @@ def _names(attrs: str) -> frozenset:
                 found.add("hidden")
             elif name.lower() != "style":
                 parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-                found |= {n for n in NAMES for p in parts if (p == n or p == n + "s" if len(n) < 3 else p.startswith(n))}
+                for p in parts:
+                    fits = [n for n in NAMES if (p == n or p == n + "s" if len(n) < 3 else p.startswith(n))]
+                    found |= {max(fits, key=len)} if fits else set()
         got = frozenset(found)
         if len(_known_names) < 50_000:
             _known_names[attrs] = got

@@ -38,7 +38,7 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
         return rng.choice(parts)
 
     def name(*parts: str) -> str:
-        return f' {some("class", "id")}="{some(*parts)}{some("", "", "-box", "-inner", "_1")}"'
+        return f' {some("class", "id", "class", "id", "role")}="{some(*parts)}{some("", "", "-box", "-inner", "_1")}"'
 
     def paragraph() -> str:
         kind, text = rng.random(), keep(1 if rng.random() < 0.15 else 8, 70)
@@ -53,8 +53,12 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
             return f"<h2>{keep(2, 6)}</h2><p>{text}</p>"
         if kind < 0.24:
             return "<ul>" + "".join(f"<li>{keep(3, 14)}</li>" for _ in range(3)) + f"</ul><p>{text}</p>"
-        if kind < 0.27:
-            return f"<div>{text}</div>"
+        if kind < 0.33:
+            return some(f"<div>{text}</div>", f"<div class='row'><p>{text}</p></div>", f"<div><div>{text}</div></div>")
+        if kind < 0.35:
+            return f'<p><a href="/y">{text}</a></p>'
+        if kind < 0.4:
+            return f"<table><tr><td>{text}</td><td>{keep(1, 5)}</td></tr></table>"
         return f"<p>{text}</p>"
 
     def boiler(*tags: str, names: tuple[str, ...], low: int = 3, high: int = 40, tag_alone: bool = True) -> str:
@@ -66,7 +70,11 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
     def comments() -> str:
         tag = some("div", "section", "ol", "ul")
         child = "li" if tag in ("ol", "ul") else "div"
-        return f'<{tag}{name("comments", "comment-list", "discussion", "replies")}>' + "".join(f'<{child} class="comment">{some("<p>{}</p>", "{}").format(_words(rng, 5, 60))}</{child}>' for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+        title = some("", f"<h3>{_words(rng, 1, 3)}</h3>") if child == "div" else ""
+        inner = "".join(f'<{child}{some(' class="comment"', "")}>{some("<p>{}</p>", "{}").format(_words(rng, 5, 60))}</{child}>' for _ in range(rng.randint(1, 4)))
+        if child == "div" and rng.random() < 0.3:
+            inner = some("<ol>{}</ol>", "<ul>{}</ul>").format(inner.replace("<div", "<li").replace("</div", "</li"))
+        return f'<{tag}{name("comments", "comment-list", "discussion", "replies", "comments-area")}>{title}{inner}</{tag}>'
 
     def form() -> str:
         attrs = some("", name("search", "newsletter", "login-form", "subscribe"))
@@ -74,7 +82,7 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
 
     advert = lambda: boiler("div", "div", "aside", "section", names=("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad"), tag_alone=False)
     notice = lambda: boiler("div", "dialog", "section", names=("cookie-notice", "notice", "consent", "cookie-banner", "alert", "modal"), tag_alone=False)
-    side = lambda: boiler("aside", "aside", "div", names=("sidebar", "side", "widget", "related", "recommended"))
+    side = lambda: boiler("aside", "aside", "div", names=("sidebar", "side", "widget", "widget-area", "secondary", "related", "recommended", "complementary"))
     share = lambda: boiler("div", "div", names=("share", "social", "tags", "related-posts"), high=8)
 
     body = [f"<h1>{keep(3, 10)}</h1>"]
@@ -84,13 +92,15 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
         body.append(paragraph())
         if rng.random() < 0.06:
             body.append(some(advert, share, side, form, notice)())
+    if rng.random() < 0.3:
+        body = [body[0], *(f"<section>{x}</section>" for x in body[1:])]
     if rng.random() < 0.15:
         body.append(comments())
-    open_, shut = some(("<article>", "</article>"), ("<article>", "</article>"), (f"<article{name('post', 'story', 'entry')}>", "</article>"), ("<main>", "</main>"), (f"<div{name('content', 'article', 'main', 'post-body', 'entry-content', 'story')}>", "</div>"), ("<main><article>", "</article></main>"))
+    open_, shut = some(("<article>", "</article>"), (f"<article{name('post', 'story', 'entry')}>", "</article>"), ("<main>", "</main>"), (f"<div{name('content', 'article', 'main', 'post-body', 'entry-content', 'story')}>", "</div>"), (f"<div{name('content', 'article', 'main', 'post-body', 'entry-content', 'story')}>", "</div>"), ("<main><article>", "</article></main>"))
     parts = [open_ + "".join(body) + shut]
     top = []
     if rng.random() < 0.8:
-        top.append(some(f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>", f"<div{name('nav', 'menu', 'navbar', 'breadcrumbs')}><ul>{links(4)}</ul></div>", f"<ul{name('menu', 'nav')}>{links(5)}</ul>"))
+        top.append(some(f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>", f"<div{name('nav', 'menu', 'navbar', 'navigation', 'breadcrumbs')}><ul>{links(4)}</ul></div>", f"<ul{name('menu', 'nav')}>{links(5)}</ul>"))
     if rng.random() < 0.5:
         top.append(boiler("header", "header", "div", names=("header", "masthead head", "top-header", "banner"), high=15))
     for piece, chance in ((advert, 0.5), (notice, 0.3), (form, 0.2), (side, 0.3)):
@@ -101,7 +111,7 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
         if rng.random() < chance:
             parts.append(piece())
     if rng.random() < 0.85:
-        parts.append(some(f"<footer>&copy; {_words(rng, 2, 25)}</footer>", boiler("footer", "footer", "div", names=("footer", "foot", "copyright"))))
+        parts.append(some(f"<footer>&copy; {_words(rng, 2, 25)}</footer>", boiler("footer", "footer", "div", names=("footer", "foot", "copyright", "contentinfo"))))
     inner = "".join([*top, *parts])
     if rng.random() < 0.3:
         inner = f'<div{name("wrapper", "page", "container", "layout")}>{inner}</div>'
@@ -109,6 +119,6 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
     return f"<!DOCTYPE html><html>{head}<body>{inner}{some('</body></html>', '')}", content
 
 
-def pages(n: int = 600, seed: int = 5) -> list[tuple[str, set[str]]]:
+def pages(n: int = 700, seed: int = 5) -> list[tuple[str, set[str]]]:
     rng = random.Random(seed)
     return [page(rng) for _ in range(n)]
