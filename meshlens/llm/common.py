@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,31 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
         if (seen.n, seen.h) == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
         last = (seen.n, seen.h)
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[list[pd.DataFrame]]:
+    """The groups of consecutive equal keys, whole even where a batch ends within one."""
+    held = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        k = frame[key].to_numpy()
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        bounds = [0, *cuts.tolist()]
+        yield [frame.iloc[a:b] for a, b in zip(bounds, bounds[1:])]
+        held = frame.iloc[bounds[-1] :]
+    if held is not None and len(held):
+        yield [held]
+
+
+def by_group(df: DataFrame, key: str, one: Callable, schema: str) -> DataFrame:
+    """one(group) -> frame or None for each group of key; groups are of a bounded size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in whole_groups(frames, key):
+            out = [r for r in map(one, groups) if r is not None and len(r)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)

@@ -10,14 +10,14 @@ with longer lists.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import Scratch, connected_components
+from meshlens.llm.common import Scratch, by_group, connected_components
 from meshlens.llm.dimension_scan import takes_part
 
 LEAF, TREES, BITS, TILE = 64, 4, 16, 512
@@ -29,34 +29,6 @@ def matrix(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[list[pd.DataFrame]]:
-    """The groups of consecutive equal keys, whole even where a batch ends within one."""
-    held = None
-    for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if not len(frame):
-            continue
-        k = frame[key].to_numpy()
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        bounds = [0, *cuts.tolist()]
-        yield [frame.iloc[a:b] for a, b in zip(bounds, bounds[1:])]
-        held = frame.iloc[bounds[-1] :]
-    if held is not None and len(held):
-        yield [held]
-
-
-def by_group(df: DataFrame, key: str, one: Callable, schema: str) -> DataFrame:
-    """one(group) -> frame or None for each group of key; groups are of a bounded size."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for groups in whole_groups(frames, key):
-            out = [r for r in map(one, groups) if r is not None and len(r)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
-
-
 def _best(score: np.ndarray, allowed: np.ndarray, node: np.ndarray, k: int) -> pd.DataFrame | None:
     """For each row the k largest scores among its allowed columns."""
     score = np.where(allowed, score, -2.0)

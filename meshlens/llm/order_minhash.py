@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import Scratch, connected_components
+from meshlens.llm.common import Scratch, by_group, connected_components
 
-SHINGLE, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 16, 3
+SHINGLE, SIMILARITY, SKETCHES, MINIMA, TILE = 5, 0.8, 16, 3, 192
 TOP = np.uint64(2**64 - 1)
 _WORD = re.compile(r"\w+")
 
@@ -153,6 +153,71 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[frame["score"] > 0, ["u", "v", "score"]]
 
 
+def common_shingles(seqs: list[np.ndarray]) -> np.ndarray:
+    """How many shingles, repeats counted, each two sequences share: an upper bound of what can be aligned."""
+    n = np.array([len(s) for s in seqs])
+    flat, owner = np.concatenate(seqs).astype(np.uint64), np.repeat(np.arange(len(seqs)), n)
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    at = np.arange(len(flat))
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    flat = (flat << np.uint64(24)) | (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = (np.cumsum(shared) - 1)[place]
+    keep = shared[place]
+    owner, column = owner[keep], column[keep]
+    out = np.zeros((len(seqs), len(seqs)), np.float32)
+    for first in range(0, int(shared.sum()), 16384):
+        some = (column >= first) & (column < first + 16384)
+        m = np.zeros((len(seqs), min(16384, int(shared.sum()) - first)), np.float32)
+        m[owner[some], column[some] - first] = 1
+        out += m @ m.T
+    return out
+
+
+def tile_links(g: pd.DataFrame) -> pd.DataFrame | None:
+    """Links that connect what a pair of tiles of one bucket holds and isn't connected yet.
+
+    Pairs that an earlier sketch already brings together, or of one class, are left out; of the others, those
+    whose common shingles allow it are aligned, unless links found before connect them."""
+    ta, tb, key = g["ta"].iloc[0], g["tb"].iloc[0], g["key"].iloc[0]
+    g = g.sort_values("fp", kind="stable")
+    tile, roots, n = g["tile"].to_numpy(), g["root"].to_numpy(), g["n"].to_numpy()
+    keys = np.stack(g["keys"].to_numpy())
+    own = int(np.flatnonzero(keys[0] == key)[0])
+    codes = pd.factorize(roots)[0]
+    todo = (tile[:, None] == ta) & (tile[None, :] == tb) if ta != tb else np.triu(np.ones((len(g), len(g)), bool), 1)
+    todo &= codes[:, None] != codes[None, :]
+    todo &= np.minimum(n[:, None], n[None, :]) >= SIMILARITY * np.maximum(n[:, None], n[None, :]) - 1e-9
+    for j in range(own):
+        todo &= keys[:, j][:, None] != keys[:, j][None, :]
+    if not todo.any():
+        return None
+    seqs = [np.frombuffer(s, np.uint32) for s in g["shingles"]]
+    need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (n[:, None] + n[None, :]) - 1e-9)
+    todo &= common_shingles(seqs) >= need
+    parent = list(range(len(g)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[int, int] = {}
+    for i, c in enumerate(codes):
+        parent[i] = first.setdefault(c, i)
+    out, fp = [], g["fp"].to_numpy()
+    for i, j in zip(*np.nonzero(todo)):
+        a, b = find(i), find(j)
+        if a != b and (score := similarity(seqs[i], seqs[j])):
+            parent[b] = a
+            out.append((fp[i], fp[j], score))
+    return pd.DataFrame(out, columns=["u", "v", "score"]) if out else None
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fp (its content's address), class_id, class_size, kept.
 
@@ -161,9 +226,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     Null and empty texts have no copies: each is a class of its own. Texts without words match equal
     texts only. A class whose keys are all null has class_id null. Repeated rows come out as often as in.
 
-    Within a bucket of equal sketches, each text is first compared with the bucket's smallest address; only
-    where that leaves several classes in a bucket are its remaining pairs compared, dealt over salted
-    parts, and those that agree on another sketch too and whose lengths allow 0.8 are aligned.
+    Within a bucket of equal sketches, each text is first compared with one leader, the text that shares most
+    buckets. Only buckets that this leaves with several classes are compared further, all their pairs: in
+    tiles of TILE texts, a pair of tiles being one bounded group, which returns no more links than it needs
+    to connect what belongs together.
     """
     scratch = scratch or Scratch(docs.sparkSession, "order-minhash")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -171,8 +237,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     sketched = scratch.cut(rows.mapInPandas(_sketch, "doc_id long, fp binary, n long, keys array<long>"))
     nodes = sketched.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     flat = nodes.select("fp", F.explode("keys").alias("key"))
-    leads = flat.groupBy("key").agg(F.count("*").alias("size"), F.min("fp").alias("lead")).where("size > 1")
-    buckets = scratch.cut(flat.join(leads, "key").select("key", "fp", "lead", "size"))
+    sizes = flat.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sized = scratch.cut(flat.join(sizes, "key").select("key", "fp", "size"))
+    weight = sized.groupBy("fp").agg(F.sum("size").alias("weight"))
+    leads = sized.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("lead")).select("key", F.col("lead.fp").alias("lead"))
+    buckets = scratch.cut(sized.join(leads, "key").select("key", "fp", "lead"))
 
     wanted = buckets.select("fp").distinct()
     texts = rows.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
@@ -186,12 +255,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     classes = connected_components(links, scratch)
     named = buckets.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
-    rest = scratch.cut(named.select("key", "fp", "root").join(mixed, "key").join(nodes, "fp").withColumn("parts", F.expr("cast(ceil(members / 512) as int)")))
-    a = rest.select("key", F.expr("cast(pmod(xxhash64(fp), parts) as int)").alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("fp", "root", "n", "keys")])
-    b = rest.select("key", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "n", "keys")])
-    near = (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("keys_a", "keys_b")) >= 2)
-    more = a.join(b, (a["key"] == b["key"]) & (a["part"] == b["part"]) & near).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).distinct()
-    links = links.unionByName(verified(more))
+    rest = named.select("key", "fp", "root").join(mixed, "key").withColumn("tiles", F.expr(f"cast(ceil(members / {TILE}) as int)"))
+    rest = rest.withColumns({"tile": F.expr("cast(pmod(xxhash64(fp), tiles) as int)"), "other": F.explode(F.expr("sequence(0, tiles - 1)"))})
+    rest = rest.select("key", "fp", "root", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")).join(nodes, "fp").join(shingles, "fp")
+    more = by_group(rest.withColumn("pair", F.xxhash64("key", "ta", "tb")), "pair", tile_links, "u binary, v binary, score double")
+    links = links.unionByName(scratch.cut(more))
 
     classes = connected_components(links, scratch)
     ids = sketched.select("doc_id", "fp", "n").join(classes.withColumnRenamed("node", "fp"), "fp", "left")
