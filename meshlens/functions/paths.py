@@ -33,7 +33,7 @@ def split_host_path(url: Column) -> Column:
     u = text(url)
     env, scheme, hole = r"^\$ENV:([^/]+)(/.*)?$", r"(?i)^[a-z]+://([^/]+)(/.*)?$", r"^\$?\{[^}]*\}(/.*)?$"
     head = F.substring_index(u, "/", 1)
-    rest = F.when(F.instr(u, "/") > 0, F.concat(F.lit("/"), F.expr("''"), F.substr(u, F.instr(u, "/") + 1))).otherwise(F.lit("/"))
+    rest = F.when(F.instr(u, "/") > 0, F.substr(u, F.instr(u, "/"))).otherwise(F.lit("/"))
     or_root = lambda c: F.when(c == "", F.lit("/")).otherwise(c)
     pair = lambda host, path: F.struct(host.alias("host"), path.alias("path"))
     return (
