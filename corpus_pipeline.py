@@ -42,10 +42,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its best segmentation's ids, the scores of the best ones, and whether the ids decode to the text."""
-    coded = sentencepiece_nbest.encode(docs, PIECES)
-    best = coded.select("*", F.expr("segmentations[0].ids").alias("ids"), F.transform("segmentations", lambda s: s["score"]).alias("scores")).drop("segmentations")
-    back = sentencepiece_nbest.decode(best, PIECES, "ids")
-    return back.withColumn("n_tokens", F.expr("length(ids) div 2")).withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit("")))).drop("decoded")
+    coded = sentencepiece_nbest.encode(docs, PIECES, decoded="decoded")
+    same = F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit("")))
+    return coded.select(
+        *docs.columns, F.expr("segmentations[0].ids").alias("ids"), F.expr("length(segmentations[0].ids) div 2").alias("n_tokens"),
+        F.transform("segmentations", lambda s: s["score"]).alias("scores"), same.alias("round_trip"),
+    )
 
 
 STAGES = [("quality classifier", quality), ("near-dedup", near_dedup), ("secret scan", secret_scan), ("mixing", mix_sources), ("piece encoding", encode_pieces)]

@@ -76,13 +76,13 @@ def deal(spark: SparkSession, quotas: list[int], shards: int, seed: int) -> Data
     return spark.range(shards).mapInPandas(walk, "sid int, draw long, shard int")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, block_docs: int = 256, max_blocks: int = 65536, shard_draws: int = 64) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, block_docs: int = 256, max_blocks: int = 65536, shard_draws: int = 8) -> DataFrame:
     """One row per row of docs: row (struct of all its columns), size, source_size, target, draws, taken.
 
     draws is an array of (pass, shard, words); words is below size only where the source's target ends
     within the document. Null texts have size 0 and are never drawn; null keys and sources are
     values like any other (source null is last). Repeated rows are each mixed. An empty table gives an
-    empty result. Only one line of statistics per source reaches the driver.
+    empty result. A shard holds about shard_draws blocks. Only one line of statistics per source reaches the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(

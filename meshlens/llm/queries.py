@@ -40,10 +40,12 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_nbest.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    best = coded.select("doc_id", "text", F.expr("segmentations[0].ids").alias("ids"), F.transform("segmentations", lambda s: s["score"]).alias("scores"), F.transform("segmentations", lambda s: F.crc32(s["ids"])).alias("ids_crc32"))
-    back = sentencepiece_nbest.decode(best, PIECES, "ids")
-    return back.select("doc_id", F.expr("length(ids) div 2").alias("n_tokens"), "scores", "ids_crc32", F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_nbest.encode(docs, PIECES, decoded="decoded")
+    return coded.select(
+        "doc_id", F.expr("length(segmentations[0].ids) div 2").alias("n_tokens"), F.transform("segmentations", lambda s: s["score"]).alias("scores"),
+        F.transform("segmentations", lambda s: F.crc32(s["ids"])).alias("ids_crc32"), F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"),
+    )
 
 
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ class Decoder:
 class Lattice:
     """The model's pieces, and the segmentations of chunks. Ids are little-endian unsigned 16-bit integers."""
 
-    def __init__(self, model_file: str, cache: int = 200_000):
+    def __init__(self, model_file: str, cache: int = 180_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -67,10 +67,17 @@ class Lattice:
                 self.together.add(p[k - 1 : k + 1])
         for i in plain:
             self.table[self.pieces[i]] = (i, model.get_score(i))
+        self.trie: dict = {}  # character -> (the next characters' entries, piece that ends here or None)
+        for p in sorted(self.table, key=len):
+            at = self.trie
+            for c in p[:-1]:
+                at = at[c][0]
+            at[p[-1]] = ({}, self.table[p])
         self.longest = max(len(self.pieces[i]) for i in plain)
         self.unknown = min(model.get_score(i) for i in plain if model.get_score(i) > -1e8) - UNKNOWN_PENALTY
-        self.tail = {c for c in ".,;:!?" if isinstance(self.table.get(c), tuple)}
+        self.marked = sorted(p for p in self.together if p[1] in ".,")  # where a comma or full stop isn't cut off
         self.newline_free = not any("\n" in self.pieces[i] for i in plain)
+        self.lists: dict = {}
         self.new: dict = {}
         self.old: dict = {}
         self.cap = cache
@@ -81,16 +88,18 @@ class Lattice:
 
     def forward(self, chunk: str) -> tuple[list[float], list[float], list]:
         """By end position: the best score, the second best, and the best path's last step (start, ids)."""
-        n, low, get = len(chunk), float("-inf"), self.table.get
+        n, low, trie = len(chunk), float("-inf"), self.trie
         first, second, step = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)  # of step's ids, an int is a piece
         first[0] = 0.0
         for i in range(n):
-            x, y = first[i], second[i]
+            x, y, at, j = first[i], second[i], trie, i
             covered = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = get(chunk[i:j], _MISS)
-                if p is _MISS:
+            for c in chunk[i:] if i else chunk:
+                got = at.get(c)
+                if got is None:
                     break
+                at, p = got
+                j += 1
                 if p is not None:
                     if j == i + 1:
                         covered = True
@@ -102,6 +111,8 @@ class Lattice:
                         first[j], step[j] = v, (i, p[0])
                     elif v > second[j]:
                         second[j] = v
+                if not at:
+                    break
             if not covered:
                 ids, s = self.edge(chunk, i)
                 v, j = x + s, i + 1
@@ -114,6 +125,8 @@ class Lattice:
 
     def nbest(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations, best first: A* from the end, with the forward scores as heuristics."""
+        if (kept := self.lists.get((chunk, n))) is not None:
+            return kept
         first, _, _ = self.forward(chunk)
         heap, out, count = [(-first[-1], 0, len(chunk), 0.0, b"")], [], 0
         while heap and len(out) < n:
@@ -130,14 +143,13 @@ class Lattice:
             for i, own, s in steps:
                 count += 1
                 heapq.heappush(heap, (-(tail + s + first[i]), count, i, tail + s, own + ids))
+        if len(self.lists) >= 20_000:
+            self.lists.clear()
+        self.lists[chunk, n] = out
         return out
 
     def best(self, chunk: str) -> tuple[float, bytes, float]:
         """Score and ids of the best segmentation, and how much worse the second one is."""
-        if len(chunk) > 1 and chunk[-1] in self.tail and chunk[-2:] not in self.together:
-            s, ids, gap = self.look(chunk[:-1])
-            p = self.table[chunk[-1]]
-            return s + p[1], ids + self.code[p[0]], gap
         first, second, step = self.forward(chunk)
         j, parts = len(chunk), []
         while j:
@@ -160,14 +172,15 @@ class Lattice:
         """The text with its leading space, cut where no piece reaches across."""
         if not text:
             return []
-        if SPACE in text or "  " in text or text[0] == " " or not self.newline_free:
+        if SPACE in text or "  " in text or text[0] == " " or not self.newline_free or any(p in text for p in self.marked):
             full, at, out = SPACE + text.replace(" ", SPACE), 0, []
             for k in range(1, len(full)):
                 if full[k - 1 : k + 1] not in self.together:
                     out.append(full[at:k])
                     at = k
             return [*out, full[at:]]
-        return list(filter(None, (SPACE + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")))
+        cut = (SPACE + text.replace(" ", " " + SPACE)).replace("\n", " \n ")
+        return list(filter(None, cut.replace(", ", " , ").replace(". ", " . ").split(" ")))
 
     def segment(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The text's n best segmentations, or all there are, best first."""
@@ -208,26 +221,40 @@ def lattice(model_file: str) -> Lattice:
     return _lattices[model_file]
 
 
-def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", into: str = "segmentations") -> DataFrame:
-    """All columns of docs and into: the whole text's n best segmentations, best first, with scores.
+def decoder(model_file: str) -> Decoder:
+    if model_file not in _decoders:
+        _decoders[model_file] = Decoder(model_file)
+    return _decoders[model_file]
+
+
+def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", into: str = "segmentations", decoded: str | None = None) -> DataFrame:
+    """All columns of docs and into: the whole text's n best segmentations, best first, with scores; with decoded,
+    also a column of that name with the text that the best segmentation's ids decode to.
 
     A null or empty text has one segmentation, without ids. Rows are kept as they are. A column of docs named
-    as into is replaced."""
+    as into or decoded is replaced."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = lattice(model_file)
+        back = decoder(model_file) if decoded else None
         for part in texts:
-            for at in range(0, len(part), 256):
-                yield pd.Series([[{"score": s, "ids": ids} for s, ids in model.segment(t or "", n)] for t in part.iloc[at : at + 256]])
+            for at in range(0, len(part), 128):
+                got = [model.segment(t or "", n) for t in part.iloc[at : at + 128]]
+                out = pd.DataFrame({"coded": [[{"score": s, "ids": ids} for s, ids in g] for g in got]})
+                out["back"] = [back.decode(g[0][1]) for g in got] if back else None
+                yield out
 
-    return docs.withColumn(into, F.pandas_udf(run, SEGMENTATIONS)(F.coalesce(F.col(text), F.lit(""))))
+    both = F.pandas_udf(run, f"coded {SEGMENTATIONS}, back string")(F.coalesce(F.col(text), F.lit("")))
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (into, decoded, "coded_")], both.alias("coded_"))
+    out = out.withColumn(into, F.col("coded_.coded"))
+    return (out.withColumn(decoded, F.col("coded_.back")) if decoded else out).drop("coded_")
 
 
 def decode(docs: DataFrame, model_file: str, ids: str, into: str = "decoded") -> DataFrame:
     """All columns of docs and into: the text of a column of ids (null: empty)."""
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _decoders.get(model_file) or _decoders.setdefault(model_file, Decoder(model_file))
+        model = decoder(model_file)
         for part in column:
             for at in range(0, len(part), 256):
                 yield pd.Series([model.decode(x or b"") for x in part.iloc[at : at + 256]], dtype=object)

@@ -54,7 +54,8 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     stop = n if stop is None else min(stop, n)
     starts = np.frombuffer(payload, "<u8", blocks, _HEAD.size).tolist()
     base, out = _HEAD.size + 8 * blocks, []
-    view = np.frombuffer(payload, np.uint8)
+    padded = payload + bytes(8)
+    windows, bits_at = np.ndarray(len(payload), "<u8", padded, strides=(1,)), np.arange(block)
     if start >= stop:
         return np.zeros(0, np.uint32)
     for b in range(start // block, -(-stop // block)):
@@ -63,11 +64,9 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
         at += _BLOCK.size
         size = -(-count * width // 8)
         values = np.zeros(count, np.uint32)
-        if width:
-            bits = np.unpackbits(view[at : at + size], count=count * width, bitorder="little").reshape(count, width)
-            whole = np.zeros((count, 4), np.uint8)
-            whole[:, : -(-width // 8)] = np.packbits(bits, axis=1, bitorder="little")
-            values = whole.view("<u4").reshape(-1).astype(np.uint32)
+        if width:  # each value lies within the eight bytes from its first one on
+            bit = bits_at[:count] * width
+            values = ((windows[at + (bit >> 3)] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
         at += size
         if odd:
             values[np.frombuffer(payload, "<u2", odd, at)] = np.frombuffer(payload, "<u4", odd, at + 2 * odd)
@@ -85,7 +84,7 @@ class Encoder:
 
     SEPARATOR = " <|endoftext|> "
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -161,7 +160,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     document, the end id included), payload. A shard holds whole documents and ends once it has
     ids_per_shard ids. Rows of equal keys are ordered by text. Null texts are empty: only the end id."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(n, "key", "text").sortWithinPartitions("key", "text").withColumn("part", F.spark_partition_id())
+    ordered = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text").withColumn("part", F.spark_partition_id())
     stop = np.array([end], "<u2").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
