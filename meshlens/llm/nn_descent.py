@@ -3,8 +3,8 @@
 A first neighbour graph comes from random-projection trees; rounds then join neighbours of neighbours
 (both directions) and keep each node's best, until a round finds next to no new link. A list that is
 saturated, all its entries above the threshold, is enlarged: first to four times its length, and at
-last, exactly, to all members of its component, compared tile by tile without emitting a pair. The
-recall of links is audited against brute force on a sample of nodes; while it is too low, rounds go on
+last, exactly: its node is compared with all vectors of its label, which joins components, and then with
+all members of its component, tile by tile without emitting a pair. The recall of links is audited against brute force on a sample of nodes; while it is too low, rounds go on
 with longer lists.
 """
 
@@ -68,20 +68,23 @@ def first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
     return by_group(parted.select("group", "node").join(nodes.select("node", "raw"), "node"), "group", one, "u long, v long, score double")
 
 
-def kept_lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Each node's k best, and up to four times as many where they reach the threshold; worst: the k-th score."""
-    once = edges.repartition("u").groupBy("u", "v").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+def kept_lists(edges: DataFrame, k: int, threshold: float, round_: int) -> DataFrame:
+    """Each node's k best, and up to four times as many where they reach the threshold; worst: the last of the scores
+    once there are k, so a node is saturated where worst reaches the threshold. new: found in this round; fresh: not
+    yet compared; drawn: among the 2 k reverse neighbours of v that take part in the next round."""
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"), F.min("new").alias("new"))
     order = Window.partitionBy("u").orderBy(F.desc("score"), "v")
     ranked = once.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) | (F.col("score") >= threshold) & (F.col("rank") <= 4 * k))
-    return ranked.withColumn("worst", F.when(F.max("rank").over(Window.partitionBy("u")) >= k, F.min("score").over(Window.partitionBy("u"))).otherwise(F.lit(-1.5))).drop("rank")
+    listed = ranked.withColumn("worst", F.when(F.max("rank").over(Window.partitionBy("u")) >= k, F.min("score").over(Window.partitionBy("u"))).otherwise(F.lit(-1.5))).drop("rank")
+    back = Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(round_ + 1)), "u")
+    return listed.withColumn("drawn", F.row_number().over(back) <= 2 * k)
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int, round_: int) -> DataFrame:
-    """Candidates (u, v, score) that a round finds: pairs of neighbours of one node, at least one of them new there,
-    that beat the worst entry of u's list. Of a node's reverse neighbours, 2 k take part in a round."""
-    back = Window.partitionBy("pivot").orderBy(F.desc("fresh"), F.xxhash64("member", F.lit(round_)))
+def descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Candidates (u, v, score) that a round finds: pairs of neighbours of one node, at least one of them fresh there,
+    that beat the worst entry of u's list or reach the threshold. Of a node's reverse neighbours, those drawn take part."""
     forward = graph.select(F.col("u").alias("pivot"), F.col("v").alias("member"), "fresh")
-    reverse = graph.select(F.col("v").alias("pivot"), F.col("u").alias("member"), "fresh").withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= 2 * k).drop("rank")
+    reverse = graph.where("drawn").select(F.col("v").alias("pivot"), F.col("u").alias("member"), "fresh")
     members = forward.union(reverse).groupBy("pivot", "member").agg(F.max("fresh").alias("fresh"))
     state = nodes.select(F.col("node").alias("member"), "raw").join(graph.groupBy(F.col("u").alias("member")).agg(F.first("worst").alias("worst")), "member")
 
@@ -91,7 +94,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, round_: int) -> DataFram
             return None
         x = matrix(g["raw"])
         score = x @ x.T
-        allowed = (fresh[:, None] | fresh[None, :]) & ~np.eye(len(g), dtype=bool) & (score > g["worst"].to_numpy()[:, None])
+        allowed = (fresh[:, None] | fresh[None, :]) & ~np.eye(len(g), dtype=bool) & (score > np.minimum(g["worst"].to_numpy(), np.nextafter(threshold, -2))[:, None])
         return _best(score, allowed, g["member"].to_numpy(), k)
 
     return by_group(members.join(state, "member"), "pivot", one, "u long, v long, score double")
@@ -117,6 +120,60 @@ def links_within(members: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs that first join two components: at most one less than there are ends."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for a, b in pairs.tolist():
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            root[ra] = rb
+            kept.append((a, b))
+    return np.array(kept, dtype=np.int64).reshape(-1, 2)
+
+
+def links_across(nodes: DataFrame, threshold: float) -> DataFrame:
+    """nodes (node, label, root, asks, raw) -> (u, v): roots of components that a link joins. Every node that asks is
+    compared with all nodes of its label, in pairs of tiles; of a pair's links a spanning forest is told."""
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = nodes.groupBy("label").agg(tiles(F.count("*")).alias("tiles"), tiles(F.count_if("asks")).alias("asking")).where("asking > 0")
+    sized = nodes.join(sizes, "label")
+
+    def side(left: bool, rows: DataFrame, own: str, others: str) -> DataFrame:
+        dealt = rows.withColumns({"tile": F.expr(f"cast(pmod(xxhash64(node), {own}) as int)"), "other": F.explode(F.expr(f"sequence(0, {others} - 1)"))})
+        a, b = ("tile", "other") if left else ("other", "tile")
+        return dealt.select(F.xxhash64("label", a, b).alias("pair"), F.lit(left).alias("left"), "root", "raw")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame | None:
+        left = g["left"].to_numpy(bool)
+        a, b = g[left], g[~left]
+        if not len(a) or not len(b):
+            return None
+        ra, rb = a["root"].to_numpy(), b["root"].to_numpy()
+        i, j = np.nonzero((matrix(a["raw"]) @ matrix(b["raw"]).T >= threshold) & (ra[:, None] != rb[None, :]))
+        found = _forest(np.unique(np.stack([ra[i], rb[j]], axis=1), axis=0))
+        return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
+
+    both = side(True, sized.where("asks"), "asking", "tiles").union(side(False, sized, "tiles", "asking"))
+    return by_group(both, "pair", one, "u long, v long")
+
+
+def joined_across(nodes: DataFrame, roots: DataFrame, asking: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """roots (node, root) with components joined by all links of the nodes of asking (node)."""
+    named = nodes.select("node", "label", "raw").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = named.join(asking.select("node", F.lit(True).alias("asks")), "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    merged = connected_components(links_across(rows, threshold), scratch).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    known = nodes.select("node").join(roots, "node", "left").select("node", F.col("root").alias("old"), F.coalesce("root", "node").alias("root")).join(merged, "root", "left")
+    return scratch.cut(known.where("old is not null or joined is not null").select("node", F.coalesce("joined", "root").alias("root")))
+
+
 def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int = 256) -> float:
     """Of the links of a sample of nodes, by brute force over all nodes of their labels, the share that lies within
     one component. The sample is bounded; each task returns two sums."""
@@ -158,21 +215,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, ve
             yield frame.drop(columns="x").assign(raw=[np.asarray(v, "<f4").tobytes() for v in frame["x"]])
 
     nodes = scratch.cut(distinct.mapInPandas(to_bytes, "node long, first_id long, weight long, label string, raw binary"))
-    graph = scratch.cut(kept_lists(first_graph(nodes, k, seed).withColumn("fresh", F.lit(True)), k, threshold))
+    graph = scratch.cut(kept_lists(first_graph(nodes, k, seed).withColumns({"fresh": F.lit(True), "new": F.lit(True)}), k, threshold, 0))
     round_ = 0
     while True:
         last = round_ + max_rounds
         while round_ < last:
             round_ += 1
-            found = descend(graph, nodes, k, round_).withColumn("fresh", F.lit(True))
-            new = scratch.cut(kept_lists(graph.select("u", "v", "score").withColumn("fresh", F.lit(False)).unionByName(found), k, threshold))
+            found = descend(graph, nodes, k, threshold).withColumns({"fresh": F.lit(True), "new": F.lit(True)})
+            old = graph.select("u", "v", "score", F.expr("fresh and not drawn").alias("fresh"), F.lit(False).alias("new"))
+            new = scratch.cut(kept_lists(old.unionByName(found), k, threshold, round_))
             scratch.drop(graph)
             graph = new
-            links = graph.where(F.col("score") >= threshold).agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
-            if links.fresh <= 0.001 * links.n:
+            links = graph.where(F.col("score") >= threshold).agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
+            if links.new <= 0.001 * links.n:
                 break
         edges = graph.where(F.col("score") >= threshold).select("u", "v")
         roots = connected_components(edges, scratch)
+        saturated = graph.where(F.col("worst") >= threshold).select(F.col("u").alias("node")).distinct()
+        if not saturated.isEmpty():
+            roots = joined_across(nodes, roots, saturated, threshold, scratch)
         if audit(nodes, roots, threshold) >= recall or k >= 80:
             break
         k *= 2

@@ -151,6 +151,24 @@ def test_nn_descent(embedded):
     assert (odd["n_links"] == 0).all() and odd["kept"].all()
 
 
+def test_nn_descent_links_saturated_components(spark):
+    """Two groups whose members all have more than 40 closer neighbours, joined by one link just above the threshold."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((140, 64))
+    for i in range(140):
+        angle = np.radians((13 if i >= 70 else 0) + {0: 1, 70: -1}.get(i, 0))
+        x[i, :2] = np.cos(angle), np.sin(angle)
+        if i % 70:
+            noise = rng.standard_normal(62)
+            x[i, 2:] = np.tan(np.radians(3)) * noise / np.linalg.norm(noise)
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & ~np.eye(140, dtype=bool)
+    assert near[:70, 70:].sum() == near[0, 70] == 1 and near.sum() == 2 * 70 * 69 + 2
+    got = nn_descent.near_duplicates(spark.createDataFrame([(i, x[i].tolist(), 0, None, None) for i in range(140)], VECTORS)).toPandas().set_index("vec_id")
+    assert (got["component_id"] == 0).all() and (got["n_links"].loc[range(140)].to_numpy() == near.sum(1)).all()
+
+
 def test_nn_descent_empty(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
