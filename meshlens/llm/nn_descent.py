@@ -5,7 +5,7 @@ A first neighbour graph comes from random-projection trees; rounds then join nei
 saturated, all its entries above the threshold, is enlarged: first to four times its length, and at
 last, exactly: its node is compared with all vectors of its label, which joins components, and then with
 all members of its component, tile by tile without emitting a pair. The recall of links is audited against brute force on a sample of nodes; while it is too low, rounds go on
-with longer lists.
+with longer lists, and at last all vectors of each label are compared, tile by tile.
 """
 
 from __future__ import annotations
@@ -68,6 +68,11 @@ def first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
     return by_group(parted.select("group", "node").join(nodes.select("node", "raw"), "node"), "group", one, "u long, v long, score double")
 
 
+def drawing(round_: int) -> Window:
+    """The order in which a node's reverse neighbours are drawn for the round after this one."""
+    return Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(round_ + 1)), "u")
+
+
 def kept_lists(edges: DataFrame, k: int, threshold: float, round_: int) -> DataFrame:
     """Each node's k best, and up to four times as many where they reach the threshold; worst: the last of the scores
     once there are k, so a node is saturated where worst reaches the threshold. new: found in this round; fresh: not
@@ -76,8 +81,7 @@ def kept_lists(edges: DataFrame, k: int, threshold: float, round_: int) -> DataF
     order = Window.partitionBy("u").orderBy(F.desc("score"), "v")
     ranked = once.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) | (F.col("score") >= threshold) & (F.col("rank") <= 4 * k))
     listed = ranked.withColumn("worst", F.when(F.max("rank").over(Window.partitionBy("u")) >= k, F.min("score").over(Window.partitionBy("u"))).otherwise(F.lit(-1.5))).drop("rank")
-    back = Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(round_ + 1)), "u")
-    return listed.withColumn("drawn", F.row_number().over(back) <= 2 * k)
+    return listed.withColumn("drawn", F.row_number().over(drawing(round_)) <= 2 * k)
 
 
 def descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -175,23 +179,42 @@ def joined_across(nodes: DataFrame, roots: DataFrame, asking: DataFrame, thresho
 
 
 def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int = 256) -> float:
-    """Of the links of a sample of nodes, by brute force over all nodes of their labels, the share that lies within
-    one component. The sample is bounded; each task returns two sums."""
+    """The recall of links by nodes, not by links, so that a large group doesn't hide losses elsewhere.
+
+    From each class of components by size (single nodes, up to 8 nodes, up to 64, ...) a bounded sample of nodes is
+    compared by brute force with all nodes of their labels. The recall of a node is the share of its links that lie
+    within its component. Told is the smallest of the averages over the nodes with up to 1, 8, 64, ... links, each node
+    weighed by the nodes that it stands for. Each task returns two sums for each sampled node."""
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    few = named.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample).toPandas()
+    sizes = named.groupBy("root").agg(F.count("*").alias("held"))
+    level = named.join(sizes, "root").select("node", F.ceil(F.log2("held") / 3).cast("int").alias("level"))
+    order = Window.partitionBy("level").orderBy(F.xxhash64("node", F.lit(11)), "node")
+    few = level.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).join(level.groupBy("level").agg(F.count("*").alias("of")), "level")
+    few = few.join(named, "node").select("node", "label", "root", "raw", "level", "of").toPandas()
     if not len(few):
         return 1.0
     shared = nodes.sparkSession.sparkContext.broadcast((matrix(few["raw"]), few["label"].to_numpy(), few["root"].to_numpy(), few["node"].to_numpy()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, label, root, node = shared.value
+        links, found = np.zeros(len(node), dtype=np.int64), np.zeros(len(node), dtype=np.int64)
         for frame in frames:
-            if len(frame):
-                near = (x @ matrix(frame["raw"]).T >= threshold) & (label[:, None] == frame["label"].to_numpy()[None, :]) & (node[:, None] != frame["node"].to_numpy()[None, :])
-                yield pd.DataFrame({"all": [near.sum()], "found": [(near & (root[:, None] == frame["root"].to_numpy()[None, :])).sum()]})
-
-    seen = named.select("node", "label", "root", "raw").mapInPandas(run, "all long, found long").agg(F.sum("all").alias("all"), F.sum("found").alias("found")).first()
-    return seen.found / seen.all if seen.all else 1.0
+            for at in range(0, len(frame), 1024):
+                part = frame.iloc[at : at + 1024]
+                near = (x @ matrix(part["raw"]).T >= threshold) & (label[:, None] == part["label"].to_numpy()[None, :]) & (node[:, None] != part["node"].to_numpy()[None, :])
+                links += near.sum(1)
+                found += (near & (root[:, None] == part["root"].to_numpy()[None, :])).sum(1)
+        some = np.flatnonzero(links)
+        yield pd.DataFrame({"node": node[some], "links": links[some], "found": found[some]})
+
+    seen = named.select("node", "label", "root", "raw").mapInPandas(run, "node long, links long, found long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).toPandas()
+    if not len(seen):
+        return 1.0
+    seen = seen.merge(few[["node", "level", "of"]], on="node")
+    weight = (seen["of"] / seen["level"].map(few["level"].value_counts())).to_numpy()
+    kind = np.ceil(np.log2(seen["links"]) / 3).astype(int).to_numpy()
+    share = (seen["found"] / seen["links"]).to_numpy()
+    return min(float(np.average(share[kind == c], weights=weight[kind == c])) for c in np.unique(kind))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", max_rounds: int = 6, recall: float = 0.99, seed: int = 23, scratch: Scratch | None = None) -> DataFrame:
@@ -226,7 +249,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, ve
             new = scratch.cut(kept_lists(old.unionByName(found), k, threshold, round_))
             scratch.drop(graph)
             graph = new
-            links = graph.where(F.col("score") >= threshold).agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
+            # saturated nodes are compared exactly below: their links must not outweigh those of small components
+            links = graph.where((F.col("score") >= threshold) & (F.col("worst") < threshold)).agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
             if links.new <= 0.001 * links.n:
                 break
         edges = graph.where(F.col("score") >= threshold).select("u", "v")
@@ -234,9 +258,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, ve
         saturated = graph.where(F.col("worst") >= threshold).select(F.col("u").alias("node")).distinct()
         if not saturated.isEmpty():
             roots = joined_across(nodes, roots, saturated, threshold, scratch)
-        if audit(nodes, roots, threshold) >= recall or k >= 80:
+        if audit(nodes, roots, threshold) >= recall:
+            break
+        if k >= 80:  # longer lists didn't help: all nodes of a label are compared
+            roots = joined_across(nodes, roots, nodes, threshold, scratch)
             break
         k *= 2
+        again = scratch.cut(graph.withColumns({"fresh": F.lit(True), "drawn": F.row_number().over(drawing(round_)) <= 2 * k}))
+        scratch.drop(graph)
+        graph = again
     members = roots.join(nodes.select("node", "first_id", "weight", "raw"), "node")
     counts = links_within(members, threshold)
     smallest = members.groupBy("root").agg(F.min("first_id").alias("component_id"))

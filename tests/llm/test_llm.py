@@ -169,6 +169,30 @@ def test_nn_descent_links_saturated_components(spark):
     assert (got["component_id"] == 0).all() and (got["n_links"].loc[range(140)].to_numpy() == near.sum(1)).all()
 
 
+def hot_and_pairs():
+    """A hot group of 300 near copies and 40 pairs of one label."""
+    rng = np.random.default_rng(8)
+    hot, pairs = rng.standard_normal(32), np.repeat(rng.standard_normal((40, 32)), 2, axis=0)
+    return (np.concatenate([np.tile(hot, (300, 1)), pairs]) + 0.01 * rng.standard_normal((380, 32))).astype(np.float32)
+
+
+def test_nn_descent_audit_sees_small_groups(spark):
+    nodes = spark.createDataFrame([(i, 0, v.tobytes()) for i, v in enumerate(hot_and_pairs())], "node long, label int, raw binary")
+    roots = lambda found: spark.createDataFrame([(i, 0) for i in range(300)] + [(i, i - i % 2) for i in range(300, found)], "node long, root long")
+    assert nn_descent.audit(nodes, roots(380), 0.98) == 1
+    assert nn_descent.audit(nodes, roots(300), 0.98) < 0.99 and nn_descent.audit(nodes, roots(376), 0.98) < 0.99
+
+
+def test_nn_descent_exact_after_failed_audits(spark, monkeypatch):
+    """Rounds that find nothing, from a first graph without any of the pairs' links."""
+    first, empty = nn_descent.first_graph, "u long, v long, score double"
+    monkeypatch.setattr(nn_descent, "first_graph", lambda nodes, k, seed: first(nodes, k, seed).join(nodes.where("first_id < 300").select(F.col("node").alias("u")), "u").where("score >= 0.98").select("u", "v", "score"))
+    monkeypatch.setattr(nn_descent, "descend", lambda graph, nodes, k, *_: spark.createDataFrame([], empty))
+    rows = [(i, v.tolist(), 0, None, None) for i, v in enumerate(hot_and_pairs())]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, VECTORS), k=40, max_rounds=1).toPandas().set_index("vec_id")["component_id"]
+    assert (got.loc[range(300)] == 0).all() and all(got[i] == i - i % 2 for i in range(300, 380))
+
+
 def test_nn_descent_empty(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
