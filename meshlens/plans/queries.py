@@ -235,6 +235,22 @@ def endpoint_fanout(spark, sf):
     return got.select("repo", "ep_key", "target", "key", "hops", "confidence")
 
 
+@query
+def callgraph_reach_whole(spark, sf):
+    """START's symbol and what it reaches in the call graph in up to 4 calls, the reference's depth. Without SQL."""
+    node = lambda name: F.concat_ws("/", "repo", name)
+    graph = fanout.call_graph(W.symbols(spark, sf), W.part_calls(spark, sf)).select(node("caller").alias("from_repo"), node("callee").alias("to_repo"))
+    start = W.symbols(spark, sf).where(F.concat(F.lit("p"), "ord") == START).select(node("qualified_name").alias("origin"))
+    return traversal.reached(graph, start, 4, forward=True).select("node", "hops")
+
+
+@query
+def endpoint_fanout_whole(spark, sf):
+    """As endpoint_fanout, in up to 4 calls, the reference's depth. Without SQL."""
+    got = fanout.endpoint_fanout(W.part_routes(spark, sf), W.symbols(spark, sf), W.part_calls(spark, sf), W.part_surfaces(spark, sf))
+    return got.select("repo", "ep_key", "target", "key", "hops", "confidence")
+
+
 @query
 def dependencies_of(spark, sf):
     return lookups.dependencies_of(W.dependencies(spark, sf), START).select("to_repo", "confidence")

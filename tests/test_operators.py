@@ -98,6 +98,24 @@ def test_fanout(spark):
     assert fanout.endpoint_fanout(routes, sym, calls, out, 1).count() == 0
 
 
+def test_whole_depth_queries(spark, monkeypatch):
+    """A chain of calls, each in its file: the queries go 4 calls deep, and no further."""
+    from meshlens.plans import queries
+    from meshlens.plans import workload as W
+
+    sym = spark.createDataFrame([("s", f"F{i}.java", "java", "method", f"f{i}", f"A.f{i}", "", 1, 9, i) for i in range(1, 8)], "repo string, file string, language string, kind string, name string, qualified_name string, signature string, start_line int, end_line int, ord long")
+    views = {
+        "symbols": sym, "part_calls": spark.createDataFrame([("s", f"A.f{i}", f"f{i + 1}") for i in range(1, 7)], "repo string, caller string, callee_name string"),
+        "part_routes": spark.createDataFrame([("s", "GET", "/a", "F1.java", 2)], "repo string, method string, path string, file string, line int"),
+        "part_surfaces": spark.createDataFrame([("s", f"t{i}", "GET /k", f"F{i}.java", 3) for i in range(1, 8)], "repo string, target string, key string, file string, line int"),
+    }
+    for name, df in views.items():
+        monkeypatch.setattr(W, name, lambda spark, sf, df=df: df)
+    got = {r.target: (r.hops, r.confidence) for r in queries.QUERIES["endpoint_fanout_whole"](spark, "").collect()}
+    assert got == {"t1": (0, 0.9), "t2": (1, 0.75), "t3": (2, 0.6), "t4": (3, 0.45), "t5": (4, 0.4)}
+    assert {r.node: r.hops for r in queries.QUERIES["callgraph_reach_whole"](spark, "").collect()} == {f"s/A.f{i}": i - 1 for i in range(1, 6)}
+
+
 def test_resolve_keeps_order(spark):
     rows = [("a", "b", "http", 0.4, "x:2", "inferred", 2), ("a", "b", "feign", 0.9, "x:1", "config", 1), ("a", "b", "http", 0.4, "x:2", "inferred", 3), ("a", "a", "http", 1.0, "s", "config", 4)]
     got = resolve.resolve(spark.createDataFrame(rows, "from_repo string, to_repo string, dep_type string, confidence double, evidence string, tier string, ord long")).collect()
