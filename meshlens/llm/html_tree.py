@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[a-z]+")
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "select", "button", "object", "canvas")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
+#: Elements whose content isn't the page's text, from their start tag to their own end tag. Where another element ends them, as an
+#: end tag is missing, what they held counts like any other text.
+HIDDEN = frozenset("noscript template svg select button object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "head", "html", "body", "legend", "summary"}
@@ -84,15 +87,16 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("html", root)]  # tag, node of the nearest block
     run: list[str] = []
     links = linked = 0
+    before: list[tuple[int, int, list[str], int, int]] = []  # of open hidden elements: place in the stack; nodes, text and its length, linked
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, run
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
                 node = stack[-1][1]
                 page.add(node, page.tag[node], frozenset(), text, linked)
-            run.clear()
+            run = []  # the old list stays as it is in before
         linked = 0
 
     def close(k: int) -> None:
@@ -102,6 +106,19 @@ def parse(source: str) -> Page:
             flush()
         links -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
+        while before and before[-1][0] >= k:
+            before.pop()
+
+    def hide(k: int) -> None:
+        """Ends the hidden element at k, and drops all that came since its start tag."""
+        nonlocal run, linked
+        place, nodes, text, length, linked_then = next(b for b in reversed(before) if b[0] == k)
+        close(k)
+        for column in (page.parent, page.tag, page.names, page.text, page.linked):
+            del column[nodes:]
+        run, linked = text, linked_then
+        del run[length:]
+        run.append(" ")
 
     def inside(tags: set, stop: set) -> int:
         for k in range(len(stack) - 1, 0, -1):
@@ -125,13 +142,15 @@ def parse(source: str) -> Page:
             if m["end"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        close(k)
+                        hide(k) if tag in HIDDEN else close(k)
                         break
                     if stack[k][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "td", "th", "body", "html"):
                         break
                 else:
                     if tag in BLOCK:
                         flush()
+            elif tag in _RAW and m["attrs"].endswith("/") and inside({"svg"}, {"foreignobject"}):
+                pass
             elif tag in _RAW:
                 end = _RAW[tag].search(source, at)
                 at = end.end() if end else len(source)
@@ -143,6 +162,8 @@ def parse(source: str) -> Page:
             elif tag == "html":
                 pass
             else:
+                if before and (tag in BLOCK and (k := inside({"svg"}, {"foreignobject"})) or tag in ("button", "select") and (k := inside({tag}, {"td", "th", "table"}))):
+                    close(k)
                 if tag in CLOSES_P and (k := inside({"p"}, {"td", "th", "table", "div", "article", "section"})):
                     close(k)
                 if tag in SIBLING and (k := inside(*SIBLING[tag])):
@@ -153,7 +174,12 @@ def parse(source: str) -> Page:
                     node = page.add(node, tag, _names(m["attrs"]))
                 elif tag == "a":
                     links += 1
-                if not m["attrs"].endswith("/") or tag in BLOCK:
+                if tag in HIDDEN:
+                    run.append(" ")
+                    if tag != "svg" or not m["attrs"].endswith("/"):
+                        before.append((len(stack), len(page.parent), run, len(run), linked))
+                        stack.append((tag, node))
+                elif not m["attrs"].endswith("/") or tag in BLOCK:
                     stack.append((tag, node))
                 elif tag == "a":
                     links -= 1

@@ -307,6 +307,20 @@ def test_html_entities_and_nesting():
     assert html.unescape("&copy;") == "©"
 
 
+def test_html_unclosed_hidden_elements():
+    texts = lambda source: [t for t in html_tree.parse(source).text if t is not None]
+    assert texts("<p>a<svg class='i'/>b</p><p>c</p><footer><svg><path/></svg>d</footer>") == ["a b", "c", "d"]
+    for tag in ("button", "select", "object", "canvas", "svg", "noscript", "template"):
+        assert texts(f"<p>a <{tag}>x<i>y</i></{tag}> b</p>") == ["a b"]
+        assert texts(f"<p>a <{tag}><div>x</div>y</{tag}> b</p><p>c</p>")[-1] == "c"
+        assert texts(f"<nav><{tag}></nav><p>b</p><p>c</p><footer>d <{tag}>x</{tag}></footer>") == ["b", "c", "d"]
+        assert texts(f"<{tag}><p>b</p><p>c</p>") == ["b", "c"]
+    assert texts("<button>m<p>b</p><footer><button>x</button>d</footer>") == ["m", "b", "d"]
+    assert texts("a<object>" * 3000 + "<p>b</p>")[-1] == "b"
+    assert texts("<svg><title/><path/></svg><p>b</p>") == ["b"]
+    assert texts("<p>a</p><script>x = '<p>';") == ["a"]
+
+
 # 5 secrets
 
 def plain_base(text):
