@@ -9,7 +9,13 @@ from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.operators import fanout, lookups, reconcile, resolve, surfaces, traversal
 from meshlens.operators.store import Store, replace_aliases
-from meshlens.sources import code, files
+from meshlens.functions.predicates import is_value_holder
+from meshlens.sources import code, configs, files
+from meshlens.sources.identities import base_paths, identities
+
+
+#: Files that configure a repository or declare its names.
+CONFIGS = r"(?:\.ya?ml|\.properties)\z|(?:^|/)\.env(?:\.[^/]*)?\z|^(?:package\.json|pyproject\.toml|go\.mod|openapi\.json|swagger\.json|\.git/config)\z"
 
 
 class DependencyEngine:
@@ -26,15 +32,22 @@ class DependencyEngine:
         rows = self.store.read("lines")  # the tree is read once
         self.store.write("symbols", code.symbols(rows))
         self.store.write("calls", code.call_sites(rows, self.store.read("symbols")))
-        self.store.write("routes", code.routes(rows).select("repo", "method", F.col("route").alias("path"), "framework", F.col("path").alias("file"), "line"))
-        new = named.select(F.col("name").alias("repo"), I.normalize_identity(F.col("name")).alias("alias"), F.col("name").alias("raw"), F.lit("config").alias("source"), F.lit(1.0).alias("confidence"), F.xxhash64("name").alias("ord"))
+        self.store.write("configs", read.where(F.col("path").rlike(CONFIGS)))
+        declared = self.store.read("configs")
+        routes = code.routes(rows).select("repo", "method", F.col("route").alias("path"), "framework", F.col("path").alias("file"), "line")
+        self.store.write("routes", surfaces.fold_base_paths(routes, base_paths(declared)).select(*routes.columns))
+        new = identities(named, declared).select("repo", "alias", "raw", "source", "confidence", F.xxhash64("raw").alias("ord"))
         self.store.write("aliases", replace_aliases(self.store.read("aliases"), new, named) if self.store.exists("aliases") else new)
 
         evidence = F.concat_ws(":", P.basename(F.col("path")), "line")
         http = code.http_calls(rows).select("repo", "path", "line", "dep_type", "confidence", "tier", I.service_from_url(F.col("target")).alias("to_repo"), "method", F.col("target_path"))
         other = code.messages(rows).select("repo", "path", "line", "dep_type", F.when(F.col("dep_type") == "kafka", 1.0).otherwise(0.9).alias("confidence"), F.lit("call-site").alias("tier"), F.col("target").alias("to_repo"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("target_path"))
         feign = code.feign_clients(rows).select("repo", "path", "line", F.lit("feign").alias("dep_type"), F.lit(0.95).alias("confidence"), F.lit("call-site").alias("tier"), I.service_from_url(F.col("target")).alias("to_repo"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("target_path"))
-        signals = http.unionByName(other).unionByName(feign).select(F.col("repo").alias("from_repo"), "to_repo", "dep_type", "confidence", evidence.alias("evidence"), "tier", F.xxhash64("path", "line").alias("ord"), "method", "target_path", F.col("path").alias("file"), "line")
+        nothing = F.lit(None).cast("string")
+        module = code.imports(rows).where(~is_value_holder(F.col("module")))
+        imported = module.select("repo", "path", "line", F.lit("import").alias("dep_type"), F.lit(0.6).alias("confidence"), F.lit("import").alias("tier"), I.import_name(F.col("module")).alias("to_repo"), nothing.alias("method"), nothing.alias("target_path"))
+        configured = configs.targets(files.configs(declared)).select("repo", "path", "line", F.lit("http").alias("dep_type"), F.lit(0.85).alias("confidence"), F.lit("config").alias("tier"), I.service_from_url(F.col("target")).alias("to_repo"), F.lit("").alias("method"), P.split_host_path(F.col("target"))["path"].alias("target_path"))
+        signals = http.unionByName(other).unionByName(feign).unionByName(imported).unionByName(configured).select(F.col("repo").alias("from_repo"), "to_repo", "dep_type", "confidence", evidence.alias("evidence"), "tier", F.xxhash64("path", "line").alias("ord"), "method", "target_path", F.col("path").alias("file"), "line")
         self.store.write("signals", signals)
         signals = self.store.read("signals")
         deps = resolve.without_import_only(resolve.resolve(signals)).withColumn("ord", F.xxhash64("from_repo", "to_repo"))

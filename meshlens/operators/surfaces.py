@@ -65,7 +65,7 @@ def called_by(matched: DataFrame) -> DataFrame:
 
 
 def fold_base_paths(routes: DataFrame, bases: DataFrame) -> DataFrame:
-    """routes with their framework's base prefix (framework, base) put before the path."""
-    joined = routes.join(bases, "framework", "left")
+    """routes with their framework's base prefix (framework, base, and repo where it differs between them) put before the path."""
+    joined = routes.join(bases, ["repo", "framework"] if "repo" in bases.columns else ["framework"], "left")
     folded = P.normalize_path(F.concat_ws("/", F.col("base"), F.ltrim(F.col("path"), F.lit("/"))))
     return joined.withColumn("path", F.when(F.coalesce("base", F.lit("/")).isin("", "/"), F.col("path")).otherwise(folded)).drop("base")

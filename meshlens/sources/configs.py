@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlens.functions.predicates import is_namespace_noise, looks_like_http_target
+from meshlens.operators.resolve import first_per
+
+#: Kinds of configuration files in the order in which they are read.
+GLOBS = (r"^application.*\.properties\z", r"^application.*\.yml\z", r"^application.*\.yaml\z", r"^bootstrap.*\.yml\z", r"^bootstrap.*\.yaml\z", r"^\.env\z", r"^\.env\.")
 PROPERTY = r"^([\w.\-/${}]+)\s*[=:]\s*(.+)$"
 
 
@@ -24,6 +29,19 @@ def properties(files: DataFrame) -> DataFrame:
     return lines.select("repo", "path", p["key"].alias("key"), p["value"].alias("value"), (F.col("pos") + 1).alias("line")).where("key is not null")
 
 
+def targets(files: DataFrame) -> DataFrame:
+    """files (repo, path, content) of configurations -> (repo, path, line, target): HTTP targets, of a repository the first
+    one of each by kind of file, path and line."""
+    name, yaml = F.regexp_extract("path", r"([^/]*)\z", 1), F.col("path").rlike(r"\.ya?ml\z")
+    plain = properties(files.where(~yaml)).withColumn("value", F.regexp_replace("value", r"""^["']+|["']+$""", ""))
+    rows = plain.unionByName(yaml_properties(files.where(yaml))).where(looks_like_http_target(F.col("key"), F.col("value")))
+    rows = rows.withColumn("target", F.when(F.col("value").contains("://"), F.col("value")).otherwise(F.concat(F.lit("http://"), "value"))).where(~is_namespace_noise(F.col("target")))
+    rank = F.lit(len(GLOBS))
+    for i, pattern in reversed(list(enumerate(GLOBS))):
+        rank = F.when(name.rlike(pattern), i).otherwise(rank)
+    return first_per(rows.withColumn("glob", rank), ["repo", "target"], "glob", "path", "line").select("repo", "path", "line", "target")
+
+
 def yaml_properties(files: DataFrame) -> DataFrame:
     """files (repo, path, content) -> (repo, path, key, value, line 0): string scalars under dotted keys, lists under their
     parent's key. A syntax error ends the file, what came before it stays."""

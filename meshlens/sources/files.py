@@ -33,7 +33,7 @@ class _Reader(DataSourceReader):
     def read(self, repo: _Repo) -> Iterator[tuple]:
         for folder, folders, names in os.walk(repo.root):
             folders[:] = sorted(f for f in folders if f != ".git")
-            for name in sorted(names):
+            for name in sorted([*names, ".git/config"] if folder == repo.root else names):  # of .git only the file that names the remote
                 path = os.path.join(folder, name)
                 try:
                     if os.path.getsize(path) <= self.limit:

@@ -30,6 +30,24 @@ def test_scan_and_ask(spark, tmp_path):
     assert reports.parse_endpoint("/x") == ("ANY", "/x")
 
 
+def test_scan_takes_declarations(spark, tmp_path):
+    trees = {
+        "web": {"application.yml": "pay:\n  url: http://billing-api.internal/v2/charge\n", ".env": "PAY_URL='http://billing-api.internal/v2/charge'\nSTOCK_URL=http://depot/items\n", "a.py": "import company.ledger\n"},
+        "repo-x": {"src/main/resources/application.properties": "spring.application.name=billing-api\nserver.servlet.context-path=/v2\n", "A.java": '@RestController\npublic class A {\n    @PostMapping("/charge")\n    public String c() {\n        return x;\n    }\n}\n'},
+        "repo-y": {".git/config": '[remote "origin"]\n    url = git@host:team/depot.git\n'},
+    }
+    for repo, named in trees.items():
+        for name, text in named.items():
+            (tmp_path / repo / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / repo / name).write_text(text)
+    engine = DependencyEngine(spark, str(tmp_path / "store"))
+    engine.scan({r: str(tmp_path / r) for r in trees})
+    assert {(d.to_repo, d.confidence, d.tier) for d in engine.dependencies_of("web").collect()} == {("repo-x", 0.95, "config"), ("repo-y", 0.85, "config")}
+    assert [r.path for r in engine.table("routes").collect()] == ["/v2/charge"]
+    assert {(r.repo, r.match_kind) for r in engine.table("surfaces").collect()} == {("repo-x", "exact"), ("repo-y", "none")}
+    assert ("web", "ledger", "import") in {(r.from_repo, r.to_repo, r.dep_type) for r in engine.table("signals").collect()}
+
+
 def test_incremental(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     schema = "repo string, path string"
