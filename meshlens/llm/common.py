@@ -61,8 +61,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
     last = None
     while True:
         both = e.select(F.col("a").alias("n"), F.col("b").alias("m")).union(e.select(F.col("b").alias("n"), F.col("a").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("root"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("a"), F.col("root").alias("b")).distinct()
+        least = scratch.cut(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("root")))  # a table of its own, so that a hot node's side of the join can be split
+        large = scratch.cut(both.join(least, "n").where("m > n").select(F.col("m").alias("a"), F.col("root").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("root"))
         small = (
             large.join(low, "a").where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))
@@ -70,7 +70,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
         )
         new = scratch.cut(small)
         seen = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        scratch.drop(e)
+        scratch.drop(e, least, large)
         e = new
         if (seen.n, seen.h) == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())

@@ -7,7 +7,15 @@ order. Texts that agree on a sketch are candidates; an alignment of their shingl
 the band outside which no good enough alignment can run, decides:
 similarity = aligned / (shingles of both - aligned) >= 0.8.
 
-At similarity 0.8 a candidate pair is missed with a probability of about (1 - 0.8**3)**16 = 1e-5.
+At similarity 0.8 a candidate pair of long texts is missed with a probability of about (1 - 0.8**3)**16 =
+1e-5. The minima are drawn without replacement, so short texts are missed more often: two texts with 4 of
+5 shingles in common agree on a sketch with C(4,3)/C(5,3) = 0.4, and are missed with 0.6**16 = 2.8e-4.
+
+Classes are found without pairing all texts of a bucket. In leader rounds, every text of a bucket that
+still holds several classes meets one new leader of it. A round goes on to the next one only if it has
+settled a quarter of what it got, so all rounds together make at most four comparisons for each place
+in a bucket. What is left passes an exact filter by rare shingles, linear in its words, and only texts
+that no filter tells apart are compared in tiles.
 """
 
 from __future__ import annotations
@@ -17,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlens.llm.common import Scratch, by_group, connected_components
 
 SHINGLE, SIMILARITY, SKETCHES, MINIMA, TILE = 5, 0.8, 16, 3, 192
+COUNTERS, SETTLED = 1 << 18, 0.25
 TOP = np.uint64(2**64 - 1)
 _WORD = re.compile(r"\w+")
 
@@ -110,22 +119,42 @@ def _to_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sub = frame.iloc[part]
             h, count = shingle_hashes(sub["text"].tolist())
             ends = np.cumsum(count)
-            low = h.astype(np.uint32)
-            yield pd.DataFrame({"fp": sub["fp"], "shingles": [low[e - c : e].tobytes() for c, e in zip(count, ends)]})
+            yield pd.DataFrame({"fp": sub["fp"], "shingles": [h[e - c : e].tobytes() for c, e in zip(count, ends)]})
 
 
 def aligned(a: list[int], b: list[int], band: int) -> int:
-    """Length of the longest common subsequence whose matches stay within band of the diagonal; a column
-    of the table is one integer, so that a step handles all rows at once."""
-    at: dict[int, int] = {}
+    """Length of the longest common subsequence whose matches stay within band of the diagonal.
+
+    A column of the table is one integer of the rows within the band, so that a step handles them all at once
+    and costs 2 * band + 1 bits. A row that the band leaves is settled: its bit is 0 if it counts."""
+    places: dict[int, list[int]] = {}
     for i, s in enumerate(a):
-        at[s] = at.get(s, 0) | 1 << i
-    full, window, v = (1 << len(a)) - 1, (1 << 2 * band + 1) - 1, (1 << len(a)) - 1
+        places.setdefault(s, []).append(i)
+    many = max(16, len(a) // 2000)  # from here on a shingle's places are one integer, too
+    wide = {s: sum(1 << i for i in at) for s, at in places.items() if len(at) > many}
+    width, low, got = min(len(a), band + 1), 0, 0
+    v = (1 << width) - 1
     for j, s in enumerate(b):
-        if (m := at.get(s)) and (m := m & (window << j - band if j >= band else window >> band - j)):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        if j:
+            if j > band and low < len(a):
+                got += not v & 1
+                v >>= 1
+                low, width = low + 1, width - 1
+            if low + width < len(a):
+                v |= 1 << width
+                width += 1
+        if not width:
+            break
+        if s in wide:
+            m = (wide[s] >> low) & ((1 << width) - 1)
+        else:
+            m = 0
+            for i in places.get(s, ()):
+                if low <= i < low + width:
+                    m |= 1 << i - low
+        if m and (u := v & m):
+            v = ((v + u) | (v - u)) & ((1 << width) - 1)
+    return got + width - v.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -148,15 +177,64 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        score = [similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(frame["a"], frame["b"])]
-        frame = frame.assign(score=score)
-        yield frame.loc[frame["score"] > 0, ["u", "v", "score"]]
+        linked = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) > 0 for a, b in zip(frame["a"], frame["b"])]
+        yield frame.loc[linked, ["ru", "rv"]]
+
+
+def _labelled(h: np.ndarray) -> np.ndarray:
+    """One text's shingles, told apart by their numbers of earlier occurrences."""
+    order = np.argsort(h, kind="stable")
+    at = np.arange(len(h))
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[order][1:] != h[order][:-1]
+    earlier = np.empty(len(h), np.uint64)
+    earlier[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return _mixed(h + earlier * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _counters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(COUNTERS, np.int64)
+    for frame in frames:
+        for s in frame["shingles"]:
+            np.add.at(total, (_labelled(np.frombuffer(s, np.uint64)) % COUNTERS).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"counter": at, "n": total[at]})
+
+
+def tell_apart(rest: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those texts (fp) of rest (fp, root, n) that may be linked with a text of another class: an exact filter.
+
+    All labelled shingles are put in one order, rare ones first. Two texts of n and m shingles are linked only
+    if they share 4/9 (n + m) of them; then the first that they share stands at a place i with n - i >= 4/9
+    (n + m), hence among the first n / 5 + 1 of a text, and m <= 9/4 (n - i) - n. A text stays if it has such
+    a shingle that a short enough text of another class has, too. How rare a shingle is comes from COUNTERS
+    counters (any order is exact, a good one tells more apart)."""
+    texts = scratch.cut(rest.join(shingles, "fp"))
+    counts = texts.select("shingles").mapInPandas(_counters, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    rare = np.zeros(COUNTERS, np.int64)
+    rare[counts["counter"].to_numpy()] = counts["n"].to_numpy()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for fp, root, n, s in zip(frame["fp"], frame["root"], frame["n"], frame["shingles"]):
+                token = _labelled(np.frombuffer(s, np.uint64))
+                order = np.lexsort((token, rare[(token % COUNTERS).astype(np.int64)]))
+                token = token[order[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]]
+                most = (n - np.arange(len(token))) * ((1 + SIMILARITY) / SIMILARITY) - n + 1e-6
+                yield pd.DataFrame({"fp": [fp] * len(token), "root": [root] * len(token), "n": n, "token": token.view(np.int64), "most": most})
+
+    rows = scratch.cut(texts.mapInPandas(run, "fp binary, root binary, n long, token long, most double"))
+    each = rows.groupBy("token", "root").agg(F.min("n").alias("n"))
+    two = each.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("n", "root"))).where("k <= 2")
+    two = two.groupBy("token").agg(F.min(F.struct("k", "root", "n")).alias("one"), F.max(F.struct("k", "root", "n")).alias("other")).where("one.k < other.k")
+    near = rows.join(scratch.cut(two), "token").where("if(one.root <> root, one.n, other.n) <= most")
+    return scratch.cut(near.select("fp").distinct())
 
 
 def common_shingles(seqs: list[np.ndarray]) -> np.ndarray:
     """How many shingles, repeats counted, each two sequences share: an upper bound of what can be aligned."""
     n = np.array([len(s) for s in seqs])
-    flat, owner = np.concatenate(seqs).astype(np.uint64), np.repeat(np.arange(len(seqs)), n)
+    flat, owner = np.unique(np.concatenate(seqs), return_inverse=True)[1].astype(np.uint64), np.repeat(np.arange(len(seqs)), n)
     order = np.lexsort((flat, owner))
     flat, owner = flat[order], owner[order]
     at = np.arange(len(flat))
@@ -195,7 +273,7 @@ def tile_links(g: pd.DataFrame) -> pd.DataFrame | None:
         todo &= keys[:, j][:, None] != keys[:, j][None, :]
     if not todo.any():
         return None
-    seqs = [np.frombuffer(s, np.uint32) for s in g["shingles"]]
+    seqs = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
     need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (n[:, None] + n[None, :]) - 1e-9)
     todo &= common_shingles(seqs) >= need
     parent = list(range(len(g)))
@@ -209,13 +287,13 @@ def tile_links(g: pd.DataFrame) -> pd.DataFrame | None:
     first: dict[int, int] = {}
     for i, c in enumerate(codes):
         parent[i] = first.setdefault(c, i)
-    out, fp = [], g["fp"].to_numpy()
+    out = []
     for i, j in zip(*np.nonzero(todo)):
         a, b = find(i), find(j)
-        if a != b and (score := similarity(seqs[i], seqs[j])):
+        if a != b and similarity(seqs[i], seqs[j]):
             parent[b] = a
-            out.append((fp[i], fp[j], score))
-    return pd.DataFrame(out, columns=["u", "v", "score"]) if out else None
+            out.append((roots[i], roots[j]))
+    return pd.DataFrame(out, columns=["ru", "rv"]) if out else None
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -226,45 +304,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     Null and empty texts have no copies: each is a class of its own. Texts without words match equal
     texts only. A class whose keys are all null has class_id null. Repeated rows come out as often as in.
 
-    Within a bucket of equal sketches, each text is first compared with one leader, the text that shares most
-    buckets. Only buckets that this leaves with several classes are compared further, all their pairs: in
-    tiles of TILE texts, a pair of tiles being one bounded group, which returns no more links than it needs
-    to connect what belongs together.
+    A bucket's leaders are its texts in the order of the sizes of all buckets that a text is in: texts that
+    share most with others come first. See the module's text for the rounds, and tell_apart for what follows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "order-minhash")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("fp", F.unhex(F.md5("text")))
     sketched = scratch.cut(rows.mapInPandas(_sketch, "doc_id long, fp binary, n long, keys array<long>"))
     nodes = sketched.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    flat = nodes.select("fp", F.explode("keys").alias("key"))
-    sizes = flat.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    sized = scratch.cut(flat.join(sizes, "key").select("key", "fp", "size"))
-    weight = sized.groupBy("fp").agg(F.sum("size").alias("weight"))
-    leads = sized.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("lead")).select("key", F.col("lead.fp").alias("lead"))
-    buckets = scratch.cut(sized.join(leads, "key").select("key", "fp", "lead"))
-
-    wanted = buckets.select("fp").distinct()
-    texts = rows.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    flat = nodes.select("fp", "n", F.explode("keys").alias("key"))
+    sizes = scratch.cut(flat.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    sized = flat.join(sizes, "key").groupBy("fp").agg(F.sum("size").alias("weight"), F.first("n").alias("n"), F.collect_list("key").alias("shared"))
+    rest = sized.select(F.explode("shared").alias("key"), "fp", "n", "weight", F.col("fp").alias("root"), F.lit(None).cast("struct<weight: bigint, fp: binary>").alias("last"))
+    rest = scratch.cut(rest)
+
+    texts = rows.select("fp", "text").join(rest.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
     shingles = scratch.cut(texts.mapInPandas(_to_shingles, "fp binary, shingles binary"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def renamed(frame: DataFrame, names: DataFrame) -> DataFrame:
+        return frame.join(names.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+
+    found, before = [], None
+    while True:
+        place = F.struct("weight", "fp")
+        lead = F.max(F.when(F.col("last").isNull() | (place < F.col("last")), F.struct("weight", "fp", "root")))
+        mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), lead.alias("lead"))
+        mixed = scratch.cut(mixed.where("low <> high and lead is not null").select("key", "members", "lead"))
+        places = mixed.agg(F.sum("members")).first()[0] or 0
+        if not places or before and places > before * (1 - SETTLED):
+            break
+        before = places
+        rest = rest.drop("last").join(mixed.select("key", "lead"), "key")
+        pairs = rest.where("root <> lead.root").select(F.col("fp").alias("u"), F.col("lead.fp").alias("v"), F.col("root").alias("ru"), F.col("lead.root").alias("rv")).distinct()
         both = pairs.join(shingles.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(shingles.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-        return scratch.cut(both.mapInPandas(_verify, "u binary, v binary, score double"))
-
-    links = verified(buckets.where("fp <> lead").select(F.col("fp").alias("u"), F.col("lead").alias("v")).distinct())
-    classes = connected_components(links, scratch)
-    named = buckets.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
-    rest = named.select("key", "fp", "root").join(mixed, "key").withColumn("tiles", F.expr(f"cast(ceil(members / {TILE}) as int)"))
-    rest = rest.withColumns({"tile": F.expr("cast(pmod(xxhash64(fp), tiles) as int)"), "other": F.explode(F.expr("sequence(0, tiles - 1)"))})
-    rest = rest.select("key", "fp", "root", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")).join(nodes, "fp").join(shingles, "fp")
-    more = by_group(rest.withColumn("pair", F.xxhash64("key", "ta", "tb")), "pair", tile_links, "u binary, v binary, score double")
-    links = links.unionByName(scratch.cut(more))
-
-    classes = connected_components(links, scratch)
-    ids = sketched.select("doc_id", "fp", "n").join(classes.withColumnRenamed("node", "fp"), "fp", "left")
-    empty = F.unhex(F.md5(F.lit("")))
-    ids = ids.withColumn("root", F.when(F.col("fp") != empty, F.coalesce("root", "fp")))
-    sizes = ids.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+        links = scratch.cut(both.mapInPandas(_verify, "ru binary, rv binary"))
+        found.append(connected_components(links, scratch, "ru", "rv"))
+        rest = scratch.cut(renamed(rest.select("key", "fp", "n", "weight", "root", F.struct("lead.weight", "lead.fp").alias("last")), found[-1]))
+
+    if places:
+        left = scratch.cut(rest.join(mixed.select("key"), "key", "left_semi"))
+        left = left.join(tell_apart(left.select("fp", "root", "n").distinct(), shingles, scratch), "fp", "left_semi").select("key", "fp", "root")
+        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
+        left = left.join(scratch.cut(mixed), "key").withColumn("tiles", F.expr(f"cast(ceil(members / {TILE}) as int)"))
+        left = left.withColumns({"tile": F.expr("cast(pmod(xxhash64(fp), tiles) as int)"), "other": F.explode(F.expr("sequence(0, tiles - 1)"))})
+        left = left.select("key", "fp", "root", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")).join(nodes, "fp").join(shingles, "fp")
+        links = by_group(left.withColumn("pair", F.xxhash64("key", "ta", "tb")), "pair", tile_links, "ru binary, rv binary")
+        found.append(connected_components(scratch.cut(links), scratch, "ru", "rv"))
+
+    ids = sketched.select("doc_id", "fp", "n", F.when(F.col("fp") != F.unhex(F.md5(F.lit(""))), F.col("fp")).alias("root"))
+    for names in found:
+        ids = renamed(ids, names)
+    ids = scratch.cut(ids)
+    sizes = scratch.cut(ids.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     out = ids.join(sizes, "root", "left")
     return out.select("doc_id", "fp", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
