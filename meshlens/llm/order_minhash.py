@@ -13,9 +13,9 @@ At similarity 0.8 a candidate pair of long texts is missed with a probability of
 
 Classes are found without pairing all texts of a bucket. In leader rounds, every text of a bucket that
 still holds several classes meets one new leader of it. A round goes on to the next one only if it has
-settled a quarter of what it got, so all rounds together make at most four comparisons for each place
-in a bucket. What is left passes an exact filter by rare shingles, linear in its words, and only texts
-that no filter tells apart are compared in tiles.
+settled a tenth of what it got, so all rounds together make at most ten comparisons for each place
+in a bucket. What is left passes an exact filter by rare shingles, linear in its words, then rounds again,
+and only texts that nothing tells apart are compared in tiles.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from meshlens.llm.common import Scratch, by_group, connected_components
 
-SHINGLE, SIMILARITY, SKETCHES, MINIMA, TILE = 5, 0.8, 16, 3, 192
-COUNTERS, SETTLED = 1 << 18, 0.25
+SHINGLE, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 16, 3
+TILE, TILE_SHINGLES, COUNTERS, SETTLED = 1024, 500_000, 1 << 18, 0.1
 TOP = np.uint64(2**64 - 1)
 _WORD = re.compile(r"\w+")
 
@@ -324,28 +324,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     def renamed(frame: DataFrame, names: DataFrame) -> DataFrame:
         return frame.join(names.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
 
-    found, before = [], None
-    while True:
-        place = F.struct("weight", "fp")
-        lead = F.max(F.when(F.col("last").isNull() | (place < F.col("last")), F.struct("weight", "fp", "root")))
-        mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), lead.alias("lead"))
-        mixed = scratch.cut(mixed.where("low <> high and lead is not null").select("key", "members", "lead"))
-        places = mixed.agg(F.sum("members")).first()[0] or 0
-        if not places or before and places > before * (1 - SETTLED):
-            break
-        before = places
-        rest = rest.drop("last").join(mixed.select("key", "lead"), "key")
-        pairs = rest.where("root <> lead.root").select(F.col("fp").alias("u"), F.col("lead.fp").alias("v"), F.col("root").alias("ru"), F.col("lead.root").alias("rv")).distinct()
-        both = pairs.join(shingles.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(shingles.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-        links = scratch.cut(both.mapInPandas(_verify, "ru binary, rv binary"))
-        found.append(connected_components(links, scratch, "ru", "rv"))
-        rest = scratch.cut(renamed(rest.select("key", "fp", "n", "weight", "root", F.struct("lead.weight", "lead.fp").alias("last")), found[-1]))
-
-    if places:
+    found: list[DataFrame] = []
+
+    def rounds(rest: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The places and the keys of buckets that leaders leave with several classes."""
+        before = None
+        while True:
+            place = F.struct("weight", "fp")
+            lead = F.max(F.when(F.col("last").isNull() | (place < F.col("last")), F.struct("weight", "fp", "root")))
+            mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum("n").alias("words"), lead.alias("lead"))
+            mixed = scratch.cut(mixed.where("low <> high and lead is not null").select("key", "members", "words", "lead"))
+            places = mixed.agg(F.sum("members")).first()[0] or 0
+            if not places or before and places > before * (1 - SETTLED):
+                return rest, mixed if places else None
+            before = places
+            rest = rest.drop("last").join(mixed.select("key", "lead"), "key")
+            pairs = rest.where("root <> lead.root").select(F.col("fp").alias("u"), F.col("lead.fp").alias("v"), F.col("root").alias("ru"), F.col("lead.root").alias("rv")).distinct()
+            both = pairs.join(shingles.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(shingles.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+            found.append(connected_components(scratch.cut(both.mapInPandas(_verify, "ru binary, rv binary")), scratch, "ru", "rv"))
+            rest = scratch.cut(renamed(rest.select("key", "fp", "n", "weight", "root", F.struct("lead.weight", "lead.fp").alias("last")), found[-1]))
+
+    rest, mixed = rounds(rest)
+    if mixed is not None:
         left = scratch.cut(rest.join(mixed.select("key"), "key", "left_semi"))
-        left = left.join(tell_apart(left.select("fp", "root", "n").distinct(), shingles, scratch), "fp", "left_semi").select("key", "fp", "root")
-        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
-        left = left.join(scratch.cut(mixed), "key").withColumn("tiles", F.expr(f"cast(ceil(members / {TILE}) as int)"))
+        rest, mixed = rounds(scratch.cut(left.join(tell_apart(left.select("fp", "root", "n").distinct(), shingles, scratch), "fp", "left_semi")))
+    if mixed is not None:
+        tiles = F.expr(f"cast(ceil(greatest(members / {TILE}, words / {TILE_SHINGLES})) as int)")
+        left = rest.select("key", "fp", "root").join(mixed.select("key", tiles.alias("tiles")), "key")
         left = left.withColumns({"tile": F.expr("cast(pmod(xxhash64(fp), tiles) as int)"), "other": F.explode(F.expr("sequence(0, tiles - 1)"))})
         left = left.select("key", "fp", "root", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")).join(nodes, "fp").join(shingles, "fp")
         links = by_group(left.withColumn("pair", F.xxhash64("key", "ta", "tb")), "pair", tile_links, "ru binary, rv binary")

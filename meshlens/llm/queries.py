@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.llm import compression_quality, dimension_scan, html_tree, labelled_pages, mixing, nn_descent, order_minhash, secrets, sentencepiece_nbest, token_blocks, word_piece_counts
 from meshlens.llm.common import Scratch, table
 
-TOKENIZERS = "/opt/tokenizers"
-PIECES, WORDS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/word_bpe_49k.json"
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,13 @@ fit is an exception, so one rare id doesn't widen the whole block.
 
 from __future__ import annotations
 
-import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,71 +77,53 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
 
 
 class Encoder:
-    """The tokenizer file's ids of whole texts, as bytes of little-endian unsigned 16-bit integers.
+    """The tokenizer file's ids of whole texts.
 
-    Normaliser, pre-tokenizer and model of the file treat the stretches between ASCII white space apart, so each
-    distinct stretch goes through the library once; texts of other tokenizer files go there whole."""
+    The file's normaliser and pre-tokenizer treat the stretches between ASCII white space apart: NFC and lower case
+    never look across a space, and no token holds one. So each distinct stretch goes through the library once, and
+    the ids of a text are those of its stretches in a row. Arrow splits the texts and numbers their stretches."""
 
-    SEPARATOR = " <|endoftext|> "
-
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, most_stretches: int = 1_000_000, most_ids: int = 16_000_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         assert self.model.get_vocab_size() <= 1 << 16
-        self.mark = self.model.token_to_id("<|endoftext|>")
-        self.cap, self.caches = cache, [({}, {}), ({}, {})]  # of stretches, of their stems; new and old ones
-
-    def _get(self, level: int, words: set[str], make) -> dict:
-        """All words' ids; make gets those that neither the new nor the old entries have."""
-        new, old = self.caches[level]
-        if len(new) >= self.cap:
-            new, old = {}, new
-            self.caches[level] = (new, old)
-        missing = []
-        for w in words:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    missing.append(w)
-        if missing:
-            new.update(make(missing))
-        return new
-
-    def _library(self, words: list[str]) -> dict:
-        """Ids by the library itself, many words in one call, apart by a special token that none of them holds."""
-        out = {w: np.array(self.model.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in words if "<|" in w}
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.model.encode(self.SEPARATOR.join(some), add_special_tokens=False).ids, "<u2")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                out[w] = raw[2 * begin : 2 * end]
-                begin = end + 1
-        return out
-
-    def _stretches(self, words: list[str]) -> dict:
-        """A last comma or full stop after a letter is a token of its own, and letters' case doesn't count."""
-        stem, tail = {}, {}
-        for w in words:
-            core = w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w
-            if "<|" in w or "Σ" in w or not unicodedata.is_normalized("NFC", w):
-                stem[w], tail[w] = w, ""
-            else:
-                stem[w], tail[w] = core.lower(), w[len(core) :]
-        known = self._get(1, {*stem.values(), ".", ","}, self._library)
-        return {w: known[s] + known[tail[w]] if tail[w] else known[s] for w, s in stem.items()}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [re.split("[ \t\n\r]+", t) if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        words.discard("")
-        known = self._get(0, words, self._stretches)
-        known[""] = b""
-        return [b"".join([known[w] for w in s]) for s in split]
+        self.most_stretches, self.most_ids = most_stretches, most_ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.starts, self.counts = (np.zeros(0, t) for t in ("<u2", np.int64, np.int64))
+
+    def _slots(self, stretches: list[str]) -> np.ndarray:
+        """Places of distinct stretches in starts and counts; those not seen before are encoded."""
+        got = [*map(self.slot.get, stretches)]
+        missing = [w for w, g in zip(stretches, got) if g is None]
+        if not missing:
+            return np.array(got, np.int64)
+        if len(self.slot) + len(missing) > self.most_stretches or len(self.ids) > self.most_ids:
+            self._clear()
+            missing = stretches
+        new = [np.array(e.ids, "<u2") for at in range(0, len(missing), 4096) for e in self.model.encode_batch_fast(missing[at : at + 4096], add_special_tokens=False)]
+        counts = np.fromiter(map(len, new), np.int64, len(new))
+        self.slot.update(zip(missing, range(len(self.starts), len(self.starts) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, *new])
+        return np.fromiter(map(self.slot.__getitem__, stretches), np.int64, len(stretches))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and how many each text has."""
+        split = pc.ascii_split_whitespace(texts)
+        each = split.flatten().dictionary_encode()
+        if not len(each):
+            return np.zeros(0, "<u2"), np.zeros(len(texts), np.int64)
+        slots = self._slots(each.dictionary.to_pylist())[each.indices.to_numpy()]
+        counts = self.counts[slots]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(ends[-1])
+        text_ends = np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return self.ids[at], np.diff(text_ends, prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -153,41 +135,54 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _pieces(batch: pa.RecordBatch, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of some size bytes of text, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", ids_per_shard: int = 1 << 20, end: int = END, partitions: int | None = None) -> None:
     """Encode docs and write their ids, in ascending key order (null first), as a table of shards in folder.
 
     Columns: part (0, 1, ... in key order), shard (within part), keys and n_tokens (arrays, one entry a
     document, the end id included), payload. A shard holds whole documents and ends once it has
-    ids_per_shard ids. Rows of equal keys are ordered by text. Null texts are empty: only the end id."""
+    ids_per_shard ids. Rows of equal keys are ordered by a hash of the text, then the text. Null texts are
+    empty: only the end id."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key", "text").withColumn("part", F.spark_partition_id())
-    stop = np.array([end], "<u2").tobytes()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, keys, ids, size, shard, part = encoder(tokenizer), [], [], 0, 0, 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal keys, ids, size, shard
-            row = pd.DataFrame({"part": [part], "shard": [shard], "keys": [keys], "n_tokens": [[len(x) // 2 for x in ids]], "payload": [pack(np.frombuffer(b"".join(ids), "<u2"))]})
-            keys, ids, size, shard = [], [], 0, shard + 1
-            return row
-
-        for frame in frames:
-            if not len(frame):
-                continue
-            part = int(frame["part"].iloc[0])
-            named = [None if pd.isna(k) else int(k) for k in frame["key"]]
-            for at in range(0, len(frame), 512):
-                for k, got in zip(named[at : at + 512], model.encode(frame["text"].iloc[at : at + 512].tolist())):
-                    keys.append(k)
-                    ids.append(got + stop)
-                    size += len(got) // 2 + 1
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "key", "hash").sortWithinPartitions("key", "hash", "text").select("key", "text", F.spark_partition_id().alias("part"))
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, shard, part, held, size = encoder(tokenizer), 0, 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal shard, held, size
+            keys, counts, ids = zip(*held)
+            row = {"part": part, "shard": shard, "keys": pa.concat_arrays(keys).to_pylist(), "n_tokens": np.concatenate(counts), "payload": pack(np.concatenate(ids))}
+            shard, held, size = shard + 1, [], 0
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for batch in batches:
+            for some in _pieces(batch):
+                part, keys = some.column("part")[0].as_py(), some.column("key")
+                ids, counts = model.encode(some.column("text"))
+                ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
+                while len(counts):
+                    take = min(int(np.searchsorted(size + np.cumsum(counts), ids_per_shard)) + 1, len(counts))
+                    n_ids = int(counts[:take].sum())
+                    held.append((keys[:take], counts[:take], ids[:n_ids]))
+                    keys, counts, ids, size = keys[take:], counts[take:], ids[n_ids:], size + n_ids
                     if size >= ids_per_shard:
                         yield flush()
-        if keys:
+        if held:
             yield flush()
 
-    ordered.mapInPandas(run, "part int, shard int, keys array<long>, n_tokens array<int>, payload binary").write.parquet(folder)
+    ordered.mapInArrow(run, "part int, shard int, keys array<long>, n_tokens array<int>, payload binary").write.parquet(folder)
 
 
 def read_documents(shards: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -258,6 +259,54 @@ def test_order_minhash_big_group(spark):
     assert (got["class_id"] == 0).all() and (got["class_size"] == 260).all()
 
 
+def plain_similarity(a, b):
+    """Of two texts' five-word shingles, by the textbook's table."""
+    d = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i + 1, j + 1] = d[i, j] + 1 if x == y else max(d[i, j + 1], d[i + 1, j])
+    return d[-1, -1] / (len(a) + len(b) - d[-1, -1])
+
+
+def test_aligned_within_bands():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.choice([2, 5, 30])) for _ in range(rng.randrange(40))] for _ in range(2))
+        band = rng.randrange(45)
+        d = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i + 1, j + 1] = max(d[i, j + 1], d[i + 1, j], d[i, j] + 1 if a[i] == b[j] and abs(i - j) <= band else 0)
+        assert order_minhash.aligned(a, b, band) == d[-1, -1]
+    long = [rng.getrandbits(40) for _ in range(60_000)]
+    assert order_minhash.aligned(long, long[100:], 7000) == 59_900
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_order_minhash_leftovers(spark, monkeypatch, tile):
+    """Copies with few to many edits, of which leaders settle some, the filter some and tiles the rest; and texts
+    that share most of a passage without being near."""
+    monkeypatch.setattr(order_minhash, "TILE", tile)
+    rng = random.Random(12)
+    base, passage = words(rng, 60).split(), words(rng, 55).split()
+    texts = []
+    for i in range(90):
+        w = base[:]
+        for k in rng.sample(range(0, 60, 2), rng.choice([0, 1, 1, 1, 2, 2, 3])):
+            w[k] = f"e{rng.randrange(3)}x{k}"
+        texts.append(w if i % 3 else w[: rng.randint(50, 60)])
+    texts += [passage + [f"own{i}x{k}" for k in range(14)] for i in range(60)]
+    seqs = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in texts]
+    got = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).toPandas().set_index("doc_id")["class_id"]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(set(seqs[i]) & set(seqs[j])) * 9 >= 3.5 * (len(seqs[i]) + len(seqs[j])) and plain_similarity(seqs[i], seqs[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert got.sort_index().tolist() == root and len(set(root)) > 3
+
+
 def test_order_minhash_empty(none):
     assert order_minhash.near_duplicates(none).count() == 0
 
@@ -442,6 +491,19 @@ def test_token_blocks(spark, docs, corpus, tmp_path):
         at += len(ids)
 
 
+def test_token_ids_are_the_library_s():
+    """Seeded text of spaces of all kinds, marks, letters that lower case splits, and special tokens."""
+    model = token_blocks.Encoder(WORDS, most_stretches=900)
+    rng = random.Random(5)
+    odd = [*map(chr, range(0x30)), *"abAB,.'İΣσςéß\u0301\u0307\u0308 ", *map(chr, (0x85, 0xA0, 0x1680, 0x2000, 0x2028, 0x3000, 0x200B, 0xFEFF, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x345, 0x212A)), "<|endoftext|>", "<|", "'s", "İ,"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.7 else chr(rng.choice([rng.randrange(0x250), rng.randrange(0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    for at in range(0, len(texts), 600):
+        some = texts[at : at + 600]
+        ids, counts = model.encode(pa.array(some, pa.string()))
+        want = [model.model.encode(t, add_special_tokens=False).ids for t in some]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_token_blocks_empty(spark, none, tmp_path):
     token_blocks.write_shards(none, str(tmp_path / "e"), WORDS)
     documents, starts = token_blocks.read_documents(spark.read.schema("part int, shard int, keys array<long>, n_tokens array<int>, payload binary").parquet(str(tmp_path / "e")))
