@@ -20,11 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: that with the smallest doc_id."""
-    kept = order_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "fp").distinct()
-    rows = docs.withColumn("fp_", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp_") == F.col("fp"))
-    once = rows.join(kept, same).select(*docs.columns, "fp_")
-    return once.dropDuplicates(["doc_id", "fp_"]).drop("fp_")
+    kept = order_minhash.near_duplicates(docs).where("kept").select(F.struct("doc_id", "fp").alias("kept")).distinct()
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("fp")).alias("own"), F.struct(*docs.columns).alias("row"))
+    once = rows.join(kept, F.col("own").eqNullSafe(F.col("kept"))).groupBy("own").agg(F.first("row").alias("row"))
+    return once.select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
