@@ -9,7 +9,10 @@ fit is an exception, so one rare id doesn't widen the whole block.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,18 +79,39 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     return ids[start - first : stop - first]
 
 
+#: What a tokenizer file must say for the stretches between ASCII white space to be apart.
+APART = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: A run of letters that stay one letter each under NFC and lower case, and a mark that is then a token of its own.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
 class Encoder:
     """The tokenizer file's ids of whole texts.
 
-    The file's normaliser and pre-tokenizer treat the stretches between ASCII white space apart: NFC and lower case
-    never look across a space, and no token holds one. So each distinct stretch goes through the library once, and
-    the ids of a text are those of its stretches in a row. Arrow splits the texts and numbers their stretches."""
+    Under the settings APART, NFC and lower case never look across a space and no token holds one. So each distinct
+    stretch between ASCII white space goes through the library once, and the ids of a text are those of its stretches
+    in a row; Arrow splits the texts and numbers their stretches. Stretches of _PLAIN go to the library's model
+    directly, in the letters that its normaliser and pre-tokenizer make of each letter. Texts for files with other
+    settings go through the library whole."""
 
     def __init__(self, path: str, most_stretches: int = 1_000_000, most_ids: int = 16_000_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         assert self.model.get_vocab_size() <= 1 << 16
+        said = json.loads(self.model.to_str())
+        self.apart = (said["normalizer"], said["pre_tokenizer"]) == APART and said["post_processor"] is None
+        if self.apart:
+            letters = filter(_PLAIN.fullmatch, map(chr, range(256)))
+            made = {c: self.model.pre_tokenizer.pre_tokenize_str(self.model.normalizer.normalize_str(c)) for c in letters}
+            self.letters = {ord(c): pieces[0][0] for c, pieces in made.items()}
+            self.marks = {m: self.model.encode(m, add_special_tokens=False).ids if m else [] for m in ("", ",", ".")}
         self.most_stretches, self.most_ids = most_stretches, most_ids
         self._clear()
 
@@ -95,6 +119,21 @@ class Encoder:
         self.slot: dict[str, int] = {}
         self.ids, self.starts, self.counts = (np.zeros(0, t) for t in ("<u2", np.int64, np.int64))
 
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 4096) for e in self.model.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def _library(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All stretches' ids in a row, and how many each has."""
+        plain, letters, marks, tokenize = _PLAIN.fullmatch, self.letters, self.marks, self.model.model.tokenize
+        split = [plain(w) for w in stretches]
+        others = iter(self._whole([w for w, m in zip(stretches, split) if m is None]))
+        ids, counts = array("H"), array("q")
+        for m in split:
+            got = next(others) if m is None else [t.id for t in tokenize(m[1].translate(letters))] + marks[m[2]]
+            ids.extend(got)
+            counts.append(len(got))
+        return np.frombuffer(ids, "<u2"), np.frombuffer(counts, np.int64)
+
     def _slots(self, stretches: list[str]) -> np.ndarray:
         """Places of distinct stretches in starts and counts; those not seen before are encoded."""
         got = [*map(self.slot.get, stretches)]
@@ -104,16 +143,18 @@ class Encoder:
         if len(self.slot) + len(missing) > self.most_stretches or len(self.ids) > self.most_ids:
             self._clear()
             missing = stretches
-        new = [np.array(e.ids, "<u2") for at in range(0, len(missing), 4096) for e in self.model.encode_batch_fast(missing[at : at + 4096], add_special_tokens=False)]
-        counts = np.fromiter(map(len, new), np.int64, len(new))
-        self.slot.update(zip(missing, range(len(self.starts), len(self.starts) + len(new))))
+        ids, counts = self._library(missing)
+        self.slot.update(zip(missing, range(len(self.starts), len(self.starts) + len(missing))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, *new])
+        self.ids = np.concatenate([self.ids, ids])
         return np.fromiter(map(self.slot.__getitem__, stretches), np.int64, len(stretches))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and how many each text has."""
+        if not self.apart:
+            whole = self._whole(texts.to_pylist())
+            return np.array([i for ids in whole for i in ids], "<u2"), np.array([len(ids) for ids in whole], np.int64)
         split = pc.ascii_split_whitespace(texts)
         each = split.flatten().dictionary_encode()
         if not len(each):
