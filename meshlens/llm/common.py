@@ -16,16 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from all of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Intermediate tables in the folder that driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only where the session has none
-    (local tests) a temporary folder is made and set.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session may do without it:
+    a temporary folder is then made and set. Elsewhere executors wouldn't share that folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="meshlens-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark

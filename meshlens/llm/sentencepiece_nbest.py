@@ -11,14 +11,20 @@ whole text combine those of its chunks.
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE, UNKNOWN_PENALTY = "▁", 10.0
+from meshlens.llm.common import unused
+
+SPACE, UNKNOWN_PENALTY, KEPT = "▁", 10.0, 256  # KEPT: longer chunks are rare, and not held
 _MISS = object()
 SEGMENTATIONS = "array<struct<score double, ids binary>>"
 
@@ -48,7 +54,7 @@ class Decoder:
 class Lattice:
     """The model's pieces, and the segmentations of chunks. Ids are little-endian unsigned 16-bit integers."""
 
-    def __init__(self, model_file: str, cache: int = 180_000):
+    def __init__(self, model_file: str, most_chunks: int = 1_000_000, most_ids: int = 16_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -67,147 +73,197 @@ class Lattice:
                 self.together.add(p[k - 1 : k + 1])
         for i in plain:
             self.table[self.pieces[i]] = (i, model.get_score(i))
-        self.trie: dict = {}  # character -> (the next characters' entries, piece that ends here or None)
+        self.trie: dict = {}  # character -> (the next characters' entries, the piece that ends here and its score, or None)
         for p in sorted(self.table, key=len):
             at = self.trie
             for c in p[:-1]:
                 at = at[c][0]
-            at[p[-1]] = ({}, self.table[p])
+            at[p[-1]] = ({}, *(self.table[p] or (None, None)))
+        self.single = {p for p in self.table if len(p) == 1 and self.table[p]}
         self.longest = max(len(self.pieces[i]) for i in plain)
         self.unknown = min(model.get_score(i) for i in plain if model.get_score(i) > -1e8) - UNKNOWN_PENALTY
         self.marked = sorted(p for p in self.together if p[1] in ".,")  # where a comma or full stop isn't cut off
-        self.newline_free = not any("\n" in self.pieces[i] for i in plain)
+        # whether every space and newline cuts: a piece holds no newline, and a space mark only at its start or after another
+        self.cuts = not any("\n" in p or p[1] == SPACE and p[0] != SPACE for p in self.together) and "\n" not in self.table
         self.lists: dict = {}
-        self.new: dict = {}
-        self.old: dict = {}
-        self.cap = cache
+        self.most_chunks, self.most_ids = most_chunks, most_ids
+        self._clear()
+
+    def _clear(self) -> None:
+        """Of each chunk seen: its best segmentation's score and ids, and how much worse the second one is."""
+        self.slot: dict[str, int] = {}
+        self.scores, self.gaps, self.starts, self.counts, self.ids = (np.zeros(0, t) for t in (float, float, np.int64, np.int64, "<u2"))
+
+    def _slots(self, chunks: list[str]) -> np.ndarray:
+        """Places of distinct chunks in scores, gaps, starts and counts; those not seen before are solved."""
+        got = [*map(self.slot.get, chunks)]
+        missing = [c for c, g in zip(chunks, got) if g is None]
+        if not missing:
+            return np.array(got, np.int64)
+        if len(self.slot) + len(missing) > self.most_chunks or len(self.ids) > self.most_ids:
+            self._clear()
+            missing = chunks
+        scores, ids, gaps = zip(*map(self.best, missing))
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        self.slot.update(zip(missing, range(len(self.starts), len(self.starts) + len(missing))))
+        self.scores, self.gaps = np.append(self.scores, scores), np.append(self.gaps, gaps)
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+        self.counts = np.append(self.counts, counts)
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), "<u2"))
+        return np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))
 
     def edge(self, chunk: str, i: int) -> tuple[bytes, float]:
         """The byte pieces of a character that no piece covers."""
         return b"".join(self.code[self.bytes.get(b, 0)] for b in chunk[i].encode("utf-8", "replace")), self.unknown
 
-    def forward(self, chunk: str) -> tuple[list[float], list[float], list]:
-        """By end position: the best score, the second best, and the best path's last step (start, ids)."""
-        n, low, trie = len(chunk), float("-inf"), self.trie
-        first, second, step = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)  # of step's ids, an int is a piece
+    def forward(self, chunk: str) -> tuple[list[float], list[float], list[int], list]:
+        """By end position: the best score, the second best, and the best path's last step, its start and its piece (or ids)."""
+        n, low, trie, longest, single = len(chunk), float("-inf"), self.trie, self.longest, self.single
+        first, second, start, piece = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1), [None] * (n + 1)
         first[0] = 0.0
         for i in range(n):
             x, y, at, j = first[i], second[i], trie, i
-            covered = False
-            for c in chunk[i:] if i else chunk:
+            for c in chunk[i : i + longest]:
                 got = at.get(c)
                 if got is None:
                     break
-                at, p = got
+                at, own, s = got
                 j += 1
-                if p is not None:
-                    if j == i + 1:
-                        covered = True
-                    s = p[1]
+                if s is not None:
                     v, w = x + s, first[j]
                     if v > w:
-                        y2 = y + s
-                        second[j] = w if w > y2 else y2
-                        first[j], step[j] = v, (i, p[0])
+                        first[j], start[j], piece[j] = v, i, own
+                        v = y + s
+                        second[j] = w if w > v else v
                     elif v > second[j]:
                         second[j] = v
-                if not at:
-                    break
-            if not covered:
-                ids, s = self.edge(chunk, i)
+            if chunk[i] not in single:
+                own, s = self.edge(chunk, i)
                 v, j = x + s, i + 1
                 if v > first[j]:
                     second[j] = max(first[j], y + s)
-                    first[j], step[j] = v, (i, ids)
+                    first[j], start[j], piece[j] = v, i, own
                 elif v > second[j]:
                     second[j] = v
-        return first, second, step
+        return first, second, start, piece
 
     def nbest(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations, best first: A* from the end, with the forward scores as heuristics."""
+        """The n best segmentations, best first: A* from the end, with the forward scores as heuristics.
+
+        Of equally good paths the one nearest to the start goes first, and a position is left at most n times: its
+        first n visits are its n best rests, as the heuristics are exact. So a long run of ties takes no more than
+        n * length * longest steps. A path is a chain of its pieces; ids are joined for the n results alone."""
         if (kept := self.lists.get((chunk, n))) is not None:
             return kept
-        first, _, _ = self.forward(chunk)
-        heap, out, count = [(-first[-1], 0, len(chunk), 0.0, b"")], [], 0
+        first = self.forward(chunk)[0]
+        heap, out, count, left = [(-first[-1], len(chunk), 0, 0.0, None)], [], 0, [0] * (len(chunk) + 1)
         while heap and len(out) < n:
-            _, _, j, tail, ids = heapq.heappop(heap)
+            _, j, _, tail, path = heapq.heappop(heap)
+            if left[j] == n:
+                continue
+            left[j] += 1
             if j == 0:
-                out.append((tail, ids))
+                ids = []
+                while path:
+                    own, path = path
+                    ids.append(own)
+                out.append((tail, b"".join(ids)))
                 continue
-            single = self.table.get(chunk[j - 1 : j])
-            steps = [] if isinstance(single, tuple) else [(j - 1, *self.edge(chunk, j - 1))]
+            steps = [] if chunk[j - 1] in self.single else [(j - 1, *self.edge(chunk, j - 1))]
             for i in range(max(0, j - self.longest), j):
                 p = self.table.get(chunk[i:j])
                 if p is not None:
                     steps.append((i, self.code[p[0]], p[1]))
             for i, own, s in steps:
                 count += 1
-                heapq.heappush(heap, (-(tail + s + first[i]), count, i, tail + s, own + ids))
-        if len(self.lists) >= 20_000:
-            self.lists.clear()
-        self.lists[chunk, n] = out
+                heapq.heappush(heap, (-(tail + s + first[i]), i, count, tail + s, (own, path)))
+        if len(chunk) <= KEPT:
+            if len(self.lists) >= 20_000:
+                self.lists.clear()
+            self.lists[chunk, n] = out
         return out
 
     def best(self, chunk: str) -> tuple[float, bytes, float]:
         """Score and ids of the best segmentation, and how much worse the second one is."""
-        first, second, step = self.forward(chunk)
+        first, second, start, piece = self.forward(chunk)
         j, parts = len(chunk), []
         while j:
-            j, own = step[j]
-            parts.append(self.code[own] if isinstance(own, int) else own)
+            own = piece[j]
+            parts.append(own if isinstance(own, bytes) else self.code[own])
+            j = start[j]
         return first[-1], b"".join(reversed(parts)), first[-1] - second[-1]
 
-    def look(self, chunk: str) -> tuple[float, bytes, float]:
-        got = self.new.get(chunk)
-        if got is None:
-            got = self.old.get(chunk)
-            if got is None:
-                got = self.best(chunk)
-            if len(self.new) >= self.cap:
-                self.old, self.new = self.new, {}
-            self.new[chunk] = got
-        return got
-
     def chunks(self, text: str) -> list[str]:
         """The text with its leading space, cut where no piece reaches across."""
         if not text:
             return []
-        if SPACE in text or "  " in text or text[0] == " " or not self.newline_free or any(p in text for p in self.marked):
-            full, at, out = SPACE + text.replace(" ", SPACE), 0, []
-            for k in range(1, len(full)):
-                if full[k - 1 : k + 1] not in self.together:
-                    out.append(full[at:k])
-                    at = k
-            return [*out, full[at:]]
-        cut = (SPACE + text.replace(" ", " " + SPACE)).replace("\n", " \n ")
-        return list(filter(None, cut.replace(", ", " , ").replace(". ", " . ").split(" ")))
+        full, at, out = SPACE + text.replace(" ", SPACE), 0, []
+        for k in range(1, len(full)):
+            if full[k - 1 : k + 1] not in self.together:
+                out.append(full[at:k])
+                at = k
+        return [*out, full[at:]]
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """The chunks of many texts. Where each space is single, and no comma or full stop stands in a pair of marked,
+        cuts are at spaces, newlines, and before commas and full stops that end a word."""
+        odd = pc.equal(pc.binary_length(texts), 0)
+        for some in (pc.match_substring(texts, SPACE), pc.match_substring(texts, "  "), pc.starts_with(texts, " "), pc.match_substring_regex(texts, "|".join(map(re.escape, self.marked)) or r"\z\A.")):
+            odd = pc.or_(odd, some)
+        if not self.cuts or pc.all(odd).as_py():
+            return pa.array(map(self.chunks, texts.to_pylist()), pa.list_(pa.string()))
+        cut = pc.binary_join_element_wise(SPACE, pc.replace_substring(texts, " ", " " + SPACE), "")
+        for old, new in (("\n", " \n "), (", ", " , "), (". ", " . ")):
+            cut = pc.replace_substring(cut, old, new)
+        out = pc.split_pattern(cut, " ")
+        if pc.any(odd).as_py():
+            rows, own = out.to_pylist(), odd.to_pylist()
+            out = pa.array([self.chunks(t) if o else r for t, o, r in zip(texts.to_pylist(), own, rows)], pa.list_(pa.string()))
+        return out
 
     def segment(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The text's n best segmentations, or all there are, best first."""
-        chunks = self.chunks(text)
-        got = [self.new.get(c) or self.look(c) for c in chunks]
-        score = sum(g[0] for g in got)
-        ids = [g[1] for g in got]
-        out = [(score, b"".join(ids))]
-        if n == 1 or not got:
-            return out
-        # a chunk outside the n - 1 smallest gaps is at its best in all of the n best
-        gaps, close = [g[2] for g in got], []
-        while len(close) < n - 1 and (gap := min(gaps)) < float("inf"):
-            close.append(gaps.index(gap))
-            gaps[close[-1]] = float("inf")
-        options = [self.nbest(chunks[k], n) for k in close]
-        heap, seen = [(0.0, (0,) * len(close))], {(0,) * len(close)}
-        while heap and len(out) <= n:
-            loss, pick = heapq.heappop(heap)
-            if any(pick):
-                changed = dict(zip(close, (o[p][1] for o, p in zip(options, pick))))
-                out.append((score - loss, b"".join(changed.get(k, v) for k, v in enumerate(ids))))
-            for d, o in enumerate(options):
-                if pick[d] + 1 < len(o) and (more := (*pick[:d], pick[d] + 1, *pick[d + 1 :])) not in seen:
-                    seen.add(more)
-                    heapq.heappush(heap, (loss + o[pick[d]][0] - o[pick[d] + 1][0], more))
-        return out[:n]
+        return next(self.segment_all(pa.array([text], pa.string()), n))
+
+    def segment_all(self, texts: pa.Array, n: int) -> Iterator[list[tuple[float, bytes]]]:
+        """The n best segmentations of each text. Arrow cuts the texts and numbers their chunks, each distinct chunk is
+        solved once, and a text's ids are those of its chunks in a row."""
+        cut = self._cut(texts)
+        each = cut.flatten().dictionary_encode()
+        codes, names = each.indices.to_numpy(), each.dictionary
+        slots = self._slots(names.to_pylist())[codes]
+        gaps, counts = self.gaps[slots], self.counts[slots]
+        ends = np.append(0, np.cumsum(counts))
+        raw = self.ids[np.repeat(self.starts[slots] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        begin = 0
+        for length in pc.list_value_length(cut).to_pylist():
+            stop = begin + length
+            score, own = float(self.scores[slots[begin:stop]].sum()), gaps[begin:stop]
+            # a chunk outside the n - 1 smallest gaps is at its best in all of the n best
+            close = np.argpartition(own, n - 2)[: n - 1] if 1 < n <= length else np.arange(length if n > 1 else 0)
+            close = sorted(begin + k for k in close.tolist() if own[k] < np.inf)
+            options = [self.nbest(names[codes[k]].as_py(), n) for k in close]
+            edges = [2 * ends[begin], *(2 * x for k in close for x in (ends[k], ends[k + 1])), 2 * ends[stop]]
+            between = [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
+            yield combined(score, between, options, n)
+            begin = stop
+
+
+def combined(score: float, between: list[bytes], options: list[list[tuple[float, bytes]]], n: int) -> list[tuple[float, bytes]]:
+    """The n best of all choices of one option each, best first; between are the ids around the places of choice."""
+
+    def joined(pick: tuple[int, ...]) -> bytes:
+        return b"".join([x for left, o, k in zip(between, options, pick) for x in (left, o[k][1])] + between[-1:])
+
+    out, heap, seen = [], [(0.0, (0,) * len(options))], {(0,) * len(options)}
+    while heap and len(out) < n:
+        loss, pick = heapq.heappop(heap)
+        out.append((score - loss, joined(pick)))
+        for d, o in enumerate(options):
+            if pick[d] + 1 < len(o) and (more := (*pick[:d], pick[d] + 1, *pick[d + 1 :])) not in seen:
+                seen.add(more)
+                heapq.heappush(heap, (loss + o[pick[d]][0] - o[pick[d] + 1][0], more))
+    return out
 
 
 _lattices: dict[str, Lattice] = {}
@@ -238,16 +294,20 @@ def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", int
         model = lattice(model_file)
         back = decoder(model_file) if decoded else None
         for part in texts:
-            for at in range(0, len(part), 128):
-                got = [model.segment(t or "", n) for t in part.iloc[at : at + 128]]
-                out = pd.DataFrame({"coded": [[{"score": s, "ids": ids} for s, ids in g] for g in got]})
-                out["back"] = [back.decode(g[0][1]) for g in got] if back else None
-                yield out
-
-    both = F.pandas_udf(run, f"coded {SEGMENTATIONS}, back string")(F.coalesce(F.col(text), F.lit("")))
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (into, decoded, "coded_")], both.alias("coded_"))
-    out = out.withColumn(into, F.col("coded_.coded"))
-    return (out.withColumn(decoded, F.col("coded_.back")) if decoded else out).drop("coded_")
+            sizes = np.cumsum(part.str.len().to_numpy())
+            at = 0
+            while at < len(part):
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4_000_000, "right")))
+                coded = model.segment_all(pa.array(part.iloc[at:stop], pa.string()), n)
+                while got := list(itertools.islice(coded, 128)):
+                    out = pd.DataFrame({"coded": [[{"score": s, "ids": ids} for s, ids in g] for g in got]})
+                    out["back"] = [back.decode(g[0][1]) for g in got] if back else None
+                    yield out
+                at = stop
+
+    both, coded = F.pandas_udf(run, f"coded {SEGMENTATIONS}, back string")(F.coalesce(F.col(f"`{text}`"), F.lit(""))), unused(docs, "coded")
+    out = docs.select("*", both.alias(coded)).withColumn(into, F.col(f"{coded}.coded"))
+    return (out.withColumn(decoded, F.col(f"{coded}.back")) if decoded else out).drop(coded)
 
 
 def decode(docs: DataFrame, model_file: str, ids: str, into: str = "decoded") -> DataFrame:

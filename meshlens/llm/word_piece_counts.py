@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlens.llm.common import unused
+
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -133,4 +135,5 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
             yield pd.DataFrame(out, columns=["n_words", "n_tokens"])
 
     counted = F.pandas_udf(run, "n_words long, n_tokens long")(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn("counts_", counted).withColumns({"n_words": F.col("counts_.n_words"), "n_tokens": F.col("counts_.n_tokens")}).drop("counts_")
+    own = unused(docs, "counts")
+    return docs.withColumn(own, counted).withColumns({"n_words": F.col(f"{own}.n_words"), "n_tokens": F.col(f"{own}.n_tokens")}).drop(own)

@@ -450,14 +450,29 @@ def every_path(model, text):
     return sorted(paths(0), key=lambda x: -x[0])
 
 
-@pytest.mark.parametrize("text", ["the cat.", "a  b\nc", " lead", "日本𠀀 z", "\n\n", "then, on!", "tab\tx"])
+@pytest.mark.parametrize("text", ["the cat.", "a  b\nc", " lead", "日本𠀀 z", "\n\n", "then, on!", "tab\tx", "aaaaaaaaaaa", "......... x", "-=-=-=-=", "a, b. c,\nd", "\u2581 y"])
 def test_nbest_against_all_paths(lattice, text):
     want, got = every_path(lattice, text), lattice.segment(text, 5)
     assert [s for s, _ in got] == pytest.approx([s for s, _ in want[:5]]) and {b for _, b in got} <= {b for _, b in want} and len({b for _, b in got}) == len(got)
 
 
+@pytest.mark.parametrize("text", ["a" * 100_000, "-" * 100_000, "ab" * 50_000, "." * 30_000 + "b", " " * 20_000])
+def test_nbest_of_long_runs(lattice, text):
+    """Ties neither spread the search nor repeat a segmentation."""
+    got = lattice.segment(text, 4)
+    assert len({b for _, b in got}) == 4 and [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+    back = sentencepiece_nbest.decoder(PIECES)
+    assert all(back.decode(b) == text for _, b in got)
+
+
+def test_segmentations_of_a_batch(lattice, corpus):
+    texts = [t or "" for _, t, *_ in corpus] + ["a  b", " x", "he said \",\" twice."]
+    small = sentencepiece_nbest.Lattice(PIECES, most_chunks=700)
+    assert list(small.segment_all(pa.array(texts, pa.string()), 4)) == [lattice.segment(t, 4) for t in texts]
+
+
 def test_pieces_round_trip(spark, docs, corpus):
-    got = sentencepiece_nbest.encode(docs.withColumn("decoded", F.lit("clash")), PIECES, decoded="decoded").select("text", "segmentations", "decoded").collect()
+    got = sentencepiece_nbest.encode(docs.withColumns({"decoded": F.lit("clash"), "coded": F.lit(1), "coded_": F.lit(2)}), PIECES, decoded="decoded").select("text", "segmentations", "decoded").collect()
     assert len(got) == len(corpus) and all(r.decoded == (r.text or "") for r in got)
     assert all(len(r.segmentations) == 1 and r.segmentations[0].ids == b"" for r in got if not r.text)
     again = sentencepiece_nbest.decode(sentencepiece_nbest.encode(docs, PIECES, 1), PIECES, "segmentations[0].ids").select("text", "decoded").collect()
