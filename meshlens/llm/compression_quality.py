@@ -1,7 +1,8 @@
 """Quality scores by compression: zstandard dictionaries of good and of bad text.
 
 A document is compressed with either dictionary; the difference of the two sizes, normalised by their
-sum, is calibrated to the probability of label 1, together with the compressed size over the bytes.
+sum, is calibrated to the probability of label 1. Two terms beside it help short and odd texts: the length,
+and the size under the good dictionary over the bytes (README has what they add).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlens.llm.common import Scratch
+
 LEVEL, PIECE = 3, 4096
 
 
@@ -71,43 +74,59 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
     return tuple(float(v) for v in w)
 
 
-def dictionary(texts: list[str], size: int) -> bytes:
+def dictionary(raw: list[bytes], size: int) -> bytes:
     """A trained dictionary, or the raw text where there is too little of it to train one."""
-    raw = [t.encode("utf-8", "replace") for t in texts if t]
     try:
         return zstandard.train_dictionary(size, raw).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(raw)[-size:] or b" "
 
 
-def train(sample: pd.DataFrame, size: int = 1 << 17) -> Model:
-    """sample: text, label. Three quarters of each label make the dictionaries, the rest calibrates."""
-    held = np.zeros(len(sample), bool)
-    for label in (0, 1):
-        held[np.flatnonzero(sample["label"].to_numpy() == label)[::4]] = True
-    text, label = sample["text"].to_numpy(), sample["label"].to_numpy()
-    pick = lambda k: [t for t, l, h in zip(text, label, held) if l == k and not h]  # noqa: E731, E741
-    model = Model(dictionary(pick(1), size), dictionary(pick(0), size), ())
-    if not held.any() or len(set(label[held])) < 2:
-        rate = float(label.mean()) if len(label) else 1.0
-        odds = float(np.log((rate + 0.01) / (1.01 - rate)))
-        return Model(model.good, model.bad, (odds, 0.0, 0.0, 0.0, 0.0, 0.0))
-    texts = [t for t, h in zip(text, held) if h]
-    return Model(model.good, model.bad, calibrate(features(sizes(texts, model)), label[held].astype(float)))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 3000, chars: int = 8000, holdout: int | None = 5, key: str = "doc_id", text: str = "text", label: str = "quality") -> pd.DataFrame:
-    """A sample of labelled documents, bounded by two documented parameters: at most per_label documents of
-    each label, by a hash of the key, and of each the first chars characters. Rows whose crc32(key as
-    text) is divisible by holdout are left out."""
-    named = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and k is not null").distinct()
+def labelled_rows(docs: DataFrame, labels: DataFrame, per_label: int = 3000, holdout: int | None = 5, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """k, text, label, calibrates: whole texts of at most per_label keys of each label, by a hash of the key; a
+    quarter of the rows, by a hash of both, calibrates. Keys whose crc32 (as text) is divisible by holdout are left out."""
+    named = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and k is not null").distinct()
     if holdout:
         named = named.where(F.crc32(F.col("k").cast("string")) % holdout != 0)
     parts = [named.where(F.col("label") == v).orderBy(F.xxhash64("k"), "k").limit(per_label) for v in (0, 1)]
     few = F.broadcast(parts[0].union(parts[1]))  # at most 2 * per_label rows
-    rows = docs.select(F.col(key).alias("k"), F.substr(F.coalesce(F.col(text), F.lit("")), F.lit(1), F.lit(chars)).alias("text")).join(few, "k")
-    got = rows.toPandas()
-    return got.sort_values(["k", "text"], ignore_index=True)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(few, "k")
+    return rows.withColumn("calibrates", F.pmod(F.xxhash64("k", "text"), F.lit(4)) == 0)
+
+
+def _to_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for k, text, label in zip(frame["k"], frame["text"], frame["label"]):
+            raw = text.encode("utf-8", "replace")
+            pieces = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+            yield pd.DataFrame({"k": k, "label": label, "at": np.arange(len(pieces)), "piece": pieces})
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, pieces: int = 4000, size: int = 1 << 17, holdout: int | None = 5, key: str = "doc_id", text: str = "text", label: str = "quality", scratch: Scratch | None = None) -> Model:
+    """A model from a sample bounded by two parameters: whole texts of at most per_label keys of each label, of
+    which at most `pieces` pieces of PIECE bytes of each label, by a hash, make its dictionary. Up to 2 * per_label
+    of the rows that are set aside calibrate, as whole texts, measured where they are."""
+    rows = (scratch or Scratch(docs.sparkSession, "quality")).cut(labelled_rows(docs, labels, per_label, holdout, key, text, label))
+    cut = rows.where("not calibrates").mapInPandas(_to_pieces, "k long, label int, at long, piece binary")
+    dictionaries = []
+    for v in (1, 0):
+        some = cut.where(F.col("label") == v).orderBy(F.xxhash64("k", "at", "piece"), "k", "at").limit(pieces).select("piece").toPandas()["piece"]
+        dictionaries.append(dictionary([bytes(x) for x in some], size))
+    model = Model(*dictionaries, ())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"label": frame["label"], "x": list(features(sizes(frame["text"].tolist(), shared.value)))})
+
+    held = rows.where("calibrates").orderBy(F.xxhash64("k", F.md5("text"))).limit(2 * per_label) if rows.where("calibrates").count() > 2 * per_label else rows.where("calibrates")
+    seen = held.mapInPandas(run, "label int, x array<double>").toPandas()
+    if seen["label"].nunique() < 2:
+        good, every = rows.agg(F.sum("label"), F.count("*")).first()
+        odds = np.log(((good or 0) / every + 0.01) / (1.01 - (good or 0) / every)) if every else np.log(101)
+        return Model(model.good, model.bad, (float(odds), 0.0, 0.0, 0.0, 0.0, 0.0))
+    order = np.lexsort(np.stack(seen["x"].to_list()).T)
+    return Model(model.good, model.bad, calibrate(np.stack(seen["x"].to_list())[order], seen["label"].to_numpy(float)[order]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:

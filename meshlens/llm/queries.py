@@ -19,7 +19,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "spans")
+    ledger = secrets.Ledger(spark, f"{Scratch(spark, 'secrets').root}/ledger")
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger).select("row.doc_id", "spans")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
@@ -33,7 +34,7 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = compression_quality.train(compression_quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels"))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     scored = compression_quality.score(docs, model)
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The patterns of the base kinds, in their listed order, with the least length that counts.
@@ -23,7 +23,7 @@ RULES: dict[str, tuple[str, int, int, int]] = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, 1),
 }
 BASE = ("assign", "access", "hex")
-FOUND = "blob string, findings array<struct<kind string, version int, spans array<struct<begin int, stop int>>>>"
+FOUND = "blob binary, findings array<struct<kind string, version int, spans array<struct<begin int, stop int>>>>"
 
 
 def spans(pattern: re.Pattern, group: int, least: int, text: str) -> list[tuple[int, int]]:
@@ -45,41 +45,52 @@ def scan(blobs: DataFrame, rules: dict = RULES) -> DataFrame:
     return blobs.select("blob", "text", "kinds").mapInPandas(run, FOUND)
 
 
-def ledger_rows(found: DataFrame) -> DataFrame:
-    """(blob, kind, version, spans): the rows that a scan adds to the ledger."""
-    return found.select("blob", F.explode("findings").alias("f")).select("blob", "f.kind", "f.version", "f.spans")
+class Ledger:
+    """A table of FOUND rows in a folder that all executors share: what every scan so far has found, with an
+    entry for each pair of content and rule version that has been scanned. Scans only append to it."""
 
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        spark.createDataFrame([], FOUND).write.mode("ignore").parquet(folder)
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict = RULES) -> DataFrame:
-    """FOUND for the pairs of content and rule version that the ledger (as of ledger_rows) doesn't have.
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(FOUND).parquet(self.folder)
+
+    def update(self, versions: DataFrame, text: str = "text", rules: dict = RULES) -> None:
+        """Scan the content of versions for the rule versions it hasn't been scanned for, and keep what is found."""
+        scan_unseen(versions, self.read(), text, rules).write.mode("append").parquet(self.folder)
+
+    def spans(self, rules: dict = RULES) -> DataFrame:
+        """blob, and spans: all findings by the rules' present versions, by start and then by the rules' order."""
+        place = F.create_map(*[x for i, k in enumerate(rules) for x in (F.lit(k), F.lit(i))])
+        present = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r[3]).alias("version")) for k, r in rules.items()])
+        kept = F.filter("findings", lambda f: F.array_contains(present, F.struct(f["kind"].alias("kind"), f["version"].alias("version"))))
+        flat = F.flatten(F.transform(kept, lambda f: F.transform(f["spans"], lambda s: F.struct(s["begin"].alias("begin"), place[f["kind"]].alias("place"), s["stop"].alias("stop"), f["kind"].alias("kind")))))
+        each = self.read().select("blob", flat.alias("spans"))
+        # a blob has a row for each scan that had a rule version new to it
+        return each.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def scan_unseen(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: dict = RULES) -> DataFrame:
+    """FOUND for the pairs of content and rule version that the ledger (rows of FOUND) doesn't have.
 
     Null content is empty content. The content is grouped by its address, one row a task and address
     at most, so a third of all rows with one content are no hot group."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    blobs = versions.select(F.sha2(content, 256).alias("blob"), content.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    every = F.array(*[F.lit(k) for k in rules])
-    if ledger is None:
-        return scan(blobs.withColumn("kinds", every), rules)
-    current = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r[3]).alias("version")) for k, r in rules.items()])
-    have = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("have"))
-    todo = F.transform(F.array_except(current, F.coalesce(F.col("have"), F.array().cast("array<struct<kind:string,version:int>>"))), lambda x: x["kind"])
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    blobs = versions.select(F.unhex(F.sha2(content, 256)).alias("blob"), content.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    present = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r[3]).alias("version")) for k, r in rules.items()])
+    scanned = F.transform("findings", lambda f: F.struct(f["kind"].alias("kind"), f["version"].alias("version")))
+    have = ledger.groupBy("blob").agg(F.flatten(F.collect_list(scanned)).alias("have"))
+    todo = F.transform(F.array_except(present, F.coalesce(F.col("have"), F.array().cast("array<struct<kind:string,version:int>>"))), lambda x: x["kind"])
     return scan(blobs.join(have, "blob", "left").withColumn("kinds", todo).where(F.size("kinds") > 0), rules)
 
 
-def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: dict = RULES) -> DataFrame:
-    """row (struct of all columns of versions), blob, and spans: all findings of the content, by start and then
-    by the rules' order. Rows without findings have an empty list."""
-    place = {k: i for i, k in enumerate(rules)}
-    rank = F.create_map(*[x for k, i in place.items() for x in (F.lit(k), F.lit(i))])
-    fresh = scan_unseen(versions, ledger, text, rules)
-    if ledger is not None:
-        kept = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r[3]).alias("version")) for k, r in rules.items()])
-        old = ledger.where(F.array_contains(kept, F.struct("kind", "version"))).groupBy("blob").agg(F.collect_list(F.struct("kind", "version", "spans")).alias("findings"))
-        fresh = fresh.unionByName(old).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    flat = F.flatten(F.transform("findings", lambda f: F.transform(f["spans"], lambda s: F.struct(s["begin"].alias("begin"), rank[f["kind"]].alias("place"), s["stop"].alias("stop"), f["kind"].alias("kind")))))
-    fresh = fresh.select("blob", F.array_sort(flat).alias("spans"))
-    rows = versions.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    return rows.join(fresh, "blob", "left")
+def find_secrets(versions: DataFrame, ledger: Ledger, text: str = "text", rules: dict = RULES) -> DataFrame:
+    """row (struct of all columns of versions), blob, and spans, after the ledger's update with versions.
+    Rows without findings have an empty list."""
+    ledger.update(versions, text, rules)
+    rows = versions.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("blob"))
+    return rows.join(ledger.spans(rules), "blob", "left")
 
 
 def redact(found: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
