@@ -13,7 +13,7 @@ from meshlens.llm.queries import PIECES
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    model = compression_quality.train(compression_quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = compression_quality.score(docs, model)
     return scored.where(F.col("quality_predicted") == 1).select(docs.columns)
 
@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are blotted out; every document stays."""
-    clean = secrets.redact(secrets.find_secrets(docs))
+    ledger = secrets.Ledger(spark, f"{Scratch(spark, 'secrets').root}/ledger")
+    clean = secrets.redact(secrets.find_secrets(docs, ledger))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
