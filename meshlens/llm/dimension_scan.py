@@ -118,8 +118,10 @@ def scan(q: np.ndarray, x: np.ndarray, need: int) -> list[np.ndarray]:
 
 
 def top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) of the k best of x by exact inner product, ties to smaller ids, the query itself left out."""
-    near = scan(q @ rotation, x @ rotation, k + 1)
+    """(query, ids, scores) of the k best of x by exact inner product, ties to smaller ids, rows of the query's id left out."""
+    ids, times = np.unique(x_ids, return_counts=True)
+    own = times[np.isin(ids, q_ids)]
+    near = scan(q @ rotation, x @ rotation, k + int(own.max(initial=0)))
     for i, rows in enumerate(near):
         rows = rows[x_ids[rows] != q_ids[i]]
         score = (x[rows] * q[i]).sum(axis=1)
@@ -127,27 +129,34 @@ def top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, rota
         yield int(q_ids[i]), x_ids[rows][order], score[order]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 8192, lists: int | None = None, chunk: int = 8192, recall: float = 0.96) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each vector whose id is divisible by every, the k nearest found
-    among all others by inner product in double precision, nearest first, ties to smaller ids.
+def _dimension(rows: DataFrame) -> tuple[int, int]:
+    """The most frequent length of vectors (of equally frequent ones the smaller), and how many have it."""
+    sizes = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    return (sizes[0]["dim"], sizes[0]["count"]) if sizes else (0, 0)
 
-    The index is fitted on at most sample vectors (by a hash of the id); every vector is in it. Vectors of
-    another length than the sample's first, and those null, zero or not finite, take no part. Ids of
-    repeated rows are one vector to a query's own row, otherwise each row counts. Lists and their queries
-    are cut into chunks of a bounded size, so a list that holds a third of all vectors is many tasks' work.
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int | None = None, lists: int | None = None, chunk: int = 8192, recall: float = 0.96) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each id divisible by every, the k nearest found among all others
+    by inner product in double precision, nearest first, ties to smaller ids.
+
+    The index is fitted on at most sample vectors, by a hash of the id (16 a list, 8,192 to 131,072, by default;
+    2 * sqrt(vectors) lists, 16,384 at most); every vector is in it. Vectors null, zero or not finite take no part,
+    and neither do those of another length than the most frequent one. A query goes through further lists until they
+    hold k candidates besides itself. Rows that repeat an id are candidates each, but ask once (the least
+    vector does). Lists and their queries are cut into chunks of a bounded size, by the counts of each list, so a
+    list that holds a third of all vectors is many tasks' work.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, vec_id, embedding)
-    total = rows.count()
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    dim, total = _dimension(rows)
     out_schema = "query_id long, rank int, vec_id long, score double"
     if total == 0:
         return spark.createDataFrame([], out_schema)
-    dim = len(few["x"].iloc[0])
     rows = rows.where(F.size("x") == dim)
-    first = np.stack([np.asarray(x, dtype=float) for x in few["x"] if len(x) == dim])
-    index = fit(first, lists or int(np.clip(np.sqrt(total) / 2, 1, 4096)), k, recall)
-    shared = spark.sparkContext.broadcast(index)  # lists x dim numbers, at most 4096 lists
+    lists = lists or int(np.clip(2 * np.sqrt(total), 1, 16_384))
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(sample or int(np.clip(16 * lists, 8_192, 131_072))).toPandas()
+    index = fit(np.stack([np.asarray(x, dtype=float) for x in few["x"]]), lists, k, recall)
+    shared = spark.sparkContext.broadcast(index)  # lists x dim numbers, at most 16,384 lists
 
     def matrix(column: pd.Series) -> np.ndarray:
         return np.frombuffer(b"".join(column), "<f4").reshape(len(column), dim).astype(float)
@@ -159,34 +168,64 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
                 yield pd.DataFrame({"id": frame["id"], "list": shared.value.nearest(x @ shared.value.rotation), "raw": [v.astype("<f4").tobytes() for v in x]})
 
     dealt = rows.mapInPandas(deal, "id long, list int, raw binary")
-    sizes = dealt.groupBy("list").count().collect()  # one line a list
-    parts = {r["list"]: -(-r["count"] // chunk) for r in sizes}
-    cut = lambda: F.broadcast(spark.createDataFrame(list(parts.items()), "list int, parts int"))
-    held = dealt.join(cut(), "list").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    held_by = {r["list"]: r["count"] for r in dealt.groupBy("list").count().collect()}  # one line a list
+    sizes = spark.sparkContext.broadcast(np.array([held_by.get(i, 0) for i in range(len(index.centroids))]))
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                x = np.stack(frame["x"].to_numpy())
-                for at in range(0, len(frame), 512):
-                    lists_ = shared.value.order(x[at : at + 512] @ shared.value.rotation)[:, : shared.value.probes]
-                    n = lists_.shape[1]
-                    yield pd.DataFrame({"id": frame["id"].iloc[at : at + 512].repeat(n), "list": lists_.reshape(-1).astype(np.int32), "raw": np.repeat(np.array([v.astype("<f4").tobytes() for v in x[at : at + 512]], dtype=object), n)})
-
-    asked = rows.where(F.col("id") % every == 0).mapInPandas(probe, "id long, list int, raw binary").join(cut(), "list")
-    lots = max(1, -(-total // every // 2048))  # so that a lot of one list's queries is some 2048 at most
-    asked = asked.withColumns({"part": F.explode(F.expr("sequence(0, parts - 1)")), "lot": F.expr(f"cast(pmod(xxhash64(id, 7), {lots}) as int)")})
-    held = held.withColumn("lot", F.explode(F.expr(f"sequence(0, {lots - 1})")))
+            for at in range(0, len(frame), 512):
+                some = frame.iloc[at : at + 512]
+                x = np.stack(some["x"].to_numpy())
+                order = shared.value.order(x @ shared.value.rotation)
+                reach = np.cumsum(sizes.value[order], axis=1) - some["rows"].to_numpy()[:, None]  # the query's own rows may be among them
+                n = np.maximum(shared.value.probes, np.minimum((reach < k).sum(1) + 1, order.shape[1]))
+                used = np.arange(order.shape[1])[None, :] < n[:, None]
+                yield pd.DataFrame({"id": some["id"].to_numpy().repeat(used.sum(1)), "list": order[used].astype(np.int32), "raw": np.repeat(np.array([v.astype("<f4").tobytes() for v in x], dtype=object), used.sum(1))})
+
+    asking = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"), F.count("*").alias("rows"))
+    asked = asking.mapInPandas(probe, "id long, list int, raw binary")
+    asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
+    cuts = spark.createDataFrame([(i, -(-n // chunk), -(-asks.get(i, 0) // chunk)) for i, n in held_by.items()], "list int, parts int, lots int")
+    held = dealt.join(F.broadcast(cuts.where("lots > 0")), "list").select("id", "raw", "list", F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("part"), F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"))
+    asked = asked.join(F.broadcast(cuts), "list").select("id", "raw", "list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(id, 7), lots) as int)").alias("lot"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "found": []})
-        x_ids, x = left["id"].to_numpy(), matrix(left["raw"])
-        got = list(top(right["id"].to_numpy(), matrix(right["raw"]), x_ids, x, shared.value.rotation, k))
+        got = list(top(right["id"].to_numpy(), matrix(right["raw"]), left["id"].to_numpy(), matrix(left["raw"]), shared.value.rotation, k))
         return pd.DataFrame({"query_id": [g[0] for g in got], "found": [[{"vec_id": int(i), "score": float(s)} for i, s in zip(g[1], g[2])] for g in got]})
 
     keys = ["list", "part", "lot"]
     found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "query_id long, found array<struct<vec_id long, score double>>")
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     flat = found.select("query_id", F.explode("found").alias("f")).select("query_id", "f.vec_id", "f.score")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def recall_of(found: DataFrame, vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 256) -> float:
+    """The share of the exact k nearest of at most sample queries, by a hash of the id, that found has: each task
+    compares its vectors with all of the sample, by brute force."""
+    rows = valid(vectors, vec_id, embedding)
+    dim, _ = _dimension(rows)
+    rows = rows.where(F.size("x") == dim)
+    few = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x")).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).toPandas()
+    if not len(few):
+        return 1.0
+    shared = rows.sparkSession.sparkContext.broadcast((few["id"].to_numpy(), np.stack(few["x"].to_numpy()).astype(float)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q = shared.value
+        for frame in frames:
+            for at in range(0, len(frame), 2048):
+                some = frame.iloc[at : at + 2048]
+                x, ids = np.stack(some["x"].to_numpy()).astype(float), some["id"].to_numpy()
+                score = np.where(q_ids[:, None] == ids[None, :], -np.inf, q @ x.T)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": q_ids, "found": [[{"vec_id": int(ids[j]), "score": float(score[i, j])} for j in order[i] if score[i, j] > -np.inf] for i in range(len(q))]})
+
+    exact = _ranked(rows.mapInPandas(run, "query_id long, found array<struct<vec_id long, score double>>"), k).select("query_id", "vec_id")
+    return exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")).distinct(), ["query_id", "vec_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 1.0

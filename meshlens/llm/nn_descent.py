@@ -24,8 +24,10 @@ LEAF, TREES, BITS, TILE = 64, 4, 16, 512
 
 
 def matrix(column: pd.Series) -> np.ndarray:
-    """Unit vectors, in double precision, of a column of float arrays as bytes."""
-    x = np.frombuffer(b"".join(column), "<f4").astype(float).reshape(len(column), -1)
+    """Unit vectors, in double precision, of a column of float arrays as bytes; shorter ones are filled up with zeros,
+    which changes no product of two of one length."""
+    most = max(map(len, column), default=0)
+    x = np.frombuffer(b"".join(v.ljust(most, b"\0") for v in column), "<f4").astype(float).reshape(len(column), -1)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -224,13 +226,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, ve
     other rows linked directly, component_id is the smallest vec_id that links reach, kept tells whether the
     row has it. Vectors that are null, zero or not finite, and those without id or label, link with nothing:
     they are components of their own. Equal vectors of a label are one node of the graph, weighed by their
-    number. All vectors of a label must have one length.
+    number. Vectors of different lengths don't link, whatever their labels.
     """
     scratch = scratch or Scratch(vectors.sparkSession, "nn-descent")
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).cast("string").alias("label"))
     x = F.col("embedding").cast("array<float>")
     takes = takes_part(x) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = base.select("vec_id", F.when(takes, F.xxhash64("label", x)).alias("node"), "label", x.alias("x"))
+    rows = base.select("vec_id", F.when(takes, F.xxhash64("label", x)).alias("node"), F.concat_ws(":", F.size(x), "label").alias("label"), x.alias("x"))
     distinct = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("x").alias("x"))
 
     def to_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
