@@ -48,4 +48,5 @@ def import_name(name: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text(name)), r"[^a-z0-9]+", "-"), F.lit("-"))
+    """Lower case; every character but letters, digits and hyphens becomes a hyphen, none of them at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text(name)), r"[^\p{L}\p{N}-]", "-"), F.lit("-"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshlens.functions import paths as P
 from meshlens.functions.predicates import fanout_confidence
+from meshlens.operators.checkpoints import checkpointed
 from meshlens.operators.resolve import first_per
 
 
@@ -31,23 +32,38 @@ def endpoint_fanout(routes: DataFrame, symbols: DataFrame, calls: DataFrame, sur
     (repo, ep_key, target, key, hops, confidence, via): for each endpoint and outbound call the fewest hops.
 
     Each level extends the paths by a join with the call graph and keeps, for each start and symbol, the
-    smallest path by names, so the path told doesn't depend on partitions."""
+    smallest path by names, so the path told doesn't depend on partitions. The call graph and each level are cut
+    with a checkpoint, so no level computes the ones before it anew."""
     at = routes.select(F.xxhash64("repo", "method", "path", "file", "line").alias("id"), "repo", "file", "line", P.endpoint_key(F.col("method"), F.col("path")).alias("ep_key")).distinct()
     handlers = enclosing(at, symbols).join(at, "id").select("repo", "ep_key", F.col("qualified_name").alias("node")).distinct()
     out = surfaces.withColumn("id", F.xxhash64("repo", "file", "line"))
     sinks = enclosing(out.select("id", "repo", "file", "line").distinct(), symbols).join(out, "id").select("repo", F.col("qualified_name").alias("node"), "target", "key").distinct()
-    graph = call_graph(symbols, calls)
-    frontier = handlers.withColumns({"hops": F.lit(0), "path": F.array("node")})
+    graph = checkpointed(call_graph(symbols, calls).withColumnRenamed("caller", "node"))
+    frontier = checkpointed(handlers.withColumns({"hops": F.lit(0), "path": F.array("node")}))
     seen = frontier
     for level in range(1, max_hops + 1):
-        new = frontier.join(graph.withColumnRenamed("caller", "node"), ["repo", "node"]).select("repo", "ep_key", F.col("path").alias("before"), F.col("callee").alias("node"))
+        new = frontier.join(graph, ["repo", "node"]).select("repo", "ep_key", F.col("path").alias("before"), F.col("callee").alias("node"))
         new = new.groupBy("repo", "ep_key", "node").agg(F.min("before").alias("before")).join(seen.select("repo", "ep_key", "node"), ["repo", "ep_key", "node"], "left_anti")
-        frontier = new.select("repo", "ep_key", "node", F.lit(level).alias("hops"), F.concat("before", F.array("node")).alias("path"))
+        frontier = checkpointed(new.select("repo", "ep_key", "node", F.lit(level).alias("hops"), F.concat("before", F.array("node")).alias("path")))
         seen = seen.unionByName(frontier)
     best = first_per(seen.join(sinks, ["repo", "node"]), ["repo", "ep_key", "target", "key"], "hops", "path")
     return best.select("repo", "ep_key", "target", "key", "hops", fanout_confidence(F.col("hops")).alias("confidence"), F.transform("path", lambda q: F.substring_index(q, ".", -1)).alias("via"))
 
 
+def route_calls(fanned: DataFrame, repo: str | None = None) -> DataFrame:
+    """Stored fan-out in the order of its display: endpoint, then hops, target and key."""
+    rows = fanned if repo is None else fanned.where(F.col("repo") == repo)
+    return rows.orderBy("repo", F.substring_index("ep_key", " ", -1), F.substring_index("ep_key", " ", 1), "hops", "target", "key")
+
+
+def routes_with_calls(routes: DataFrame, fanned: DataFrame) -> DataFrame:
+    """(repo, ep_key, calls): every endpoint with what it fans out to, nearest first; none where it calls nothing."""
+    keyed = routes.select("repo", P.endpoint_key(F.col("method"), F.col("path")).alias("ep_key")).distinct()
+    each = F.struct("hops", "target", "key", "confidence", "via")
+    calls = fanned.groupBy("repo", "ep_key").agg(F.array_sort(F.collect_list(each)).alias("calls"))
+    return keyed.join(calls, ["repo", "ep_key"], "left").withColumn("calls", F.coalesce("calls", F.array().cast(calls.schema["calls"].dataType)))
+
+
 def top_rows(df: DataFrame, n: int, *order, per: list[str] | None = None) -> DataFrame:
     """The first n rows in an order, in all or per group."""
     if per is None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions.identity import slug
+from meshlens.functions.paths import endpoint_key
 from meshlens.functions.predicates import confidence_label
 from meshlens.operators import traversal
 
@@ -32,6 +33,23 @@ def symbols_for(symbols: DataFrame, repo: str, kinds: list[str] | None = None, l
     return (rows.where(F.col("kind").isin(kinds)) if kinds else rows).orderBy("file", "start_line", "ord").limit(limit)
 
 
+def aliases_of(aliases: DataFrame, repo: str) -> DataFrame:
+    return aliases.where(F.col("repo") == repo).orderBy(F.desc("confidence"), "alias", "raw")
+
+
+def aliases_by_repo(aliases: DataFrame) -> DataFrame:
+    """(repo, names): each repository's aliases in the order of the catalog."""
+    return aliases.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "alias", "raw", "source"))), lambda a: F.struct(a["alias"].alias("alias"), a["raw"].alias("raw"), a["source"].alias("source"))).alias("names"))
+
+
+def repos_by_name(repos: DataFrame) -> DataFrame:
+    return repos.select("name", "path").distinct().orderBy("name", "path")
+
+
+def routes_of(routes: DataFrame, repo: str) -> DataFrame:
+    return routes.where(F.col("repo") == repo).orderBy("path", "method", "file", "line")
+
+
 def cross_repo_call_sites(symbols: DataFrame, calls: DataFrame, repo: str, limit: int = 25) -> DataFrame:
     """Calls elsewhere of names that repo defines, each site once."""
     names = symbols.where(F.col("repo") == repo).select(F.col("name").alias("callee_name")).distinct()
@@ -52,6 +70,38 @@ def impact(edges: DataFrame, deps: DataFrame, repo: str, depth: int = 3) -> Data
     )
 
 
+def impact_of_endpoint(edges: DataFrame, deps: DataFrame, surfaces: DataFrame, repo: str, endpoint: str | None = None, depth: int = 3) -> DataFrame:
+    """(from_repo, confidence, endpoints, in_blast): the direct dependents with the keys they use, those alone that use
+    exactly the endpoint's if one is given; in_blast tells which of them the blast radius holds. With an endpoint, that is
+    all of the radius that counts: it is cut to the direct dependents that are left."""
+    direct = scoped_dependents(deps, surfaces, repo, endpoint)
+    blast = traversal.blast_radius(edges, deps.sparkSession.createDataFrame([(repo,)], "origin string"), depth).select(F.col("node").alias("from_repo"), F.lit(True).alias("in_blast"))
+    return direct.join(blast, "from_repo", "left").withColumn("in_blast", F.coalesce("in_blast", F.lit(False))).orderBy(F.desc("confidence"), "from_repo")
+
+
+def parse_endpoint(spec: str) -> tuple[str, str]:
+    """'get /v1/x' -> ('GET', '/v1/x'); a bare path has any verb."""
+    head, _, rest = spec.strip().partition(" ")
+    return (head.upper(), rest.strip()) if rest and not head.startswith("/") else ("ANY", spec.strip())
+
+
+def endpoint_users(surfaces: DataFrame, repo: str | None = None) -> DataFrame:
+    """(repo, from_repo, endpoints): the distinct keys of each provider that each consumer uses."""
+    rows = surfaces if repo is None else surfaces.where(F.col("repo") == repo)
+    return rows.groupBy("repo", "from_repo").agg(F.array_sort(F.collect_set(endpoint_key(F.col("method"), F.col("path")))).alias("endpoints"))
+
+
+def scoped_dependents(deps: DataFrame, surfaces: DataFrame, repo: str, endpoint: str | None = None) -> DataFrame:
+    """Direct dependents with the distinct keys they use, those alone that use exactly the endpoint's key if one is given.
+    A dependent that matches by prefix or with any verb has another key."""
+    rows = deps.where(F.col("to_repo") == repo).select("from_repo", "confidence").join(endpoint_users(surfaces, repo).drop("repo"), "from_repo", "left")
+    rows = rows.withColumn("endpoints", F.coalesce("endpoints", F.array().cast("array<string>")))
+    if endpoint:
+        verb, path = parse_endpoint(endpoint)
+        rows = rows.where(F.array_contains("endpoints", endpoint_key(F.lit(verb), F.lit(path))))
+    return rows.orderBy(F.desc("confidence"), "from_repo")
+
+
 def events_emitted(deps: DataFrame) -> DataFrame:
     return deps.where(F.array_contains("dep_types", "kafka")).select("from_repo", F.col("to_repo").alias("topic"))
 
@@ -78,10 +128,26 @@ def ui_edges(deps: DataFrame) -> DataFrame:
     return deps.select("from_repo", "to_repo", F.array_join("dep_types", ",").alias("types"), F.round("confidence", 2).alias("confidence"), only.alias("import_only"), "tier")
 
 
-def visible_graph(edges: DataFrame, nodes: DataFrame, least: float = 0.0, external: bool = True, import_only: bool = False) -> DataFrame:
-    """Edges that the filters leave; external nodes go with their edges."""
+def neighbourhood(edges: DataFrame, focus: str) -> DataFrame:
+    """(node): a repository and what an edge joins it with."""
+    touching = edges.where((F.col("from_repo") == focus) | (F.col("to_repo") == focus))
+    return edges.sparkSession.createDataFrame([(focus,)], "node string").union(touching.select("from_repo")).union(touching.select("to_repo")).distinct()
+
+
+def visible_nodes(edges: DataFrame, nodes: DataFrame, search: str = "", external: bool = True) -> DataFrame:
+    """nodes that visible edges leave: an external one only with an edge. found: whether its name holds the search text."""
+    joined = edges.select(F.col("from_repo").alias("node")).union(edges.select("to_repo")).distinct().withColumn("joined", F.lit(True))
+    rows = nodes.join(joined, "node", "left").where(~F.col("external") | F.lit(external) & F.col("joined").isNotNull())
+    return rows.drop("joined").withColumn("found", F.contains(F.lower("node"), F.lit(search.strip().lower())))
+
+
+def visible_graph(edges: DataFrame, nodes: DataFrame, least: float = 0.0, external: bool = True, import_only: bool = False, focus: str | None = None) -> DataFrame:
+    """Edges that the filters leave; external nodes go with their edges. With a focus: edges within its neighbourhood."""
     rows = edges.where(F.col("confidence") >= least)
     rows = rows if import_only else rows.where(~F.col("import_only"))
+    if focus is not None:
+        near = neighbourhood(rows, focus)
+        rows = rows.join(near.withColumnRenamed("node", "from_repo"), "from_repo", "left_semi").join(near.withColumnRenamed("node", "to_repo"), "to_repo", "left_semi")
     if not external:
         inside = nodes.where("not external").select("node")
         rows = rows.join(inside.withColumnRenamed("node", "from_repo"), "from_repo", "left_semi").join(inside.withColumnRenamed("node", "to_repo"), "to_repo", "left_semi")
@@ -95,5 +161,12 @@ def skill_metadata(deps: DataFrame, repos: DataFrame) -> DataFrame:
     return repos.join(by, "name", "left").select(F.col("name").alias("repo"), slug(F.col("name")).alias("slug"), F.coalesce("callees", F.lit("")).alias("callees"))
 
 
+def ui_payload(deps: DataFrame, repos: DataFrame, aliases: DataFrame, routes_calls: DataFrame) -> DataFrame:
+    """(node, payload): a JSON object for every node: whether it is external, its degrees, aliases, and endpoints with their calls."""
+    provides = routes_calls.groupBy(F.col("repo").alias("node")).agg(F.array_sort(F.collect_list(F.struct("ep_key", F.size("calls").alias("calls")))).alias("provides"))
+    rows = ui_nodes(deps, repos).join(aliases_by_repo(aliases).withColumnRenamed("repo", "node"), "node", "left").join(provides, "node", "left")
+    return rows.select("node", F.to_json(F.struct("external", "in_degree", "out_degree", "names", "provides")).alias("payload"))
+
+
 def languages(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))

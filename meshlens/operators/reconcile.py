@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions import identity as I
@@ -28,9 +28,10 @@ def bind(refs: DataFrame, aliases: DataFrame) -> DataFrame:
     """refs (ref, exclude) -> (ref, exclude, match struct(repo, confidence, source, reason) or null).
 
     The first kind that hits wins: the exact identity, the plural-folded one, then containment of one side's
-    tokens in the other's. The containment candidates come from a join on a shared token, not from all
-    pairs; of them the catalog's order decides as a fold: a later alias replaces an earlier one if its
-    confidence exceeds the earlier one's scaled confidence."""
+    tokens in the other's. Containment is looked for only where the other kinds miss. The contained side has its
+    rarest token in common with the other, so candidates come from two joins on that token, and a frequent
+    token pairs nothing; of the candidates the catalog's order decides as a fold: a later alias replaces an
+    earlier one if its confidence exceeds the earlier one's scaled confidence."""
     known = catalog(aliases)
     norm = refs.select("ref", "exclude").distinct().withColumn("norm", I.normalize_identity(F.col("ref")))
     norm = norm.withColumns({"ref_stem": I.stem(F.col("norm")), "ref_tokens": I.tokens(F.col("norm"))})
@@ -40,8 +41,18 @@ def bind(refs: DataFrame, aliases: DataFrame) -> DataFrame:
     stem = _best(asked.join(known, F.col("ref_stem") == F.col("stem")).where(other), F.least(F.lit(0.95), F.col("confidence") * 0.95), "stem")
 
     place = known.groupBy("alias").agg(F.min("ord").alias("place"))  # aliases in order of first appearance
-    by_token = known.join(place, "alias").withColumn("token", F.explode("tokens"))
-    pairs = asked.withColumn("token", F.explode("ref_tokens")).join(by_token, "token").where(other)
+    placed = known.join(place, "alias")
+    both = exact.select("ref", "exclude").union(stem.select("ref", "exclude")).withColumnsRenamed({"ref": "ref_", "exclude": "exclude_"})
+    left = asked.join(both, F.col("ref").eqNullSafe(F.col("ref_")) & F.col("exclude").eqNullSafe(F.col("exclude_")), "left_anti")
+    names, refs_ = left.select("norm", F.col("ref_tokens").alias("tokens")).distinct(), known.select(F.col("alias").alias("norm"), "tokens").distinct()
+    often = names.union(refs_).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
+
+    def rarest(rows: DataFrame) -> DataFrame:
+        return rows.select("norm", F.explode("tokens").alias("token")).join(often, "token").groupBy("norm").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
+
+    inner = left.join(rarest(names), "norm").join(placed.withColumn("token", F.explode("tokens")), "token")
+    outer = left.withColumn("token", F.explode("ref_tokens")).join(placed.join(rarest(refs_).withColumnRenamed("norm", "alias"), "alias"), "token")
+    pairs = inner.unionByName(outer).where(other)
     inside = (F.size(F.array_except("ref_tokens", "tokens")) == 0) | (F.size(F.array_except("tokens", "ref_tokens")) == 0)
     pairs = pairs.where(inside).dropDuplicates(["ref", "exclude", "alias", "repo", "source", "confidence", "ord"])
     one = pairs.groupBy("ref", "exclude", "place", "alias").agg(F.max_by(F.struct("repo", "confidence", "source"), F.struct("confidence", -F.col("ord"))).alias("c"))
@@ -93,3 +104,22 @@ def stats(deps: DataFrame, aliases: DataFrame) -> DataFrame:
         (F.count_if(kept) - F.count_distinct(F.when(kept, F.struct("from_repo", "target")))).alias("merged"),
         F.count_if(F.col("disposition").isin("keep", "drop-import")).alias("unresolved"),
     )
+
+
+def _inside(name: str) -> Column:
+    """All stretches of a name: containment is then an equality, not a comparison of all pairs of names."""
+    size = F.length(name)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substr(F.col(name), i, n)))))
+
+
+def contained_names(deps: DataFrame, repos: DataFrame) -> DataFrame:
+    """deps (to_repo, confidence, ord) -> (ord, to_repo, confidence): where one of the names holds the other, lower case and
+    without hyphens and underscores, the first such repository (repo) by name and 0.2 more confidence, 1 at most."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[-_]", "")
+    asked = deps.select("to_repo", bare("to_repo").alias("asked")).distinct().where("asked <> ''")
+    known = repos.select("repo", bare("repo").alias("known")).distinct().where("known <> ''")
+    longer = asked.withColumn("known", F.explode(_inside("asked"))).join(known, "known").select("to_repo", "repo")
+    shorter = known.withColumn("asked", F.explode(_inside("known"))).join(asked, "asked").select("to_repo", "repo")
+    first = longer.union(shorter).groupBy("to_repo").agg(F.min("repo").alias("repo"))
+    rows = deps.join(first, "to_repo", "left")
+    return rows.select("ord", F.coalesce("repo", "to_repo").alias("to_repo"), F.when(F.col("repo").isNotNull(), F.least(F.lit(1.0), F.col("confidence") + 0.2)).otherwise(F.col("confidence")).alias("confidence"))

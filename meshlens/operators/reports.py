@@ -7,45 +7,33 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.functions import paths as P
 from meshlens.operators import lookups
+from meshlens.operators.lookups import parse_endpoint, scoped_dependents  # noqa: F401
 
 
-def parse_endpoint(spec: str) -> tuple[str, str]:
-    """'get /v1/x' -> ('GET', '/v1/x'); a bare path has any verb."""
-    head, _, rest = spec.strip().partition(" ")
-    return (head.upper(), rest.strip()) if rest and not head.startswith("/") else ("ANY", spec.strip())
+#: A context document tells so many endpoints: a feature of the document.
+ENDPOINTS = 40
 
 
-def scoped_dependents(deps: DataFrame, surfaces: DataFrame, repo: str, endpoint: str | None = None) -> DataFrame:
-    """Direct dependents with the distinct keys they use, those alone that use exactly the endpoint's key if one is given.
-    A dependent that matches by prefix or with any verb has another key."""
-    keys = surfaces.where(F.col("repo") == repo).groupBy("from_repo").agg(F.array_sort(F.collect_set(P.endpoint_key(F.col("method"), F.col("path")))).alias("endpoints"))
-    rows = deps.where(F.col("to_repo") == repo).select("from_repo", "confidence").join(keys, "from_repo", "left").withColumn("endpoints", F.coalesce("endpoints", F.array().cast("array<string>")))
-    if endpoint:
-        verb, path = parse_endpoint(endpoint)
-        rows = rows.where(F.array_contains("endpoints", P.endpoint_key(F.lit(verb), F.lit(path))))
-    return rows.orderBy(F.desc("confidence"), "from_repo")
-
-
-def impact_markdown(report: DataFrame, dependents: DataFrame, limit: int = 1000) -> str:
+def impact_markdown(report: DataFrame, dependents: DataFrame) -> str:
     r = report.first()
     out = [f"# Impact of changing {r.repo}", "", f"{r.n_dependents} direct dependents, {r.n_blast} repositories within reach.", "", "## Direct dependents", ""]
-    out += [f"- {d.from_repo} ({d.confidence:.2f})" + (f": {', '.join(d.endpoints)}" if d.endpoints else "") for d in dependents.limit(limit).collect()] or ["None."]
+    out += [f"- {d.from_repo} ({d.confidence:.2f})" + (f": {', '.join(d.endpoints)}" if d.endpoints else "") for d in dependents.toLocalIterator()] or ["None."]
     out += ["", "## Within reach", "", r.blast.replace(",", ", ") or "None.", "", "## Events", "", r.events.replace(",", ", ") or "None."]
     return "\n".join(out) + "\n"
 
 
 def context_markdown(repo: str, deps: DataFrame, routes: DataFrame, symbols: DataFrame, calls: DataFrame, notes: DataFrame) -> str:
-    """What an agent should know before it works on a repository."""
+    """What an agent should know before it works on a repository. Of its endpoints the first 40 are told, and how many there are."""
     out = [f"# {repo}", "", "## Calls", ""]
-    for d in lookups.dependencies_of(deps, repo).limit(1000).collect():
+    for d in lookups.dependencies_of(deps, repo).toLocalIterator():
         kind = "kafka" if "kafka" in d.dep_types else next((t for t in d.dep_types if t in ("http", "feign", "grpc")), "other")
         out.append(f"- {d.to_repo} ({kind}, {d.confidence:.2f})")
-    out += ["", "## Called by", ""] + [f"- {d.from_repo} ({d.confidence:.2f})" for d in lookups.dependents_of(deps, repo).limit(1000).collect()]
-    out += ["", "## Endpoints", ""] + [f"- {r.method or 'ANY'} {r.path}" for r in routes.where(F.col("repo") == repo).orderBy("path", "method").limit(40).collect()]
+    out += ["", "## Called by", ""] + [f"- {d.from_repo} ({d.confidence:.2f})" for d in lookups.dependents_of(deps, repo).toLocalIterator()]
+    out += ["", "## Endpoints", ""] + [f"- {r.method or 'ANY'} {r.path}" for r in lookups.routes_of(routes, repo).limit(ENDPOINTS).collect()]
+    out += [f"{routes.where(F.col('repo') == repo).count()} in all."]
     out += ["", "## Call sites elsewhere", ""] + [f"- {c.callee_name}: {c.repo} {c.file}:{c.line}" for c in lookups.cross_repo_call_sites(symbols, calls, repo).collect()]
-    out += ["", "## Notes", ""] + [f"- [{n.kind}] {n.note}" for n in notes.where(F.col("repo") == repo).orderBy("id").limit(1000).collect()]
+    out += ["", "## Notes", ""] + [f"- [{n.kind}] {n.note}" for n in notes.where(F.col("repo") == repo).orderBy("id").toLocalIterator()]
     return "\n".join(out) + "\n"
 
 

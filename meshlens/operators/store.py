@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from meshlens.functions import identity as I
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,10 +27,22 @@ def replace_aliases(old: DataFrame, new: DataFrame, repos: DataFrame) -> DataFra
     return upsert(kept, new, ["repo", "alias"])
 
 
+def remove_aliases(aliases: DataFrame, gone: DataFrame) -> DataFrame:
+    """aliases without those that gone (repo, name) names by their raw value or by its normal form, automatic ones too."""
+    named = gone.select(F.col("repo").alias("repo_"), F.col("name").alias("name_"), I.normalize_identity(F.col("name")).alias("alias_"))
+    return aliases.join(named, (F.col("repo") == F.col("repo_")) & ((F.col("raw") == F.col("name_")) | (F.col("alias") == F.col("alias_"))), "left_anti")
+
+
+def with_columns_of(df: DataFrame, schema: str) -> DataFrame:
+    """df in a later version's columns: those it lacks are null."""
+    wanted = StructType.fromDDL(schema)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def append_with_ids(old: DataFrame, new: DataFrame, *order: str, id_column: str = "id") -> DataFrame:
     """new gets the ids after old's largest; for the few rows of one writer, such as notes."""
     last = old.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("last")).first()["last"]
-    return old.unionByName(new.withColumn(id_column, F.row_number().over(Window.orderBy(*order)) + F.lit(last)))
+    return old.unionByName(new.withColumn(id_column, F.row_number().over(Window.orderBy(*order)) + F.lit(last)).select(old.columns))
 
 
 class Store:
@@ -56,5 +71,9 @@ class Store:
         version = (self._versions(name) or [0])[-1] + 1
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
 
+    def clear(self, name: str) -> None:
+        """An empty version; readers of older ones aren't disturbed."""
+        self.write(name, self.read(name).limit(0))
+
     def update(self, name: str, new: DataFrame, keys: list[str]) -> None:
         self.write(name, upsert(self.read(name), new, keys) if self.exists(name) else new)

@@ -54,15 +54,19 @@ def affected(edges: DataFrame, deps: DataFrame, repo: str, depth: int | None = N
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(node, in_degree, out_degree) of every node of the graph."""
-    once = edges.select("from_repo", "to_repo").distinct()
-    ends = once.select(F.col("from_repo").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(once.select("to_repo", F.lit(1), F.lit(0)))
-    return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    """(node, in_degree, out_degree) of every node of the graph; with first, where it first appears, if edges have ord."""
+    place = F.min("ord") if "ord" in edges.columns else F.lit(0)
+    once = edges.groupBy("from_repo", "to_repo").agg(place.alias("ord"))
+    ends = once.select(F.col("from_repo").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), "ord").union(once.select("to_repo", F.lit(1), F.lit(0), "ord"))
+    out = ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.min(F.struct("ord", "i")).alias("first"))
+    return out if "ord" in edges.columns else out.drop("first")
 
 
 def summary(edges: DataFrame, top: int = 5) -> DataFrame:
-    """One row: nodes, edges, the nodes of highest in-degree, and how many have none."""
+    """One row: nodes, edges, the nodes of highest in-degree, and how many have none. Ties go to the node that appears
+    first, where edges have ord, else by name."""
     d = degrees(edges)
-    best = d.orderBy(F.desc("in_degree"), "node").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("in_degree")).alias("k"), "node"))), lambda s: s["node"]), ",").alias("most_depended"))
+    d = d if "first" in d.columns else d.withColumn("first", F.lit(0))
+    best = d.orderBy(F.desc("in_degree"), "first", "node").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("in_degree")).alias("k"), "first", "node"))), lambda s: s["node"]), ",").alias("most_depended"))
     counts = d.agg(F.count("*").alias("nodes"), F.sum("out_degree").alias("edges"), F.count_if(F.col("in_degree") == 0).alias("orphans"))
     return counts.withColumn("k_", F.lit(1)).join(best.withColumn("k_", F.lit(1)), "k_").drop("k_")  # one row each

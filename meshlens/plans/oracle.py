@@ -117,6 +117,46 @@ _SPANS = "SELECT repo, split_part(file, '/', -1) AS base, qualified_name, start_
 
 _ENCLOSED = "arg_min(s.qualified_name, struct_pack(w := s.end_line - s.start_line, o := s.ord))"
 
+#: What every endpoint's handler reaches in up to 4 calls, by the fewest.
+FANNED = {
+    "spans": _SPANS,
+    "pts": "SELECT ord AS id, repo, split_part(file, '/', -1) AS base, start_line, end_line, 'GET /' || lower(replace(name, ' ', '-')) AS ep_key, 't' || (ord % 9) AS target, 'GET /k' || (ord % 5) AS key FROM sym",
+    "handlers": f"SELECT DISTINCT repo, ep_key, q AS node FROM (SELECT p.id, p.repo, p.ep_key, {_ENCLOSED} AS q FROM pts p JOIN spans s ON s.repo = p.repo AND s.base = p.base AND p.start_line BETWEEN s.start_line AND s.end_line GROUP BY ALL)",
+    "sinks": f"SELECT DISTINCT repo, q AS node, target, key FROM (SELECT p.id, p.repo, p.target, p.key, {_ENCLOSED} AS q FROM pts p JOIN spans s ON s.repo = p.repo AND s.base = p.base AND p.end_line BETWEEN s.start_line AND s.end_line GROUP BY ALL)",
+    "reach": "SELECT repo, ep_key, node, 0 AS hops FROM handlers UNION SELECT r.repo, r.ep_key, c.callee, r.hops + 1 FROM reach r JOIN cg c ON c.repo = r.repo AND c.caller = r.node WHERE r.hops < 4",
+    "fanned": "SELECT repo, ep_key, target, key, min(hops) AS hops FROM reach JOIN sinks USING (repo, node) GROUP BY repo, ep_key, target, key",
+    "level0": "SELECT repo, ep_key, node, 0 AS hops, [node] AS path FROM handlers",
+}
+SEEN = {
+    "between": "SELECT from_repo, repo AS to_repo, (id % 10) / 10.0::DOUBLE AS confidence, id % 3 = 0 AS import_only FROM surf",
+    "known": "SELECT word AS node FROM pg UNION SELECT 'front0' UNION SELECT 'front1'",
+    "shown": "SELECT * FROM between WHERE NOT import_only",
+    "ends": "SELECT from_repo AS node FROM between UNION SELECT to_repo FROM between",
+}
+CALLED = "SELECT from_repo AS name, string_agg(to_repo, ', ' ORDER BY confidence DESC, to_repo) AS calls FROM (SELECT *, row_number() OVER (PARTITION BY from_repo ORDER BY confidence DESC, to_repo) AS k FROM deps WHERE NOT list_contains(type_list, 'kafka')) WHERE k <= 3 GROUP BY from_repo"
+SKILLS = {
+    "calls": CALLED,
+    "callers": "SELECT to_repo AS name, count(*) AS n FROM deps GROUP BY to_repo",
+    "described": "SELECT 'p' || p_partkey AS repo, 'work-in-p' || p_partkey AS slug, 'How to work in p' || p_partkey || coalesce(' — calls ' || calls, '') || coalesce('; called by ' || n || ' repo(s)', '') || '.' AS description FROM part LEFT JOIN calls c ON c.name = 'p' || p_partkey LEFT JOIN callers r ON r.name = 'p' || p_partkey",
+    "psym": "SELECT * REPLACE ('p' || ord AS repo) FROM sym",
+    "versions": "SELECT repo, substring(sha256(string_agg(line, chr(10) ORDER BY part, line)), 1, 12) AS version FROM (SELECT repo, 0 AS part, qualified_name || '|' || signature AS line FROM psym UNION ALL SELECT from_repo, 1, '->' || to_repo || ':[' || array_to_string(['\"' || t || '\"' FOR t IN type_list], ', ') || ']' FROM deps) GROUP BY repo",
+}
+NOTES = "SELECT conv_id * 100 + turn AS id, 'c' || (conv_id % 10) AS repo, CASE WHEN role = 'user' THEN 'gotcha' ELSE role END AS kind, text AS note FROM conversations"
+
+
+def _section(title: str, rows: str, line: str, order: str, where: str = "true", empty: str = "- none known") -> str:
+    none = f"chr(10) || '## {title}' || chr(10) || '{empty}' || chr(10)" if empty else "''"
+    return f"coalesce((SELECT chr(10) || '## {title}' || chr(10) || string_agg({line}, chr(10) ORDER BY {order}) || chr(10) FROM {rows} WHERE {where}), {none})"
+
+
+DOCUMENT = "'---' || chr(10) || 'name: ' || d.slug || chr(10) || 'description: ' || d.description || chr(10) || 'version: ' || coalesce(v.version, '') || chr(10) || '---' || chr(10) || chr(10) || '# ' || d.repo || chr(10)" + "".join(" || " + x for x in (
+    _section("Calls", "deps x", "'- ' || x.to_repo || ' (' || array_to_string(x.type_list, ', ') || ', ' || CAST(round(x.confidence * 100) AS INTEGER) || '%)'", "x.confidence DESC, x.to_repo", "x.from_repo = d.repo AND NOT list_contains(x.type_list, 'kafka')"),
+    _section("Called by", "deps x", "'- ' || x.from_repo || ' (' || array_to_string(x.type_list, ', ') || ')'", "x.confidence DESC, x.from_repo", "x.to_repo = d.repo"),
+    _section("Events", "deps x", "'- ' || x.to_repo", "x.to_repo", "x.from_repo = d.repo AND list_contains(x.type_list, 'kafka')", ""),
+    _section("Symbols", "psym x", "'- [' || x.kind || '] ' || coalesce(nullif(x.signature, ''), x.name) || ' at ' || x.file || ':' || x.start_line", "x.file, x.start_line, x.ord", "x.repo = d.repo"),
+    _section("Notes", "pnotes x", "'- (' || x.kind || ') ' || x.note", "x.id", "x.repo = d.repo", ""),
+))
+
 SQL: dict[str, str] = {
     "normalize_path": f"SELECT page_id, {norm_path('url')} AS path FROM pages",
     "endpoint_key": with_views("routes", f"SELECT repo, {_ROUTE_KEY} AS key, count(*) AS n FROM routes GROUP BY ALL"),
@@ -148,42 +188,69 @@ SQL: dict[str, str] = {
     "consumed_flag": with_views("matched", f"SELECT DISTINCT repo, {_ROUTE_KEY} AS key, EXISTS (SELECT 1 FROM matched m WHERE m.repo = routes.repo AND m.match_kind <> 'none' AND {key('m.method', 'm.path')} = {key('routes.method', 'routes.path')}) AS consumed FROM routes"),
     "called_by_endpoint": with_views("matched", "SELECT repo, method, np AS path, string_agg(DISTINCT from_repo, ',' ORDER BY from_repo) AS callers FROM matched GROUP BY ALL"),
     "impact_endpoint_scoped": with_views("routes surf", f"SELECT DISTINCT from_repo, repo, key FROM (SELECT from_repo, repo, {_ROUTE_KEY} AS key FROM surf) SEMI JOIN (SELECT repo, {_ROUTE_KEY} AS key FROM routes) USING (repo, key)"),
+    "impact_of_endpoint": with_views("deps edges", "SELECT d.from_repo, d.confidence, u.endpoints, d.from_repo IN (SELECT node FROM near WHERE node <> 'p1') AS in_blast FROM deps d JOIN used u USING (from_repo) WHERE d.to_repo = 'p1' AND list_contains(string_split(u.endpoints, ','), 'GET /k1')", True, _walk("2") | {"used": "SELECT from_repo, string_agg(DISTINCT k, ',' ORDER BY k) AS endpoints FROM (SELECT from_repo, 'GET /k' || split_part(evidence, ':', 2) AS k FROM lines WHERE to_repo = 'p1') GROUP BY from_repo"}),
     "enclosing_span": with_views("sym", f"SELECT e.event_id AS id, {_ENCLOSED} AS qualified_name FROM events e JOIN spans s ON s.repo = 's' || (e.event_id % 50 + 1) AND s.base = 'F' || (e.event_id % 50) || '.java' AND CAST(e.event_id % 400 AS INTEGER) BETWEEN s.start_line AND s.end_line GROUP BY e.event_id", False, {"spans": _SPANS}),
     "call_graph": with_views("cg", "SELECT * FROM cg"),
-    "callgraph_reach": with_views("edges", "SELECT node, hops FROM near", True, _walk("3", True)),
-    "endpoint_fanout": with_views("cg", "SELECT repo, ep_key, target, key, min(hops) AS hops, round(greatest(0.4, 0.9 - 0.15 * min(hops)), 2)::DOUBLE AS confidence FROM reach JOIN sinks USING (repo, node) GROUP BY repo, ep_key, target, key", True, {
-        "spans": _SPANS,
-        "pts": "SELECT ord AS id, repo, split_part(file, '/', -1) AS base, start_line, end_line, 'GET /' || lower(replace(name, ' ', '-')) AS ep_key, 't' || (ord % 9) AS target, 'GET /k' || (ord % 5) AS key FROM sym",
-        "handlers": f"SELECT DISTINCT repo, ep_key, q AS node FROM (SELECT p.id, p.repo, p.ep_key, {_ENCLOSED} AS q FROM pts p JOIN spans s ON s.repo = p.repo AND s.base = p.base AND p.start_line BETWEEN s.start_line AND s.end_line GROUP BY ALL)",
-        "sinks": f"SELECT DISTINCT repo, q AS node, target, key FROM (SELECT p.id, p.repo, p.target, p.key, {_ENCLOSED} AS q FROM pts p JOIN spans s ON s.repo = p.repo AND s.base = p.base AND p.end_line BETWEEN s.start_line AND s.end_line GROUP BY ALL)",
-        "reach": "SELECT repo, ep_key, node, 0 AS hops FROM handlers UNION SELECT r.repo, r.ep_key, c.callee, r.hops + 1 FROM reach r JOIN cg c ON c.repo = r.repo AND c.caller = r.node WHERE r.hops < 2",
+    "callgraph_reach": with_views("edges", "SELECT node, hops FROM near", True, _walk("4", True)),
+    "callgraph_reach_whole": with_views("cg", "SELECT node, min(hops) AS hops FROM walk GROUP BY node", True, {
+        "steps": "SELECT repo || '/' || caller AS a, repo || '/' || callee AS b FROM cg",
+        "walk": "SELECT repo || '/' || qualified_name AS node, 0 AS hops FROM sym WHERE ord = 1 UNION SELECT s.b, w.hops + 1 FROM walk w JOIN steps s ON s.a = w.node WHERE w.hops < 4",
+    }),
+    "endpoint_fanout": with_views("cg", "SELECT repo, ep_key, target, key, hops, round(greatest(0.4, 0.9 - 0.15 * hops), 2)::DOUBLE AS confidence FROM fanned", True, FANNED),
+    "endpoint_fanout_whole": with_views("cg", "SELECT repo, ep_key, target, key, min(w.hops) AS hops, round(greatest(0.4, 0.9 - 0.15 * min(w.hops)), 2)::DOUBLE AS confidence, arg_min(array_to_string([split_part(x, '.', -1) FOR x IN w.path], '>'), struct_pack(h := w.hops, p := w.path)) AS via FROM walks w JOIN sinks USING (repo, node) GROUP BY repo, ep_key, target, key", True, FANNED | {
+        "level1": "SELECT repo, ep_key, c.callee AS node, 1 AS hops, min(list_append(w.path, c.callee)) AS path FROM level0 w JOIN cg c USING (repo) WHERE c.caller = w.node AND NOT EXISTS (SELECT 1 FROM level0 s WHERE s.repo = w.repo AND s.ep_key = w.ep_key AND s.node = c.callee) GROUP BY ALL",
+        **{f"level{k}": f"SELECT w.repo, w.ep_key, c.callee AS node, {k} AS hops, min(list_append(w.path, c.callee)) AS path FROM level{k - 1} w JOIN cg c ON c.repo = w.repo AND c.caller = w.node WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT repo, ep_key, node FROM level{j}' for j in range(k))}) s WHERE s.repo = w.repo AND s.ep_key = w.ep_key AND s.node = c.callee) GROUP BY ALL" for k in (2, 3, 4)},
+        "walks": " UNION ALL ".join(f"SELECT repo, ep_key, node, hops, path FROM level{k}" for k in range(5)),
     }),
+    "route_calls": with_views("cg", "SELECT row_number() OVER (ORDER BY split_part(ep_key, ' ', -1), split_part(ep_key, ' ', 1), hops, target, key) AS place, ep_key, target, key, hops FROM fanned WHERE repo = 's11'", True, FANNED),
+    "routes_with_calls": with_views("cg", "SELECT repo, ep_key, count(hops) AS n, coalesce(string_agg(hops || ' ' || target || ' ' || key, ',' ORDER BY hops, target, key), '') AS calls FROM (SELECT DISTINCT repo, ep_key FROM pts) LEFT JOIN fanned USING (repo, ep_key) GROUP BY repo, ep_key", True, FANNED),
     "dependencies_of": with_views("deps", "SELECT to_repo, confidence FROM deps WHERE from_repo = 'p1'"),
     "dependents_of": with_views("deps", "SELECT from_repo, confidence FROM deps WHERE to_repo = 'p1'"),
     "blast_radius_d3": with_views("edges", "SELECT node FROM near WHERE node <> 'p1'", True, _walk("2")),
     "blast_radius_d2": with_views("edges", "SELECT node FROM near WHERE node <> 'p1'", True, _walk("1")),
     "blast_by_hop": with_views("edges", "SELECT node, hops FROM near", True, _walk("12")),
     "affected_repos": with_views("deps", "SELECT repo, min(part) AS part FROM (SELECT 'p1' AS repo, 0 AS part UNION ALL SELECT from_repo, 1 FROM deps WHERE to_repo = 'p1' UNION ALL SELECT to_repo, 2 FROM deps WHERE from_repo = 'p1') GROUP BY repo"),
-    "graph_summary": with_views("deg", "SELECT count(*) AS nodes, CAST(sum(out_degree) AS BIGINT) AS edges, count(*) FILTER (in_degree = 0) AS orphans, (SELECT string_agg(node, ',' ORDER BY in_degree DESC, node) FROM (SELECT * FROM deg ORDER BY in_degree DESC, node LIMIT 5)) AS most_depended FROM deg"),
+    "graph_summary": with_views("deg", "SELECT count(*) AS nodes, CAST(sum(out_degree) AS BIGINT) AS edges, count(*) FILTER (in_degree = 0) AS orphans, (SELECT string_agg(node, ',' ORDER BY in_degree DESC, place) FROM (SELECT * FROM deg JOIN places USING (node) ORDER BY in_degree DESC, place LIMIT 5)) AS most_depended FROM deg", False, {"places": "SELECT node, min(place) AS place FROM (SELECT from_repo AS node, ord * 2 AS place FROM lines UNION ALL SELECT to_repo, ord * 2 + 1 FROM lines) GROUP BY node"}),
     "degree": with_views("deg", "SELECT * FROM deg"),
-    "orphans": with_views("deg", "SELECT node FROM deg WHERE in_degree = 0"),
+    "orphans": with_views("lines", "SELECT DISTINCT from_repo AS node FROM lines WHERE dep_type = 'kafka' AND from_repo NOT IN (SELECT to_repo FROM lines WHERE dep_type = 'kafka')"),
     "search_symbols": with_views("sym", "SELECT name, repo, file, start_line, qualified_name FROM sym WHERE name ILIKE '%Ring%' ORDER BY (name = 'Ring') DESC, length(name), name, repo, file, start_line, ord LIMIT 50"),
     "get_callers": "SELECT 'u' || user_id AS repo, 'F' || (event_id % 50) || '.java' AS file, CAST(event_id % 400 AS INTEGER) AS line, event_id AS ord FROM events WHERE event_type = 'click' ORDER BY repo, file, line, ord LIMIT 100",
     "symbols_for_repo": with_views("sym", "SELECT file, start_line, qualified_name FROM sym WHERE repo = 's11' AND kind = 'method' ORDER BY file, start_line, ord LIMIT 200"),
-    "cross_repo_call_sites": with_views("part_calls", "SELECT callee_name, repo, caller AS file, 1 AS line FROM part_calls WHERE repo <> 's11' AND callee_name IN (SELECT name FROM sym WHERE repo = 's11') GROUP BY ALL ORDER BY callee_name, repo, file LIMIT 25"),
+    "cross_repo_call_sites": with_views("part_calls", "SELECT callee_name, repo, caller AS file, CAST(length(caller) AS INTEGER) AS line FROM part_calls WHERE repo <> 's11' AND callee_name IN (SELECT name FROM sym WHERE repo = 's11') GROUP BY ALL ORDER BY callee_name, repo, file LIMIT 25"),
     "impact_report": with_views("deps edges", "SELECT *, n_blast > n_dependents AS transitive FROM (SELECT 'p1' AS repo, (SELECT count(*) FROM deps WHERE to_repo = 'p1') AS n_dependents, (SELECT count(*) FROM near WHERE node <> 'p1') AS n_blast, coalesce((SELECT string_agg(from_repo, ',' ORDER BY from_repo) FROM deps WHERE to_repo = 'p1'), '') AS dependents, coalesce((SELECT string_agg(node, ',' ORDER BY node) FROM near WHERE node <> 'p1'), '') AS blast, coalesce((SELECT string_agg(to_repo, ',' ORDER BY to_repo) FROM deps WHERE from_repo = 'p1' AND list_contains(type_list, 'kafka')), '') AS events)", True, _walk("2")),
     "events_emitted": with_views("deps", "SELECT from_repo, to_repo AS topic FROM deps WHERE list_contains(type_list, 'kafka')"),
     "snapshot_hash": with_views("deps sym", "SELECT repo, substring(sha256(string_agg(line, chr(10) ORDER BY part, line)), 1, 12) AS hash FROM (SELECT 'p' || ord AS repo, 0 AS part, qualified_name || '|' || signature AS line FROM sym UNION ALL SELECT from_repo, 1, '->' || to_repo || ':[' || array_to_string(['\"' || t || '\"' FOR t IN type_list], ', ') || ']' FROM deps) GROUP BY repo"),
-    "recall_memory": "SELECT conv_id, turn, text AS note FROM conversations WHERE role = 'user'",
+    "recall_memory": f"SELECT id, note FROM ({NOTES}) WHERE repo = 'c3' AND kind = 'gotcha'",
+    "remember_notes": f"SELECT id, repo, kind FROM ({NOTES}) WHERE kind = 'gotcha' UNION ALL SELECT (SELECT max(id) FROM ({NOTES}) WHERE kind = 'gotcha') + row_number() OVER (ORDER BY id), repo, 'note' FROM ({NOTES}) WHERE kind <> 'gotcha'",
+    "forget_notes": f"SELECT id, kind FROM ({NOTES}) WHERE id % 7 <> 0",
     "alias_replace_keep_manual": with_views("aliases", "SELECT * FROM (SELECT repo, alias, source FROM olds o WHERE NOT EXISTS (SELECT 1 FROM news n WHERE n.repo = o.repo AND n.alias = o.alias) AND source = 'manual' UNION ALL SELECT * FROM news)", False, {"olds": "SELECT DISTINCT repo, alias, CASE WHEN ord % 6 < 2 THEN 'manual' ELSE source END AS source FROM aliases", "news": "SELECT DISTINCT repo, alias, source FROM aliases WHERE source = 'package'"}),
     "dependency_upsert": with_views("deps", "SELECT from_repo, to_repo, confidence, tier FROM deps d WHERE NOT EXISTS (SELECT 1 FROM news n WHERE n.from_repo = d.from_repo AND n.to_repo = d.to_repo) UNION ALL SELECT * FROM news", False, {"news": "SELECT from_repo, to_repo, min(confidence) AS confidence, 'config' AS tier FROM lines GROUP BY ALL HAVING min(confidence) >= 0.7"}),
     "confidence_labels": with_views("deps", "SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label, count(*) AS n FROM deps GROUP BY ALL"),
     "ui_nodes": with_views("refs", "SELECT node, node NOT IN (SELECT word FROM pg) AS external, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT from_repo AS node, 0 AS i, 1 AS o FROM pairs UNION ALL SELECT to_repo, 1, 0 FROM pairs) GROUP BY node", False, {"pairs": "SELECT DISTINCT from_repo, to_repo FROM refs"}),
     "ui_edges": with_views("deps", "SELECT from_repo, to_repo, types, round(confidence, 2) AS confidence, types = 'import' AS import_only, tier FROM deps"),
-    "visible_graph": with_views("refs", "SELECT from_repo, to_repo, confidence, false AS import_only FROM refs WHERE confidence >= 0.2 AND dep_type <> 'import' AND from_repo IN (SELECT url FROM pg UNION SELECT word FROM pg) AND to_repo IN (SELECT url FROM pg UNION SELECT word FROM pg)"),
+    "visible_graph": with_views("surf", "SELECT * FROM shown WHERE confidence >= 0.2 AND from_repo IN (SELECT node FROM known) AND to_repo IN (SELECT node FROM known)", False, SEEN),
+    "visible_neighbours": with_views("surf", "SELECT from_repo, to_repo, count(*) AS n FROM strong WHERE from_repo IN (SELECT node FROM near) AND to_repo IN (SELECT node FROM near) GROUP BY ALL", False, SEEN | {"strong": "SELECT * FROM shown WHERE confidence >= 0.5", "near": "SELECT 'front2' AS node UNION SELECT from_repo FROM strong WHERE to_repo = 'front2' UNION SELECT to_repo FROM strong WHERE from_repo = 'front2'"}),
+    "visible_nodes": with_views("surf", "SELECT node, node NOT IN (SELECT node FROM known) AS external, contains(lower(node), 'ion') AS found FROM ends WHERE node IN (SELECT node FROM known) OR node IN (SELECT from_repo FROM strong UNION SELECT to_repo FROM strong)", False, SEEN | {"strong": "SELECT * FROM shown WHERE confidence >= 0.8"}),
+    "neighbourhood": with_views("edges", "SELECT 'p1' AS node UNION SELECT from_repo FROM edges WHERE to_repo = 'p1' UNION SELECT to_repo FROM edges WHERE from_repo = 'p1'"),
+    "aliases_of_repo": with_views("aliases", "SELECT alias, raw, source, confidence FROM aliases WHERE repo = 'tionsh'"),
+    "aliases_by_repo": with_views("aliases", "SELECT repo, string_agg(source || ':' || alias, ',' ORDER BY ord) AS names FROM aliases GROUP BY repo"),
+    "alias_remove": with_views("aliases", f"SELECT repo, alias, raw, ord FROM aliases a WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.repo = a.repo AND (g.name = a.raw OR g.norm = a.alias))", False, {"gone": f"SELECT repo, name, {identity('name')} AS norm FROM (SELECT DISTINCT word AS repo, CASE WHEN page_id % 2 = 0 THEN word || '-service' ELSE host END AS name FROM pg WHERE page_id % 3 = 0)"}),
+    "repos_by_name": "SELECT DISTINCT 'p' || p_partkey AS name, '/repos/' || p_brand AS path FROM part",
+    "routes_of_repo": with_views("routes", "SELECT path, method, framework, file, line FROM routes WHERE repo = 'tionsh'"),
+    "export_round_trip": with_views("deps", "SELECT from_repo, to_repo, types, confidence, evidence, tier FROM deps"),
+    "export_evidence": with_views("lines", "SELECT to_repo, split_part(evidence, ':', 1) AS file, CAST(split_part(evidence, ':', 2) AS INTEGER) AS line FROM lines WHERE from_repo = 'p1'"),
+    "export_summary": with_views("deps deg", "SELECT (SELECT count(*) FROM deps) AS total_deps, (SELECT count(*) FROM deps WHERE confidence >= 0.8) AS high_confidence, (SELECT string_agg(node, ',' ORDER BY in_degree DESC, node) FROM (SELECT * FROM deg ORDER BY in_degree DESC, node LIMIT 5)) AS services_called"),
+    "group_map": with_views("deps", "SELECT from_repo, string_agg(to_repo || ' ' || CAST(round(confidence * 100) AS INTEGER) || '%', ', ' ORDER BY to_repo) AS targets FROM deps GROUP BY from_repo"),
+    "interfaces_manifest": with_views("matched", f"SELECT coalesce(g.repo, t.repo) AS repo, coalesce(provides, '') AS provides, coalesce(consumes, '') AS consumes FROM (SELECT repo, string_agg(DISTINCT {_ROUTE_KEY}, ',' ORDER BY {_ROUTE_KEY}) AS provides FROM routes GROUP BY repo) g FULL JOIN (SELECT from_repo AS repo, string_agg(DISTINCT repo || ' ' || {_ROUTE_KEY}, ',' ORDER BY repo || ' ' || {_ROUTE_KEY}) AS consumes FROM matched GROUP BY from_repo) t ON g.repo = t.repo"),
+    "scan_summary": with_views("matched", "SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, (SELECT count(*) FROM matched) AS calls, (SELECT count(*) FROM matched WHERE match_kind <> 'none') AS matched, (SELECT string_agg(node, ',' ORDER BY i DESC, node) FROM (SELECT * FROM d ORDER BY i DESC, node LIMIT 3)) AS most_depended, (SELECT string_agg(node, ',' ORDER BY node) FROM (SELECT * FROM d WHERE i = 0 ORDER BY node LIMIT 3)) AS orphans FROM d", False, {"d": "SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT from_repo AS node, 0 AS i, 1 AS o FROM (SELECT DISTINCT from_repo, repo FROM surf) UNION ALL SELECT repo, 1, 0 FROM (SELECT DISTINCT from_repo, repo FROM surf)) GROUP BY node"}),
+    "top_targets": with_views("deps", "SELECT from_repo, to_repo, confidence FROM (SELECT *, row_number() OVER (PARTITION BY from_repo ORDER BY confidence DESC, to_repo) AS k FROM deps) WHERE k <= 3"),
+    "skill_descriptions": with_views("deps sym", "SELECT * FROM described", False, SKILLS),
+    "skill_registry": with_views("deps sym", "SELECT d.repo, v.version, 'java' AS languages FROM described d LEFT JOIN versions v USING (repo)", False, SKILLS),
+    "skill_documents": with_views("deps sym", f"SELECT d.repo, {DOCUMENT} AS document FROM described d LEFT JOIN versions v USING (repo)", False, SKILLS | {"pnotes": f"SELECT * REPLACE ('p' || (id % 97) AS repo) FROM ({NOTES})"}),
+    "ui_payload": with_views("surf aliases routes", f"SELECT e.node, CASE WHEN e.node IN (SELECT word FROM pg) THEN 'false' ELSE 'true' END AS external, (SELECT count(DISTINCT from_repo) FROM between b WHERE b.to_repo = e.node) AS in_degree, (SELECT arg_min(alias, ord) FROM aliases a WHERE a.repo = e.node) AS alias, (SELECT min({_ROUTE_KEY}) FROM routes r WHERE r.repo = e.node) AS endpoint FROM ends e", False, SEEN),
     "skill_metadata": with_views("deps", "SELECT 'p' || p_partkey AS repo, 'p' || p_partkey AS slug, coalesce(callees, '') AS callees FROM part LEFT JOIN (SELECT from_repo, string_agg(to_repo, ', ' ORDER BY confidence DESC, to_repo) AS callees FROM (SELECT *, row_number() OVER (PARTITION BY from_repo ORDER BY confidence DESC, to_repo) AS k FROM deps) WHERE k <= 3 GROUP BY from_repo) ON from_repo = 'p' || p_partkey"),
     "languages": with_views("sym", "SELECT repo, 'java' AS languages FROM sym GROUP BY repo"),
     "evidence_parse": with_views("lines", "SELECT DISTINCT evidence, split_part(evidence, ':', 1) AS file, CAST(split_part(evidence, ':', 2) AS INTEGER) AS line FROM lines"),
     "import_only_filter": with_views("deps", "SELECT from_repo, to_repo FROM deps WHERE types <> 'import'"),
-    "fuzzy_cross_resolve": with_views("refs", "SELECT DISTINCT to_repo, w AS repo FROM (SELECT to_repo, unnest(regexp_extract_all(lower(to_repo), '[a-z]+')) AS w FROM (SELECT DISTINCT to_repo FROM refs)) WHERE w IN (SELECT word FROM pg)"),
+    "fuzzy_cross_resolve": with_views("refs", "SELECT r.ord, coalesce(f.repo, r.to_repo) AS to_repo, CASE WHEN f.repo IS NULL THEN r.confidence ELSE least(1.0::DOUBLE, r.confidence + 0.2::DOUBLE) END AS confidence FROM refs r LEFT JOIN (SELECT n.to_repo, min(w.word) AS repo FROM (SELECT DISTINCT to_repo, replace(replace(lower(to_repo), '-', ''), '_', '') AS bare FROM refs) n JOIN (SELECT DISTINCT word FROM pg WHERE word <> '') w ON contains(n.bare, w.word) OR contains(w.word, n.bare) GROUP BY n.to_repo) f USING (to_repo)"),
 }

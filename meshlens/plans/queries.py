@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.functions import predicates as R
-from meshlens.operators import fanout, lookups, reconcile, resolve, store, surfaces, traversal
+from meshlens.operators import exports, fanout, lookups, memory, reconcile, resolve, skills, store, surfaces, traversal
 from meshlens.plans import workload as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,9 +208,18 @@ def called_by_endpoint(spark, sf):
 @query
 def impact_endpoint_scoped(spark, sf):
     """Direct dependents of each repository that use exactly one of its keys."""
-    keyed = W.surfaces(spark, sf).select("from_repo", "repo", P.endpoint_key(F.col("method"), F.col("path")).alias("key"))
+    used = lookups.endpoint_users(W.surfaces(spark, sf)).select("from_repo", "repo", F.explode("endpoints").alias("key"))
     served = W.routes(spark, sf).select("repo", P.endpoint_key(F.col("method"), F.col("path")).alias("key")).distinct()
-    return keyed.join(served, ["repo", "key"], "left_semi").distinct()
+    return used.join(served, ["repo", "key"], "left_semi").distinct()
+
+
+@query
+def impact_of_endpoint(spark, sf):
+    """The dependents of the part START with the keys they use, those that use GET /k1 alone."""
+    deps = W.dependencies(spark, sf)
+    used = deps.select("from_repo", F.col("to_repo").alias("repo"), F.lit("GET").alias("method"), F.explode(F.transform("evidence", lambda e: F.concat(F.lit("/k"), F.substring_index(e, ":", -1)))).alias("path"))
+    got = lookups.impact_of_endpoint(W.edges(spark, sf), deps, used, START, "get /k1")
+    return got.select("from_repo", "confidence", F.array_join("endpoints", ",").alias("endpoints"), "in_blast")
 
 
 @query
@@ -226,29 +235,40 @@ def call_graph(spark, sf):
 
 @query
 def callgraph_reach(spark, sf):
-    return traversal.reached(W.edges(spark, sf), _start(spark), 3, forward=True).select("node", "hops")
-
-
-@query
-def endpoint_fanout(spark, sf):
-    got = fanout.endpoint_fanout(W.part_routes(spark, sf), W.symbols(spark, sf), W.part_calls(spark, sf), W.part_surfaces(spark, sf), 2)
-    return got.select("repo", "ep_key", "target", "key", "hops", "confidence")
+    return traversal.reached(W.edges(spark, sf), _start(spark), 4, forward=True).select("node", "hops")
 
 
 @query
 def callgraph_reach_whole(spark, sf):
-    """START's symbol and what it reaches in the call graph in up to 4 calls, the reference's depth. Without SQL."""
+    """START's symbol and what it reaches in the call graph in up to 4 calls."""
     node = lambda name: F.concat_ws("/", "repo", name)
     graph = fanout.call_graph(W.symbols(spark, sf), W.part_calls(spark, sf)).select(node("caller").alias("from_repo"), node("callee").alias("to_repo"))
     start = W.symbols(spark, sf).where(F.concat(F.lit("p"), "ord") == START).select(node("qualified_name").alias("origin"))
     return traversal.reached(graph, start, 4, forward=True).select("node", "hops")
 
 
+@query
+def endpoint_fanout(spark, sf):
+    return W.fanned(spark, sf).select("repo", "ep_key", "target", "key", "hops", "confidence")
+
+
 @query
 def endpoint_fanout_whole(spark, sf):
-    """As endpoint_fanout, in up to 4 calls, the reference's depth. Without SQL."""
-    got = fanout.endpoint_fanout(W.part_routes(spark, sf), W.symbols(spark, sf), W.part_calls(spark, sf), W.part_surfaces(spark, sf))
-    return got.select("repo", "ep_key", "target", "key", "hops", "confidence")
+    """As endpoint_fanout, with the shortest path, of equally short ones the first by names."""
+    return W.fanned(spark, sf).select("repo", "ep_key", "target", "key", "hops", "confidence", F.array_join("via", ">").alias("via"))
+
+
+@query
+def route_calls(spark, sf):
+    """The stored fan-out of one repository, in the order of its display."""
+    got = fanout.route_calls(W.fanned(spark, sf), "s11")
+    return got.select(F.row_number().over(Window.orderBy(F.substring_index("ep_key", " ", -1), F.substring_index("ep_key", " ", 1), "hops", "target", "key")).alias("place"), "ep_key", "target", "key", "hops")
+
+
+@query
+def routes_with_calls(spark, sf):
+    got = fanout.routes_with_calls(W.part_routes(spark, sf), W.fanned(spark, sf))
+    return got.select("repo", "ep_key", F.size("calls").cast("long").alias("n"), F.array_join(F.transform("calls", lambda c: F.concat_ws(" ", c["hops"], c["target"], c["key"])), ",").alias("calls"))
 
 
 @query
@@ -285,7 +305,7 @@ def affected_repos(spark, sf):
 
 @query
 def graph_summary(spark, sf):
-    return traversal.summary(W.edges(spark, sf))
+    return traversal.summary(W.lines(spark, sf))
 
 
 @query
@@ -295,7 +315,8 @@ def degree(spark, sf):
 
 @query
 def orphans(spark, sf):
-    return traversal.degrees(W.edges(spark, sf)).where("in_degree = 0").select("node")
+    """Nodes that no message reaches, among the messages' senders and topics."""
+    return traversal.degrees(W.lines(spark, sf).where("dep_type = 'kafka'")).where("in_degree = 0").select("node")
 
 
 @query
@@ -315,7 +336,7 @@ def symbols_for_repo(spark, sf):
 
 @query
 def cross_repo_call_sites(spark, sf):
-    calls = W.part_calls(spark, sf).select("repo", F.col("caller").alias("file"), "callee_name", F.lit(1).alias("line"))
+    calls = W.part_calls(spark, sf).select("repo", F.col("caller").alias("file"), "callee_name", F.length("caller").alias("line"))
     return lookups.cross_repo_call_sites(W.symbols(spark, sf), calls, "s11")
 
 
@@ -337,7 +358,20 @@ def snapshot_hash(spark, sf):
 
 @query
 def recall_memory(spark, sf):
-    return W.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("note"))
+    return memory.recall(W.notes(spark, sf), "c3", "gotcha").select("id", "note")
+
+
+@query
+def remember_notes(spark, sf):
+    """Users' turns are there; the others' come behind them, of no known kind."""
+    rows = W.notes(spark, sf)
+    new = rows.where("kind <> 'gotcha'").withColumn("at", F.col("id"))
+    return memory.remember(rows.where("kind = 'gotcha'"), new.drop("id"), "at").select("id", "repo", "kind")
+
+
+@query
+def forget_notes(spark, sf):
+    return memory.forget(W.notes(spark, sf), W.notes(spark, sf).where("id % 7 = 0").select("id")).select("id", "kind")
 
 
 @query
@@ -369,13 +403,128 @@ def ui_edges(spark, sf):
     return lookups.ui_edges(W.dependencies(spark, sf))
 
 
+def _seen(spark, sf):
+    nodes = lookups.ui_nodes(W.calls_between(spark, sf), W.pages(spark, sf).select(F.col("word").alias("name")).union(spark.createDataFrame([("front0",), ("front1",)], "name string")))
+    return W.calls_between(spark, sf), nodes
+
+
 @query
 def visible_graph(spark, sf):
-    edges = W.references(spark, sf).select("from_repo", "to_repo", "confidence", (F.col("dep_types")[0] == "import").alias("import_only"))
-    nodes = lookups.ui_nodes(W.references(spark, sf).select("from_repo", "to_repo"), W.pages(spark, sf).select(F.col("url").alias("name")).union(W.pages(spark, sf).select("word")))
+    edges, nodes = _seen(spark, sf)
     return lookups.visible_graph(edges, nodes, 0.2, external=False)
 
 
+@query
+def visible_neighbours(spark, sf):
+    """Edges within the neighbourhood of one repository, imports and weak ones left out."""
+    edges, nodes = _seen(spark, sf)
+    return lookups.visible_graph(edges, nodes, 0.5, focus="front2").groupBy("from_repo", "to_repo").agg(F.count("*").alias("n"))
+
+
+@query
+def visible_nodes(spark, sf):
+    edges, nodes = _seen(spark, sf)
+    return lookups.visible_nodes(lookups.visible_graph(edges, nodes, 0.8), nodes, " ION").select("node", "external", "found")
+
+
+@query
+def neighbourhood(spark, sf):
+    return lookups.neighbourhood(W.edges(spark, sf), START)
+
+
+@query
+def aliases_of_repo(spark, sf):
+    return lookups.aliases_of(W.aliases(spark, sf), "tionsh").select("alias", "raw", "source", "confidence")
+
+
+@query
+def aliases_by_repo(spark, sf):
+    return lookups.aliases_by_repo(W.aliases(spark, sf)).select("repo", F.array_join(F.transform("names", lambda n: F.concat_ws(":", n["source"], n["alias"])), ",").alias("names"))
+
+
+@query
+def alias_remove(spark, sf):
+    """Every word loses the alias of its name with -service, and its host's by the raw value on some pages."""
+    gone = W.pages(spark, sf).select(F.col("word").alias("repo"), F.when(F.col("page_id") % 2 == 0, F.concat("word", F.lit("-service"))).otherwise(F.col("host")).alias("name")).where("page_id % 3 = 0").distinct()
+    return store.remove_aliases(W.aliases(spark, sf), gone).select("repo", "alias", "raw", "ord")
+
+
+@query
+def repos_by_name(spark, sf):
+    return lookups.repos_by_name(W.repos(spark, sf))
+
+
+@query
+def routes_of_repo(spark, sf):
+    return lookups.routes_of(W.routes(spark, sf), "tionsh").select("path", "method", "framework", "file", "line")
+
+
+@query
+def export_round_trip(spark, sf):
+    """Dependencies as lines of JSON and back."""
+    text = exports.export_rows(W.dependencies(spark, sf)).select(F.to_json(F.struct("*")).alias("line"))
+    rows = text.select(F.from_json("line", exports.EXPORT).alias("r")).select("r.*")
+    return _flat(exports.as_dependencies(rows))
+
+
+@query
+def export_evidence(spark, sf):
+    rows = exports.export_rows(W.dependencies(spark, sf), START)
+    return rows.select("to_repo", F.explode("evidence").alias("e")).select("to_repo", "e.file", "e.line")
+
+
+@query
+def export_summary(spark, sf):
+    return exports.export_summary(W.dependencies(spark, sf))
+
+
+@query
+def group_map(spark, sf):
+    return exports.group_map(W.dependencies(spark, sf))
+
+
+@query
+def interfaces_manifest(spark, sf):
+    got = exports.interfaces(W.routes(spark, sf), _matched(spark, sf))
+    return got.select("repo", F.array_join("provides", ",").alias("provides"), F.array_join("consumes", ",").alias("consumes"))
+
+
+@query
+def scan_summary(spark, sf):
+    return exports.scan_summary(W.calls_between(spark, sf), _matched(spark, sf))
+
+
+@query
+def top_targets(spark, sf):
+    return fanout.top_rows(W.dependencies(spark, sf).select("from_repo", "to_repo", "confidence"), 3, F.desc("confidence"), "to_repo", per=["from_repo"])
+
+
+@query
+def skill_descriptions(spark, sf):
+    return skills.descriptions(W.dependencies(spark, sf), W.repos(spark, sf))
+
+
+@query
+def skill_registry(spark, sf):
+    return skills.registry(W.dependencies(spark, sf), W.repos(spark, sf), W.part_symbols(spark, sf)).select("repo", "version", "languages")
+
+
+@query
+def skill_documents(spark, sf):
+    notes = W.notes(spark, sf).withColumn("repo", F.concat(F.lit("p"), F.col("id") % 97))
+    return skills.documents(W.dependencies(spark, sf), W.repos(spark, sf), W.part_symbols(spark, sf), notes)
+
+
+@query
+def ui_payload(spark, sf):
+    """One JSON object a node, taken apart again for the comparison."""
+    words = W.pages(spark, sf).select(F.col("word").alias("name")).distinct()
+    routes = W.routes(spark, sf).select("repo", P.endpoint_key(F.col("method"), F.col("path")).alias("ep_key")).distinct().withColumn("calls", F.array().cast("array<int>"))
+    payload = lookups.ui_payload(W.calls_between(spark, sf), words, W.aliases(spark, sf), routes)
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return payload.select("node", field("external").alias("external"), field("in_degree").cast("long").alias("in_degree"), field("names[0].alias").alias("alias"), field("provides[0].ep_key").alias("endpoint"))
+
+
 @query
 def skill_metadata(spark, sf):
     return lookups.skill_metadata(W.dependencies(spark, sf), W.repos(spark, sf))
@@ -399,7 +548,6 @@ def import_only_filter(spark, sf):
 
 @query
 def fuzzy_cross_resolve(spark, sf):
-    """References whose text contains a repository's word or the other way round, candidates from shared tokens."""
-    words = W.pages(spark, sf).select("word").distinct()
-    refs = W.references(spark, sf).select("to_repo").distinct().withColumn("word", F.explode(F.regexp_extract_all(F.lower("to_repo"), F.lit("([a-z]+)"), 1)))
-    return refs.join(words, "word").select("to_repo", F.col("word").alias("repo")).distinct()
+    """References whose name holds a repository's or lies within it, both without hyphens and underscores: bound to the first
+    such repository by name, 0.2 more confident."""
+    return reconcile.contained_names(W.references(spark, sf).select("to_repo", "confidence", "ord"), W.pages(spark, sf).select(F.col("word").alias("repo")).distinct())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshlens.functions import identity as I
 from meshlens.functions import paths as P
+from meshlens.operators.fanout import endpoint_fanout
 from meshlens.operators.resolve import resolve
 
 
@@ -122,6 +123,29 @@ def part_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols(spark, sf_dir).select("repo", F.concat(F.lit("t"), F.col("ord") % 9).alias("target"), F.concat(F.lit("GET /k"), F.col("ord") % 5).alias("key"), "file", F.col("end_line").alias("line"))
 
 
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as notes on one of ten repositories; roles are kinds that nobody knows, but for the user's."""
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.lit("c"), F.col("conv_id") % 10).alias("repo"),
+        F.when(F.col("role") == "user", "gotcha").otherwise(F.col("role")).alias("kind"), F.col("text").alias("note"), F.lit("").alias("created_at"),
+    )
+
+
+def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' methods, each in its part's own repository."""
+    return symbols(spark, sf_dir).withColumn("repo", F.concat(F.lit("p"), "ord"))
+
+
+def fanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endpoint_fanout(part_routes(spark, sf_dir), symbols(spark, sf_dir), part_calls(spark, sf_dir), part_surfaces(spark, sf_dir))
+
+
+def calls_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who calls whom among the pages' words, as dependencies with a confidence."""
+    rows = surfaces(spark, sf_dir)
+    return rows.select("from_repo", F.col("repo").alias("to_repo"), ((F.col("id") % 10) / 10.0).alias("confidence"), (F.col("id") % 3 == 0).alias("import_only"))
+
+
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned repositories: the parts that are in stock, every one of the table."""
     return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.concat(F.lit("/repos/"), "p_brand").alias("path"))
