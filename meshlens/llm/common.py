@@ -59,9 +59,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v", rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node reachable.
 
+    With a number of rounds it may stop early: root is then a smaller node of the same component, if a round found
+    one, and nodes that it found none for aren't in the result.
+
     Alternating large-star and small-star rounds: each round is two aggregations and two joins,
     the table of edges never grows beyond its first size, and the number of rounds grows with the
     logarithm of the longest chain. Nodes without a link aren't in the result.
@@ -79,9 +82,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, u: str = "u", v: st
             .union(low.select("a", F.col("root").alias("b"))).where("a <> b").distinct()
         )
         new = scratch.cut(small)
-        seen = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        seen = None if rounds == 1 else new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(e, least, large)
         e = new
+        if rounds == 1:
+            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        rounds = rounds and rounds - 1
         if (seen.n, seen.h) == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
         last = (seen.n, seen.h)

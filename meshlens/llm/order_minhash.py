@@ -20,6 +20,7 @@ and only texts that nothing tells apart are compared in tiles.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from meshlens.llm.common import Scratch, by_group, connected_components
 
 SHINGLE, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 16, 3
-TILE, TILE_SHINGLES, COUNTERS, SETTLED = 1024, 500_000, 1 << 18, 0.1
+TILE, TILE_SHINGLES, COUNTERS, SETTLED = 1024, 500_000, 1 << 17, 0.1
 TOP = np.uint64(2**64 - 1)
 _WORD = re.compile(r"\w+")
 
@@ -341,8 +342,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
             rest = rest.drop("last").join(mixed.select("key", "lead"), "key")
             pairs = rest.where("root <> lead.root").select(F.col("fp").alias("u"), F.col("lead.fp").alias("v"), F.col("root").alias("ru"), F.col("lead.root").alias("rv")).distinct()
             both = pairs.join(shingles.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(shingles.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-            found.append(connected_components(scratch.cut(both.mapInPandas(_verify, "ru binary, rv binary")), scratch, "ru", "rv"))
-            rest = scratch.cut(renamed(rest.select("key", "fp", "n", "weight", "root", F.struct("lead.weight", "lead.fp").alias("last")), found[-1]))
+            links = scratch.cut(both.mapInPandas(_verify, "ru binary, rv binary"))
+            # one round of the components joins a leader's star; what it doesn't join stays apart until the end
+            names = scratch.cut(connected_components(links, scratch, "ru", "rv", rounds=1))
+            found.extend([links, names.select(F.col("node").alias("ru"), F.col("root").alias("rv"))])
+            rest = scratch.cut(renamed(rest.select("key", "fp", "n", "weight", "root", F.struct("lead.weight", "lead.fp").alias("last")), names))
 
     rest, mixed = rounds(rest)
     if mixed is not None:
@@ -354,11 +358,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
         left = left.withColumns({"tile": F.expr("cast(pmod(xxhash64(fp), tiles) as int)"), "other": F.explode(F.expr("sequence(0, tiles - 1)"))})
         left = left.select("key", "fp", "root", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb")).join(nodes, "fp").join(shingles, "fp")
         links = by_group(left.withColumn("pair", F.xxhash64("key", "ta", "tb")), "pair", tile_links, "ru binary, rv binary")
-        found.append(connected_components(scratch.cut(links), scratch, "ru", "rv"))
+        found.append(scratch.cut(links))
 
     ids = sketched.select("doc_id", "fp", "n", F.when(F.col("fp") != F.unhex(F.md5(F.lit(""))), F.col("fp")).alias("root"))
-    for names in found:
-        ids = renamed(ids, names)
+    if found:
+        ids = renamed(ids, connected_components(functools.reduce(DataFrame.unionByName, found), scratch, "ru", "rv"))
     ids = scratch.cut(ids)
     sizes = scratch.cut(ids.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     out = ids.join(sizes, "root", "left")

@@ -54,7 +54,7 @@ class Decoder:
 class Lattice:
     """The model's pieces, and the segmentations of chunks. Ids are little-endian unsigned 16-bit integers."""
 
-    def __init__(self, model_file: str, most_chunks: int = 700_000, most_ids: int = 16_000_000):
+    def __init__(self, model_file: str, most_chunks: int = 400_000, most_ids: int = 16_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)

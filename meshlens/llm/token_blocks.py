@@ -100,7 +100,7 @@ class Encoder:
     directly, in the letters that its normaliser and pre-tokenizer make of each letter. Texts for files with other
     settings go through the library whole."""
 
-    def __init__(self, path: str, most_stretches: int = 1_000_000, most_ids: int = 16_000_000):
+    def __init__(self, path: str, most_stretches: int = 800_000, most_ids: int = 16_000_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
