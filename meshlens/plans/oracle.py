@@ -157,6 +157,13 @@ DOCUMENT = "'---' || chr(10) || 'name: ' || d.slug || chr(10) || 'description: '
     _section("Notes", "pnotes x", "'- (' || x.kind || ') ' || x.note", "x.id", "x.repo = d.repo", ""),
 ))
 
+
+def _code(sql: str, extra: dict[str, str] | None = None) -> str:
+    """Facts of the source files that workload.code_files makes of the pages: the lines are those of its templates."""
+    path = "CASE page_id % 3 WHEN 0 THEN 'src/C' || page_id || '.java' WHEN 1 THEN 'app/p' || page_id || '.py' ELSE 'web/t' || page_id || '.ts' END"
+    return with_views("pg", sql, False, {"code": f"SELECT * EXCLUDE (path), page_id % 3 AS k, 'r' || (page_id % 20) AS repo, {path} AS path FROM pg"} | (extra or {}))
+
+
 SQL: dict[str, str] = {
     "normalize_path": f"SELECT page_id, {norm_path('url')} AS path FROM pages",
     "endpoint_key": with_views("routes", f"SELECT repo, {_ROUTE_KEY} AS key, count(*) AS n FROM routes GROUP BY ALL"),
@@ -253,4 +260,18 @@ SQL: dict[str, str] = {
     "evidence_parse": with_views("lines", "SELECT DISTINCT evidence, split_part(evidence, ':', 1) AS file, CAST(split_part(evidence, ':', 2) AS INTEGER) AS line FROM lines"),
     "import_only_filter": with_views("deps", "SELECT from_repo, to_repo FROM deps WHERE types <> 'import'"),
     "fuzzy_cross_resolve": with_views("refs", "SELECT r.ord, coalesce(f.repo, r.to_repo) AS to_repo, CASE WHEN f.repo IS NULL THEN r.confidence ELSE least(1.0::DOUBLE, r.confidence + 0.2::DOUBLE) END AS confidence FROM refs r LEFT JOIN (SELECT n.to_repo, min(w.word) AS repo FROM (SELECT DISTINCT to_repo, replace(replace(lower(to_repo), '-', ''), '_', '') AS bare FROM refs) n JOIN (SELECT DISTINCT word FROM pg WHERE word <> '') w ON contains(n.bare, w.word) OR contains(w.word, n.bare) GROUP BY n.to_repo) f USING (to_repo)"),
+    "code_statements": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{lang}' AS language, CAST(line AS INTEGER) AS line, (SELECT count(*) FROM pages WHERE page_id % 3 = {k}) AS n, line IN ({more}) AS goes_on FROM (SELECT unnest([{kept}]) AS line)" for lang, k, kept, more in (("java", 0, "1, 2, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29", "10, 14, 15, 22, 26"), ("python", 1, "1, 2, 3, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18", "10"), ("typescript", 2, "1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18", "1, 11"))) + ") WHERE n > 0",
+    "code_imports": _code("SELECT repo, path, 2 AS line, 'com.' || word || '.Client' AS module FROM code WHERE k = 0 UNION ALL SELECT repo, path, 1, unnest(['os', 'sys']) FROM code WHERE k = 1 UNION ALL SELECT repo, path, 2, word || '.models' FROM code WHERE k = 1 UNION ALL SELECT repo, path, 1, word || '-sdk' FROM code WHERE k = 2"),
+    "code_http_calls": _code("SELECT repo, path, 14 AS line, 'GET' AS method, 'https://' || host || '/a/' || page_id AS target, 1.0::DOUBLE AS confidence, 'call-site' AS tier FROM code WHERE k = 0 UNION ALL SELECT repo, path, 10, 'GET', '$ENV:' || word || '_URL/b/' || page_id, 0.7::DOUBLE, 'call-site' FROM code WHERE k = 1 UNION ALL SELECT repo, path, 8, 'PUT', 'https://' || host || '/d/' || page_id, 1.0::DOUBLE, 'call-site' FROM code WHERE k = 2"),
+    "code_wrapped_axios": _code("SELECT repo, path, 7 AS line, 'GET' AS method, 'https://' || host || '/c/' || page_id AS target FROM code WHERE k = 2"),
+    "code_soap_calls": _code("SELECT repo, path, 21 AS line, 'http://' || host || '/soap/' || page_id AS target FROM code WHERE k = 0"),
+    "code_web_client_calls": _code("SELECT repo, path, 22 AS line, 'GET' AS method, '/w/' || page_id AS target_path FROM code WHERE k = 0"),
+    "code_messages": _code("SELECT repo, path, 14 AS line, 'topic.' || word AS target, 'kafka' AS dep_type FROM code WHERE k = 1"),
+    "code_feign_clients": _code("SELECT repo, path, 26 AS line, word || '-client' AS target FROM code WHERE k = 0"),
+    "code_routes": _code("SELECT repo, path, 10 AS line, 'GET' AS method, '/v' || (page_id % 5) || '/' || word || '/' || page_id AS route, 'spring' AS framework FROM code WHERE k = 0 UNION ALL SELECT repo, path, 18, 'POST', '/v' || (page_id % 5) || '/add', 'spring' FROM code WHERE k = 0 UNION ALL SELECT repo, path, 16, unnest(['GET', 'POST']), '/r/' || page_id, 'flask' FROM code WHERE k = 1 UNION ALL SELECT repo, path, 11, 'POST', '/e/' || page_id, 'express' FROM code WHERE k = 2 UNION ALL SELECT repo, path, 15, 'GET', '/k' || page_id || '/:key', 'nestjs' FROM code WHERE k = 2"),
+    "code_symbols": _code("SELECT repo, path AS file, f.kind, replace(f.name, '#', CAST(page_id AS VARCHAR)) AS qualified_name, replace(f.signature, '#', CAST(page_id AS VARCHAR)) AS signature, f.s AS start_line, f.e AS end_line FROM code JOIN facts f USING (k)", {"facts": "SELECT * FROM (VALUES (0, 'class', 'C#', 'public class C#', 8, 25), (0, 'method', 'C#.one', 'public String one(String x)', 12, 17), (0, 'method', 'C#.add', 'public void add(String x) throws IOException', 19, 24), (0, 'interface', 'F#', 'interface F#', 28, 29), (1, 'class', 'P#', 'class P#', 8, 12), (1, 'method', 'P#.load', 'def load(self, x)', 9, 12), (1, 'function', 'send', 'def send()', 13, 15), (1, 'function', 'handler', 'def handler()', 17, 18), (2, 'class', 'T#', 'export class T#', 5, 10), (2, 'method', 'T#.load', 'async load(key: string): Promise<void>', 6, 9), (2, 'class', 'K', 'export class K', 14, 18), (2, 'method', 'K.one', 'one()', 16, 17)) t(k, kind, name, signature, s, e)"}),
+    "code_call_sites": _code("SELECT repo, path AS file, 'C' || page_id || '.add' AS caller, 'one' AS callee_name, 20 AS line FROM code WHERE k = 0 UNION ALL SELECT repo, path, 'send', 'load', 15 FROM code WHERE k = 1"),
+    "config_targets": with_views("pg", "SELECT 'r' || page_id AS repo, 4 AS line, 'https://' || host || '/pay/' || page_id AS target FROM pg"),
+    "declared_identities": with_views("pg", f"SELECT repo, alias, raw, source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo, alias ORDER BY confidence DESC, ord) AS n FROM named) WHERE n = 1 AND alias <> ''", False, {"named": f"SELECT repo, {identity('raw')} AS alias, raw, source, confidence, ord FROM (SELECT 'r' || page_id AS repo, 'r' || page_id AS raw, 'config' AS source, 1.0::DOUBLE AS confidence, 0 AS ord FROM pg UNION ALL SELECT 'r' || page_id, word || '-api', 'package', 0.9::DOUBLE, 1 FROM pg UNION ALL SELECT 'r' || page_id, word || '-service', 'spring', 0.95::DOUBLE, 4 FROM pg)"}),
+    "declared_base_paths": with_views("pg", "SELECT 'r' || page_id AS repo, unnest(['spring', 'jaxrs']) AS framework, '/base' || (page_id % 5) AS base FROM pg"),
 }

@@ -12,6 +12,7 @@ from meshlens.functions import paths as P
 from meshlens.functions import predicates as R
 from meshlens.operators import exports, fanout, lookups, memory, reconcile, resolve, skills, store, surfaces, traversal
 from meshlens.plans import workload as W
+from meshlens.sources import code, configs, identities
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -551,3 +552,77 @@ def fuzzy_cross_resolve(spark, sf):
     """References whose name holds a repository's or lies within it, both without hyphens and underscores: bound to the first
     such repository by name, 0.2 more confident."""
     return reconcile.contained_names(W.references(spark, sf).select("to_repo", "confidence", "ord"), W.pages(spark, sf).select(F.col("word").alias("repo")).distinct())
+
+
+@query
+def code_statements(spark, sf):
+    """Lines outside comments, each with the rest of its statement."""
+    return W.code_lines(spark, sf).where("trim(text) <> ''").groupBy("language", "line").agg(F.count("*").alias("n"), F.max(F.length("more") > F.length("text")).alias("goes_on"))
+
+
+@query
+def code_imports(spark, sf):
+    return code.imports(W.code_lines(spark, sf))
+
+
+@query
+def code_http_calls(spark, sf):
+    return code.http_calls(W.code_lines(spark, sf)).select("repo", "path", "line", "method", "target", "confidence", "tier")
+
+
+@query
+def code_wrapped_axios(spark, sf):
+    return code.wrapped_axios(W.code_lines(spark, sf))
+
+
+@query
+def code_soap_calls(spark, sf):
+    return code.soap_calls(W.code_lines(spark, sf))
+
+
+@query
+def code_web_client_calls(spark, sf):
+    return code.web_client_calls(W.code_lines(spark, sf))
+
+
+@query
+def code_messages(spark, sf):
+    return code.messages(W.code_lines(spark, sf))
+
+
+@query
+def code_feign_clients(spark, sf):
+    return code.feign_clients(W.code_lines(spark, sf))
+
+
+@query
+def code_routes(spark, sf):
+    return code.routes(W.code_lines(spark, sf)).select("repo", "path", "line", "method", "route", "framework")
+
+
+@query
+def code_symbols(spark, sf):
+    return code.symbols(W.code_lines(spark, sf)).select("repo", "file", "kind", "qualified_name", "signature", "start_line", "end_line")
+
+
+@query
+def code_call_sites(spark, sf):
+    """Calls of a file's own functions, with the symbol around them."""
+    rows = W.code_lines(spark, sf)
+    return code.call_sites(rows, code.symbols(rows)).where("callee_name in ('one', 'load')").select("repo", "file", "caller", "callee_name", "line")
+
+
+@query
+def config_targets(spark, sf):
+    return configs.targets(W.config_files(spark, sf).where("path like '%.properties'")).select("repo", "line", "target")
+
+
+@query
+def declared_identities(spark, sf):
+    named = W.pages(spark, sf).select(F.concat(F.lit("r"), "page_id").alias("name"))
+    return identities.identities(named, W.config_files(spark, sf)).select("repo", "alias", "raw", "source", "confidence")
+
+
+@query
+def declared_base_paths(spark, sf):
+    return identities.base_paths(W.config_files(spark, sf))

@@ -9,6 +9,7 @@ from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.operators.fanout import endpoint_fanout
 from meshlens.operators.resolve import resolve
+from meshlens.sources import code
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,3 +150,109 @@ def calls_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned repositories: the parts that are in stock, every one of the table."""
     return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.concat(F.lit("/repos/"), "p_brand").alias("path"))
+
+
+JAVA = """package a;
+import com.{word}.Client;
+// rest.getForObject("http://no/comment");
+/* import x.Y;
+ rest.put("http://no/{id}", b); */
+@RestController
+@RequestMapping("/v{five}")
+public class C{id} {
+    String base = "https://{host}";
+    @GetMapping(
+        "/{word}/{id}")
+    public String one(String x) {
+        String s = "rest.getForObject(base)";
+        return rest.getForObject(
+            base + "/a/{id}",
+            String.class);
+    }
+    @PostMapping("/add")
+    public void add(String x) throws IOException {
+        one(x);
+        ws.marshalSendAndReceive("http://{host}/soap/{id}", x);
+        web.get()
+            .uri("/w/{id}");
+    }
+}
+@FeignClient(
+    name = "{word}-client")
+interface F{id} {
+}
+"""
+PYTHON = '''import os, sys as system
+from {word}.models import Thing
+BASE = os.getenv("{word}_URL")
+# requests.get("http://no")
+"""
+requests.post("http://no")
+"""
+class P{id}:
+    def load(self, x):
+        return requests.get(
+            BASE + "/b/{id}")
+
+def send():
+    producer.send("topic.{word}", 1)
+    load(1)
+@app.route("/r/{id}", methods=["GET", "POST"])
+def handler():
+    return 1
+'''
+SCRIPT = """import {{
+  axios }} from '{word}-sdk';
+const client = axios.create({{ baseURL: 'https://{host}' }});
+// fetch('http://no')
+export class T{id} {{
+  async load(key: string): Promise<void> {{
+    await client.get('/c/{id}');
+    return fetch('https://{host}/d/{id}', {{ method: 'PUT' }});
+  }}
+}}
+router.post(
+  '/e/{id}', handler);
+@Controller('k{id}')
+export class K {{
+  @Get(':key')
+  one() {{
+  }}
+}}
+"""
+CONFIG = """# svc.url=http://no/{id}
+server.servlet.context-path=/base{five}
+spring.application.name={word}-service
+billing.url = https://{host}/pay/{id}
+db.url=jdbc:postgresql://{host}/x
+"""
+
+
+def _filled(template: str):
+    """A template with a page's id, word, host and id modulo five put in."""
+    out = F.lit(template.replace("{{", "{").replace("}}", "}"))
+    for name, value in (("id", F.col("page_id").cast("string")), ("word", F.col("word")), ("host", F.col("host")), ("five", (F.col("page_id") % 5).cast("string"))):
+        out = F.replace(out, F.lit(f"{{{name}}}"), value)
+    return out
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each page: Java, Python or TypeScript, with calls over several lines, comments and strings that look like calls."""
+    kind = F.col("page_id") % 3
+    return pages(spark, sf_dir).select(
+        F.concat(F.lit("r"), F.col("page_id") % 20).alias("repo"),
+        F.when(kind == 0, F.concat(F.lit("src/C"), "page_id", F.lit(".java"))).when(kind == 1, F.concat(F.lit("app/p"), "page_id", F.lit(".py"))).otherwise(F.concat(F.lit("web/t"), "page_id", F.lit(".ts"))).alias("path"),
+        F.when(kind == 0, "java").when(kind == 1, "python").otherwise("typescript").alias("language"),
+        F.when(kind == 0, _filled(JAVA)).when(kind == 1, _filled(PYTHON)).otherwise(_filled(SCRIPT)).alias("content"),
+    )
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.lines(code_files(spark, sf_dir))
+
+
+def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A properties file and a package file for each page, in repositories of their own."""
+    rows = pages(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), "page_id"))
+    plain = rows.select("repo", F.lit("src/main/resources/application.properties").alias("path"), _filled(CONFIG).alias("content"))
+    return plain.union(rows.select("repo", F.lit("package.json"), F.concat(F.lit('{"name": "@shop/'), "word", F.lit('-api"}'))))

@@ -31,7 +31,9 @@ SPRING = {"Get": "GET", "Post": "POST", "Put": "PUT", "Delete": "DELETE", "Patch
 
 
 _STRING = r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)"""
-_OPEN_END, _GOES_ON = r"(?:[(\[,+=?:.]|&&|\|\||=>)\s*$", r"^\s*(?:\.\w|[)\]]|\+ |\? |: |&&|\|\|)"
+_CONTENT = r"""(["'`])(?:\\.|(?!\1).)*\1"""
+_OPEN_END = r"(?:[(\[,+=?.]|&&|\|\||=>)\s*$|^\s*import\b[^'\"}]*\{[^}]*$"
+_GOES_ON = r"^\s*(?:\.\w|\}\s*from\b|[)\]]|\+ |\? |: |&&|\|\|)"
 
 
 def without_comments(rows: DataFrame) -> DataFrame:
@@ -53,25 +55,25 @@ def without_comments(rows: DataFrame) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """files (repo, path, language, content) -> (repo, path, language, line, text, more): text without comments, and more,
-    the same with the rest of the statement behind it."""
+    """files (repo, path, language, content) -> (repo, path, language, line, text, more, code): text without comments; more,
+    the same with the rest of the statement behind it; code, text with an x for what each string holds."""
     split = files.select("repo", "path", "language", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "text")).withColumn("line", F.col("pos") + 1).drop("pos")
     file = Window.partitionBy("repo", "path").orderBy("line")
     rows = without_comments(split)
-    bare = F.regexp_replace("text", r"""(["'`])(?:\\.|(?!\1).)*\1""", "x")
-    rows = rows.withColumn("ends", ~bare.rlike(_OPEN_END))
+    rows = rows.withColumn("code", F.regexp_replace("text", _CONTENT, "$1x$1"))
+    rows = rows.withColumn("ends", ~F.col("code").rlike(_OPEN_END))
     follows = (~F.lag("ends", 1, True).over(file) | F.col("text").rlike(_GOES_ON)) & ~F.col("text").rlike(r"^\s*@\w")
     rows = rows.withColumn("head", F.when(follows, 0).otherwise(1))
     rows = rows.withColumn("statement", F.sum("head").over(file.rowsBetween(Window.unboundedPreceding, 0)))
     rest = Window.partitionBy("repo", "path", "statement").orderBy("line").rowsBetween(0, Window.unboundedFollowing)
     own = F.rtrim("text")
     more = F.concat(own, F.array_join(F.transform(F.slice(F.collect_list("text").over(rest), 2, 1 << 30), lambda x: F.concat(F.lit(" "), F.trim(x))), ""))
-    return rows.withColumn("more", more).select("repo", "path", "language", "line", "text", "more")
+    return rows.withColumn("more", more).select("repo", "path", "language", "line", "text", "more", "code")
 
 
 def imports(rows: DataFrame) -> DataFrame:
     """(repo, path, line, module); a Python line may name several."""
-    t, m, lang = F.col("text"), F.col("more"), F.col("language")
+    t, m, lang = F.col("code"), F.col("more"), F.col("language")
     py_from, py, java = r"^\s*from\s+(\.*[\w.]*)\s+import\s", r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)", r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;"
     ts = r"""(?:^\s*import\s+(?:[^'"]*\sfrom\s+)?|require\(\s*)["']([^"']+)["']"""
     script = lang.isin("typescript", "javascript")
@@ -108,7 +110,7 @@ def resolved(calls: DataFrame, values: DataFrame) -> DataFrame:
 
 def http_calls(rows: DataFrame) -> DataFrame:
     """(repo, path, line, method, target, path_of_target, confidence, tier, dep_type) of outbound HTTP calls."""
-    t, m, lang = F.col("text"), F.col("more"), F.col("language")
+    t, m, lang = F.col("code"), F.col("more"), F.col("language")
     script = lang.isin("typescript", "javascript")
     fetch_verb = F.upper(F.regexp_extract(m, r"""method\s*:\s*["'](\w+)["']""", 1))
     java_verb = F.upper(F.regexp_extract(m, r"\.(get|post|patch)For", 1))
@@ -134,7 +136,7 @@ def http_calls(rows: DataFrame) -> DataFrame:
 def wrapped_axios(rows: DataFrame) -> DataFrame:
     """(repo, path, line, method, target): calls on instances that axios.create made, their base URL put before the path."""
     made, call = r"(\w+)\s*=\s*axios\.create\(.*baseURL\s*:\s*([^,}\s]+)", r"\b(\w+)\.(get|post|put|patch|delete|request|head)\(\s*([^,)]*)"
-    t, m = F.col("text"), F.col("more")
+    t, m = F.col("code"), F.col("more")
     values = variables(rows)
     base = resolved(rows.where(t.rlike(made)).select("repo", "path", F.regexp_extract(m, made, 1).alias("name"), F.regexp_extract(m, made, 2).alias("argument")), values).select("repo", "path", "name", F.col("target").alias("base"))
     used = resolved(rows.where(t.rlike(call)).select("repo", "path", "line", F.regexp_extract(m, call, 1).alias("name"), F.upper(F.regexp_extract(m, call, 2)).alias("method"), F.trim(F.regexp_extract(m, call, 3)).alias("argument")), values)
@@ -144,31 +146,34 @@ def wrapped_axios(rows: DataFrame) -> DataFrame:
 
 def soap_calls(rows: DataFrame) -> DataFrame:
     """(repo, path, line, target): SOAP calls whose first argument is an address."""
-    t, m, pattern = F.col("text"), F.col("more"), r"\.(?:marshalSendAndReceive|sendSourceAndReceive)\(\s*([^,)]*)"
+    t, m, pattern = F.col("code"), F.col("more"), r"\.(?:marshalSendAndReceive|sendSourceAndReceive)\(\s*([^,)]*)"
     calls = rows.where((F.col("language") == "java") & t.rlike(pattern)).select("repo", "path", "line", F.trim(F.regexp_extract(m, pattern, 1)).alias("argument"))
     out = resolved(calls, variables(rows)).where((P.split_host_path(F.col("target"))["host"] != "") & ~is_namespace_noise(F.col("target")))
     return out.select("repo", "path", "line", "target")
 
 
 def web_client_calls(rows: DataFrame) -> DataFrame:
-    """(repo, path, line, method, target_path): verb().uri("/path") chains; the host isn't known there."""
-    t, m, pattern = F.col("text"), F.col("more"), r"(?:\.(get|post|put|patch|delete)\(\s*\))?\s*\.uri\(\s*\"([^\"]*)\""
+    """(repo, path, line, method, target_path): verb().uri("/path") chains, for the line of the verb; the host isn't known there."""
+    t, m, pattern = F.col("code"), F.col("more"), r"(?:\.(get|post|put|patch|delete)\(\s*\))?\s*\.uri\(\s*\"([^\"]*)\""
     verb = F.regexp_extract(m, pattern, 1)
-    return rows.where((F.col("language") == "java") & t.rlike(pattern)).select("repo", "path", "line", F.when(verb == "", "ANY").otherwise(F.upper(verb)).alias("method"), F.regexp_extract(m, pattern, 2).alias("target_path"))
+    opens = r"\.(get|post|put|patch|delete)\(\s*\)\s*$"
+    told = F.coalesce(F.lag("code").over(Window.partitionBy("repo", "path").orderBy("line")).rlike(opens), F.lit(False)) & t.rlike(r"^\s*\.uri\(")
+    seen = rows.where(F.col("language") == "java").withColumn("told", told).where(~F.col("told") & (t.rlike(pattern) | t.rlike(opens) & m.rlike(pattern)))
+    return seen.select("repo", "path", "line", F.when(verb == "", "ANY").otherwise(F.upper(verb)).alias("method"), F.regexp_extract(m, pattern, 2).alias("target_path"))
 
 
 def messages(rows: DataFrame) -> DataFrame:
     """(repo, path, line, target, dep_type): Kafka topics sent to, and gRPC channels of files that import grpc."""
-    t, m = F.col("text"), F.col("more")
-    kafka = rows.where((F.col("language") == "python") & t.rlike(r"(?i)producer") & t.rlike(r"\.send\(\s*[\"']")).select("repo", "path", "line", F.regexp_extract(m, r"\.send\(\s*[\"']([^\"']+)", 1).alias("target"), F.lit("kafka").alias("dep_type"))
+    t, m = F.col("code"), F.col("more")
+    kafka = rows.where((F.col("language") == "python") & t.rlike(r"(?i)producer.*\.send\(\s*(?:$|[\"'])") & m.rlike(r"\.send\(\s*[\"']")).select("repo", "path", "line", F.regexp_extract(m, r"\.send\(\s*[\"']([^\"']+)", 1).alias("target"), F.lit("kafka").alias("dep_type"))
     users = rows.where(t.rlike(r"^\s*(?:import|from)\s+grpc\b")).select("repo", "path").distinct()
-    grpc = rows.where(t.rlike(r"(?:in)?secure_channel\(\s*[\"']")).join(users, ["repo", "path"], "left_semi").select("repo", "path", "line", F.regexp_extract(m, r"secure_channel\(\s*[\"']([^\"']+)", 1).alias("target"), F.lit("grpc").alias("dep_type"))
+    grpc = rows.where(t.rlike(r"(?:in)?secure_channel\(\s*(?:$|[\"'])") & m.rlike(r"(?:in)?secure_channel\(\s*[\"']")).join(users, ["repo", "path"], "left_semi").select("repo", "path", "line", F.regexp_extract(m, r"secure_channel\(\s*[\"']([^\"']+)", 1).alias("target"), F.lit("grpc").alias("dep_type"))
     return kafka.union(grpc)
 
 
 def feign_clients(rows: DataFrame) -> DataFrame:
     """(repo, path, line, target): declared Feign clients by name, else by URL."""
-    t, m = F.col("text"), F.col("more")
+    t, m = F.col("code"), F.col("more")
     name, url = F.regexp_extract(m, r"@FeignClient\([^)]*\bname\s*=\s*\"([^\"]*)\"", 1), F.regexp_extract(m, r"@FeignClient\([^)]*\burl\s*=\s*\"([^\"]*)\"", 1)
     return rows.where((F.col("language") == "java") & t.contains("@FeignClient(")).select("repo", "path", "line", F.when(name != "", name).otherwise(url).alias("target")).where("target <> ''")
 
@@ -176,14 +181,15 @@ def feign_clients(rows: DataFrame) -> DataFrame:
 def routes(rows: DataFrame) -> DataFrame:
     """(repo, path, line, method, route, framework): decorators of Python frameworks, Express calls, Spring mappings
     with the prefix of the class above them."""
-    t, m, lang = F.col("text"), F.col("more"), F.col("language")
+    t, m, lang = F.col("code"), F.col("more"), F.col("language")
     fast, flask = r"^\s*@\w+\.(get|post|put|patch|delete|head|options)\(\s*[\"']([^\"']*)", r"^\s*@\w+\.route\(\s*[\"']([^\"']*)"
     methods = F.regexp_extract_all(F.regexp_extract(m, r"methods\s*=\s*\[([^\]]*)\]", 1), F.lit(r"(\w+)"), 1)
-    python = rows.where((lang == "python") & t.rlike(fast)).select("repo", "path", "line", F.upper(F.regexp_extract(m, fast, 1)).alias("method"), F.regexp_extract(m, fast, 2).alias("route"), F.lit("fastapi").alias("framework"))
-    flasks = rows.where((lang == "python") & t.rlike(flask)).select("repo", "path", "line", F.explode(F.when(F.size(methods) > 0, F.transform(methods, F.upper)).otherwise(F.array(F.lit("GET")))).alias("method"), F.regexp_extract(m, flask, 1), F.lit("flask"))
+    python = rows.where((lang == "python") & t.rlike(r"^\s*@\w+\.\w+\(") & m.rlike(fast)).select("repo", "path", "line", F.upper(F.regexp_extract(m, fast, 1)).alias("method"), F.regexp_extract(m, fast, 2).alias("route"), F.lit("fastapi").alias("framework"))
+    flasks = rows.where((lang == "python") & t.rlike(r"^\s*@\w+\.route\(") & m.rlike(flask)).select("repo", "path", "line", F.explode(F.when(F.size(methods) > 0, F.transform(methods, F.upper)).otherwise(F.array(F.lit("GET")))).alias("method"), F.regexp_extract(m, flask, 1), F.lit("flask"))
     express = r"\b(?:app|router|server|api|route|routes|fastify)\.(get|post|put|patch|delete|head|options|all)\(\s*[\"'`]([^\"'`]*)"
+    begins = r"\b(?:app|router|server|api|route|routes|fastify)\.(?:get|post|put|patch|delete|head|options|all)\(\s*(?:$|[\"'`])"
     verb = F.regexp_extract(m, express, 1)
-    node = rows.where(lang.isin("typescript", "javascript") & t.rlike(express)).select("repo", "path", "line", F.when(verb == "all", "ANY").otherwise(F.upper(verb)), F.regexp_extract(m, express, 2), F.lit("express"))
+    node = rows.where(lang.isin("typescript", "javascript") & t.rlike(begins) & m.rlike(express)).select("repo", "path", "line", F.when(verb == "all", "ANY").otherwise(F.upper(verb)), F.regexp_extract(m, express, 2), F.lit("express"))
     mapping = r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b"
     value = F.regexp_extract(m, r"Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*\"([^\"]*)\"", 1)
     java = rows.where(lang == "java").withColumns({"mapping": F.regexp_extract(m, mapping, 1), "value": value, "is_class": t.rlike(r"\b(?:class|interface)\s+\w+"), "controller": t.rlike(r"@(?:Rest)?Controller\b")})
@@ -200,7 +206,7 @@ def routes(rows: DataFrame) -> DataFrame:
 
 def nest_routes(rows: DataFrame) -> DataFrame:
     """Nest: @Get('x') and its like, below the @Controller('p') of the class."""
-    t, m = F.col("text"), F.col("more")
+    t, m = F.col("code"), F.col("more")
     before = Window.partitionBy("repo", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     prefix = F.last(F.when(t.rlike(r"^\s*@Controller\("), F.regexp_extract(m, r"@Controller\(\s*[\"'`]?([^\"'`)]*)", 1)), ignorenulls=True).over(before)
     own = rows.where(F.col("language").isin("typescript", "javascript")).withColumn("prefix", prefix)
@@ -212,7 +218,7 @@ def nest_routes(rows: DataFrame) -> DataFrame:
 
 def jaxrs_routes(rows: DataFrame) -> DataFrame:
     """JAX-RS: a verb's annotation and, next to it, @Path, below the class's @Path."""
-    t, m = F.col("text"), F.col("more")
+    t, m = F.col("code"), F.col("more")
     file = Window.partitionBy("repo", "path").orderBy("line")
     before = file.rowsBetween(Window.unboundedPreceding, 0)
     path = F.regexp_extract(m, r"@Path\(\s*\"([^\"]*)\"", 1)
@@ -233,7 +239,7 @@ def symbols(rows: DataFrame) -> DataFrame:
     A Python block ends before the next line that is no deeper than its head; elsewhere it ends where the
     running count of braces comes back to what it was before the head. Each line tells which depths it closes, and a
     block ends at the first such line behind it: one window over heads and closing lines, no join with all lines."""
-    t, m, lang = F.col("text"), F.col("more"), F.col("language")
+    t, m, lang = F.col("code"), F.col("more"), F.col("language")
     script_lang = lang.isin("typescript", "javascript")
     py = r"^(\s*)(?:async\s+)?(def|class)\s+(\w+)"
     java, script = r"\b(class|interface|enum)\s+(\w+)", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)|^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\(?[^=]*=>"
@@ -241,9 +247,8 @@ def symbols(rows: DataFrame) -> DataFrame:
     member = r"^\s+(?:(?:public|private|protected|static|async|readonly)\s+)*\*?(\w+)\s*\([^;{]*\)\s*(?::\s*[\w<>\[\]|. ,]+)?\{"
     word = r"^\s*(?:return|else|new|throw|if|for|while|switch|catch|function|await)\b"
     indent = F.length(F.regexp_extract(t, r"^(\s*)", 1))
-    bare = F.regexp_replace(t, r"""(["'`])(?:\\.|(?!\1).)*\1""", "")
-    opened = F.length(F.regexp_replace(bare, r"[^{]", "")).cast("long")
-    braces = opened - F.length(F.regexp_replace(bare, r"[^}]", ""))
+    opened = F.length(F.regexp_replace(t, r"[^{]", "")).cast("long")
+    braces = opened - F.length(F.regexp_replace(t, r"[^}]", ""))
     file = Window.partitionBy("repo", "path").orderBy("line")
     upto = file.rowsBetween(Window.unboundedPreceding, 0)
     full = rows.where("trim(text) <> ''").withColumns({"indent": indent.cast("long"), "opened": opened, "after": F.sum(braces).over(upto)}).withColumn("before", F.col("after") - braces)
@@ -252,7 +257,7 @@ def symbols(rows: DataFrame) -> DataFrame:
     class_kind = F.when(F.regexp_extract(t, java, 1) == "interface", "interface").otherwise("class")
     head = (
         F.when((lang == "python") & t.rlike(py), pair(F.when(F.regexp_extract(t, py, 2) == "class", "class").when(F.col("indent") > 0, "method").otherwise("function"), F.regexp_extract(t, py, 3)))
-        .when((lang != "python") & bare.rlike(java), pair(class_kind, F.regexp_extract(bare, java, 2)))
+        .when((lang != "python") & t.rlike(java), pair(class_kind, F.regexp_extract(t, java, 2)))
         .when(script_lang & t.rlike(r"\bfunction\b|\bconst\b") & m.rlike(script), pair("function", script_name))
         .when((lang == "java") & t.rlike(r"^\s+[\w<@].*\(") & m.rlike(method) & ~t.rlike(word), pair("method", F.regexp_extract(m, method, 1)))
         .when(script_lang & t.rlike(r"^\s+[\w*].*\(") & m.rlike(member) & ~t.rlike(word), pair("method", F.regexp_extract(m, member, 1)))
@@ -281,6 +286,6 @@ def call_sites(rows: DataFrame, defined: DataFrame) -> DataFrame:
     """(repo, file, caller, callee_name, line): every name( on a line, within the innermost symbol around it."""
     from meshlens.operators.fanout import enclosing
 
-    sites = rows.select("repo", F.col("path").alias("file"), "line", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", r"""(["'`])(?:\\.|(?!\1).)*\1""", ""), F.lit(r"(?<!def )(?<!function )\b(\w+)\("), 1))).alias("callee_name")).withColumn("id", F.xxhash64("repo", "file", "line"))
+    sites = rows.select("repo", F.col("path").alias("file"), "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?<!def )(?<!function )\b(\w+)\("), 1))).alias("callee_name")).withColumn("id", F.xxhash64("repo", "file", "line"))
     around = enclosing(sites.select("id", "repo", "file", "line").distinct(), defined)
     return sites.join(around, "id", "left").select("repo", "file", F.coalesce("qualified_name", F.lit("<module>")).alias("caller"), "callee_name", "line").where("substring_index(caller, '.', -1) <> callee_name or caller = '<module>'")
