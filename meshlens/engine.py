@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.functions import identity as I
 from meshlens.functions import paths as P
-from meshlens.operators import fanout, lookups, reconcile, resolve, surfaces, traversal
-from meshlens.operators.store import Store, replace_aliases
-from meshlens.functions.predicates import is_value_holder
-from meshlens.sources import code, configs, files
+from meshlens.functions.predicates import is_value_holder, score_target
+from meshlens.operators import exports, fanout, lookups, memory, reconcile, resolve, skills, surfaces, traversal
+from meshlens.operators.store import Store, remove_aliases, replace_aliases
+from meshlens.sources import code, configs, files, organisations
 from meshlens.sources.identities import base_paths, identities
 
 
@@ -23,39 +25,61 @@ class DependencyEngine:
         self.spark, self.store = spark, Store(spark, folder)
 
     def scan(self, repos: dict[str, str]) -> None:
-        """Scan repositories (name -> folder), bind their references to each other, match calls and routes, and store all tables."""
+        """Scan repositories (name -> folder), bind their references to each other, match calls and routes, follow endpoints
+        to the calls they reach, and store all tables. What a root .gitignore leaves out doesn't count; files that can't be
+        read are in the table unreadable."""
         read = files.read_repos(self.spark, repos)
-        rows = code.lines(files.sources(read))
         named = self.spark.createDataFrame(list(repos.items()), "name string, path string")
         self.store.write("repos", named)
-        self.store.write("lines", rows)
-        rows = self.store.read("lines")  # the tree is read once
+        self.store.write("files", read.withColumn("content", F.when(F.col("path").rlike(CONFIGS) | F.col("path").isin(".gitignore") | files.language(F.col("path")).isNotNull(), F.col("content"))))
+        read = self.store.read("files")  # the trees are read once
+        self.store.write("unreadable", read.where("status is not null").select("repo", "path", "status"))
+        self.store.write("lines", code.lines(files.not_ignored(files.sources(read), read)))
+        rows = self.store.read("lines")
         self.store.write("symbols", code.symbols(rows))
         self.store.write("calls", code.call_sites(rows, self.store.read("symbols")))
-        self.store.write("configs", read.where(F.col("path").rlike(CONFIGS)))
-        declared = self.store.read("configs")
+        declared = read.where(F.col("path").rlike(CONFIGS) & F.col("content").isNotNull())
         routes = code.routes(rows).select("repo", "method", F.col("route").alias("path"), "framework", F.col("path").alias("file"), "line")
         self.store.write("routes", surfaces.fold_base_paths(routes, base_paths(declared)).select(*routes.columns))
         new = identities(named, declared).select("repo", "alias", "raw", "source", "confidence", F.xxhash64("raw").alias("ord"))
         self.store.write("aliases", replace_aliases(self.store.read("aliases"), new, named) if self.store.exists("aliases") else new)
 
-        evidence = F.concat_ws(":", P.basename(F.col("path")), "line")
-        http = code.http_calls(rows).select("repo", "path", "line", "dep_type", "confidence", "tier", I.service_from_url(F.col("target")).alias("to_repo"), "method", F.col("target_path"))
-        other = code.messages(rows).select("repo", "path", "line", "dep_type", F.when(F.col("dep_type") == "kafka", 1.0).otherwise(0.9).alias("confidence"), F.lit("call-site").alias("tier"), F.col("target").alias("to_repo"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("target_path"))
-        feign = code.feign_clients(rows).select("repo", "path", "line", F.lit("feign").alias("dep_type"), F.lit(0.95).alias("confidence"), F.lit("call-site").alias("tier"), I.service_from_url(F.col("target")).alias("to_repo"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("target_path"))
-        nothing = F.lit(None).cast("string")
-        module = code.imports(rows).where(~is_value_holder(F.col("module")))
-        imported = module.select("repo", "path", "line", F.lit("import").alias("dep_type"), F.lit(0.6).alias("confidence"), F.lit("import").alias("tier"), I.import_name(F.col("module")).alias("to_repo"), nothing.alias("method"), nothing.alias("target_path"))
-        configured = configs.targets(files.configs(declared)).select("repo", "path", "line", F.lit("http").alias("dep_type"), F.lit(0.85).alias("confidence"), F.lit("config").alias("tier"), I.service_from_url(F.col("target")).alias("to_repo"), F.lit("").alias("method"), P.split_host_path(F.col("target"))["path"].alias("target_path"))
-        signals = http.unionByName(other).unionByName(feign).unionByName(imported).unionByName(configured).select(F.col("repo").alias("from_repo"), "to_repo", "dep_type", "confidence", evidence.alias("evidence"), "tier", F.xxhash64("path", "line").alias("ord"), "method", "target_path", F.col("path").alias("file"), "line")
-        self.store.write("signals", signals)
+        self.store.write("signals", self._signals(rows, declared))
         signals = self.store.read("signals")
-        deps = resolve.without_import_only(resolve.resolve(signals)).withColumn("ord", F.xxhash64("from_repo", "to_repo"))
+        deps = resolve.without_import_only(resolve.resolve(signals))
         self.store.write("dependencies", reconcile.reconcile(deps, self.store.read("aliases")))
         refs = signals.select(F.col("to_repo").alias("ref"), F.col("from_repo").alias("exclude")).distinct()
         bound = reconcile.bind(refs, self.store.read("aliases")).select(F.col("ref").alias("to_repo"), F.col("exclude").alias("from_repo"), F.coalesce("match.repo", "ref").alias("repo"))
-        asked = signals.where("target_path is not null").join(bound, ["from_repo", "to_repo"]).select(F.xxhash64("from_repo", "repo", "file", "line").alias("id"), "from_repo", "repo", "method", F.col("target_path").alias("path"), "file", "line")
+        asked = signals.where("target_path is not null").join(bound, ["from_repo", "to_repo"]).select(F.xxhash64("from_repo", "repo", "file", "line", "target_path").alias("id"), "from_repo", "repo", "method", F.col("target_path").alias("path"), "file", "line")
         self.store.write("surfaces", surfaces.match_surfaces(asked, self.store.read("routes").select("repo", "method", "path")))
+        self.store.write("route_calls", self._fanout())
+
+    def _signals(self, rows: DataFrame, declared: DataFrame) -> DataFrame:
+        """Everything that names another service, from code and from configuration, ordered by file and line."""
+        nothing = F.lit(None).cast("string")
+        columns = ["repo", "path", "line", "dep_type", "confidence", "tier", "to_repo", "method", "target_path"]
+
+        def of(df: DataFrame, dep_type, confidence, tier, to_repo, method=nothing, target_path=nothing) -> DataFrame:
+            given = {"dep_type": dep_type, "confidence": confidence, "tier": tier, "to_repo": to_repo, "method": method, "target_path": target_path}
+            return df.withColumns({k: F.lit(v) if isinstance(v, str | float) else v for k, v in given.items()}).select(columns)
+
+        host, path = I.service_from_url(F.col("target")), P.split_host_path(F.col("target"))["path"]
+        wrapped = code.wrapped_axios(rows).withColumn("s", score_target(F.col("target")))
+        parts = [
+            of(code.http_calls(rows), "http", F.col("confidence"), F.col("tier"), host, F.col("method"), F.col("target_path")),
+            of(wrapped, "http", F.col("s.confidence"), F.col("s.tier"), I.service_from_url(F.col("s.target")), F.col("method"), P.split_host_path(F.col("s.target"))["path"]),
+            of(code.soap_calls(rows), "soap", 1.0, "call-site", host),
+            of(code.messages(rows), F.col("dep_type"), F.when(F.col("dep_type") == "kafka", 1.0).otherwise(0.9), "call-site", F.col("target")),
+            of(code.feign_clients(rows), "feign", 0.95, "call-site", host),
+            of(code.imports(rows).where(~is_value_holder(F.col("module"))), "import", 0.6, "import", I.import_name(F.col("module"))),
+            of(configs.targets(files.configs(declared)), "http", 0.85, "config", host, "", path),
+        ]
+        evidence = F.concat_ws(":", P.basename(F.col("path")), "line")
+        return functools.reduce(DataFrame.unionByName, parts).select(F.col("repo").alias("from_repo"), "to_repo", "dep_type", "confidence", evidence.alias("evidence"), "tier", F.struct("path", "line").alias("ord"), "method", "target_path", F.col("path").alias("file"), "line")
+
+    def scan_organisation(self, source: str) -> None:
+        """Scan the repositories that a YAML file lists, or all folders of a folder."""
+        self.scan(organisations.from_yaml(source) if source.endswith((".yml", ".yaml")) else organisations.from_directory(source))
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -79,10 +103,50 @@ class DependencyEngine:
     def callers(self, name: str, limit: int = 100) -> DataFrame:
         return lookups.callers(self.table("calls").withColumn("ord", F.lit(0)), name, limit)
 
-    def fanout(self, max_hops: int = 4) -> DataFrame:
+    def impact_of_endpoint(self, repo: str, endpoint: str | None = None, depth: int = 3) -> DataFrame:
+        """Direct dependents with the endpoints they use; with an endpoint only those that use it, and of the blast radius
+        only them."""
+        deps = self.table("dependencies")
+        return lookups.impact_of_endpoint(deps, deps, self.table("surfaces"), repo, endpoint, depth)
+
+    def _fanout(self, max_hops: int = 4) -> DataFrame:
         out = self.table("surfaces").select(F.col("from_repo").alias("repo"), F.col("repo").alias("target"), P.endpoint_key(F.col("method"), F.col("path")).alias("key"), "file", "line")
         return fanout.endpoint_fanout(self.table("routes"), self.table("symbols"), self.table("calls"), out, max_hops)
 
+    def fanout(self, max_hops: int = 4) -> DataFrame:
+        """What endpoints fan out to: as the scan stored it, or anew for another number of calls."""
+        return self.table("route_calls") if max_hops == 4 and self.store.exists("route_calls") else self._fanout(max_hops)
+
+    def route_calls(self, repo: str) -> DataFrame:
+        return fanout.route_calls(self.table("route_calls"), repo)
+
+    def remember(self, repo: str, note: str, kind: str = "note", created_at: str = "") -> None:
+        old = self.table("memory") if self.store.exists("memory") else self.spark.createDataFrame([], memory.SCHEMA)
+        new = self.spark.createDataFrame([(repo, kind, note, created_at)], "repo string, kind string, note string, created_at string")
+        self.store.write("memory", memory.remember(old, new, "note"))
+
+    def recall(self, repo: str, kind: str | None = None) -> DataFrame:
+        rows = self.table("memory") if self.store.exists("memory") else self.spark.createDataFrame([], memory.SCHEMA)
+        return memory.recall(rows, repo, kind)
+
+    def forget(self, note: int) -> None:
+        self.store.write("memory", memory.forget(self.table("memory"), self.spark.createDataFrame([(note,)], "id long")))
+
+    def remove_alias(self, repo: str, name: str) -> bool:
+        """Drop an alias by its raw value or its normal form; whether there was one."""
+        old = self.table("aliases")
+        new = remove_aliases(old, self.spark.createDataFrame([(repo, name)], "repo string, name string"))
+        gone = new.count() < old.count()
+        self.store.write("aliases", new)
+        return gone
+
+    def export(self, folder: str, repo: str | None = None) -> None:
+        exports.write_export(self.table("dependencies"), folder, repo)
+
+    def write_skills(self, folder: str) -> None:
+        notes = self.table("memory") if self.store.exists("memory") else self.spark.createDataFrame([], memory.SCHEMA)
+        skills.write_registry(self.table("dependencies"), self.table("repos"), self.table("symbols"), notes, folder)
+
     def add_alias(self, repo: str, raw: str) -> str:
         """A manual alias, kept by later scans; returns its normal form."""
         row = self.spark.createDataFrame([(repo, raw)], "repo string, raw string").select("repo", I.normalize_identity(F.col("raw")).alias("alias"), "raw", F.lit("manual").alias("source"), F.lit(1.0).alias("confidence"), F.xxhash64("raw").alias("ord"))

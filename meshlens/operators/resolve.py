@@ -22,12 +22,12 @@ def strongest(tier: str = "tier") -> Column:
 def resolve(signals: DataFrame) -> DataFrame:
     """signals (from_repo, to_repo, dep_type, confidence, evidence, tier, ord [, surface]) -> dependencies.
 
-    Types and surfaces are distinct in order of first appearance, evidence keeps repetitions, the confidence
+    ord is the first of a dependency's. Types and surfaces are distinct in order of first appearance, evidence keeps repetitions, the confidence
     is the best one and the tier the strongest. Signals to the repository itself and to nothing are dropped."""
     rows = signals.where((F.col("to_repo") != F.col("from_repo")) & ~F.col("to_repo").isin("", "unknown"))
     aggregates = [
         F.array_distinct(ordered("dep_type", "ord", "evidence")).alias("dep_types"), F.max("confidence").alias("confidence"),
-        ordered("evidence", "ord", "evidence").alias("evidence"), strongest().alias("tier"),
+        ordered("evidence", "ord", "evidence").alias("evidence"), strongest().alias("tier"), F.min("ord").alias("ord"),
     ]
     if "surface" in signals.columns:
         aggregates.append(F.array_distinct(F.filter(ordered("surface", "ord", "evidence"), lambda s: s.isNotNull())).alias("surfaces"))

@@ -269,7 +269,7 @@ SQL: dict[str, str] = {
     "code_messages": _code("SELECT repo, path, 14 AS line, 'topic.' || word AS target, 'kafka' AS dep_type FROM code WHERE k = 1"),
     "code_feign_clients": _code("SELECT repo, path, 26 AS line, word || '-client' AS target FROM code WHERE k = 0"),
     "code_routes": _code("SELECT repo, path, 10 AS line, 'GET' AS method, '/v' || (page_id % 5) || '/' || word || '/' || page_id AS route, 'spring' AS framework FROM code WHERE k = 0 UNION ALL SELECT repo, path, 18, 'POST', '/v' || (page_id % 5) || '/add', 'spring' FROM code WHERE k = 0 UNION ALL SELECT repo, path, 16, unnest(['GET', 'POST']), '/r/' || page_id, 'flask' FROM code WHERE k = 1 UNION ALL SELECT repo, path, 11, 'POST', '/e/' || page_id, 'express' FROM code WHERE k = 2 UNION ALL SELECT repo, path, 15, 'GET', '/k' || page_id || '/:key', 'nestjs' FROM code WHERE k = 2"),
-    "code_symbols": _code("SELECT repo, path AS file, f.kind, replace(f.name, '#', CAST(page_id AS VARCHAR)) AS qualified_name, replace(f.signature, '#', CAST(page_id AS VARCHAR)) AS signature, f.s AS start_line, f.e AS end_line FROM code JOIN facts f USING (k)", {"facts": "SELECT * FROM (VALUES (0, 'class', 'C#', 'public class C#', 8, 25), (0, 'method', 'C#.one', 'public String one(String x)', 12, 17), (0, 'method', 'C#.add', 'public void add(String x) throws IOException', 19, 24), (0, 'interface', 'F#', 'interface F#', 28, 29), (1, 'class', 'P#', 'class P#', 8, 12), (1, 'method', 'P#.load', 'def load(self, x)', 9, 12), (1, 'function', 'send', 'def send()', 13, 15), (1, 'function', 'handler', 'def handler()', 17, 18), (2, 'class', 'T#', 'export class T#', 5, 10), (2, 'method', 'T#.load', 'async load(key: string): Promise<void>', 6, 9), (2, 'class', 'K', 'export class K', 14, 18), (2, 'method', 'K.one', 'one()', 16, 17)) t(k, kind, name, signature, s, e)"}),
+    "code_symbols": _code("SELECT repo, path AS file, f.kind, replace(f.name, '#', CAST(page_id AS VARCHAR)) AS qualified_name, replace(f.signature, '#', CAST(page_id AS VARCHAR)) AS signature, f.s AS start_line, f.e AS end_line FROM code JOIN facts f USING (k)", {"facts": "SELECT * FROM (VALUES (0, 'class', 'C#', 'public class C#', 6, 25), (0, 'method', 'C#.one', 'public String one(String x)', 10, 17), (0, 'method', 'C#.add', 'public void add(String x) throws IOException', 18, 24), (0, 'interface', 'F#', 'interface F#', 26, 29), (1, 'class', 'P#', 'class P#', 8, 12), (1, 'method', 'P#.load', 'def load(self, x)', 9, 12), (1, 'function', 'send', 'def send()', 13, 15), (1, 'function', 'handler', 'def handler()', 17, 18), (2, 'class', 'T#', 'export class T#', 5, 10), (2, 'method', 'T#.load', 'async load(key: string): Promise<void>', 6, 9), (2, 'class', 'K', 'export class K', 14, 18), (2, 'method', 'K.one', 'one()', 16, 17)) t(k, kind, name, signature, s, e)"}),
     "code_call_sites": _code("SELECT repo, path AS file, 'C' || page_id || '.add' AS caller, 'one' AS callee_name, 20 AS line FROM code WHERE k = 0 UNION ALL SELECT repo, path, 'send', 'load', 15 FROM code WHERE k = 1"),
     "config_targets": with_views("pg", "SELECT 'r' || page_id AS repo, 4 AS line, 'https://' || host || '/pay/' || page_id AS target FROM pg"),
     "declared_identities": with_views("pg", f"SELECT repo, alias, raw, source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo, alias ORDER BY confidence DESC, ord) AS n FROM named) WHERE n = 1 AND alias <> ''", False, {"named": f"SELECT repo, {identity('raw')} AS alias, raw, source, confidence, ord FROM (SELECT 'r' || page_id AS repo, 'r' || page_id AS raw, 'config' AS source, 1.0::DOUBLE AS confidence, 0 AS ord FROM pg UNION ALL SELECT 'r' || page_id, word || '-api', 'package', 0.9::DOUBLE, 1 FROM pg UNION ALL SELECT 'r' || page_id, word || '-service', 'spring', 0.95::DOUBLE, 4 FROM pg)"}),

@@ -55,8 +55,9 @@ def without_comments(rows: DataFrame) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """files (repo, path, language, content) -> (repo, path, language, line, text, more, code): text without comments; more,
-    the same with the rest of the statement behind it; code, text with an x for what each string holds."""
+    """files (repo, path, language, content) -> (repo, path, language, line, text, more, code, annotation): text without
+    comments; more, the same with the rest of the statement behind it; code, text with an x for what each string holds;
+    annotation, whether the line is part of one."""
     split = files.select("repo", "path", "language", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "text")).withColumn("line", F.col("pos") + 1).drop("pos")
     file = Window.partitionBy("repo", "path").orderBy("line")
     rows = without_comments(split)
@@ -68,7 +69,8 @@ def lines(files: DataFrame) -> DataFrame:
     rest = Window.partitionBy("repo", "path", "statement").orderBy("line").rowsBetween(0, Window.unboundedFollowing)
     own = F.rtrim("text")
     more = F.concat(own, F.array_join(F.transform(F.slice(F.collect_list("text").over(rest), 2, 1 << 30), lambda x: F.concat(F.lit(" "), F.trim(x))), ""))
-    return rows.withColumn("more", more).select("repo", "path", "language", "line", "text", "more", "code")
+    annotation = F.first("code").over(Window.partitionBy("repo", "path", "statement").orderBy("line")).rlike(r"^\s*@\w")
+    return rows.withColumns({"more": more, "annotation": annotation}).select("repo", "path", "language", "line", "text", "more", "code", "annotation")
 
 
 def imports(rows: DataFrame) -> DataFrame:
@@ -236,7 +238,7 @@ def jaxrs_routes(rows: DataFrame) -> DataFrame:
 def symbols(rows: DataFrame) -> DataFrame:
     """(repo, file, language, kind, name, qualified_name, signature, start_line, end_line, ord).
 
-    A Python block ends before the next line that is no deeper than its head; elsewhere it ends where the
+    Java's annotations belong to what they stand on. A Python block ends before the next line that is no deeper than its head; elsewhere it ends where the
     running count of braces comes back to what it was before the head. Each line tells which depths it closes, and a
     block ends at the first such line behind it: one window over heads and closing lines, no join with all lines."""
     t, m, lang = F.col("code"), F.col("more"), F.col("language")
@@ -266,15 +268,18 @@ def symbols(rows: DataFrame) -> DataFrame:
     last_indent = F.lag("indent").over(file)
     # the depths that a line closes: Python's from its indent up to the one before it, others' from the count after it
     closes = F.when(python, F.when(last_indent >= F.col("indent"), F.sequence("indent", last_indent))).when(F.col("after") < F.col("before"), F.sequence("after", F.col("before") - 1))
+    noted = F.lag("annotation", 1, False).over(file) & (lang == "java")
+    full = full.withColumn("fresh_note", F.col("annotation") & ~F.lag("annotation", 1, False).over(file))
+    full = full.withColumn("begins", F.when(noted, F.last(F.when(F.col("fresh_note"), F.col("line")), ignorenulls=True).over(upto)).otherwise(F.col("line")))
     marked = full.withColumns({"head": head, "closes": closes, "depth": F.when(python, F.col("indent")).otherwise(F.col("before")), "last": F.max("line").over(Window.partitionBy("repo", "path"))})
     # a line that itself closes what it opens ends there
     own_end = F.when(~python & (F.col("opened") > 0) & (F.col("after") <= F.col("before")), F.col("line"))
-    heads = marked.where("head is not null").select("repo", "path", "language", "line", "depth", "last", F.col("head.kind").alias("kind"), F.col("head.name").alias("name"), F.substr(F.trim(F.regexp_replace(m, r"\s*[{:]\s*$|\s*\{.*$", "")), F.lit(1), F.lit(120)).alias("signature"), own_end.alias("own_end"), F.lit(None).cast("int").alias("closing"))
-    ends = marked.select("repo", "path", "language", "line", F.explode("closes").alias("depth"), "last", *[F.lit(None).cast("string").alias(c) for c in ("kind", "name", "signature")], F.lit(None).cast("int").alias("own_end"), F.col("line").alias("closing"))
+    heads = marked.where("head is not null").select("repo", "path", "language", "line", "depth", "last", F.col("head.kind").alias("kind"), F.col("head.name").alias("name"), F.substr(F.trim(F.regexp_replace(m, r"\s*[{:]\s*$|\s*\{.*$", "")), F.lit(1), F.lit(120)).alias("signature"), own_end.alias("own_end"), "begins", F.lit(None).cast("int").alias("closing"))
+    ends = marked.select("repo", "path", "language", "line", F.explode("closes").alias("depth"), "last", *[F.lit(None).cast("string").alias(c) for c in ("kind", "name", "signature")], F.lit(None).cast("int").alias("own_end"), F.col("line").alias("begins"), F.col("line").alias("closing"))
     later = Window.partitionBy("repo", "path", "depth").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
     spans = heads.unionByName(ends).withColumn("closing", F.min("closing").over(later)).where("kind is not null")
     end = F.when(F.col("language") == "python", F.coalesce(F.col("closing") - 1, "last")).otherwise(F.coalesce("own_end", "closing", "last"))
-    spans = spans.select("repo", F.col("path").alias("file"), "language", "kind", "name", "signature", F.col("line").alias("start_line"), end.alias("end_line"))
+    spans = spans.select("repo", F.col("path").alias("file"), "language", "kind", "name", "signature", F.col("begins").alias("start_line"), end.alias("end_line"))
     outer = spans.where("kind in ('class', 'interface')").select("repo", "file", F.col("name").alias("owner"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
     owned = spans.join(outer, ["repo", "file"], "left").withColumn("within", F.expr("s < start_line and e >= end_line"))
     parent = F.max_by(F.when(F.col("within"), F.col("owner")), F.when(F.col("within"), F.col("s")))
@@ -286,6 +291,6 @@ def call_sites(rows: DataFrame, defined: DataFrame) -> DataFrame:
     """(repo, file, caller, callee_name, line): every name( on a line, within the innermost symbol around it."""
     from meshlens.operators.fanout import enclosing
 
-    sites = rows.select("repo", F.col("path").alias("file"), "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?<!def )(?<!function )\b(\w+)\("), 1))).alias("callee_name")).withColumn("id", F.xxhash64("repo", "file", "line"))
+    sites = rows.select("repo", F.col("path").alias("file"), "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?<!def )(?<!function )(?<!@)\b(\w+)\("), 1))).alias("callee_name")).withColumn("id", F.xxhash64("repo", "file", "line"))
     around = enclosing(sites.select("id", "repo", "file", "line").distinct(), defined)
     return sites.join(around, "id", "left").select("repo", "file", F.coalesce("qualified_name", F.lit("<module>")).alias("caller"), "callee_name", "line").where("substring_index(caller, '.', -1) <> callee_name or caller = '<module>'")

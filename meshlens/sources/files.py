@@ -22,39 +22,49 @@ class _Repo(InputPartition):
         self.name, self.root = name, root
 
 
+#: Files whose text is read: sources, configurations, and what declares a repository's names or tests.
+WANTED = re.compile(r"\.(?:py|jsx?|java|tsx?|go|ya?ml|properties|json|toml|mod|xml|gradle|ini)$|^\.env(?:\..*)?$|^\.gitignore$|^config$")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.repos = [tuple(x.split("=", 1)) for x in options["repos"].split("\n") if x]
-        self.limit = int(options.get("maxbytes", 4 << 20))
 
     def partitions(self) -> list[InputPartition]:
         return [_Repo(name, root) for name, root in self.repos]
 
     def read(self, repo: _Repo) -> Iterator[tuple]:
-        for folder, folders, names in os.walk(repo.root):
+        failed: list[OSError] = []
+        for folder, folders, names in os.walk(repo.root, onerror=failed.append):
             folders[:] = sorted(f for f in folders if f != ".git")
             for name in sorted([*names, ".git/config"] if folder == repo.root else names):  # of .git only the file that names the remote
                 path = os.path.join(folder, name)
-                try:
-                    if os.path.getsize(path) <= self.limit:
-                        with open(path, encoding="utf-8", errors="replace") as f:
-                            yield repo.name, os.path.relpath(path, repo.root), os.path.abspath(path), f.read()
-                except OSError:
+                text, status = None, None
+                if name == ".git/config" and not os.path.exists(path):
                     continue
+                if WANTED.search(os.path.basename(name)):
+                    try:
+                        with open(path, encoding="utf-8", errors="replace") as f:
+                            text = f.read()
+                    except OSError as e:
+                        status = f"unreadable: {e.strerror}"
+                yield repo.name, os.path.relpath(path, repo.root), os.path.abspath(path), text, status
+        for e in failed:
+            yield repo.name, os.path.relpath(e.filename, repo.root), os.path.abspath(e.filename), None, f"unreadable: {e.strerror}"
 
 
 class RepoFiles(DataSource):
-    """All files of repositories, dot files too, one partition a repository: (repo, path, full_path, content).
+    """All files of repositories, dot files too, one partition a repository: (repo, path, full_path, content, status).
 
-    Options: repos, lines of name=folder, and maxBytes, beyond which a file is no source text. The folders must be
-    visible to the executors."""
+    Option: repos, lines of name=folder. The folders must be visible to the executors. The content is that of files which
+    can matter, whatever their size; of others, and of what can't be read, it is null, and status says why."""
 
     @classmethod
     def name(cls) -> str:
         return "repofiles"
 
     def schema(self) -> str:
-        return "repo string, path string, full_path string, content string"
+        return "repo string, path string, full_path string, content string, status string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -88,9 +98,30 @@ def ignore_pattern(gitignore: str) -> str | None:
     return "|".join(parts) or None
 
 
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """(repo, n, pattern, again) of the repositories' root .gitignore files: the n-th line as a regular expression over
+    relative paths; again where the line takes its files back in."""
+    lines = files.where(F.col("path") == ".gitignore").select("repo", F.posexplode(F.split("content", r"\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("again", F.col("line").startswith("!"))
+    lines = lines.withColumn("glob", F.regexp_replace("line", "^!", "")).withColumn("glob", F.regexp_replace("glob", r"^\\(?=[!#])", ""))
+    lines = lines.withColumns({"folder": F.col("glob").endswith("/"), "anchored": F.rtrim("glob", F.lit("/")).contains("/")})
+    bare = F.regexp_replace(F.trim("glob", F.lit("/")), r"([.^$+{}()|\\])", r"\\$1")
+    for old, new in (("**/", "\x01"), ("**", "\x02"), ("*", "[^/]*"), ("?", "[^/]"), ("\x01", "(?:.*/)?"), ("\x02", ".*")):
+        bare = F.replace(bare, F.lit(old), F.lit(new))
+    pattern = F.concat(F.when(F.col("anchored"), "^").otherwise("(?:^|/)"), bare, F.when(F.col("folder"), "/").otherwise("(?:/|$)"))
+    return lines.select("repo", "n", pattern.alias("pattern"), "again")
+
+
+def not_ignored(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows (repo, path, ...) that no root .gitignore leaves out; of the lines that fit a path the last one decides."""
+    fits = rows.select("repo", "path").join(ignore_rules(files), "repo").where(F.expr("path rlike pattern"))
+    gone = fits.groupBy("repo", "path").agg(F.max_by("again", "n").alias("again")).where("not again")
+    return rows.join(gone, ["repo", "path"], "left_anti")
+
+
 def sources(files: DataFrame) -> DataFrame:
     """The files that count, with their language."""
-    return files.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~excluded(F.col("full_path")))
+    return files.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & F.col("content").isNotNull() & ~excluded(F.col("full_path")))
 
 
 def configs(files: DataFrame) -> DataFrame:

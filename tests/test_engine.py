@@ -3,8 +3,9 @@ import json
 from pyspark.sql import functions as F
 
 from meshlens.engine import DependencyEngine
-from meshlens.operators import reports
-from meshlens.operators.store import Store
+from meshlens.operators import exports, reports, skills
+from meshlens.operators.store import Store, with_columns_of
+from meshlens.sources import organisations
 from meshlens.streaming.incremental import follow
 
 
@@ -56,3 +57,69 @@ def test_incremental(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     follow(stream, store, "paths", lambda df: df.select("repo", F.upper("path").alias("path")), str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, store.read("paths").collect())) == [("a", "NEW"), ("b", "kept")]
+
+
+CONTROLLER = """package a;
+@RestController
+@RequestMapping("/pnr")
+public class PnrController {
+    @PostMapping("/create")
+    public String create(String x) {
+        return save(x);
+    }
+}
+"""
+SERVICE = """package a;
+public class PnrService {
+    public String save(String x) {
+        return send(x);
+    }
+    public String send(String x) {
+        // return rest.getForObject("http://nobody/x", String.class);
+        return rest.postForObject(
+            "http://doli/v1/book",
+            x, String.class);
+    }
+}
+"""
+
+
+def test_scan_of_an_organisation(spark, tmp_path):
+    trees = {
+        "pss": {"src/PnrController.java": CONTROLLER, "src/PnrService.java": SERVICE, ".gitignore": "gen/*\n!gen/Kept.java\n", "gen/Out.java": 'class O {\n  void f() {\n    rest.getForObject("http://ghost/x", String.class);\n  }\n}\n', "gen/Kept.java": 'class K {\n  void f() {\n    rest.getForObject("http://depot/items", String.class);\n  }\n}\n'},
+        "doli": {"app.py": '@app.post(\n    "/v1/book")\ndef book():\n    pass\n'},
+        ".hidden": {"a.py": "x = 1\n"},
+    }
+    for repo, named in trees.items():
+        for name, text in named.items():
+            (tmp_path / "org" / repo / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "org" / repo / name).write_text(text)
+    (tmp_path / "org" / "doli" / "broken.py").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "org.yml").write_text("repos:\n- path: org/pss\n- path: org/doli\n  name: doli\n")
+    assert organisations.from_yaml(str(tmp_path / "org.yml")) == organisations.from_directory(str(tmp_path / "org"))
+    engine = DependencyEngine(spark, str(tmp_path / "store"))
+    engine.scan_organisation(str(tmp_path / "org.yml"))
+    assert [(r.repo, r.path) for r in engine.table("unreadable").collect()] == [("doli", "broken.py")]
+    assert {r.to_repo for r in engine.dependencies_of("pss").collect()} == {"doli", "depot"}
+    calls = [(r.ep_key, r.target, r.key, r.hops, r.confidence, r.via) for r in engine.route_calls("pss").collect()]
+    assert calls == [("POST /pnr/create", "doli", "POST /v1/book", 2, 0.6, ["create", "save", "send"])]
+    assert [(r.from_repo, r.endpoints, r.in_blast) for r in engine.impact_of_endpoint("doli", "post /v1/book").collect()] == [("pss", ["POST /v1/book"], True)]
+    assert engine.impact_of_endpoint("doli", "get /v1/book").count() == 0
+    engine.remember("pss", "codes are six letters", "gotcha")
+    engine.remember("pss", "ask first", "rule")
+    assert [(n.id, n.kind, n.note) for n in engine.recall("pss").collect()] == [(1, "gotcha", "codes are six letters"), (2, "note", "ask first")]
+    engine.forget(1)
+    assert [n.id for n in engine.recall("pss").collect()] == [2] and engine.recall("pss", "gotcha").count() == 0
+    engine.write_skills(str(tmp_path / "skills"))
+    text = skills.read_skill(spark, str(tmp_path / "skills"), "pss")
+    assert "name: work-in-pss" in text and "- doli (http, 100%)" in text and "- (note) ask first" in text and "public String create(String x)" in text
+    assert {r.repo for r in skills.read_index(spark, str(tmp_path / "skills")).collect()} == {"pss", "doli"} and skills.read_skill(spark, str(tmp_path / "skills"), "none") is None
+    engine.export(str(tmp_path / "export"))
+    back = exports.load_export(spark, str(tmp_path / "export")).orderBy("to_repo").collect()
+    assert [(r.to_repo, r.dep_types, r.evidence) for r in back] == [(d.to_repo, d.dep_types, [e if e[-1].isdigit() else e.rpartition(":")[0] for e in d.evidence]) for d in engine.table("dependencies").orderBy("to_repo").collect()]  # what is behind a last colon is a line, or 0
+    assert engine.add_alias("doli", "booking-svc") == "booking" and engine.remove_alias("doli", "booking-svc") and not engine.remove_alias("doli", "booking-svc")
+    engine.store.clear("dependencies")
+    assert engine.table("dependencies").count() == 0
+    assert exports.interfaces_name("a/org-deps.json") == "a/org-interfaces.json" and exports.interfaces_name("graph.json") == "graph-interfaces.json"
+    grown = with_columns_of(engine.table("repos"), "name string, path string, scanned_at string")
+    assert grown.columns == ["name", "path", "scanned_at"] and grown.first().scanned_at is None

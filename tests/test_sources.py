@@ -59,7 +59,7 @@ def test_extraction(spark, tmp_path):
     assert [(r.target, r.dep_type) for r in code.messages(rows).collect()] == [("orders.created", "kafka")]
     assert {(r.method, r.route, r.framework) for r in code.routes(rows).collect()} == {("GET", "/orders/{id}", "fastapi"), ("POST", "/pnr/create", "spring"), ("GET", "/pnr/all", "spring"), ("POST", "/v1/users", "express")}
     found = {(r.qualified_name, r.start_line, r.end_line) for r in code.symbols(rows).collect()}
-    assert {("read", 8, 11), ("Box", 12, 15), ("Box.send", 13, 15), ("PnrController", 5, 14), ("PnrController.create", 7, 9), ("load", 3, 5)} <= found
+    assert {("read", 8, 11), ("Box", 12, 15), ("Box.send", 13, 15), ("PnrController", 3, 14), ("PnrController.create", 6, 9), ("load", 3, 5)} <= found
     sites = {(r.caller, r.callee_name) for r in code.call_sites(rows, code.symbols(rows)).collect()}
     assert ("read", "charge") in sites and ("PnrController.create", "save") in sites
     props = [(r.key, r.value, r.line) for r in configs.properties(files.configs(read)).orderBy("line").collect()]
