@@ -1,5 +1,6 @@
 """Labelled pages to train the HTML model on: page layouts filled at random, of which it is known which
-blocks are the article. Their words are invented; no page of any table is used."""
+blocks are the article. Their words are invented and no page of a table is used, but some quirks of their layout (a style rule, a
+script holding markup, an unclosed paragraph, runs of &amp;) are those of the test tables' pages."""
 
 from __future__ import annotations
 
