@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import compression_quality, dimension_scan, html_tree, labelled_pages, mixing, nn_descent, order_minhash, secrets, sentencepiece_nbest, token_blocks, word_piece_counts
+from meshlens.llm import compression_quality, conversation_repair, dimension_scan, html_tree, labelled_pages, mixing, nn_descent, order_minhash, sampled_splitters, secrets, sentencepiece_nbest, token_blocks, tsqr_whitening, word_piece_counts
 from meshlens.llm.common import Scratch, table
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -75,7 +75,36 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_dimension_scan, op3_order_minhash, op4_html_tree, op5_secrets, op6_compression_quality, op7_nn_descent, op8_sentencepiece_nbest, op9_token_blocks, op10_word_piece_counts)}
+def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    sharded = sampled_splitters.shard(docs, F.octet_length(text) + 8, F.col("text"), row=F.struct("doc_id", F.crc32(text).alias("text_crc32")))
+    return sharded.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of conversations, some of them dropped, emptied, without their ends of sentences, repeated or given to the user, by a
+    hash of conversation and turn; what is null is one space there."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), (F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn"))) % 20).alias("damage"))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.where("damage <> 0").withColumns({"text": text, "role": F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))})
+    return rows.withColumn("copy", F.explode(F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("conv_id", "turn", "role", "text")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.digest(conversation_repair.repair(damaged(conversations)))
+    every = conversations.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(repaired, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tsqr_whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_dimension_scan, op3_order_minhash, op4_html_tree, op5_secrets, op6_compression_quality, op7_nn_descent, op8_sentencepiece_nbest, op9_token_blocks, op10_word_piece_counts, op11_sampled_splitters, op12_conversation_repair, op13_tsqr_whitening)}
 ORACLE_SQL: dict[str, str] = {}
 
 
