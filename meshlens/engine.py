@@ -11,8 +11,9 @@ from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.functions.predicates import is_value_holder, score_target
 from meshlens.operators import exports, fanout, lookups, memory, reconcile, resolve, skills, surfaces, traversal
-from meshlens.operators.store import Store, remove_aliases, replace_aliases
-from meshlens.sources import code, configs, files, organisations
+from meshlens.operators.store import Store, remove_aliases, replace_aliases, upsert
+from meshlens.sources import calls, code, configs, files, organisations
+from meshlens.sources.heads import heads as call_heads
 from meshlens.sources.identities import base_paths, identities
 
 
@@ -25,36 +26,57 @@ class DependencyEngine:
         self.spark, self.store = spark, Store(spark, folder)
 
     def scan(self, repos: dict[str, str]) -> None:
-        """Scan repositories (name -> folder), bind their references to each other, match calls and routes, follow endpoints
-        to the calls they reach, and store all tables. What a root .gitignore leaves out doesn't count; files that can't be
-        read are in the table unreadable."""
-        read = files.read_repos(self.spark, repos)
+        """Scan repositories (name -> folder), bind their references to each other and to those scanned before, match calls and
+        routes, follow endpoints to the calls they reach, and store all tables. What a root .gitignore leaves out doesn't count;
+        files that can't be read are in the table unreadable.
+
+        Only the scanned repositories' rows are replaced. Dependencies that they had before and that weren't found again stay,
+        as do what other repositories were bound to; relink() binds all anew, from the stored signals."""
+        store, names = self.store, sorted(repos)
         named = self.spark.createDataFrame(list(repos.items()), "name string, path string")
-        self.store.write("repos", named)
-        self.store.write("files", read.withColumn("content", F.when(F.col("path").rlike(CONFIGS) | F.col("path").isin(".gitignore") | files.language(F.col("path")).isNotNull(), F.col("content"))))
-        read = self.store.read("files")  # the trees are read once
-        self.store.write("unreadable", read.where("status is not null").select("repo", "path", "status"))
-        self.store.write("lines", code.lines(files.not_ignored(files.sources(read), read)))
-        rows = self.store.read("lines")
-        self.store.write("symbols", code.symbols(rows))
-        self.store.write("calls", code.call_sites(rows, self.store.read("symbols")))
+        store.replace("repos", named, names, "name")
+        read = files.read_repos(self.spark, repos)
+        store.replace("files", read.withColumn("content", F.when(F.col("path").rlike(CONFIGS) | F.col("path").isin(".gitignore") | files.language(F.col("path")).isNotNull(), F.col("content"))), names)
+        read = self._of("files", names)  # the trees are read once
+        store.replace("unreadable", read.where("status is not null").select("repo", "path", "status"), names)
+        sources = files.not_ignored(files.sources(read), read)
+        store.replace("lines", code.lines(sources), names)
+        store.replace("heads", call_heads(sources), names)
+        rows, heads = self._of("lines", names), self._of("heads", names)
+        store.replace("symbols", code.symbols(rows), names)
+        store.replace("calls", code.call_sites(rows, self._of("symbols", names)), names)
         declared = read.where(F.col("path").rlike(CONFIGS) & F.col("content").isNotNull())
-        routes = code.routes(rows).select("repo", "method", F.col("route").alias("path"), "framework", F.col("path").alias("file"), "line")
-        self.store.write("routes", surfaces.fold_base_paths(routes, base_paths(declared)).select(*routes.columns))
+        routes = code.routes(rows, heads).select("repo", "method", F.col("route").alias("path"), "framework", F.col("path").alias("file"), "line")
+        store.replace("routes", surfaces.fold_base_paths(routes, base_paths(declared)).select(*routes.columns), names)
         new = identities(named, declared).select("repo", "alias", "raw", "source", "confidence", F.xxhash64("raw").alias("ord"))
-        self.store.write("aliases", replace_aliases(self.store.read("aliases"), new, named) if self.store.exists("aliases") else new)
-
-        self.store.write("signals", self._signals(rows, declared))
-        signals = self.store.read("signals")
-        deps = resolve.without_import_only(resolve.resolve(signals))
-        self.store.write("dependencies", reconcile.reconcile(deps, self.store.read("aliases")))
+        store.replace("aliases", replace_aliases(self._of("aliases", names), new, named) if store.exists("aliases") else new, names)
+        store.replace("signals", self._signals(rows, heads, self._of("symbols", names), declared), names, "from_repo")
+        self._link(names)
+
+    def relink(self) -> None:
+        """Bind, match and follow all repositories' references anew, from the stored signals: after a scan of some, others may
+        find what they name. Dependencies that aren't found again go."""
+        self.store.clear("dependencies")
+        self._link([r.name for r in self.table("repos").select("name").distinct().collect()])
+
+    def _of(self, name: str, repos: list[str], column: str = "repo") -> DataFrame:
+        rows = self.store.read(name)
+        return rows.where(F.col(column).isin(repos)) if len(repos) <= 100 else rows.join(self.spark.createDataFrame([(r,) for r in repos], f"{column} string"), column, "left_semi")
+
+    def _link(self, names: list[str]) -> None:
+        store = self.store
+        signals, aliases = self._of("signals", names, "from_repo"), store.read("aliases")
+        deps = reconcile.reconcile(resolve.without_import_only(resolve.resolve(signals)), aliases)
+        if store.exists("dependencies"):
+            deps = upsert(self._of("dependencies", names, "from_repo"), deps, ["from_repo", "to_repo"])
+        store.replace("dependencies", deps, names, "from_repo")
         refs = signals.select(F.col("to_repo").alias("ref"), F.col("from_repo").alias("exclude")).distinct()
-        bound = reconcile.bind(refs, self.store.read("aliases")).select(F.col("ref").alias("to_repo"), F.col("exclude").alias("from_repo"), F.coalesce("match.repo", "ref").alias("repo"))
+        bound = reconcile.bind(refs, aliases).select(F.col("ref").alias("to_repo"), F.col("exclude").alias("from_repo"), F.coalesce("match.repo", "ref").alias("repo"))
         asked = signals.where("target_path is not null").join(bound, ["from_repo", "to_repo"]).select(F.xxhash64("from_repo", "repo", "file", "line", "target_path").alias("id"), "from_repo", "repo", "method", F.col("target_path").alias("path"), "file", "line")
-        self.store.write("surfaces", surfaces.match_surfaces(asked, self.store.read("routes").select("repo", "method", "path")))
-        self.store.write("route_calls", self._fanout())
+        store.replace("surfaces", surfaces.match_surfaces(asked, store.read("routes").select("repo", "method", "path")), names, "from_repo")
+        store.replace("route_calls", self._fanout(names), names)
 
-    def _signals(self, rows: DataFrame, declared: DataFrame) -> DataFrame:
+    def _signals(self, rows: DataFrame, heads: DataFrame, symbols: DataFrame, declared: DataFrame) -> DataFrame:
         """Everything that names another service, from code and from configuration, ordered by file and line."""
         nothing = F.lit(None).cast("string")
         columns = ["repo", "path", "line", "dep_type", "confidence", "tier", "to_repo", "method", "target_path"]
@@ -64,13 +86,14 @@ class DependencyEngine:
             return df.withColumns({k: F.lit(v) if isinstance(v, str | float) else v for k, v in given.items()}).select(columns)
 
         host, path = I.service_from_url(F.col("target")), P.split_host_path(F.col("target"))["path"]
-        wrapped = code.wrapped_axios(rows).withColumn("s", score_target(F.col("target")))
+        values = code.variables(rows)
+        wrapped = calls.wrapped_axios(heads, values).withColumn("s", score_target(F.col("target")))
         parts = [
-            of(code.http_calls(rows), "http", F.col("confidence"), F.col("tier"), host, F.col("method"), F.col("target_path")),
+            of(calls.http_calls(heads, values), "http", F.col("confidence"), F.col("tier"), host, F.col("method"), F.col("target_path")),
             of(wrapped, "http", F.col("s.confidence"), F.col("s.tier"), I.service_from_url(F.col("s.target")), F.col("method"), P.split_host_path(F.col("s.target"))["path"]),
-            of(code.soap_calls(rows), "soap", 1.0, "call-site", host),
-            of(code.messages(rows), F.col("dep_type"), F.when(F.col("dep_type") == "kafka", 1.0).otherwise(0.9), "call-site", F.col("target")),
-            of(code.feign_clients(rows), "feign", 0.95, "call-site", host),
+            of(calls.soap_calls(heads, values), "soap", 1.0, "call-site", host),
+            of(calls.messages(heads, code.imports(rows)), F.col("dep_type"), F.when(F.col("dep_type") == "kafka", 1.0).otherwise(0.9), "call-site", F.col("target")),
+            of(calls.feign_surfaces(heads, symbols), "feign", 0.95, "call-site", host, F.col("method"), F.col("target_path")),
             of(code.imports(rows).where(~is_value_holder(F.col("module"))), "import", 0.6, "import", I.import_name(F.col("module"))),
             of(configs.targets(files.configs(declared)), "http", 0.85, "config", host, "", path),
         ]
@@ -109,13 +132,16 @@ class DependencyEngine:
         deps = self.table("dependencies")
         return lookups.impact_of_endpoint(deps, deps, self.table("surfaces"), repo, endpoint, depth)
 
-    def _fanout(self, max_hops: int = 4) -> DataFrame:
-        out = self.table("surfaces").select(F.col("from_repo").alias("repo"), F.col("repo").alias("target"), P.endpoint_key(F.col("method"), F.col("path")).alias("key"), "file", "line")
-        return fanout.endpoint_fanout(self.table("routes"), self.table("symbols"), self.table("calls"), out, max_hops)
+    def _fanout(self, names: list[str] | None = None, max_hops: int = 4) -> DataFrame:
+        """Of the named repositories' endpoints, or of all: a fan-out stays within its repository."""
+        of = self.table if names is None else lambda name, column="repo": self._of(name, names, column)
+        outbound = self.table("surfaces") if names is None else of("surfaces", "from_repo")
+        out = outbound.select(F.col("from_repo").alias("repo"), F.col("repo").alias("target"), P.endpoint_key(F.col("method"), F.col("path")).alias("key"), "file", "line")
+        return fanout.endpoint_fanout(of("routes"), of("symbols"), of("calls"), out, max_hops)
 
     def fanout(self, max_hops: int = 4) -> DataFrame:
         """What endpoints fan out to: as the scan stored it, or anew for another number of calls."""
-        return self.table("route_calls") if max_hops == 4 and self.store.exists("route_calls") else self._fanout(max_hops)
+        return self.table("route_calls") if max_hops == 4 and self.store.exists("route_calls") else self._fanout(max_hops=max_hops)
 
     def route_calls(self, repo: str) -> DataFrame:
         return fanout.route_calls(self.table("route_calls"), repo)

@@ -164,6 +164,12 @@ def _code(sql: str, extra: dict[str, str] | None = None) -> str:
     return with_views("pg", sql, False, {"code": f"SELECT * EXCLUDE (path), page_id % 3 AS k, 'r' || (page_id % 20) AS repo, {path} AS path FROM pg"} | (extra or {}))
 
 
+#: Where each node first appears.
+PLACES = {"places": "SELECT node, min(place) AS place FROM (SELECT from_repo AS node, ord * 2 AS place FROM lines UNION ALL SELECT to_repo, ord * 2 + 1 FROM lines) GROUP BY node"}
+
+#: The statements of workload.varied_files: the v-th of its kind at place i, behind two lines.
+PLACED = {"placed": "SELECT *, (page_id * 7 + i * 5) % 6 AS v, CAST(i + 2 AS INTEGER) AS line FROM (SELECT * EXCLUDE (path), 'v' || page_id || CASE k WHEN 0 THEN '.java' WHEN 1 THEN '.py' ELSE '.ts' END AS path, unnest(range(1, page_id % 9 + 5)) AS i FROM code)"}
+
 SQL: dict[str, str] = {
     "normalize_path": f"SELECT page_id, {norm_path('url')} AS path FROM pages",
     "endpoint_key": with_views("routes", f"SELECT repo, {_ROUTE_KEY} AS key, count(*) AS n FROM routes GROUP BY ALL"),
@@ -217,7 +223,7 @@ SQL: dict[str, str] = {
     "blast_radius_d2": with_views("edges", "SELECT node FROM near WHERE node <> 'p1'", True, _walk("1")),
     "blast_by_hop": with_views("edges", "SELECT node, hops FROM near", True, _walk("12")),
     "affected_repos": with_views("deps", "SELECT repo, min(part) AS part FROM (SELECT 'p1' AS repo, 0 AS part UNION ALL SELECT from_repo, 1 FROM deps WHERE to_repo = 'p1' UNION ALL SELECT to_repo, 2 FROM deps WHERE from_repo = 'p1') GROUP BY repo"),
-    "graph_summary": with_views("deg", "SELECT count(*) AS nodes, CAST(sum(out_degree) AS BIGINT) AS edges, count(*) FILTER (in_degree = 0) AS orphans, (SELECT string_agg(node, ',' ORDER BY in_degree DESC, place) FROM (SELECT * FROM deg JOIN places USING (node) ORDER BY in_degree DESC, place LIMIT 5)) AS most_depended FROM deg", False, {"places": "SELECT node, min(place) AS place FROM (SELECT from_repo AS node, ord * 2 AS place FROM lines UNION ALL SELECT to_repo, ord * 2 + 1 FROM lines) GROUP BY node"}),
+    "graph_summary": with_views("deg", "SELECT count(*) AS nodes, CAST(sum(out_degree) AS BIGINT) AS edges, count(*) FILTER (in_degree = 0) AS orphans, (SELECT string_agg(node, ',' ORDER BY in_degree DESC, place) FROM (SELECT * FROM deg JOIN places USING (node) ORDER BY in_degree DESC, place LIMIT 5)) AS most_depended FROM deg", False, PLACES),
     "degree": with_views("deg", "SELECT * FROM deg"),
     "orphans": with_views("lines", "SELECT DISTINCT from_repo AS node FROM lines WHERE dep_type = 'kafka' AND from_repo NOT IN (SELECT to_repo FROM lines WHERE dep_type = 'kafka')"),
     "search_symbols": with_views("sym", "SELECT name, repo, file, start_line, qualified_name FROM sym WHERE name ILIKE '%Ring%' ORDER BY (name = 'Ring') DESC, length(name), name, repo, file, start_line, ord LIMIT 50"),
@@ -246,7 +252,7 @@ SQL: dict[str, str] = {
     "routes_of_repo": with_views("routes", "SELECT path, method, framework, file, line FROM routes WHERE repo = 'tionsh'"),
     "export_round_trip": with_views("deps", "SELECT from_repo, to_repo, types, confidence, evidence, tier FROM deps"),
     "export_evidence": with_views("lines", "SELECT to_repo, split_part(evidence, ':', 1) AS file, CAST(split_part(evidence, ':', 2) AS INTEGER) AS line FROM lines WHERE from_repo = 'p1'"),
-    "export_summary": with_views("deps deg", "SELECT (SELECT count(*) FROM deps) AS total_deps, (SELECT count(*) FROM deps WHERE confidence >= 0.8) AS high_confidence, (SELECT string_agg(node, ',' ORDER BY in_degree DESC, node) FROM (SELECT * FROM deg ORDER BY in_degree DESC, node LIMIT 5)) AS services_called"),
+    "export_summary": with_views("deps deg", "SELECT (SELECT count(*) FROM deps) AS total_deps, (SELECT count(*) FROM deps WHERE confidence >= 0.8) AS high_confidence, (SELECT string_agg(node, ',' ORDER BY in_degree DESC, place) FROM (SELECT * FROM deg JOIN places USING (node) ORDER BY in_degree DESC, place LIMIT 5)) AS services_called", False, PLACES),
     "group_map": with_views("deps", "SELECT from_repo, string_agg(to_repo || ' ' || CAST(round(confidence * 100) AS INTEGER) || '%', ', ' ORDER BY to_repo) AS targets FROM deps GROUP BY from_repo"),
     "interfaces_manifest": with_views("matched", f"SELECT coalesce(g.repo, t.repo) AS repo, coalesce(provides, '') AS provides, coalesce(consumes, '') AS consumes FROM (SELECT repo, string_agg(DISTINCT {_ROUTE_KEY}, ',' ORDER BY {_ROUTE_KEY}) AS provides FROM routes GROUP BY repo) g FULL JOIN (SELECT from_repo AS repo, string_agg(DISTINCT repo || ' ' || {_ROUTE_KEY}, ',' ORDER BY repo || ' ' || {_ROUTE_KEY}) AS consumes FROM matched GROUP BY from_repo) t ON g.repo = t.repo"),
     "scan_summary": with_views("matched", "SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, (SELECT count(*) FROM matched) AS calls, (SELECT count(*) FROM matched WHERE match_kind <> 'none') AS matched, (SELECT string_agg(node, ',' ORDER BY i DESC, node) FROM (SELECT * FROM d ORDER BY i DESC, node LIMIT 3)) AS most_depended, (SELECT string_agg(node, ',' ORDER BY node) FROM (SELECT * FROM d WHERE i = 0 ORDER BY node LIMIT 3)) AS orphans FROM d", False, {"d": "SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT from_repo AS node, 0 AS i, 1 AS o FROM (SELECT DISTINCT from_repo, repo FROM surf) UNION ALL SELECT repo, 1, 0 FROM (SELECT DISTINCT from_repo, repo FROM surf)) GROUP BY node"}),
@@ -263,6 +269,16 @@ SQL: dict[str, str] = {
     "code_statements": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{lang}' AS language, CAST(line AS INTEGER) AS line, (SELECT count(*) FROM pages WHERE page_id % 3 = {k}) AS n, line IN ({more}) AS goes_on FROM (SELECT unnest([{kept}]) AS line)" for lang, k, kept, more in (("java", 0, "1, 2, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29", "10, 14, 15, 22, 26"), ("python", 1, "1, 2, 3, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18", "10"), ("typescript", 2, "1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18", "1, 11"))) + ") WHERE n > 0",
     "code_imports": _code("SELECT repo, path, 2 AS line, 'com.' || word || '.Client' AS module FROM code WHERE k = 0 UNION ALL SELECT repo, path, 1, unnest(['os', 'sys']) FROM code WHERE k = 1 UNION ALL SELECT repo, path, 2, word || '.models' FROM code WHERE k = 1 UNION ALL SELECT repo, path, 1, word || '-sdk' FROM code WHERE k = 2"),
     "code_http_calls": _code("SELECT repo, path, 14 AS line, 'GET' AS method, 'https://' || host || '/a/' || page_id AS target, 1.0::DOUBLE AS confidence, 'call-site' AS tier FROM code WHERE k = 0 UNION ALL SELECT repo, path, 10, 'GET', '$ENV:' || word || '_URL/b/' || page_id, 0.7::DOUBLE, 'call-site' FROM code WHERE k = 1 UNION ALL SELECT repo, path, 8, 'PUT', 'https://' || host || '/d/' || page_id, 1.0::DOUBLE, 'call-site' FROM code WHERE k = 2"),
+    "code_varied_calls": _code("""SELECT repo, path, line, method, target, CASE WHEN target LIKE 'http%' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS confidence, CASE WHEN target LIKE 'http%' THEN 'call-site' ELSE 'inferred' END AS tier
+        FROM (SELECT repo, path, line, method, replace(replace(replace(target, '#w', word), '#h', host), '#i', CAST(i AS VARCHAR)) AS target FROM placed JOIN (VALUES
+            (1, 0, 'GET', 'https://#h/a/#i?ids=1,#i'), (1, 1, 'POST', 'https://#h/f/#w/#i'), (1, 2, 'PUT', 'url("x", #i)'), (1, 2, 'DELETE', 'https://#h/d/#i'), (1, 4, 'HEAD', '#w/p/#i{}'),
+            (0, 0, 'GET', 'https://#h/a/#i{}'), (0, 1, 'PUT', 'http://#w/p/#i'), (0, 2, 'PATCH', 'http://#w/%s'), (0, 4, 'ANY', 'http://#w/u/#i'), (0, 5, 'POST', 'https://#h'),
+            (2, 0, 'GET', 'https://#h/t/{id(1)}/#w/#i'), (2, 1, 'PUT', 'https://#h/f,#i'), (2, 2, 'POST', '/g/#i'), (2, 2, 'DELETE', 'https://#h/k/#i'), (2, 3, 'GET', '#w'), (2, 4, 'ANY', 'a ? ''x'' : ''y''')
+        ) f(k, v, method, target) USING (k, v))""", PLACED),
+    "code_mounted_routes": _code("""SELECT repo, path, line, method, replace(replace(route, '#m', CAST(page_id % 5 AS VARCHAR)), '#i', CAST(i AS VARCHAR)) AS route, 'express' AS framework
+        FROM placed JOIN (VALUES (2, 5, 'GET', '/m#m/u/#i'), (2, 5, 'POST', '/v/#i')) f(k, v, method, route) USING (k, v)""", PLACED),
+    "code_feign_surfaces": _code("""SELECT repo, 'v' || page_id || '.java' AS path, CAST(page_id % 9 + 8 AS INTEGER) AS line, word || '-client' AS target,
+        unnest(list_concat(['GET'], ['POST' FOR j IN range(page_id % 4 + 1)])) AS method, unnest(list_concat(['/g/' || page_id || '/{x}'], ['/p' || (j + 1) FOR j IN range(page_id % 4 + 1)])) AS target_path FROM code WHERE k = 0"""),
     "code_wrapped_axios": _code("SELECT repo, path, 7 AS line, 'GET' AS method, 'https://' || host || '/c/' || page_id AS target FROM code WHERE k = 2"),
     "code_soap_calls": _code("SELECT repo, path, 21 AS line, 'http://' || host || '/soap/' || page_id AS target FROM code WHERE k = 0"),
     "code_web_client_calls": _code("SELECT repo, path, 22 AS line, 'GET' AS method, '/w/' || page_id AS target_path FROM code WHERE k = 0"),

@@ -12,7 +12,8 @@ from meshlens.functions import paths as P
 from meshlens.functions import predicates as R
 from meshlens.operators import exports, fanout, lookups, memory, reconcile, resolve, skills, store, surfaces, traversal
 from meshlens.plans import workload as W
-from meshlens.sources import code, configs, identities
+from meshlens.sources import calls, code, configs, identities
+from meshlens.sources.heads import heads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -567,37 +568,57 @@ def code_imports(spark, sf):
 
 @query
 def code_http_calls(spark, sf):
-    return code.http_calls(W.code_lines(spark, sf)).select("repo", "path", "line", "method", "target", "confidence", "tier")
+    return calls.http_calls(W.code_heads(spark, sf), code.variables(W.code_lines(spark, sf))).select("repo", "path", "line", "method", "target", "confidence", "tier")
+
+
+@query
+def code_varied_calls(spark, sf):
+    """Calls of files that differ: several on a line, commas and brackets in arguments, texts, comments and patterns that look like calls."""
+    files = W.varied_files(spark, sf)
+    return calls.http_calls(heads(files), code.variables(code.lines(files))).select("repo", "path", "line", "method", "target", "confidence", "tier")
+
+
+@query
+def code_mounted_routes(spark, sf):
+    """Express routes of the same files, below what they are mounted at, or known by their handlers."""
+    return calls.express_routes(heads(W.varied_files(spark, sf)))
+
+
+@query
+def code_feign_surfaces(spark, sf):
+    """What declared clients' methods ask for."""
+    files = W.varied_files(spark, sf).where("language = 'java'")
+    return calls.feign_surfaces(heads(files), code.symbols(code.lines(files)))
 
 
 @query
 def code_wrapped_axios(spark, sf):
-    return code.wrapped_axios(W.code_lines(spark, sf))
+    return calls.wrapped_axios(W.code_heads(spark, sf), code.variables(W.code_lines(spark, sf)))
 
 
 @query
 def code_soap_calls(spark, sf):
-    return code.soap_calls(W.code_lines(spark, sf))
+    return calls.soap_calls(W.code_heads(spark, sf), code.variables(W.code_lines(spark, sf)))
 
 
 @query
 def code_web_client_calls(spark, sf):
-    return code.web_client_calls(W.code_lines(spark, sf))
+    return calls.web_client_calls(W.code_heads(spark, sf))
 
 
 @query
 def code_messages(spark, sf):
-    return code.messages(W.code_lines(spark, sf))
+    return calls.messages(W.code_heads(spark, sf), code.imports(W.code_lines(spark, sf)))
 
 
 @query
 def code_feign_clients(spark, sf):
-    return code.feign_clients(W.code_lines(spark, sf))
+    return calls.feign_clients(W.code_heads(spark, sf)).select("repo", "path", "line", "target")
 
 
 @query
 def code_routes(spark, sf):
-    return code.routes(W.code_lines(spark, sf)).select("repo", "path", "line", "method", "route", "framework")
+    return code.routes(W.code_lines(spark, sf), W.code_heads(spark, sf)).select("repo", "path", "line", "method", "route", "framework")
 
 
 @query

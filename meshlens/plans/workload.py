@@ -10,6 +10,7 @@ from meshlens.functions import paths as P
 from meshlens.operators.fanout import endpoint_fanout
 from meshlens.operators.resolve import resolve
 from meshlens.sources import code
+from meshlens.sources.heads import heads
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -230,7 +231,10 @@ db.url=jdbc:postgresql://{host}/x
 
 def _filled(template: str):
     """A template with a page's id, word, host and id modulo five put in."""
-    out = F.lit(template.replace("{{", "{").replace("}}", "}"))
+    return _put(F.lit(template.replace("{{", "{").replace("}}", "}")))
+
+
+def _put(out):
     for name, value in (("id", F.col("page_id").cast("string")), ("word", F.col("word")), ("host", F.col("host")), ("five", (F.col("page_id") % 5).cast("string"))):
         out = F.replace(out, F.lit(f"{{{name}}}"), value)
     return out
@@ -251,6 +255,57 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.lines(code_files(spark, sf_dir))
 
 
+#: Statements of files that differ from page to page: {i} is the statement's place. Their facts stand in the SQL twin.
+STATEMENTS = {
+    "python": [
+        'requests.get("https://{host}/a/{i}?ids=1,{i}")',
+        'log("requests.get(no)", requests.post(f"https://{host}/f/{BASE}/{i}", json={"a": [1, 2]}))  # requests.get("x")',
+        'httpx.put(url("x", {i}), data=b"y"); httpx.delete("https://{host}/d/{i}")',
+        'other.get("https://{host}/no")',
+        'requests.head(BASE + "/p/{i}" + tail(1, 2))',
+        "text = 'requests.get(\"https://{host}/no\")'",
+    ],
+    "java": [
+        'rest.getForObject(base + "/a/{i}" + f(1, 2), String.class);',
+        'map.put("k,{i}", "v"); rest.put("http://{word}/p/{i}", b);',
+        'rest.exchange(String.format("http://{word}/%s", x(1)), HttpMethod.PATCH, e);',
+        'String s = "rest.delete(\\"http://no\\")";',
+        'new URL("http://{word}/u/{i}").openConnection(); // rest.getForObject("http://no", c)',
+        'repository.delete(entity.get(1, 2)); rest.postForEntity(base, x(")"), y);',
+    ],
+    "typescript": [
+        "axios.get(`https://{host}/t/${id(1)}/${base}/{i}`, { headers: { a: [1, 2] } });",
+        "fetch('https://{host}/f,{i}', { method: 'put', body: f(\")\") });",
+        "const r{i} = /fetch\\(\"no/; got.post(\"/g/{i}\").then(x => ky.delete('https://{host}/k/{i}'));",
+        "axios.get(base);",
+        "/* axios.get('no') */ fetch(a ? 'x' : 'y');",
+        "mounted.get('/u/{i}', (req, res) => res.send('a, b')); other.post('/v/{i}', check.auth, list); client.get('/w/{i}');",
+    ],
+}
+BEGINNINGS = {"python": 'import requests, httpx\nBASE = "{word}"\n', "java": 'class C{id} {\nString base = "https://{host}";\n', "typescript": "const base = '{word}';\napp.use('/m{five}', mounted);\n"}
+
+
+def varied_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of 4 to 12 statements for each page, chosen by page and place; the last lines of Java declare a client."""
+    kind = F.col("page_id") % 3
+
+    def body(language: str):
+        variants = F.array(*[F.lit(x) for x in STATEMENTS[language]])
+        lines = F.transform(F.sequence(F.lit(1), F.col("page_id") % 9 + 4), lambda i: F.replace(variants[((F.col("page_id") * 7 + i * 5) % 6).cast("int")], F.lit("{i}"), i.cast("string")))
+        return _put(F.concat(F.lit(BEGINNINGS[language]), F.array_join(lines, "\n")))
+
+    posts = F.array_join(F.transform(F.sequence(F.lit(1), F.col("page_id") % 4 + 1), lambda j: F.concat(F.lit('    @PostMapping(value = "/p'), j, F.lit('", consumes = "a/b")\n    void p'), j, F.lit("(X x);\n"))), "")
+    client = F.concat(_put(F.lit('\n}\n@FeignClient(name = "{word}-client")\ninterface F{id} {\n    @GetMapping("/g/{id}/{x}")\n    X one(@PathVariable("x") String x);\n')), posts, F.lit("}\n"))
+    return pages(spark, sf_dir).select(
+        F.concat(F.lit("r"), F.col("page_id") % 20).alias("repo"), F.concat(F.lit("v"), "page_id", F.when(kind == 0, ".java").when(kind == 1, ".py").otherwise(".ts")).alias("path"), F.when(kind == 0, "java").when(kind == 1, "python").otherwise("typescript").alias("language"),
+        F.when(kind == 0, F.concat(body("java"), client)).when(kind == 1, body("python")).otherwise(body("typescript")).alias("content"),
+    )
+
+
+def code_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heads(code_files(spark, sf_dir))
+
+
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A properties file and a package file for each page, in repositories of their own."""
     rows = pages(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), "page_id"))

@@ -1,4 +1,4 @@
-"""Facts from source text: imports, calls, routes, symbols.
+"""Facts from source text: imports, variables, routes, symbols. What calls mean is in sources.calls.
 
 Each file is split into lines once, without comments. A line also knows the rest of its statement (`more`): the lines
 that follow while one ends openly or the next one goes on. A fact is a pattern that begins on a line and is read from
@@ -12,23 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlens.functions import paths as P
-from meshlens.functions.predicates import is_namespace_noise, score_target
-
-# HTTP clients and their methods, by language.
-PY_CLIENTS = r"\b(requests|httpx|aiohttp|urllib)\.(get|post|put|patch|delete|head|options|urlopen|urlretrieve)\(\s*([^,)]*)"
-TS_CLIENTS = r"\b(axios|got|http|https|superagent|ky)\.(get|post|put|patch|delete|request|head)\(\s*([^,)]*)"
-TS_FETCH = r"\b(fetch|axios|got|ky)()\(\s*([^,)]*)"
-JAVA_CLIENTS = r"\.(getForObject|getForEntity|postForObject|postForEntity|postForLocation|patchForObject|exchange)\(\s*([^,)]*)"
-JAVA_OTHER = {  # form: pattern of a line, place of the argument; the verb where it is fixed
-    "write": (r"\.(put|delete)\(\s*([^,)]*)", 2, None),
-    "okhttp": (r"(?i:builder|request)[\w().\s]*\.(url)\(\s*([^,)]*)", 2, "ANY"),
-    "connection": (r"new\s+(?:java\.net\.)?(URL)\(\s*([^,)]*)\)\.openConnection\(", 2, "ANY"),
-    "variable": (r"\b(\w+)\.openConnection\(", 1, "ANY"),
-}
-URL_LIKE = r"://|^/|^\$ENV:|/.*(?:\{\}|%s|%d)|(?:\{\}|%s|%d).*/"
-URL_NAME = r"(?i)url|uri|endpoint|host|path|address|link"
-SPRING = {"Get": "GET", "Post": "POST", "Put": "PUT", "Delete": "DELETE", "Patch": "PATCH"}
-
+from meshlens.sources.calls import express_routes
 
 _STRING = r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)"""
 _CONTENT = r"""(["'`])(?:\\.|(?!\1).)*\1"""
@@ -89,109 +73,21 @@ def variables(rows: DataFrame) -> DataFrame:
     """(repo, path, name, value): literal and environment values; the last assignment of a file wins."""
     assign = r"""^\s*(?:(?:public|private|protected|static|final|const|let|var|String)\s+)*(\w+)\s*(?::\s*\w+\s*)?=\s*(.+?);?\s*$"""
     right = F.regexp_extract("more", assign, 2)
-    literal, env = r"""^["'`]([^"'`$]*)["'`]$""", r"""(?:getenv\(|environ\.get\(|environ\[)\s*["'](\w+)["']|process\.env\.(\w+)"""
+    literal, env = r"""^(?:[rRuU]{0,2}(?=["']))?["'`]([^"'`$]*)["'`]$""", r"""(?:getenv\(|environ\.get\(|environ\[)\s*["'](\w+)["']|process\.env\.(\w+)"""
     name = F.concat(F.regexp_extract(right, env, 1), F.regexp_extract(right, env, 2))
     value = F.when(right.rlike(literal), F.regexp_extract(right, literal, 1)).when(right.rlike(env), F.concat(F.lit("$ENV:"), name))
     found = rows.select("repo", "path", "line", F.regexp_extract("more", assign, 1).alias("name"), value.alias("value")).where("name <> '' and value is not null")
     return found.groupBy("repo", "path", "name").agg(F.max_by("value", "line").alias("value"))
 
 
-def resolved(calls: DataFrame, values: DataFrame) -> DataFrame:
-    """calls with argument (source text of the target) -> target: literals, variables and template holes filled in."""
-    known = values.groupBy("repo", "path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("known"))
-    rows = calls.join(known, ["repo", "path"], "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
-    bare = F.regexp_replace("argument", r"""^[fF]?["'`]|["'`]$""", "")
-    holes = F.regexp_extract_all(bare, F.lit(r"(\$?\{\s*\w+\s*\})"), 1)
-    name_of = lambda h: F.regexp_extract(h, r"(\w+)", 1)
-    filled = F.aggregate(holes, bare, lambda acc, h: F.replace(acc, h, F.coalesce(F.try_element_at("known", name_of(h)), F.concat(F.lit("{"), name_of(h), F.lit("}")))))
-    joined = F.split("argument", r"\s*\+\s*")
-    part = lambda x: F.when(x.rlike(r"""^["']"""), F.regexp_replace(x, r"""^["']|["']$""", "")).otherwise(F.coalesce(F.try_element_at("known", x), F.lit("{}")))
-    target = F.when(F.size(joined) > 1, F.array_join(F.transform(joined, part), "")).when(F.col("argument").rlike(r"^\w+$"), F.coalesce(F.try_element_at("known", F.col("argument")), F.col("argument"))).otherwise(filled)
-    return rows.withColumn("target", target).drop("known")
-
-
-def http_calls(rows: DataFrame) -> DataFrame:
-    """(repo, path, line, method, target, path_of_target, confidence, tier, dep_type) of outbound HTTP calls."""
-    t, m, lang = F.col("code"), F.col("more"), F.col("language")
-    script = lang.isin("typescript", "javascript")
-    fetch_verb = F.upper(F.regexp_extract(m, r"""method\s*:\s*["'](\w+)["']""", 1))
-    java_verb = F.upper(F.regexp_extract(m, r"\.(get|post|patch)For", 1))
-    exchange = F.regexp_extract(m, r"HttpMethod\.(\w+)", 1)
-    found = (
-        F.when((lang == "python") & t.rlike(PY_CLIENTS), F.struct(F.upper(F.regexp_extract(m, PY_CLIENTS, 2)).alias("verb"), F.regexp_extract(m, PY_CLIENTS, 3).alias("argument")))
-        .when(script & t.rlike(TS_CLIENTS), F.struct(F.upper(F.regexp_extract(m, TS_CLIENTS, 2)).alias("verb"), F.regexp_extract(m, TS_CLIENTS, 3).alias("argument")))
-        .when(script & t.rlike(TS_FETCH), F.struct(F.when(fetch_verb == "", "GET").otherwise(fetch_verb).alias("verb"), F.regexp_extract(m, TS_FETCH, 3).alias("argument")))
-        .when((lang == "java") & t.rlike(JAVA_CLIENTS), F.struct(F.coalesce(F.nullif(java_verb, F.lit("")), exchange).alias("verb"), F.regexp_extract(m, JAVA_CLIENTS, 2).alias("argument")))
-    )
-    calls = rows.select("repo", "path", "line", found.alias("c")).where("c is not null").select("repo", "path", "line", "c.verb", F.trim("c.argument").alias("argument"), F.lit(False).alias("gated"))
-    for form, (pattern, place, verb) in JAVA_OTHER.items():
-        named = F.lit(verb) if verb else F.upper(F.regexp_extract(m, pattern, 1))
-        calls = calls.union(rows.where((lang == "java") & t.rlike(pattern)).select("repo", "path", "line", named, F.trim(F.regexp_extract(m, pattern, place)), F.lit(form == "write")))
-    verbs = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
-    s = score_target(F.col("target"))
-    out = resolved(calls, variables(rows)).where(~is_namespace_noise(F.col("target")))
-    # put and delete are also what maps and repositories have: there the argument must look like an endpoint
-    out = out.where(~F.col("gated") | F.col("target").rlike(URL_LIKE) | F.col("argument").rlike(r"^\w+$") & F.col("argument").rlike(URL_NAME))
-    return out.select("repo", "path", "line", F.when(F.col("verb").isin(*verbs), F.col("verb")).otherwise("ANY").alias("method"), s["target"].alias("target"), P.split_host_path(s["target"])["path"].alias("target_path"), s["confidence"].alias("confidence"), s["tier"].alias("tier"), F.lit("http").alias("dep_type"))
-
-
-def wrapped_axios(rows: DataFrame) -> DataFrame:
-    """(repo, path, line, method, target): calls on instances that axios.create made, their base URL put before the path."""
-    made, call = r"(\w+)\s*=\s*axios\.create\(.*baseURL\s*:\s*([^,}\s]+)", r"\b(\w+)\.(get|post|put|patch|delete|request|head)\(\s*([^,)]*)"
-    t, m = F.col("code"), F.col("more")
-    values = variables(rows)
-    base = resolved(rows.where(t.rlike(made)).select("repo", "path", F.regexp_extract(m, made, 1).alias("name"), F.regexp_extract(m, made, 2).alias("argument")), values).select("repo", "path", "name", F.col("target").alias("base"))
-    used = resolved(rows.where(t.rlike(call)).select("repo", "path", "line", F.regexp_extract(m, call, 1).alias("name"), F.upper(F.regexp_extract(m, call, 2)).alias("method"), F.trim(F.regexp_extract(m, call, 3)).alias("argument")), values)
-    whole = F.when(F.col("target").startswith("/") | (F.col("target") == ""), F.concat(F.rtrim("base", F.lit("/")), "target")).otherwise(F.col("target"))
-    return used.join(base, ["repo", "path", "name"]).select("repo", "path", "line", "method", whole.alias("target"))
-
-
-def soap_calls(rows: DataFrame) -> DataFrame:
-    """(repo, path, line, target): SOAP calls whose first argument is an address."""
-    t, m, pattern = F.col("code"), F.col("more"), r"\.(?:marshalSendAndReceive|sendSourceAndReceive)\(\s*([^,)]*)"
-    calls = rows.where((F.col("language") == "java") & t.rlike(pattern)).select("repo", "path", "line", F.trim(F.regexp_extract(m, pattern, 1)).alias("argument"))
-    out = resolved(calls, variables(rows)).where((P.split_host_path(F.col("target"))["host"] != "") & ~is_namespace_noise(F.col("target")))
-    return out.select("repo", "path", "line", "target")
-
-
-def web_client_calls(rows: DataFrame) -> DataFrame:
-    """(repo, path, line, method, target_path): verb().uri("/path") chains, for the line of the verb; the host isn't known there."""
-    t, m, pattern = F.col("code"), F.col("more"), r"(?:\.(get|post|put|patch|delete)\(\s*\))?\s*\.uri\(\s*\"([^\"]*)\""
-    verb = F.regexp_extract(m, pattern, 1)
-    opens = r"\.(get|post|put|patch|delete)\(\s*\)\s*$"
-    told = F.coalesce(F.lag("code").over(Window.partitionBy("repo", "path").orderBy("line")).rlike(opens), F.lit(False)) & t.rlike(r"^\s*\.uri\(")
-    seen = rows.where(F.col("language") == "java").withColumn("told", told).where(~F.col("told") & (t.rlike(pattern) | t.rlike(opens) & m.rlike(pattern)))
-    return seen.select("repo", "path", "line", F.when(verb == "", "ANY").otherwise(F.upper(verb)).alias("method"), F.regexp_extract(m, pattern, 2).alias("target_path"))
-
-
-def messages(rows: DataFrame) -> DataFrame:
-    """(repo, path, line, target, dep_type): Kafka topics sent to, and gRPC channels of files that import grpc."""
-    t, m = F.col("code"), F.col("more")
-    kafka = rows.where((F.col("language") == "python") & t.rlike(r"(?i)producer.*\.send\(\s*(?:$|[\"'])") & m.rlike(r"\.send\(\s*[\"']")).select("repo", "path", "line", F.regexp_extract(m, r"\.send\(\s*[\"']([^\"']+)", 1).alias("target"), F.lit("kafka").alias("dep_type"))
-    users = rows.where(t.rlike(r"^\s*(?:import|from)\s+grpc\b")).select("repo", "path").distinct()
-    grpc = rows.where(t.rlike(r"(?:in)?secure_channel\(\s*(?:$|[\"'])") & m.rlike(r"(?:in)?secure_channel\(\s*[\"']")).join(users, ["repo", "path"], "left_semi").select("repo", "path", "line", F.regexp_extract(m, r"secure_channel\(\s*[\"']([^\"']+)", 1).alias("target"), F.lit("grpc").alias("dep_type"))
-    return kafka.union(grpc)
-
-
-def feign_clients(rows: DataFrame) -> DataFrame:
-    """(repo, path, line, target): declared Feign clients by name, else by URL."""
-    t, m = F.col("code"), F.col("more")
-    name, url = F.regexp_extract(m, r"@FeignClient\([^)]*\bname\s*=\s*\"([^\"]*)\"", 1), F.regexp_extract(m, r"@FeignClient\([^)]*\burl\s*=\s*\"([^\"]*)\"", 1)
-    return rows.where((F.col("language") == "java") & t.contains("@FeignClient(")).select("repo", "path", "line", F.when(name != "", name).otherwise(url).alias("target")).where("target <> ''")
-
-
-def routes(rows: DataFrame) -> DataFrame:
+def routes(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """(repo, path, line, method, route, framework): decorators of Python frameworks, Express calls, Spring mappings
-    with the prefix of the class above them."""
+    with the prefix of the class above them; heads are the same files' call heads."""
     t, m, lang = F.col("code"), F.col("more"), F.col("language")
     fast, flask = r"^\s*@\w+\.(get|post|put|patch|delete|head|options)\(\s*[\"']([^\"']*)", r"^\s*@\w+\.route\(\s*[\"']([^\"']*)"
     methods = F.regexp_extract_all(F.regexp_extract(m, r"methods\s*=\s*\[([^\]]*)\]", 1), F.lit(r"(\w+)"), 1)
     python = rows.where((lang == "python") & t.rlike(r"^\s*@\w+\.\w+\(") & m.rlike(fast)).select("repo", "path", "line", F.upper(F.regexp_extract(m, fast, 1)).alias("method"), F.regexp_extract(m, fast, 2).alias("route"), F.lit("fastapi").alias("framework"))
     flasks = rows.where((lang == "python") & t.rlike(r"^\s*@\w+\.route\(") & m.rlike(flask)).select("repo", "path", "line", F.explode(F.when(F.size(methods) > 0, F.transform(methods, F.upper)).otherwise(F.array(F.lit("GET")))).alias("method"), F.regexp_extract(m, flask, 1), F.lit("flask"))
-    express = r"\b(?:app|router|server|api|route|routes|fastify)\.(get|post|put|patch|delete|head|options|all)\(\s*[\"'`]([^\"'`]*)"
-    begins = r"\b(?:app|router|server|api|route|routes|fastify)\.(?:get|post|put|patch|delete|head|options|all)\(\s*(?:$|[\"'`])"
-    verb = F.regexp_extract(m, express, 1)
-    node = rows.where(lang.isin("typescript", "javascript") & t.rlike(begins) & m.rlike(express)).select("repo", "path", "line", F.when(verb == "all", "ANY").otherwise(F.upper(verb)), F.regexp_extract(m, express, 2), F.lit("express"))
     mapping = r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b"
     value = F.regexp_extract(m, r"Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*\"([^\"]*)\"", 1)
     java = rows.where(lang == "java").withColumns({"mapping": F.regexp_extract(m, mapping, 1), "value": value, "is_class": t.rlike(r"\b(?:class|interface)\s+\w+"), "controller": t.rlike(r"@(?:Rest)?Controller\b")})
@@ -203,7 +99,7 @@ def routes(rows: DataFrame) -> DataFrame:
     named = F.regexp_extract(m, r"RequestMethod\.(\w+)", 1)
     spring_verb = F.when(F.col("mapping") != "Request", F.upper("mapping")).when(named != "", named).otherwise("ANY")
     spring = own.select("repo", "path", "line", spring_verb, P.join_prefix(F.col("prefix"), F.col("value")), F.lit("spring"))
-    return python.union(flasks).union(node).union(spring).union(nest_routes(rows)).union(jaxrs_routes(rows))
+    return python.union(flasks).union(express_routes(heads)).union(spring).union(nest_routes(rows)).union(jaxrs_routes(rows))
 
 
 def nest_routes(rows: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 # Languages by ending, and folders whose content doesn't count.
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "java": "java", "ts": "typescript", "tsx": "typescript", "go": "go"}
@@ -16,48 +16,98 @@ EXCLUDED = ("node_modules", "vendor", ".git", "__pycache__", "build", "dist", "t
 CONFIG_NAME = r"^(?:application[^/]*\.(?:properties|ya?ml)|bootstrap[^/]*\.ya?ml|\.env(?:\..*)?)\z"
 
 
-class _Repo(InputPartition):
-    def __init__(self, name: str, root: str):
-        super().__init__(None)
-        self.name, self.root = name, root
-
-
 #: Files whose text is read: sources, configurations, and what declares a repository's names or tests.
 WANTED = re.compile(r"\.(?:py|jsx?|java|tsx?|go|ya?ml|properties|json|toml|mod|xml|gradle|ini)$|^\.env(?:\..*)?$|^\.gitignore$|^config$")
 
 
+class _Piece(InputPartition):
+    """Some files of a repository; without any, its folders couldn't be listed and failed says why."""
+
+    def __init__(self, name: str, root: str, files: list[str], failed: list[tuple[str, str]]):
+        super().__init__(None)
+        self.name, self.root, self.files, self.failed = name, root, files, failed
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.repos = [tuple(x.split("=", 1)) for x in options["repos"].split("\n") if x]
+        self.bytes, self.most = int(options.get("piecebytes", 32 << 20)), int(options.get("piecefiles", 2000))
+        self.paths: set[str] | None = None
+
+    def pushFilters(self, filters: list) -> Iterable:
+        """Equalities of repo and path choose what is listed; whatever else is asked Spark does itself."""
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("repo",):
+                self.repos = [r for r in self.repos if r[0] in values]
+            elif values is not None and f.attribute == ("path",):
+                self.paths = values if self.paths is None else self.paths & values
+            else:
+                yield f
+
+    def _listed(self, root: str, failed: list[tuple[str, str]]) -> Iterator[tuple[str, int]]:
+        """(relative path, bytes) of a repository's files, excluded folders never opened; of .git only the file that names the remote."""
+        folders = [""]
+        while folders:
+            folder = folders.pop()
+            try:
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    found = sorted(entries, key=lambda e: e.name)
+            except OSError as e:
+                failed.append((folder, e.strerror))
+                continue
+            for entry in found:
+                path = os.path.join(folder, entry.name)
+                if entry.is_dir(follow_symlinks=False):
+                    if entry.name not in EXCLUDED:
+                        folders.append(path)
+                    elif path == ".git" and os.path.exists(os.path.join(root, ".git/config")):
+                        yield ".git/config", 0
+                elif not entry.is_dir():
+                    try:
+                        yield path, entry.stat().st_size
+                    except OSError:
+                        yield path, 0  # reading it will tell why
 
     def partitions(self) -> list[InputPartition]:
-        return [_Repo(name, root) for name, root in self.repos]
-
-    def read(self, repo: _Repo) -> Iterator[tuple]:
-        failed: list[OSError] = []
-        for folder, folders, names in os.walk(repo.root, onerror=failed.append):
-            folders[:] = sorted(f for f in folders if f != ".git")
-            for name in sorted([*names, ".git/config"] if folder == repo.root else names):  # of .git only the file that names the remote
-                path = os.path.join(folder, name)
-                text, status = None, None
-                if name == ".git/config" and not os.path.exists(path):
+        """The driver lists names and sizes; a task reads files of some 32 MB or 2000 of them, so that a large repository is many tasks."""
+        out = []
+        for name, root in self.repos:
+            files, size, failed = [], 0, []
+            for path, n in self._listed(root, failed):
+                if self.paths is not None and path not in self.paths:
                     continue
-                if WANTED.search(os.path.basename(name)):
-                    try:
-                        with open(path, encoding="utf-8", errors="replace") as f:
-                            text = f.read()
-                    except OSError as e:
-                        status = f"unreadable: {e.strerror}"
-                yield repo.name, os.path.relpath(path, repo.root), os.path.abspath(path), text, status
-        for e in failed:
-            yield repo.name, os.path.relpath(e.filename, repo.root), os.path.abspath(e.filename), None, f"unreadable: {e.strerror}"
+                if files and (size + n > self.bytes or len(files) >= self.most):
+                    out.append(_Piece(name, root, files, []))
+                    files, size = [], 0
+                files.append(path)
+                size += n
+            if files or failed:
+                out.append(_Piece(name, root, files, failed))
+        return out or [_Piece("", "", [], [])]
+
+    def read(self, piece: _Piece) -> Iterator[tuple]:
+        for file in piece.files:
+            path = os.path.join(piece.root, file)
+            text, status = None, None
+            if WANTED.search(os.path.basename(file)):
+                try:
+                    with open(path, encoding="utf-8", errors="replace") as f:
+                        text = f.read()
+                except OSError as e:
+                    status = f"unreadable: {e.strerror}"
+            yield piece.name, file, os.path.abspath(path), text, status
+        for folder, why in piece.failed:
+            yield piece.name, folder or ".", os.path.abspath(os.path.join(piece.root, folder)), None, f"unreadable: {why}"
 
 
 class RepoFiles(DataSource):
-    """All files of repositories, dot files too, one partition a repository: (repo, path, full_path, content, status).
+    """Files of repositories, dot files too: (repo, path, full_path, content, status). Excluded folders below a repository are
+    never opened, and filters of repo and path choose what is listed and read.
 
-    Option: repos, lines of name=folder. The folders must be visible to the executors. The content is that of files which
-    can matter, whatever their size; of others, and of what can't be read, it is null, and status says why."""
+    Options: repos, lines of name=folder, which the driver and the executors must see; piecebytes and piecefiles, how much a
+    task reads at most (a larger file is read whole). The content is that of files which can matter, whatever their size; of
+    others, and of what can't be read, it is null, and status says why."""
 
     @classmethod
     def name(cls) -> str:
@@ -70,9 +120,10 @@ class RepoFiles(DataSource):
         return _Reader(self.options)
 
 
-def read_repos(spark: SparkSession, repos: dict[str, str]) -> DataFrame:
+def read_repos(spark: SparkSession, repos: dict[str, str], **options: int) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RepoFiles)
-    return spark.read.format("repofiles").option("repos", "\n".join(f"{k}={v}" for k, v in repos.items())).load()
+    return spark.read.format("repofiles").options(**options).option("repos", "\n".join(f"{k}={v}" for k, v in repos.items())).load()
 
 
 def language(path: Column) -> Column:
@@ -85,19 +136,6 @@ def excluded(full_path: Column) -> Column:
     return F.arrays_overlap(F.split(full_path, "/"), F.array(*[F.lit(x) for x in EXCLUDED]))
 
 
-def ignore_pattern(gitignore: str) -> str | None:
-    """The root .gitignore as one regular expression over relative paths; negated lines aren't supported by it."""
-    parts = []
-    for line in gitignore.splitlines():
-        line = line.strip()
-        if not line or line.startswith(("#", "!")):
-            continue
-        anchored, folder = "/" in line.rstrip("/"), line.endswith("/")
-        glob = re.escape(line.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        parts.append(("^" if anchored else "(?:^|/)") + glob + ("/" if folder else "(?:/|$)"))
-    return "|".join(parts) or None
-
-
 def ignore_rules(files: DataFrame) -> DataFrame:
     """(repo, n, pattern, again) of the repositories' root .gitignore files: the n-th line as a regular expression over
     relative paths; again where the line takes its files back in."""

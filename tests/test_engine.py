@@ -49,6 +49,56 @@ def test_scan_takes_declarations(spark, tmp_path):
     assert ("web", "ledger", "import") in {(r.from_repo, r.to_repo, r.dep_type) for r in engine.table("signals").collect()}
 
 
+def test_scans_keep_other_repositories(spark, tmp_path):
+    def put(repo, name, text):
+        (tmp_path / repo).mkdir(exist_ok=True)
+        (tmp_path / repo / name).write_text(text)
+        return {repo: str(tmp_path / repo)}
+
+    engine = DependencyEngine(spark, str(tmp_path / "store"))
+    a = put("shop", "a.py", 'import requests\ndef old():\n    pass\nrequests.get("http://billing-svc/v1/x")\n')
+    engine.scan(a)
+    assert [d.to_repo for d in engine.dependencies_of("shop").collect()] == ["billing-svc"]
+    engine.scan(put("billing", "b.py", '@app.get("/v1/x")\ndef x():\n    pass\n'))
+    names = lambda t, c: {r[0] for r in engine.table(t).select(c).distinct().collect()}
+    assert names("repos", "name") == {"shop", "billing"} and names("symbols", "repo") == {"shop", "billing"} and names("dependencies", "from_repo") == {"shop"}
+    engine.relink()
+    assert [(d.to_repo) for d in engine.dependencies_of("shop").collect()] == ["billing"] and {r.match_kind for r in engine.table("surfaces").collect()} == {"exact"}
+    put("shop", "a.py", "def new():\n    pass\n")
+    engine.scan(a)
+    assert {r.name for r in engine.table("symbols").collect()} == {"new", "x"} and engine.table("surfaces").count() == 0
+    assert [d.to_repo for d in engine.dependencies_of("shop").collect()] == ["billing"]  # what isn't found again stays until relink
+    engine.relink()
+    assert engine.table("dependencies").count() == 0
+    engine.scan(put("shop", "a.py", ""))
+    assert {r.name for r in engine.table("symbols").collect()} == {"x"}  # nothing replaces something, too
+
+
+def test_store_by_repository(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda *r: spark.createDataFrame(list(r), "repo string, n int")
+    read = lambda v=None: sorted((r.repo, r.n) for r in store.read("t", v).collect())
+    store.replace("t", rows(("a", 1), ("b", 1)), ["a", "b"])
+    store.replace("t", rows(("a", 2)), ["a"])
+    assert read() == [("a", 2), ("b", 1)] and read(1) == [("a", 1), ("b", 1)]
+    store.replace("t", rows(), ["a", "b"])
+    store.replace("t", rows(("c", 3)), ["c"])
+    assert read() == [("c", 3)]
+    # two writers from one manifest: the second makes its own anew
+    base, commit = store.manifest("t"), store._commit
+    other = Store(spark, store.folder)
+    store._commit = lambda name, old, parts: (other.replace("t", rows(("d", 4)), ["d"]) if old["version"] == base["version"] else None, commit(name, old, parts))[1]
+    store.replace("t", rows(("e", 5)), ["e"])
+    store._commit = commit
+    assert read() == [("c", 3), ("d", 4), ("e", 5)] and store.manifest("t")["version"] == base["version"] + 2
+    store.compact("t")
+    assert read() == [("c", 3), ("d", 4), ("e", 5)] and len(store.manifest("t")["parts"]) == 1
+    assert len(store.vacuum("t", keep=1)) >= 4 and read() == [("c", 3), ("d", 4), ("e", 5)] and store._versions("t") == [store.manifest("t")["version"]]
+    for k in range(40):
+        store.replace("t", rows((f"x{k % 3}", k)), [f"x{k % 3}"])
+    assert len(store.manifest("t")["parts"]) <= 33 and read() == [("c", 3), ("d", 4), ("e", 5), ("x0", 39), ("x1", 37), ("x2", 38)]
+
+
 def test_incremental(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     schema = "repo string, path string"

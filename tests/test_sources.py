@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from meshlens.sources import code, configs, files
+from meshlens.sources import calls, code, configs, files
+from meshlens.sources.heads import heads
 
 PY = """import os
 from shop.models import Order
@@ -52,12 +53,12 @@ def tree(tmp_path):
 
 def test_extraction(spark, tmp_path):
     read = files.read_repos(spark, tree(tmp_path)).cache()
-    rows = code.lines(files.sources(read)).cache()
+    rows, heads_ = code.lines(files.sources(read)).cache(), heads(files.sources(read)).cache()
     assert sorted(r.module for r in code.imports(rows).collect()) == ["axios", "com.shop.Money", "os", "requests", "shop.models"]
-    calls = {(r.method, r.target, r.tier) for r in code.http_calls(rows).collect()}
-    assert calls == {("GET", "https://payments.internal/v1/charge/{id}", "call-site"), ("POST", "$ENV:USER_URL/users", "call-site"), ("GET", "http://doli/v1/all", "call-site"), ("GET", "$ENV:USER_SERVICE_URL/v1/users/{id}", "call-site")}
-    assert [(r.target, r.dep_type) for r in code.messages(rows).collect()] == [("orders.created", "kafka")]
-    assert {(r.method, r.route, r.framework) for r in code.routes(rows).collect()} == {("GET", "/orders/{id}", "fastapi"), ("POST", "/pnr/create", "spring"), ("GET", "/pnr/all", "spring"), ("POST", "/v1/users", "express")}
+    got = {(r.method, r.target, r.tier) for r in calls.http_calls(heads_, code.variables(rows)).collect()}
+    assert got == {("GET", "https://payments.internal/v1/charge/{id}", "call-site"), ("POST", "$ENV:USER_URL/users", "call-site"), ("GET", "http://doli/v1/all", "call-site"), ("GET", "$ENV:USER_SERVICE_URL/v1/users/{id}", "call-site")}
+    assert [(r.target, r.dep_type) for r in calls.messages(heads_, code.imports(rows)).collect()] == [("orders.created", "kafka")]
+    assert {(r.method, r.route, r.framework) for r in code.routes(rows, heads_).collect()} == {("GET", "/orders/{id}", "fastapi"), ("POST", "/pnr/create", "spring"), ("GET", "/pnr/all", "spring"), ("POST", "/v1/users", "express")}
     found = {(r.qualified_name, r.start_line, r.end_line) for r in code.symbols(rows).collect()}
     assert {("read", 8, 11), ("Box", 12, 15), ("Box.send", 13, 15), ("PnrController", 3, 14), ("PnrController.create", 6, 9), ("load", 3, 5)} <= found
     sites = {(r.caller, r.callee_name) for r in code.call_sites(rows, code.symbols(rows)).collect()}
@@ -75,34 +76,70 @@ def test_yaml(spark):
 
 
 def test_gitignore(spark):
-    pattern = files.ignore_pattern("# c\n*.log\n/out/\nlib/**/gen\n")
-    rows = [("a/x.log", True), ("out/a.py", True), ("src/out/a.py", False), ("lib/a/b/gen/x.py", True), ("src/x.py", False)]
-    got = spark.createDataFrame(rows, "p string, want boolean").select(F.col("p").rlike(pattern).alias("got"), "want").collect()
-    assert all(r.got == r.want for r in got)
+    rows = [("a/x.log", True), ("out/a.py", True), ("src/out/a.py", False), ("lib/a/b/gen/x.py", True), ("src/x.py", False), ("b/keep.log", False)]
+    df = spark.createDataFrame([("r", p, None) for p, _ in rows] + [("r", ".gitignore", "# c\n*.log\n/out/\nlib/**/gen\n!keep.log\n")], "repo string, path string, content string")
+    kept = {r.path for r in files.not_ignored(df, df).collect()}
+    assert all((p not in kept) == gone for p, gone in rows)
+
+
+def test_tree_reader_plans_by_size_and_prunes(spark, tmp_path):
+    import os
+
+    for k in range(60):
+        (tmp_path / f"mono/pkg{k % 5}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"mono/pkg{k % 5}/m{k}.py").write_text("x = 1\n" * 50)
+    (tmp_path / "mono/node_modules/dep").mkdir(parents=True)
+    (tmp_path / "mono/node_modules/dep/x.js").write_text("x")
+    (tmp_path / "mono/.git").mkdir()
+    (tmp_path / "mono/.git/config").write_text("[remote]")
+    (tmp_path / "mono/.git/HEAD").write_text("ref")
+    (tmp_path / "small").mkdir()
+    (tmp_path / "small/a.py").write_text("y")
+    os.chmod(tmp_path / "mono/node_modules", 0)  # opening it would be told as unreadable, but for root
+    repos = {"mono": str(tmp_path / "mono"), "small": str(tmp_path / "small"), "gone": str(tmp_path / "gone")}
+    read = files.read_repos(spark, repos, piecefiles=8)
+    got = read.collect()
+    os.chmod(tmp_path / "mono/node_modules", 0o755)
+    assert sorted(r.path for r in got if r.repo == "mono") == sorted([".git/config"] + [f"pkg{k % 5}/m{k}.py" for k in range(60)])
+    assert [(r.path, r.status) for r in got if r.repo == "gone"] == [(".", "unreadable: No such file or directory")]
+    assert read.where("repo = 'mono'").select(F.spark_partition_id()).distinct().count() == 8
+    assert files.read_repos(spark, repos, piecebytes=3000).where("repo = 'mono'").select(F.spark_partition_id()).distinct().count() == 6
+    reader = files._Reader({"repos": "\n".join(f"{k}={v}" for k, v in repos.items())})
+    assert list(reader.pushFilters([files.EqualTo(("repo",), "small"), files.In(("path",), ("a.py", "b.py"))])) == [] and [(p.name, p.files) for p in reader.partitions()] == [("small", ["a.py"])]
+    assert [r.path for r in read.where("repo = 'mono' and path = 'pkg1/m1.py'").collect()] == ["pkg1/m1.py"]
+
+
+def file_of(spark, language, text):
+    return spark.createDataFrame([("r", "f", language, text)], "repo string, path string, language string, content string")
 
 
 def rows_of(spark, language, text):
-    return code.lines(spark.createDataFrame([("r", "f", language, text)], "repo string, path string, language string, content string"))
+    return code.lines(file_of(spark, language, text))
+
+
+def of(spark, language, text):
+    """(call heads, variables) of one text."""
+    return heads(file_of(spark, language, text)).cache(), code.variables(rows_of(spark, language, text)).cache()
 
 
 def test_java_calls(spark):
     text = 'String url = "http://a.internal/x";\nrest.put(url, body);\nheaders.put("k", v);\nnew Request.Builder().url("http://b/y");\nnew URL("http://c/z").openConnection();\nws.marshalSendAndReceive(url, req);\nclient.get().uri("/v1/w");\n'
-    rows = rows_of(spark, "java", text)
-    assert {(r.method, r.target) for r in code.http_calls(rows).collect()} == {("PUT", "http://a.internal/x"), ("ANY", "http://b/y"), ("ANY", "http://c/z")}
-    assert [r.target for r in code.soap_calls(rows).collect()] == ["http://a.internal/x"]
-    assert [(r.method, r.target_path) for r in code.web_client_calls(rows).collect()] == [("GET", "/v1/w")]
+    found = of(spark, "java", text)
+    assert {(r.method, r.target) for r in calls.http_calls(*found).collect()} == {("PUT", "http://a.internal/x"), ("ANY", "http://b/y"), ("ANY", "http://c/z")}
+    assert [r.target for r in calls.soap_calls(*found).collect()] == ["http://a.internal/x"]
+    assert [(r.method, r.target_path) for r in calls.web_client_calls(found[0]).collect()] == [("GET", "/v1/w")]
 
 
 def test_axios_instance(spark):
-    rows = rows_of(spark, "typescript", "const api = axios.create({ baseURL: 'https://u.internal/' });\napi.get('/v1/users');\n")
-    assert [(r.method, r.target) for r in code.wrapped_axios(rows).collect()] == [("GET", "https://u.internal/v1/users")]
+    found = of(spark, "typescript", "const api = axios.create({ baseURL: 'https://u.internal/' });\napi.get('/v1/users');\n")
+    assert [(r.method, r.target) for r in calls.wrapped_axios(*found).collect()] == [("GET", "https://u.internal/v1/users")]
 
 
 def test_nest_and_jaxrs(spark):
-    nest = rows_of(spark, "typescript", "@Controller('cats')\nexport class C {\n  @Get(':id')\n  one() {}\n  @Post()\n  add() {}\n}\n")
-    assert {(r.method, r.route) for r in code.routes(nest).collect()} == {("GET", "/cats/:id"), ("POST", "/cats")}
-    java = rows_of(spark, "java", '@Path("/pay")\npublic class P {\n  @GET\n  @Path("/{id}")\n  public String one() {\n  }\n  @POST\n  public String add() {\n  }\n}\n')
-    assert {(r.method, r.route) for r in code.routes(java).collect()} == {("GET", "/pay/{id}"), ("POST", "/pay")}
+    nest = file_of(spark, "typescript", "@Controller('cats')\nexport class C {\n  @Get(':id')\n  one() {}\n  @Post()\n  add() {}\n}\n")
+    assert {(r.method, r.route) for r in code.routes(code.lines(nest), heads(nest)).collect()} == {("GET", "/cats/:id"), ("POST", "/cats")}
+    java = file_of(spark, "java", '@Path("/pay")\npublic class P {\n  @GET\n  @Path("/{id}")\n  public String one() {\n  }\n  @POST\n  public String add() {\n  }\n}\n')
+    assert {(r.method, r.route) for r in code.routes(code.lines(java), heads(java)).collect()} == {("GET", "/pay/{id}"), ("POST", "/pay")}
 
 
 def test_identities_and_bases(spark):
