@@ -120,11 +120,20 @@ class DependencyEngine:
         deps = self.table("dependencies")
         return lookups.impact(deps, deps, repo, depth)
 
-    def search_symbols(self, query: str, limit: int = 50) -> DataFrame:
-        return lookups.search_symbols(self.table("symbols"), query, limit)
-
-    def callers(self, name: str, limit: int = 100) -> DataFrame:
-        return lookups.callers(self.table("calls").withColumn("ord", F.lit(0)), name, limit)
+    def search_symbols(self, query: str, limit: int = 50, repo: str | None = None) -> DataFrame:
+        """By way of the postings if index_symbols made some since the last scan."""
+        symbols = self.table("symbols")
+        if self.store.exists("postings") and self.store.manifest("postings")["parts"][0]["of"] == self.store.manifest("symbols")["version"]:
+            return lookups.search_postings(symbols, self.table("postings"), query, limit, repo)
+        return lookups.search_symbols(symbols, query, limit, repo)
+
+    def index_symbols(self) -> None:
+        """Postings of all symbols' names, for searches until the next scan."""
+        version = self.store.manifest("symbols")["version"]
+        self.store.write("postings", lookups.name_postings(self.store.read("symbols", version)), of=version)
+
+    def callers(self, name: str, limit: int = 100, repo: str | None = None) -> DataFrame:
+        return lookups.callers(self.table("calls").withColumn("ord", F.lit(0)), name, limit, repo)
 
     def impact_of_endpoint(self, repo: str, endpoint: str | None = None, depth: int = 3) -> DataFrame:
         """Direct dependents with the endpoints they use; with an endpoint only those that use it, and of the blast radius

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,21 @@ from meshlens.operators.resolve import first_per
 
 
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """points (id, repo, file, line) -> (id, qualified_name): the innermost method or function around the line.
-
-    An interval join that keeps (repo, base name of the file) as its equality; the shortest span wins, then the first symbol."""
-    spans = symbols.where(F.col("kind").isin("method", "function")).select("repo", P.basename(F.col("file")).alias("base"), "qualified_name", "start_line", "end_line", "ord")
-    hits = points.select("id", "repo", P.basename(F.col("file")).alias("base"), "line").join(spans, ["repo", "base"]).where("line between start_line and end_line")
-    pick = F.min_by("qualified_name", F.struct(F.col("end_line") - F.col("start_line"), "ord", "qualified_name"))
-    return hits.groupBy("id").agg(pick.alias("qualified_name"))
+    """points (id, repo, file, line) -> (id, qualified_name): the innermost method or function around the line, by the base
+    name of the file; the shortest span wins, then the first symbol.
+
+    Spans fall apart into aligned blocks of lines, at most two of each power of two, and each block keeps its best span; a
+    line then looks up the blocks that it lies in. So ten thousand files of one name cost their lines, not their product."""
+    place = F.struct((F.col("end_line") - F.col("start_line")).alias("length"), "ord", "qualified_name")
+    spans = symbols.where(F.col("kind").isin("method", "function") & (F.col("end_line") >= F.col("start_line"))).select("repo", P.basename(F.col("file")).alias("base"), F.greatest("start_line", F.lit(1)).cast("long").alias("first"), (F.col("end_line") + 1).cast("long").alias("behind"), place.alias("span"))
+    blocks = F.expr("""flatten(transform(sequence(0, 31), k -> filter(array(
+        named_struct('level', k, 'block', (first + shiftleft(1L, k) - 1) div shiftleft(1L, k), 'taken', (first + shiftleft(1L, k) - 1) div shiftleft(1L, k) < behind div shiftleft(1L, k) AND (first + shiftleft(1L, k) - 1) div shiftleft(1L, k) % 2 = 1),
+        named_struct('level', k, 'block', behind div shiftleft(1L, k) - 1, 'taken', (first + shiftleft(1L, k) - 1) div shiftleft(1L, k) < behind div shiftleft(1L, k) AND behind div shiftleft(1L, k) % 2 = 1)), b -> b.taken)))""")
+    best = spans.select("repo", "base", F.explode(blocks).alias("b"), "span").groupBy("repo", "base", "b.level", "b.block").agg(F.min("span").alias("span"))
+    at = points.select("id", "repo", P.basename(F.col("file")).alias("base"), F.col("line").cast("long").alias("line")).where("line >= 1")
+    lines = at.select("repo", "base", "line").distinct().withColumn("level", F.explode(F.expr("sequence(0, cast(floor(log2(line)) as int))"))).withColumn("block", F.expr("shiftright(line, level)"))
+    found = lines.join(best, ["repo", "base", "level", "block"]).groupBy("repo", "base", "line").agg(F.min("span").alias("span"))
+    return at.join(found, ["repo", "base", "line"]).select("id", F.col("span.qualified_name").alias("qualified_name"))
 
 
 def call_graph(symbols: DataFrame, calls: DataFrame) -> DataFrame:
@@ -31,23 +41,30 @@ def endpoint_fanout(routes: DataFrame, symbols: DataFrame, calls: DataFrame, sur
     """routes (repo, method, path, file, line), surfaces (repo, target, method, path, key, matched, file, line) ->
     (repo, ep_key, target, key, hops, confidence, via): for each endpoint and outbound call the fewest hops.
 
-    Each level extends the paths by a join with the call graph and keeps, for each start and symbol, the
-    smallest path by names, so the path told doesn't depend on partitions. The call graph and each level are cut
+    A level holds, for each endpoint and symbol first reached there, the symbol before it on the smallest path by names, and
+    the path's rank among the endpoint's of that level: a smaller rank before makes a smaller path, so no path is carried
+    along. The paths told are put together from the levels at the end. The call graph and each level are cut
     with a checkpoint, so no level computes the ones before it anew."""
     at = routes.select(F.xxhash64("repo", "method", "path", "file", "line").alias("id"), "repo", "file", "line", P.endpoint_key(F.col("method"), F.col("path")).alias("ep_key")).distinct()
     handlers = enclosing(at, symbols).join(at, "id").select("repo", "ep_key", F.col("qualified_name").alias("node")).distinct()
     out = surfaces.withColumn("id", F.xxhash64("repo", "file", "line"))
-    sinks = enclosing(out.select("id", "repo", "file", "line").distinct(), symbols).join(out, "id").select("repo", F.col("qualified_name").alias("node"), "target", "key").distinct()
+    sinks = checkpointed(enclosing(out.select("id", "repo", "file", "line").distinct(), symbols).join(out, "id").select("repo", F.col("qualified_name").alias("node"), "target", "key").distinct())
     graph = checkpointed(call_graph(symbols, calls).withColumnRenamed("caller", "node"))
-    frontier = checkpointed(handlers.withColumns({"hops": F.lit(0), "path": F.array("node")}))
-    seen = frontier
-    for level in range(1, max_hops + 1):
-        new = frontier.join(graph, ["repo", "node"]).select("repo", "ep_key", F.col("path").alias("before"), F.col("callee").alias("node"))
-        new = new.groupBy("repo", "ep_key", "node").agg(F.min("before").alias("before")).join(seen.select("repo", "ep_key", "node"), ["repo", "ep_key", "node"], "left_anti")
-        frontier = checkpointed(new.select("repo", "ep_key", "node", F.lit(level).alias("hops"), F.concat("before", F.array("node")).alias("path")))
-        seen = seen.unionByName(frontier)
-    best = first_per(seen.join(sinks, ["repo", "node"]), ["repo", "ep_key", "target", "key"], "hops", "path")
-    return best.select("repo", "ep_key", "target", "key", "hops", fanout_confidence(F.col("hops")).alias("confidence"), F.transform("path", lambda q: F.substring_index(q, ".", -1)).alias("via"))
+    ranked = lambda *order: F.row_number().over(Window.partitionBy("repo", "ep_key").orderBy(*order))
+    levels = [checkpointed(handlers.select("repo", "ep_key", "node", F.lit(None).cast("string").alias("before"), ranked("node").alias("rank"), F.lit(0).alias("hops")))]
+    for hops in range(1, max_hops + 1):
+        step = levels[-1].select("repo", "ep_key", F.col("node").alias("before"), F.col("rank").alias("rank_before")).join(graph.withColumnRenamed("node", "before"), ["repo", "before"])
+        new = step.groupBy("repo", "ep_key", F.col("callee").alias("node")).agg(F.min(F.struct("rank_before", "before")).alias("from"))
+        seen = functools.reduce(DataFrame.union, [x.select("repo", "ep_key", "node") for x in levels])
+        new = new.join(seen, ["repo", "ep_key", "node"], "left_anti")
+        levels.append(checkpointed(new.select("repo", "ep_key", "node", "from.before", ranked("from.rank_before", "node").alias("rank"), F.lit(hops).alias("hops"))))
+    reached = functools.reduce(DataFrame.union, levels)
+    best = first_per(reached.join(sinks, ["repo", "node"]).select("repo", "ep_key", "target", "key", "node", "hops", "rank"), ["repo", "ep_key", "target", "key"], "hops", "rank")
+    told = best.select("*", F.array("node").alias("via"))
+    for hops in range(max_hops, 0, -1):
+        here = levels[hops].select("repo", "ep_key", "node", F.col("before"), F.lit(hops).alias("at"))
+        told = told.join(here, ["repo", "ep_key", "node"], "left").withColumns({"via": F.when(F.col("at").isNotNull(), F.concat(F.array("before"), "via")).otherwise(F.col("via")), "node": F.coalesce("before", "node")}).drop("before", "at")
+    return told.select("repo", "ep_key", "target", "key", "hops", fanout_confidence(F.col("hops")).alias("confidence"), F.transform("via", lambda q: F.substring_index(q, ".", -1)).alias("via"))
 
 
 def route_calls(fanned: DataFrame, repo: str | None = None) -> DataFrame:

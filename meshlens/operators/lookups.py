@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions.identity import slug
@@ -19,13 +24,41 @@ def dependents_of(deps: DataFrame, repo: str) -> DataFrame:
     return deps.where(F.col("to_repo") == repo).orderBy(F.desc("confidence"), "from_repo")
 
 
-def search_symbols(symbols: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Names that contain query (% and _ are wildcards, case doesn't count): equal ones first, then shorter ones."""
-    return symbols.where(F.col("name").ilike(f"%{query}%")).orderBy(F.desc(F.col("name") == query), F.length("name"), "name", "repo", "file", "start_line", "ord").limit(limit)
+def _best_names(found: DataFrame, query: str, limit: int) -> DataFrame:
+    return found.where(F.col("name").ilike(f"%{query}%")).orderBy(F.desc(F.col("name") == query), F.length("name"), "name", "repo", "file", "start_line", "ord").limit(limit)
+
+
+def search_symbols(symbols: DataFrame, query: str, limit: int = 50, repo: str | None = None) -> DataFrame:
+    """Names that contain query (% and _ are wildcards, case doesn't count): equal ones first, then shorter ones; of one
+    repository or of all."""
+    return _best_names(symbols if repo is None else symbols.where(F.col("repo") == repo), query, limit)
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))
+
 
+def name_postings(symbols: DataFrame) -> DataFrame:
+    """(gram, name): the distinct names in which three letters, in lower case, stand side by side. Sorted by gram, so that a
+    reader of a few grams skips the rest. A common gram lies in as many tasks as it needs."""
+    names = symbols.select("name").distinct().withColumn("low", F.lower("name")).where(F.length("low") >= 3)
+    return names.select(F.explode(_grams(F.col("low"))).alias("gram"), "name").repartitionByRange("gram", "name").sortWithinPartitions("gram", "name")
 
-def callers(calls: DataFrame, name: str, limit: int = 100) -> DataFrame:
-    return calls.where(F.col("callee_name") == name).orderBy("repo", "file", "line", "ord").limit(limit)
+
+def search_postings(symbols: DataFrame, postings: DataFrame, query: str, limit: int = 50, repo: str | None = None) -> DataFrame:
+    """search_symbols by way of postings: only names that hold all of the query's grams are compared with it. A query
+    without three letters side by side is looked for among all names."""
+    grams = sorted({part[i : i + 3] for part in re.split(r"[%_]|\\.", query.lower()) for i in range(len(part) - 2)})
+    rows = symbols if repo is None else symbols.where(F.col("repo") == repo)
+    if not grams:
+        return _best_names(rows, query, limit)
+    names = postings.where(F.col("gram").isin(grams)).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("name").where(F.col("name").ilike(f"%{query}%"))
+    return _best_names(rows.join(names, "name", "left_semi"), query, limit)
+
+
+def callers(calls: DataFrame, name: str, limit: int = 100, repo: str | None = None) -> DataFrame:
+    rows = calls.where(F.col("callee_name") == name)
+    return (rows if repo is None else rows.where(F.col("repo") == repo)).orderBy("repo", "file", "line", "ord").limit(limit)
 
 
 def symbols_for(symbols: DataFrame, repo: str, kinds: list[str] | None = None, limit: int = 200) -> DataFrame:
@@ -111,11 +144,32 @@ def confidence_buckets(deps: DataFrame) -> DataFrame:
 
 
 def snapshot_hash(symbols: DataFrame, deps: DataFrame) -> DataFrame:
-    """(repo, hash): twelve hex digits over the ordered symbols and dependencies of each repository."""
+    """(repo, hash): twelve hex digits over the ordered symbols and dependencies of each repository.
+
+    A repository's lines are sorted where they are and run through one hash, which is all that is held of them."""
     quoted = F.concat(F.lit("["), F.array_join(F.transform("dep_types", lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ", "), F.lit("]"))
     lines = symbols.select("repo", F.lit(0).alias("part"), F.concat_ws("|", "qualified_name", "signature").alias("line")).union(deps.select(F.col("from_repo"), F.lit(1), F.concat(F.lit("->"), F.col("to_repo"), F.lit(":"), quoted)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda s: s["line"]), "\n")
-    return lines.groupBy("repo").agg(F.substring(F.sha2(text, 256), 1, 12).alias("hash"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, state, done = None, None, []
+        for batch in batches:
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if state is None or name != repo:
+                    if state is not None:
+                        done.append((repo, state.hexdigest()[:12]))
+                    repo, state = name, hashlib.sha256(line.encode())
+                else:
+                    state.update(f"\n{line}".encode())
+            if len(done) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], names=["repo", "hash"])
+                done = []
+        if state is not None:
+            done.append((repo, state.hexdigest()[:12]))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], names=["repo", "hash"])
+
+    ordered = lines.where(F.col("line").isNotNull()).repartition("repo").sortWithinPartitions("repo", "part", "line")
+    return ordered.select("repo", "line").mapInArrow(digests, "repo string, hash string")
 
 
 def ui_nodes(deps: DataFrame, repos: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlens.functions import identity as I
+from meshlens.operators.checkpoints import checkpointed
 from meshlens.operators.resolve import ordered, strongest
 
 # Names of client libraries, never repositories.
@@ -18,63 +19,95 @@ def catalog(aliases: DataFrame) -> DataFrame:
     return rows.withColumns({"stem": I.stem(F.col("alias")), "tokens": I.tokens(F.col("alias"))})
 
 
-def _best(joined: DataFrame, scaled, reason: str) -> DataFrame:
-    """Best candidate per reference: highest confidence, the first in the catalog on ties."""
-    pick = F.max_by(F.struct("repo", scaled.alias("confidence"), "source", F.lit(reason).alias("reason")), F.struct("confidence", -F.col("ord")))
-    return joined.groupBy("ref", "exclude").agg(pick.alias(reason))
+def _two_best(rows: DataFrame, key: str) -> DataFrame:
+    """(key, two): the best entry of the catalog for a key, highest confidence and then first, and the best one of another
+    repository. Whichever repository may not be named, one of the two is the answer, so a key never brings more rows along."""
+    own = rows.groupBy(key, "repo").agg(F.max_by(F.struct("confidence", "ord", "source"), F.struct("confidence", -F.col("ord"))).alias("e")).select(key, "repo", "e.*")
+    order = Window.partitionBy(key).orderBy(F.desc("confidence"), "ord", "repo")
+    ranked = own.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "repo", "confidence", "source"))).alias("two"))
 
 
-def bind(refs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """refs (ref, exclude) -> (ref, exclude, match struct(repo, confidence, source, reason) or null).
-
-    The first kind that hits wins: the exact identity, the plural-folded one, then containment of one side's
-    tokens in the other's. Containment is looked for only where the other kinds miss. The contained side has its
-    rarest token in common with the other, so candidates come from two joins on that token, and a frequent
-    token pairs nothing; of the candidates the catalog's order decides as a fold: a later alias replaces an
-    earlier one if its confidence exceeds the earlier one's scaled confidence."""
-    known = catalog(aliases)
-    norm = refs.select("ref", "exclude").distinct().withColumn("norm", I.normalize_identity(F.col("ref")))
-    norm = norm.withColumns({"ref_stem": I.stem(F.col("norm")), "ref_tokens": I.tokens(F.col("norm"))})
-    asked = norm.where("norm <> ''")
-    other = F.col("repo") != F.coalesce("exclude", F.lit(""))
-    exact = _best(asked.join(known, F.col("norm") == F.col("alias")).where(other), F.least(F.lit(1.0), F.col("confidence")), "exact")
-    stem = _best(asked.join(known, F.col("ref_stem") == F.col("stem")).where(other), F.least(F.lit(0.95), F.col("confidence") * 0.95), "stem")
-
-    place = known.groupBy("alias").agg(F.min("ord").alias("place"))  # aliases in order of first appearance
-    placed = known.join(place, "alias")
-    both = exact.select("ref", "exclude").union(stem.select("ref", "exclude")).withColumnsRenamed({"ref": "ref_", "exclude": "exclude_"})
-    left = asked.join(both, F.col("ref").eqNullSafe(F.col("ref_")) & F.col("exclude").eqNullSafe(F.col("exclude_")), "left_anti")
-    names, refs_ = left.select("norm", F.col("ref_tokens").alias("tokens")).distinct(), known.select(F.col("alias").alias("norm"), "tokens").distinct()
-    often = names.union(refs_).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
+def _contained(norms: DataFrame, by_alias: DataFrame) -> DataFrame:
+    """Pairs (norm, alias, place, two) where the tokens of one are all among the other's. The contained side has its rarest
+    token in common with the other, so pairs come from two joins on that token, and a frequent token pairs little."""
+    names, known = norms.select("norm", "tokens"), by_alias.select(F.col("alias").alias("norm"), "tokens")
+    often = checkpointed(names.union(known).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("often")))
 
     def rarest(rows: DataFrame) -> DataFrame:
         return rows.select("norm", F.explode("tokens").alias("token")).join(often, "token").groupBy("norm").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
 
-    inner = left.join(rarest(names), "norm").join(placed.withColumn("token", F.explode("tokens")), "token")
-    outer = left.withColumn("token", F.explode("ref_tokens")).join(placed.join(rarest(refs_).withColumnRenamed("norm", "alias"), "alias"), "token")
-    pairs = inner.unionByName(outer).where(other)
-    inside = (F.size(F.array_except("ref_tokens", "tokens")) == 0) | (F.size(F.array_except("tokens", "ref_tokens")) == 0)
-    pairs = pairs.where(inside).dropDuplicates(["ref", "exclude", "alias", "repo", "source", "confidence", "ord"])
-    one = pairs.groupBy("ref", "exclude", "place", "alias").agg(F.max_by(F.struct("repo", "confidence", "source"), F.struct("confidence", -F.col("ord"))).alias("c"))
-    kinds = "struct<repo:string,confidence:double,source:string,reason:string>"
-    step = lambda best, x: F.when(best.isNull() | (x["c"]["confidence"] > best["confidence"]), F.struct(x["c"]["repo"].alias("repo"), F.least(F.lit(0.7), x["c"]["confidence"] * 0.75).alias("confidence"), x["c"]["source"].alias("source"), F.lit("subset").alias("reason"))).otherwise(best)
-    subset = one.groupBy("ref", "exclude").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("place", "alias", "c"))), F.lit(None).cast(kinds), step).alias("subset"))
+    asked = names.withColumnRenamed("tokens", "asked")
+    inner = asked.join(rarest(names), "norm").join(by_alias.select("alias", "tokens", F.explode("tokens").alias("token")), "token").where(F.size(F.array_except("asked", "tokens")) == 0)
+    outer = asked.withColumn("token", F.explode("asked")).join(by_alias.select("alias", "tokens").join(rarest(known).withColumnRenamed("norm", "alias"), "alias"), "token").where(F.size(F.array_except("tokens", "asked")) == 0)
+    pairs = inner.select("norm", "alias").union(outer.select("norm", "alias")).distinct()
+    return pairs.join(by_alias.select("alias", "place", "two"), "alias")
+
+
+def _subsets(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What containment offers: (norm, latest) whoever may not be named, and (norm, excluded, instead) of what stands behind
+    the repository that may not.
+
+    The catalog's order decides as a fold: a later alias replaces an earlier one if its confidence exceeds the earlier
+    one's scaled one. The fold ends at the earliest entry whose scaled confidence no later one exceeds, which is the last
+    of its confidence; so of each confidence only the last entry counts (and the last one of another repository), and a
+    name that many aliases contain takes a few entries along."""
+    entries = pairs.select("norm", "alias", "place", F.col("two")[0].alias("best"), F.try_element_at("two", F.lit(2)).alias("next"))
+    last = entries.groupBy("norm", F.col("best.confidence").alias("confidence"), F.col("best.repo").alias("repo")).agg(F.max(F.struct("place", "alias", F.col("best.source").alias("source"))).alias("e"))
+    order = Window.partitionBy("norm", "confidence").orderBy(F.desc("e"))
+    last = last.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("norm", F.struct("e.place", "e.alias", "repo", "confidence", "e.source").alias("e"))
+    latest = last.groupBy("norm").agg(F.collect_list("e").alias("latest"))
+    behind = entries.where("next is not null").groupBy("norm", F.col("best.repo").alias("excluded"), F.col("next.confidence").alias("confidence")).agg(F.max(F.struct("place", "alias", F.col("next.repo").alias("repo"), F.col("next.confidence").alias("confidence"), F.col("next.source").alias("source"))).alias("e"))
+    return latest, behind.groupBy("norm", "excluded").agg(F.collect_list("e").alias("instead"))
+
+
+_MATCH = "struct<repo:string,confidence:double,source:string,reason:string>"
+
 
-    out = norm.select("ref", "exclude")
-    for part in (exact, stem, subset):
-        out = out.join(part.withColumnsRenamed({"ref": "ref_", "exclude": "exclude_"}), F.col("ref").eqNullSafe(F.col("ref_")) & F.col("exclude").eqNullSafe(F.col("exclude_")), "left").drop("ref_", "exclude_")
-    return out.select("ref", "exclude", F.coalesce("exact", "stem", "subset").alias("match"))
+def _match(exclude: Column, instead: Column) -> Column:
+    """The binding of a reference with columns exact, stem and latest that may not name a repository: the first kind that hits."""
+    other = lambda entries: F.filter(entries, lambda e: e["repo"] != exclude)
+
+    def first(entries: str, scaled, reason: str) -> Column:
+        best = F.try_element_at(other(F.col(entries)), F.lit(1))
+        return F.when(best.isNotNull(), F.struct(best["repo"].alias("repo"), scaled(best["confidence"]).alias("confidence"), best["source"].alias("source"), F.lit(reason).alias("reason")))
+
+    def step(best: Column, x: Column) -> Column:
+        taken = F.struct(x["repo"].alias("repo"), F.least(F.lit(0.7), x["confidence"] * 0.75).alias("confidence"), x["source"].alias("source"), F.lit("subset").alias("reason"))
+        return F.when(best.isNull() | (x["confidence"] > best["confidence"]), taken).otherwise(best)
+
+    none = F.array().cast("array<struct<place:bigint,alias:string,repo:string,confidence:double,source:string>>")
+    entries = F.array_sort(F.concat(F.coalesce(other(F.col("latest")), none), F.coalesce(instead, none)))
+    return F.coalesce(
+        first("exact", lambda c: F.least(F.lit(1.0), c), "exact"), first("stem", lambda c: F.least(F.lit(0.95), c * 0.95), "stem"),
+        F.aggregate(entries, F.lit(None).cast(_MATCH), step),
+    )
+
+
+def bind(refs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """refs (ref, exclude) -> (ref, exclude, match struct(repo, confidence, source, reason) or null, self_match: the
+    repository bound to if none is excluded).
+
+    The first kind that hits wins: the exact identity, the plural-folded one, then containment of one side's
+    tokens in the other's. All of it is worked out once for each normal form; the catalog, too, is one row for each alias.
+    References then pick by joins on their normal form, whose right sides have one row a key."""
+    known = catalog(aliases)
+    by_alias = checkpointed(known.groupBy("alias").agg(F.min("ord").cast("long").alias("place"), F.first("tokens").alias("tokens")).join(_two_best(known, "alias"), "alias"))
+    asked = refs.select("ref", "exclude").distinct().withColumn("norm", I.normalize_identity(F.col("ref")))
+    norms = asked.where("norm <> ''").select("norm").distinct().withColumns({"stem_": I.stem(F.col("norm")), "tokens": I.tokens(F.col("norm"))})
+    stems = _two_best(known, "stem").select(F.col("stem").alias("stem_"), F.col("two").alias("stem"))
+    norms = checkpointed(norms.join(by_alias.select(F.col("alias").alias("norm"), F.col("two").alias("exact")), "norm", "left").join(stems, "stem_", "left").drop("stem_"))
+    few = lambda entries: F.coalesce(F.size(entries), F.lit(0)) < 2  # noqa: E731  with two repositories one is never excluded
+    latest, instead = _subsets(checkpointed(_contained(norms.where(few("exact") & few("stem")), by_alias)))
+    rows = asked.join(norms.join(latest, "norm", "left").drop("tokens"), "norm", "left").join(instead, (F.col("exclude") == F.col("excluded")) & (asked["norm"] == instead["norm"]), "left").drop(instead["norm"])
+    return rows.select("ref", "exclude", _match(F.coalesce("exclude", F.lit("")), F.col("instead")).alias("match"), _match(F.lit(""), F.lit(None))["repo"].alias("self_match"))
 
 
 def disposed(deps: DataFrame, aliases: DataFrame) -> DataFrame:
     """deps with match, self_match (the repository bound to without the exclusion) and disposition: resolved,
     drop-import, drop-self or keep. Kept names of client libraries count as unresolved like other kept ones."""
-    refs = deps.select(F.col("to_repo").alias("ref"), F.col("from_repo").alias("exclude"))
-    own = refs.select("ref", F.lit(None).cast("string").alias("exclude")).distinct()
-    bound = bind(refs.union(own), aliases)
-    outer = bound.where("exclude is not null").select(F.col("ref").alias("to_repo"), F.col("exclude").alias("from_repo"), "match")
-    inner = bound.where("exclude is null").select(F.col("ref").alias("to_repo"), F.col("match.repo").alias("self_match"))
-    rows = deps.join(outer, ["from_repo", "to_repo"], "left").join(inner, "to_repo", "left")
+    bound = bind(deps.select(F.col("to_repo").alias("ref"), F.col("from_repo").alias("exclude")), aliases)
+    rows = deps.join(bound.withColumnsRenamed({"ref": "to_repo", "exclude": "from_repo"}), ["from_repo", "to_repo"], "left")
     import_only = (F.size("dep_types") == 1) & (F.col("dep_types")[0] == "import")
     own_name = F.coalesce(F.col("self_match") == F.col("from_repo"), F.lit(False)) | ((F.col("to_repo") == F.col("from_repo")) & ~I.normalize_identity(F.col("to_repo")).isin(*NOISE))
     return rows.withColumn("disposition", F.when(F.col("match").isNotNull(), "resolved").when(import_only, "drop-import").when(own_name, "drop-self").otherwise("keep"))

@@ -106,7 +106,7 @@ class Store:
             fs.delete(new, False)
             return False
 
-    def _put(self, name: str, df: DataFrame, repos: list[str] | None, column: str) -> None:
+    def _put(self, name: str, df: DataFrame, repos: list[str] | None, column: str, **notes) -> None:
         part = uuid.uuid4().hex
         rows = df if repos is None else df.repartition(column).sortWithinPartitions(column)  # so that a filter by repository reads few row groups
         rows.write.parquet(f"{self.folder}/{name}/parts/{part}")
@@ -115,7 +115,7 @@ class Store:
             seq = max((p["seq"] for p in old["parts"]), default=0) + 1
             given = set(repos or ())
             kept = [p for p in old["parts"] if repos is not None and not (p["repos"] is not None and set(p["repos"]) <= given)]
-            if self._commit(name, old, [*kept, {"part": part, "seq": seq, "repos": repos, "column": column}]):
+            if self._commit(name, old, [*kept, {"part": part, "seq": seq, "repos": repos, "column": column, **notes}]):
                 return
 
     def exists(self, name: str) -> bool:
@@ -135,9 +135,9 @@ class Store:
             frames.append(df)
         return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """The whole table anew."""
-        self._put(name, df, None, "repo")
+    def write(self, name: str, df: DataFrame, **notes) -> None:
+        """The whole table anew; notes stand in its manifest."""
+        self._put(name, df, None, "repo", **notes)
 
     def replace(self, name: str, df: DataFrame, repos: list[str], column: str = "repo") -> None:
         """The rows of these repositories anew, also where df has none for them; others' rows aren't read or written."""

@@ -291,3 +291,4 @@ SQL: dict[str, str] = {
     "declared_identities": with_views("pg", f"SELECT repo, alias, raw, source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo, alias ORDER BY confidence DESC, ord) AS n FROM named) WHERE n = 1 AND alias <> ''", False, {"named": f"SELECT repo, {identity('raw')} AS alias, raw, source, confidence, ord FROM (SELECT 'r' || page_id AS repo, 'r' || page_id AS raw, 'config' AS source, 1.0::DOUBLE AS confidence, 0 AS ord FROM pg UNION ALL SELECT 'r' || page_id, word || '-api', 'package', 0.9::DOUBLE, 1 FROM pg UNION ALL SELECT 'r' || page_id, word || '-service', 'spring', 0.95::DOUBLE, 4 FROM pg)"}),
     "declared_base_paths": with_views("pg", "SELECT 'r' || page_id AS repo, unnest(['spring', 'jaxrs']) AS framework, '/base' || (page_id % 5) AS base FROM pg"),
 }
+SQL["search_symbol_postings"] = SQL["search_symbols"]

@@ -326,6 +326,13 @@ def search_symbols(spark, sf):
     return lookups.search_symbols(W.symbols(spark, sf), "Ring").select("name", "repo", "file", "start_line", "qualified_name")
 
 
+@query
+def search_symbol_postings(spark, sf):
+    """The same search by way of the names' postings."""
+    symbols = W.symbols(spark, sf)
+    return lookups.search_postings(symbols, lookups.name_postings(symbols), "Ring").select("name", "repo", "file", "start_line", "qualified_name")
+
+
 @query
 def get_callers(spark, sf):
     return lookups.callers(W.calls(spark, sf), "click").select("repo", "file", "line", "ord")

@@ -62,16 +62,17 @@ def test_scans_keep_other_repositories(spark, tmp_path):
     engine.scan(put("billing", "b.py", '@app.get("/v1/x")\ndef x():\n    pass\n'))
     names = lambda t, c: {r[0] for r in engine.table(t).select(c).distinct().collect()}
     assert names("repos", "name") == {"shop", "billing"} and names("symbols", "repo") == {"shop", "billing"} and names("dependencies", "from_repo") == {"shop"}
+    assert [r.repo for r in engine.search_symbols("O").collect()] == ["shop"]
+    engine.index_symbols()
+    assert [r.name for r in engine.search_symbols("ol%").collect()] == ["old"] and engine.search_symbols("old", repo="billing").count() == 0 and engine.search_symbols("old").count() == 1
     engine.relink()
     assert [(d.to_repo) for d in engine.dependencies_of("shop").collect()] == ["billing"] and {r.match_kind for r in engine.table("surfaces").collect()} == {"exact"}
-    put("shop", "a.py", "def new():\n    pass\n")
+    put("shop", "a.py", "def new():\n    pass\n")  # nothing replaces the calls
     engine.scan(a)
     assert {r.name for r in engine.table("symbols").collect()} == {"new", "x"} and engine.table("surfaces").count() == 0
     assert [d.to_repo for d in engine.dependencies_of("shop").collect()] == ["billing"]  # what isn't found again stays until relink
     engine.relink()
     assert engine.table("dependencies").count() == 0
-    engine.scan(put("shop", "a.py", ""))
-    assert {r.name for r in engine.table("symbols").collect()} == {"x"}  # nothing replaces something, too
 
 
 def test_store_by_repository(spark, tmp_path):
