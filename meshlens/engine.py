@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.functions.predicates import is_value_holder, score_target
-from meshlens.operators import exports, fanout, lookups, memory, reconcile, resolve, skills, surfaces, traversal
+from meshlens.operators import documents, exports, fanout, lookups, memory, reconcile, resolve, skills, surfaces, traversal
 from meshlens.operators.store import Store, remove_aliases, replace_aliases, upsert
 from meshlens.sources import calls, code, configs, files, organisations
 from meshlens.sources.heads import heads as call_heads
@@ -141,6 +141,13 @@ class DependencyEngine:
         deps = self.table("dependencies")
         return lookups.impact_of_endpoint(deps, deps, self.table("surfaces"), repo, endpoint, depth)
 
+    def impact_of_symbol(self, repo: str, symbol: str) -> DataFrame:
+        """Where a name is defined, and the call sites of it in other repositories."""
+        return lookups.impact_of_symbol(self.table("symbols"), self.table("calls").withColumn("ord", F.lit(0)), repo, symbol)
+
+    def test_commands(self) -> DataFrame:
+        return files.test_command(self.table("files"))
+
     def _fanout(self, names: list[str] | None = None, max_hops: int = 4) -> DataFrame:
         """Of the named repositories' endpoints, or of all: a fan-out stays within its repository."""
         of = self.table if names is None else lambda name, column="repo": self._of(name, names, column)
@@ -178,6 +185,13 @@ class DependencyEngine:
     def export(self, folder: str, repo: str | None = None) -> None:
         exports.write_export(self.table("dependencies"), folder, repo)
 
+    def write_documents(self, folder: str, scanned_at: str) -> None:
+        """Each repository's nested document below dependencies, and what it provides and consumes below interfaces."""
+        deps, matched = self.table("dependencies"), self.table("surfaces")
+        keyed = matched.withColumn("key", P.endpoint_key(F.col("method"), F.col("path")))
+        documents.write_documents(documents.documents(deps, self.table("repos"), scanned_at, keyed), f"{folder}/dependencies")
+        documents.write_documents(documents.interfaces_documents(exports.interfaces(self.table("routes"), matched)), f"{folder}/interfaces")
+
     def write_skills(self, folder: str) -> None:
         notes = self.table("memory") if self.store.exists("memory") else self.spark.createDataFrame([], memory.SCHEMA)
         skills.write_registry(self.table("dependencies"), self.table("repos"), self.table("symbols"), notes, folder)

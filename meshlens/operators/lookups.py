@@ -61,6 +61,14 @@ def callers(calls: DataFrame, name: str, limit: int = 100, repo: str | None = No
     return (rows if repo is None else rows.where(F.col("repo") == repo)).orderBy("repo", "file", "line", "ord").limit(limit)
 
 
+def impact_of_symbol(symbols: DataFrame, calls: DataFrame, repo: str, symbol: str) -> DataFrame:
+    """(kind, repo, file, line, name): the definitions that a search for the symbol finds, and of its call sites those of other
+    repositories; each is as long a report as the search's and the callers' own."""
+    defined = search_symbols(symbols, symbol).select(F.lit("definition").alias("kind"), "repo", "file", F.col("start_line").alias("line"), F.col("qualified_name").alias("name"))
+    called = callers(calls, symbol).where(F.col("repo") != repo).select(F.lit("caller"), "repo", "file", "line", F.col("callee_name"))
+    return defined.union(called)
+
+
 def symbols_for(symbols: DataFrame, repo: str, kinds: list[str] | None = None, limit: int = 200) -> DataFrame:
     rows = symbols.where(F.col("repo") == repo)
     return (rows.where(F.col("kind").isin(kinds)) if kinds else rows).orderBy("file", "start_line", "ord").limit(limit)

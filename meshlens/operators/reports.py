@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.operators import lookups
+from meshlens.operators import lookups, traversal
 from meshlens.operators.lookups import parse_endpoint, scoped_dependents  # noqa: F401
 
 
@@ -23,13 +24,18 @@ def impact_markdown(report: DataFrame, dependents: DataFrame) -> str:
     return "\n".join(out) + "\n"
 
 
-def context_markdown(repo: str, deps: DataFrame, routes: DataFrame, symbols: DataFrame, calls: DataFrame, notes: DataFrame) -> str:
-    """What an agent should know before it works on a repository. Of its endpoints the first 40 are told, and how many there are."""
-    out = [f"# {repo}", "", "## Calls", ""]
+def context_markdown(repo: str, deps: DataFrame, routes: DataFrame, symbols: DataFrame, calls: DataFrame, notes: DataFrame, today: str | None = None) -> str:
+    """What an agent should know before it works on a repository, as of a day (today's in UTC). Of its endpoints the first 40
+    are told, and how many there are."""
+    today = today or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d")
+    out = [f"# {repo}", "", f"As of {today}.", "", "## Calls", ""]
     for d in lookups.dependencies_of(deps, repo).toLocalIterator():
         kind = "kafka" if "kafka" in d.dep_types else next((t for t in d.dep_types if t in ("http", "feign", "grpc")), "other")
         out.append(f"- {d.to_repo} ({kind}, {d.confidence:.2f})")
     out += ["", "## Called by", ""] + [f"- {d.from_repo} ({d.confidence:.2f})" for d in lookups.dependents_of(deps, repo).toLocalIterator()]
+    blast = traversal.blast_radius(deps, deps.sparkSession.createDataFrame([(repo,)], "origin string"), 2).select("node").distinct().orderBy("node")
+    out += ["", "## Within reach of a change", ""] + [f"- {b.node}" for b in blast.toLocalIterator()]
+    out += ["", "## Events", ""] + [f"- {e.topic}" for e in lookups.events_emitted(deps.where(F.col("from_repo") == repo)).orderBy("topic").toLocalIterator()]
     out += ["", "## Endpoints", ""] + [f"- {r.method or 'ANY'} {r.path}" for r in lookups.routes_of(routes, repo).limit(ENDPOINTS).collect()]
     out += [f"{routes.where(F.col('repo') == repo).count()} in all."]
     out += ["", "## Call sites elsewhere", ""] + [f"- {c.callee_name}: {c.repo} {c.file}:{c.line}" for c in lookups.cross_repo_call_sites(symbols, calls, repo).collect()]

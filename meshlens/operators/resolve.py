@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from meshlens.functions import predicates as P
 
+# Modules of standard libraries and names without a meaning, never services.
+NOISE = ("os", "sys", "re", "json", "path", "typing", "dataclasses", "pathlib", "unknown", "")
+
 SURFACE = "struct<channel:string,method:string,path:string,key:string,matched:boolean,match_kind:string,evidence:string>"
 
 
@@ -23,8 +26,8 @@ def resolve(signals: DataFrame) -> DataFrame:
     """signals (from_repo, to_repo, dep_type, confidence, evidence, tier, ord [, surface]) -> dependencies.
 
     ord is the first of a dependency's. Types and surfaces are distinct in order of first appearance, evidence keeps repetitions, the confidence
-    is the best one and the tier the strongest. Signals to the repository itself and to nothing are dropped."""
-    rows = signals.where((F.col("to_repo") != F.col("from_repo")) & ~F.col("to_repo").isin("", "unknown"))
+    is the best one and the tier the strongest. Signals to the repository itself, to nothing and to standard libraries are dropped."""
+    rows = signals.where((F.col("to_repo") != F.col("from_repo")) & ~F.col("to_repo").isin(*NOISE))
     aggregates = [
         F.array_distinct(ordered("dep_type", "ord", "evidence")).alias("dep_types"), F.max("confidence").alias("confidence"),
         ordered("evidence", "ord", "evidence").alias("evidence"), strongest().alias("tier"), F.min("ord").alias("ord"),

@@ -292,3 +292,8 @@ SQL: dict[str, str] = {
     "declared_base_paths": with_views("pg", "SELECT 'r' || page_id AS repo, unnest(['spring', 'jaxrs']) AS framework, '/base' || (page_id % 5) AS base FROM pg"),
 }
 SQL["search_symbol_postings"] = SQL["search_symbols"]
+SQL["document_round_trip"] = SQL["export_round_trip"]
+_CALLED = "SELECT from_repo, count(*) AS total_deps, count(*) FILTER (confidence >= 0.8) AS high_confidence, list_concat(list(to_repo ORDER BY ord, to_repo), [from_repo])[1:5] AS called FROM deps JOIN (SELECT from_repo, to_repo, min(ord) AS ord FROM lines GROUP BY ALL) o USING (from_repo, to_repo) GROUP BY from_repo"
+SQL["document_summaries"] = with_views("deps", f"SELECT 'p' || p_partkey AS repo, '/repos/' || p_brand AS path, coalesce(total_deps, 0) AS total_deps, coalesce(high_confidence, 0) AS high_confidence, coalesce(array_to_string(called, ','), '') AS services_called, true AS whole FROM part LEFT JOIN ({_CALLED}) ON from_repo = 'p' || p_partkey")
+SQL["document_violations"] = with_views("deps", "SELECT from_repo AS repo, '$.dependencies[' || k || '].tier' AS path, 'is none of its words' AS rule FROM (SELECT from_repo, tier, row_number() OVER (PARTITION BY from_repo ORDER BY ord, to_repo) - 1 AS k FROM deps JOIN (SELECT from_repo, to_repo, min(ord) AS ord FROM lines GROUP BY ALL) o USING (from_repo, to_repo)) JOIN part ON from_repo = 'p' || p_partkey WHERE p_partkey % 4 = 1 AND tier = 'call-site' UNION ALL SELECT 'p' || p_partkey, '$.version', 'is missing' FROM part WHERE p_partkey % 4 = 2 UNION ALL SELECT 'p' || p_partkey, '$', 'is not JSON' FROM part WHERE p_partkey % 4 = 3")
+SQL["impact_of_symbol"] = with_views("sym", "(SELECT 'definition' AS kind, repo, file, start_line AS line, qualified_name AS name FROM sym WHERE sym.name ILIKE '%Ring%' ORDER BY sym.name = 'Ring' DESC, length(sym.name), sym.name, repo, file, start_line, ord LIMIT 50) UNION ALL SELECT 'caller', * FROM (SELECT * FROM (SELECT 'u' || user_id AS repo, 'F' || (event_id % 50) || '.java' AS file, CAST(event_id % 400 AS INTEGER) AS line, 'Ring' AS name FROM events WHERE event_type = 'click' ORDER BY repo, file, line, event_id LIMIT 100) WHERE repo <> 'u7')")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.functions import predicates as R
-from meshlens.operators import exports, fanout, lookups, memory, reconcile, resolve, skills, store, surfaces, traversal
+from meshlens.operators import documents, exports, fanout, lookups, memory, reconcile, resolve, skills, store, surfaces, traversal
 from meshlens.plans import workload as W
 from meshlens.sources import calls, code, configs, identities
 from meshlens.sources.heads import heads
@@ -476,6 +476,36 @@ def export_round_trip(spark, sf):
     return _flat(exports.as_dependencies(rows))
 
 
+def _documents(spark, sf):
+    return documents.documents(W.dependencies(spark, sf), W.repos(spark, sf), "2024-01-01T00:00:00")
+
+
+@query
+def document_round_trip(spark, sf):
+    """The nested documents, read back as dependencies."""
+    return _flat(documents.dependencies(_documents(spark, sf)))
+
+
+@query
+def document_summaries(spark, sf):
+    got = documents.parsed(_documents(spark, sf))
+    return got.select("repo", F.col("doc.repo.path").alias("path"), "doc.summary.total_deps", "doc.summary.high_confidence", F.array_join("doc.summary.services_called", ",").alias("services_called"), F.col("corrupt").isNull().alias("whole"))
+
+
+@query
+def document_violations(spark, sf):
+    """Documents of which a fourth names an unknown tier, a fourth lacks its version, and a fourth is cut off."""
+    k = F.substring("repo", 2, 20).cast("long") % 4
+    text = F.when(k == 1, F.regexp_replace("document", '"tier":"call-site"', '"tier":"certain"')).when(k == 2, F.replace("document", F.lit('"version":"1.0",'), F.lit(""))).when(k == 3, F.substr("document", F.lit(1), F.lit(40))).otherwise(F.col("document"))
+    return documents.violations(_documents(spark, sf).select("repo", text.alias("document")))
+
+
+@query
+def impact_of_symbol(spark, sf):
+    """Where a name is defined, and which other repositories call it."""
+    return lookups.impact_of_symbol(W.symbols(spark, sf), W.calls(spark, sf).withColumn("callee_name", F.when(F.col("callee_name") == "click", "Ring").otherwise(F.col("callee_name"))), "u7", "Ring")
+
+
 @query
 def export_evidence(spark, sf):
     rows = exports.export_rows(W.dependencies(spark, sf), START)

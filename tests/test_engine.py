@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from meshlens.engine import DependencyEngine
-from meshlens.operators import exports, reports, skills
+from meshlens.operators import documents, exports, reports, skills
 from meshlens.operators.store import Store, with_columns_of
 from meshlens.sources import organisations
 from meshlens.streaming.incremental import follow
@@ -100,6 +100,35 @@ def test_store_by_repository(spark, tmp_path):
     assert len(store.manifest("t")["parts"]) <= 33 and read() == [("c", 3), ("d", 4), ("e", 5), ("x0", 39), ("x1", 37), ("x2", 38)]
 
 
+def test_document_constraints(spark):
+    """A document of the nested shape is right; each kind of fault is told by its path."""
+    good = {
+        "version": "1.0", "scanned_at": "2026-06-23T13:10:22+00:00", "repo": {"name": "shop", "path": "/r", "primary_language": ""}, "summary": {"total_deps": 1, "high_confidence": 0, "services_called": ["a"], "services_calling_me": []},
+        "dependencies": [{"from": "shop", "to": "a", "types": ["http", "import"], "confidence": 0.6, "tier": "config", "evidence": [{"file": "A.java", "line": 3, "snippet": ""}, {"file": "x", "line": 0, "snippet": ""}], "surfaces": [{"channel": "http", "method": "GET", "path": "/x", "key": "GET /x", "matched": True, "match_kind": "exact", "evidence": "A.java:3"}], "metadata": {}}],
+    }
+
+    def broken(change):
+        doc = json.loads(json.dumps(good))
+        change(doc)
+        return json.dumps(doc)
+
+    d = lambda doc: doc["dependencies"][0]
+    cases = {
+        "a": (broken(lambda x: None), set()), "b": ("{", {("$", "is not JSON")}), "c": (broken(lambda x: x.pop("repo")), {("$.repo", "is missing")}), "d": (broken(lambda x: x["repo"].update(path=4)), {("$.repo.path", "is not of kind string")}),
+        "e": (broken(lambda x: d(x).update(confidence=1.5)), {("$.dependencies[0].confidence", "is out of range")}), "f": (broken(lambda x: d(x).update(confidence="1")), {("$.dependencies[0].confidence", "is not of kind number")}),
+        "g": (broken(lambda x: d(x)["types"].append("smoke")), {("$.dependencies[0].types[2]", "is none of its words")}), "h": (broken(lambda x: d(x)["evidence"][1].update(line="9")), {("$.dependencies[0].evidence[1].line", "is not of kind integer")}),
+        "i": (broken(lambda x: d(x)["surfaces"][0].update(match_kind="no")), {("$.dependencies[0].surfaces[0].match_kind", "is none of its words")}), "j": (broken(lambda x: x["dependencies"].append(7)), {("$.dependencies[1]", "is not of kind object")}),
+        "k": (broken(lambda x: (x.pop("version"), d(x).pop("to"))), {("$.version", "is missing"), ("$.dependencies[0].to", "is missing")}), "l": (broken(lambda x: x.update(summary={"total_deps": 1.5})), {("$.summary.total_deps", "is not of kind integer")}),
+    }
+    docs = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "repo string, document string").cache()
+    found = {}
+    for r in documents.violations(docs).collect():
+        found.setdefault(r.repo, set()).add((r.path, r.rule))
+    assert found == {k: v[1] for k, v in cases.items() if v[1]}
+    assert [(r.from_repo, r.to_repo, r.dep_types, r.confidence, r.evidence, r.tier, r.surfaces[0].key) for r in documents.dependencies(docs.where("repo = 'a'")).collect()] == [("shop", "a", ["http", "import"], 0.6, ["A.java:3", "x"], "config", "GET /x")]
+    assert [r.repo for r in documents.parsed(docs).where("corrupt is not null").orderBy("repo").collect()][:1] == ["b"]
+
+
 def test_incremental(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     schema = "repo string, path string"
@@ -165,6 +194,14 @@ def test_scan_of_an_organisation(spark, tmp_path):
     text = skills.read_skill(spark, str(tmp_path / "skills"), "pss")
     assert "name: work-in-pss" in text and "- doli (http, 100%)" in text and "- (note) ask first" in text and "public String create(String x)" in text
     assert {r.repo for r in skills.read_index(spark, str(tmp_path / "skills")).collect()} == {"pss", "doli"} and skills.read_skill(spark, str(tmp_path / "skills"), "none") is None
+    engine.write_documents(str(tmp_path / "docs"), "2024-05-01T00:00:00")
+    docs = documents.read_documents(spark, str(tmp_path / "docs/dependencies")).cache()
+    assert documents.violations(docs).count() == 0 and {r.repo for r in docs.collect()} == {"pss", "doli"}
+    doc = json.loads(docs.where("repo = 'pss'").first().document)
+    assert doc["repo"]["name"] == "pss" and doc["summary"]["total_deps"] == 2 and [s["key"] for d in doc["dependencies"] for s in d["surfaces"] if d["to"] == "doli"] == ["POST /v1/book"]
+    faces = {r.repo: json.loads(r.document)["repos"][r.repo] for r in documents.read_documents(spark, str(tmp_path / "docs/interfaces")).collect()}
+    assert faces["doli"]["provides"] == ["POST /v1/book"] and "doli POST /v1/book" in faces["pss"]["consumes"]
+    assert {(r.kind, r.repo) for r in engine.impact_of_symbol("doli", "send").collect()} == {("definition", "pss"), ("caller", "pss")}
     engine.export(str(tmp_path / "export"))
     back = exports.load_export(spark, str(tmp_path / "export")).orderBy("to_repo").collect()
     assert [(r.to_repo, r.dep_types, r.evidence) for r in back] == [(d.to_repo, d.dep_types, [e if e[-1].isdigit() else e.rpartition(":")[0] for e in d.evidence]) for d in engine.table("dependencies").orderBy("to_repo").collect()]  # what is behind a last colon is a line, or 0
