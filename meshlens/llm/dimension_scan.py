@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlens.llm.common import Scratch
+
 COLUMNS, SIGMAS, STEP, SLACK = 16, 4.0, 1024, 1e-5
 
 
@@ -72,56 +74,61 @@ def fit(sample: np.ndarray, lists: int, k: int = 20, recall: float = 0.96, seed:
     return index
 
 
-def scan(q: np.ndarray, x: np.ndarray, need: int) -> list[np.ndarray]:
-    """For each query the candidates whose inner product may be among its need largest; both sides are rotated."""
+def scan(q: np.ndarray, x: np.ndarray, need: int, bound: np.ndarray | None = None, tally: dict | None = None) -> list[np.ndarray]:
+    """For each query the candidates whose inner product may be among its need largest and reaches its bound; both sides are rotated.
+
+    bound: the need-th best of what each query has found elsewhere. Candidates are tested against it from the first block on; only
+    where no query has a bound yet, so that no test could abandon anything, is a first lot multiplied in full to get one.
+    tally counts the pairs and those abandoned before their last block."""
     dim = q.shape[1]
     cuts = [*range(COLUMNS, dim, COLUMNS), dim]
     tail = lambda v, d: np.sqrt((v[:, d:] ** 2).sum(1))
-    bound = np.full(len(q), -np.inf)
+    bound = np.full(len(q), -np.inf) if bound is None else bound.astype(float).copy()
     kept_q, kept_x, kept_s = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     rest_q = [tail(q, d) for d in cuts[:-1]]
     for first in range(0, len(x), STEP):
         part = x[first : first + STEP]
-        if first == 0 and len(part) >= need:
+        abandoned = 0
+        if len(cuts) == 1 or not np.isfinite(bound).any():
             score = q @ part.T
-            a, b = np.nonzero(score >= np.partition(score, len(part) - need, axis=1)[:, len(part) - need][:, None] - SLACK)
+            least = np.partition(score, len(part) - need, axis=1)[:, len(part) - need] if len(part) >= need else np.full(len(q), -np.inf)
+            a, b = np.nonzero(score >= np.maximum(least, bound)[:, None] - SLACK)
             s = score[a, b]
         else:
             some = q[:, : cuts[0]] @ part[:, : cuts[0]].T
-            left, a, b, s = cuts[0], None, None, None
             for k, d in enumerate(cuts[:-1]):
-                spread = min(1.0, SIGMAS / np.sqrt(dim - d))
-                rest = tail(part, d)
-                if a is None:
+                spread, rest = min(1.0, SIGMAS / np.sqrt(dim - d)), tail(part, d)
+                if k == 0:
                     a, b = np.nonzero(some + spread * rest_q[k][:, None] * rest[None, :] >= bound[:, None] - SLACK)
                     s = some[a, b]
                 else:
                     stay = s + spread * rest_q[k][a] * rest[b] >= bound[a] - SLACK
                     a, b, s = a[stay], b[stay], s[stay]
-                left = cuts[k + 1]
-                s = s + np.einsum("ij,ij->i", q[a, d:left], part[b, d:left])
-            if len(cuts) == 1:
-                a, b = np.nonzero(some > -np.inf)
-                s = some[a, b]
+                s = s + np.einsum("ij,ij->i", q[a, d : cuts[k + 1]], part[b, d : cuts[k + 1]])
+            abandoned = len(q) * len(part) - len(a)
             stay = s >= bound[a] - SLACK
             a, b, s = a[stay], b[stay], s[stay]
+        if tally is not None:
+            tally["pairs"] = tally.get("pairs", 0) + len(q) * len(part)
+            tally["abandoned"] = tally.get("abandoned", 0) + abandoned
         kept_q, kept_x, kept_s = np.append(kept_q, a), np.append(kept_x, b + first), np.append(kept_s, s)
         order = np.lexsort((-kept_s, kept_q))
         kept_q, kept_x, kept_s = kept_q[order], kept_x[order], kept_s[order]
         begin = np.searchsorted(kept_q, np.arange(len(q)))
         size = np.diff(np.append(begin, len(kept_q)))
         full = size >= need
-        bound[full] = kept_s[begin[full] + need - 1]
+        bound[full] = np.maximum(bound[full], kept_s[begin[full] + need - 1])
         stay = kept_s >= bound[kept_q] - SLACK
         kept_q, kept_x, kept_s = kept_q[stay], kept_x[stay], kept_s[stay]
     return np.split(kept_x, np.searchsorted(kept_q, np.arange(1, len(q))))
 
 
-def top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) of the k best of x by exact inner product, ties to smaller ids, rows of the query's id left out."""
+def top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, bound: np.ndarray | None = None, tally: dict | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores) of the k best of x by exact inner product, ties to smaller ids, rows of the query's id left out;
+    those below the query's bound may be missing."""
     ids, times = np.unique(x_ids, return_counts=True)
     own = times[np.isin(ids, q_ids)]
-    near = scan(q @ rotation, x @ rotation, k + int(own.max(initial=0)))
+    near = scan(q @ rotation, x @ rotation, k + int(own.max(initial=0)), bound, tally)
     for i, rows in enumerate(near):
         rows = rows[x_ids[rows] != q_ids[i]]
         score = (x[rows] * q[i]).sum(axis=1)
@@ -142,7 +149,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
     The index is fitted on at most sample vectors, by a hash of the id (16 a list, 8,192 to 131,072, by default;
     2 * sqrt(vectors) lists, 16,384 at most); every vector is in it. Vectors null, zero or not finite take no part,
     and neither do those of another length than the most frequent one. A query goes through further lists until they
-    hold k candidates besides itself. Rows that repeat an id are candidates each, but ask once (the least
+    hold k candidates besides itself; these are scanned first, and the k-th best of them is the bound that candidates of its
+    other lists must be likely to reach. Rows that repeat an id are candidates each, but ask once (the least
     vector does). Lists and their queries are cut into chunks of a bounded size, by the counts of each list, so a
     list that holds a third of all vectors is many tasks' work.
     """
@@ -167,7 +175,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
                 x = np.stack(frame["x"].to_numpy())
                 yield pd.DataFrame({"id": frame["id"], "list": shared.value.nearest(x @ shared.value.rotation), "raw": [v.astype("<f4").tobytes() for v in x]})
 
-    dealt = rows.mapInPandas(deal, "id long, list int, raw binary")
+    scratch = Scratch(spark, "dimension-scan")
+    dealt = scratch.cut(rows.mapInPandas(deal, "id long, list int, raw binary"))
     held_by = {r["list"]: r["count"] for r in dealt.groupBy("list").count().collect()}  # one line a list
     sizes = spark.sparkContext.broadcast(np.array([held_by.get(i, 0) for i in range(len(index.centroids))]))
 
@@ -178,34 +187,47 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
                 x = np.stack(some["x"].to_numpy())
                 order = shared.value.order(x @ shared.value.rotation)
                 reach = np.cumsum(sizes.value[order], axis=1) - some["rows"].to_numpy()[:, None]  # the query's own rows may be among them
-                n = np.maximum(shared.value.probes, np.minimum((reach < k).sum(1) + 1, order.shape[1]))
-                used = np.arange(order.shape[1])[None, :] < n[:, None]
-                yield pd.DataFrame({"id": some["id"].to_numpy().repeat(used.sum(1)), "list": order[used].astype(np.int32), "raw": np.repeat(np.array([v.astype("<f4").tobytes() for v in x], dtype=object), used.sum(1))})
+                enough = np.minimum((reach < k).sum(1) + 1, order.shape[1])
+                place = np.arange(order.shape[1])[None, :]
+                used = place < np.maximum(shared.value.probes, enough)[:, None]
+                yield pd.DataFrame({"id": some["id"].to_numpy().repeat(used.sum(1)), "list": order[used].astype(np.int32), "near": (place < enough[:, None])[used], "raw": np.repeat(np.array([v.astype("<f4").tobytes() for v in x], dtype=object), used.sum(1))})
 
     asking = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"), F.count("*").alias("rows"))
-    asked = asking.mapInPandas(probe, "id long, list int, raw binary")
-    asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    cuts = spark.createDataFrame([(i, -(-n // chunk), -(-asks.get(i, 0) // chunk)) for i, n in held_by.items()], "list int, parts int, lots int")
-    held = dealt.join(F.broadcast(cuts.where("lots > 0")), "list").select("id", "raw", "list", F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("part"), F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"))
-    asked = asked.join(F.broadcast(cuts), "list").select("id", "raw", "list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(id, 7), lots) as int)").alias("lot"))
+    asked = scratch.cut(asking.mapInPandas(probe, "id long, list int, near boolean, raw binary"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "found": []})
-        got = list(top(right["id"].to_numpy(), matrix(right["raw"]), left["id"].to_numpy(), matrix(left["raw"]), shared.value.rotation, k))
+        got = list(top(right["id"].to_numpy(), matrix(right["raw"]), left["id"].to_numpy(), matrix(left["raw"]), shared.value.rotation, k, right["bound"].to_numpy(float)))
         return pd.DataFrame({"query_id": [g[0] for g in got], "found": [[{"vec_id": int(i), "score": float(s)} for i, s in zip(g[1], g[2])] for g in got]})
 
-    keys = ["list", "part", "lot"]
-    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "query_id long, found array<struct<vec_id long, score double>>")
-    return _ranked(found, k)
+    def scanned(asked: DataFrame) -> DataFrame:
+        asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
+        cuts = F.broadcast(spark.createDataFrame([(i, -(-n // chunk), -(-asks.get(i, 0) // chunk)) for i, n in held_by.items()], "list int, parts int, lots int"))
+        held = dealt.join(cuts.where("lots > 0"), "list").select("id", "raw", "list", F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("part"), F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"))
+        asking = asked.join(cuts, "list").select("id", "raw", "bound", "list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("cast(pmod(xxhash64(id, 7), lots) as int)").alias("lot"))
+        keys = ["list", "part", "lot"]
+        return held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(compare, "query_id long, found array<struct<vec_id long, score double>>")
 
+    near = scratch.cut(_ranked(scanned(asked.where("near").withColumn("bound", F.lit(float("-inf")))), k))
+    bounds = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+    far = scanned(asked.where("not near").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))))
+    return _best(near.select("query_id", "vec_id", "score").union(_flat(far)), k)
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    flat = found.select("query_id", F.explode("found").alias("f")).select("query_id", "f.vec_id", "f.score")
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.explode("found").alias("f")).select("query_id", "f.vec_id", "f.score")
+
+
+def _best(flat: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return _best(_flat(found), k)
+
+
 def recall_of(found: DataFrame, vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 256) -> float:
     """The share of the exact k nearest of at most sample queries, by a hash of the id, that found has: each task
     compares its vectors with all of the sample, by brute force."""

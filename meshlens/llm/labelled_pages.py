@@ -71,7 +71,8 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
     def comments() -> str:
         tag = some("div", "section", "ol", "ul")
         child = "li" if tag in ("ol", "ul") else "div"
-        title = some("", f"<h3>{_words(rng, 1, 3)}</h3>") if child == "div" else ""
+        heading = some("h2", "h3", "h3", "h4", "p")
+        title = some("", f"<{heading}>{_words(rng, 1, 3)}</{heading}>") if child == "div" else ""
         inner = "".join(f'<{child}{some(' class="comment"', "")}>{some("<p>{}</p>", "{}").format(_words(rng, 5, 60))}</{child}>' for _ in range(rng.randint(1, 4)))
         if child == "div" and rng.random() < 0.3:
             inner = some("<ol>{}</ol>", "<ul>{}</ul>").format(inner.replace("<div", "<li").replace("</div", "</li"))
