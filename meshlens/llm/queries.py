@@ -104,8 +104,50 @@ def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsqr_whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_dimension_scan, op3_order_minhash, op4_html_tree, op5_secrets, op6_compression_quality, op7_nn_descent, op8_sentencepiece_nbest, op9_token_blocks, op10_word_piece_counts, op11_sampled_splitters, op12_conversation_repair, op13_tsqr_whitening)}
-ORACLE_SQL: dict[str, str] = {}
+def mixing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1_mixing."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op5_secrets."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_nn_descent, whose result is exact on tables of a size that SQL compares pair by pair."""
+    return op7_nn_descent(spark, sf_dir)
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op11_sampled_splitters: sizes, and that no shard's sum is further than 2 % and a record from the mean."""
+    sharded = op11_sampled_splitters(spark, sf_dir)
+    sums = sharded.groupBy("shard").agg(F.sum("size").alias("bytes"), F.max("size").alias("most")).agg((F.max("bytes") - F.min("bytes")).alias("spread"), F.avg("bytes").alias("mean"), F.max("most").alias("most"))
+    return sharded.join(F.broadcast(sums)).select("doc_id", "size", (F.col("spread") <= 0.02 * F.col("mean") + F.col("most")).alias("even"))  # one row of sums
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op13_tsqr_whitening: the exact part."""
+    return op13_tsqr_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation", (F.col("identity_error") <= 1e-4).alias("white"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_dimension_scan, op3_order_minhash, op4_html_tree, op5_secrets, op6_compression_quality, op7_nn_descent, op8_sentencepiece_nbest, op9_token_blocks, op10_word_piece_counts, op11_sampled_splitters, op12_conversation_repair, op13_tsqr_whitening, mixing_sizes, secret_counts, near_vectors, shard_sizes, whitening_deviations)}
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_HELD = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and([c IS NOT NULL AND isfinite(c) FOR c IN embedding])"
+ORACLE_SQL: dict[str, str] = {
+    "mixing_sizes": f"SELECT doc_id, {_WORDS} AS size, CAST(sum({_WORDS}) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM documents",
+    "secret_counts": r"""SELECT doc_id, len([g FOR g IN regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) IF length(g) >= 6]) AS n_assign,
+        len([g FOR g IN regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') IF length(g) >= 20]) AS n_access, len([g FOR g IN regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') IF length(g) >= 24]) AS n_hex FROM documents""",
+    "near_vectors": f"""WITH RECURSIVE held AS (SELECT * FROM ({_HELD}) WHERE label IS NOT NULL AND list_bool_or([c <> 0 FOR c IN v])),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM held a JOIN held b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.least AS component_id, e.vec_id = c.least AS kept FROM embeddings e JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = e.vec_id""",
+    "shard_sizes": "SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, true AS even FROM documents",
+    "whitening_deviations": f"""WITH held AS (SELECT vec_id, [CAST(floor(256 * c) AS BIGINT) FOR c IN v] AS x FROM ({_HELD})), fit AS (SELECT DISTINCT x FROM held),
+        entry AS (SELECT i, sum(x[i]) AS s FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM fit) GROUP BY i), sums AS (SELECT list(s ORDER BY i) AS s, (SELECT count(*) FROM fit) AS n FROM entry)
+        SELECT vec_id, n, CAST(list_sum([(n * x[i] - s[i]) * (n * x[i] - s[i]) FOR i IN range(1, len(x) + 1)]) AS BIGINT) AS deviation, true AS white FROM held, sums""",
+}
 
 
 def queries() -> dict:

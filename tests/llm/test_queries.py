@@ -176,6 +176,7 @@ def empty(spark, tables, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     for name in ("documents", "labels", "embeddings", "pages"):
         spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
