@@ -19,8 +19,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = secrets.Ledger(spark, f"{Scratch(spark, 'secrets').root}/ledger")
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger).select("row.doc_id", "spans")
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.Ledger.named(spark)).select("row.doc_id", "spans")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))

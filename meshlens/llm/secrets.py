@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlens.llm.common import Scratch
+
 # The patterns of the base kinds, in their listed order, with the least length that counts.
 RULES: dict[str, tuple[str, int, int, int]] = {
     "assign": (r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, 1),
@@ -53,6 +55,12 @@ class Ledger:
         self.spark, self.folder = spark, folder
         spark.createDataFrame([], FOUND).write.mode("ignore").parquet(folder)
 
+    @classmethod
+    def named(cls, spark: SparkSession) -> Ledger:
+        """The ledger in the folder that the session's spark.meshlens.secrets.ledger names, which later runs go on with;
+        without that setting a new one that nothing else uses."""
+        return cls(spark, spark.conf.get("spark.meshlens.secrets.ledger", None) or f"{Scratch(spark, 'secrets').root}/ledger")
+
     def read(self) -> DataFrame:
         return self.spark.read.schema(FOUND).parquet(self.folder)
 

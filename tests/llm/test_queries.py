@@ -111,6 +111,23 @@ def test_op5(spark, tables):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def test_op5_goes_on_with_a_named_ledger(spark, tables, tmp_path):
+    """A second run over the same texts scans none of them; a third scans only what is new."""
+    folder, docs, *_ = tables
+    spark.conf.set("spark.meshlens.secrets.ledger", str(tmp_path / "ledger"))
+    try:
+        first = sorted(map(tuple, QUERIES["op5_secrets"](spark, folder).collect()), key=str)
+        scanned = [spark.read.parquet(str(tmp_path / "ledger")).count()]
+        assert sorted(map(tuple, QUERIES["op5_secrets"](spark, folder).collect()), key=str) == first
+        scanned.append(spark.read.parquet(str(tmp_path / "ledger")).count())
+        spark.createDataFrame([(i, t) for i, t, *_ in docs] + [(999, "a new text, password: abcdef1")], "doc_id long, text string").write.parquet(f"{tmp_path}/more/documents.parquet")
+        more = {r.doc_id: r.n_assign for r in QUERIES["op5_secrets"](spark, f"{tmp_path}/more").collect()}
+        scanned.append(spark.read.parquet(str(tmp_path / "ledger")).count())
+    finally:
+        spark.conf.unset("spark.meshlens.secrets.ledger")
+    assert scanned == [len({d[1] or "" for d in docs})] * 2 + [len({d[1] or "" for d in docs}) + 1] and more[999] == 1
+
+
 def test_op6(spark, tables):
     folder, docs, *_ = tables
     got = QUERIES["op6_compression_quality"](spark, folder).collect()
