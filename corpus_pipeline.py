@@ -19,17 +19,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: that with the smallest doc_id."""
+    """One document of each class of near-duplicates stays: that with the smallest doc_id; of rows with its id and text the one
+    whose other columns, as JSON, have the least hash."""
     kept = order_minhash.near_duplicates(docs).where("kept").select(F.struct("doc_id", "fp").alias("kept")).distinct()
-    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("fp")).alias("own"), F.struct(*docs.columns).alias("row"))
-    once = rows.join(kept, F.col("own").eqNullSafe(F.col("kept"))).groupBy("own").agg(F.first("row").alias("row"))
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("fp")).alias("own"), F.struct(*docs.columns).alias("row"), F.md5(F.to_json(F.struct(*[c for c in docs.columns if c.lower() != "text"]))).alias("place"))
+    once = rows.join(kept, F.col("own").eqNullSafe(F.col("kept"))).groupBy("own").agg(F.min_by("row", "place").alias("row"))
     return once.select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are blotted out; every document stays."""
-    ledger = secrets.Ledger(spark, f"{Scratch(spark, 'secrets').root}/ledger")
-    clean = secrets.redact(secrets.find_secrets(docs, ledger))
+    clean = secrets.redact(secrets.find_secrets(docs, secrets.Ledger.named(spark)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
