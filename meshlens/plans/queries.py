@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.functions import predicates as R
-from meshlens.operators.checkpoints import checkpointed
+from meshlens.operators.checkpoints import written
 from meshlens.operators import documents, exports, fanout, lookups, memory, reconcile, resolve, skills, store, surfaces, traversal
 from meshlens.plans import workload as W
 from meshlens.sources import calls, code, configs, identities
@@ -613,20 +613,20 @@ def code_http_calls(spark, sf):
 def code_varied_calls(spark, sf):
     """Calls of files that differ: several on a line, commas and brackets in arguments, texts, comments and patterns that look like calls."""
     files = W.varied_files(spark, sf)
-    return calls.http_calls(checkpointed(heads(files)), code.variables(code.lines(files))).select("repo", "path", "line", "method", "target", "confidence", "tier")
+    return calls.http_calls(written(heads(files)), code.variables(code.lines(files))).select("repo", "path", "line", "method", "target", "confidence", "tier")
 
 
 @query
 def code_mounted_routes(spark, sf):
     """Express routes of the same files, below what they are mounted at, or known by their handlers."""
-    return calls.express_routes(checkpointed(heads(W.varied_files(spark, sf))))
+    return calls.express_routes(written(heads(W.varied_files(spark, sf))))
 
 
 @query
 def code_feign_surfaces(spark, sf):
     """What declared clients' methods ask for."""
     files = W.varied_files(spark, sf).where("language = 'java'")
-    return calls.feign_surfaces(checkpointed(heads(files)), code.symbols(code.lines(files)))
+    return calls.feign_surfaces(written(heads(files)), code.symbols(code.lines(files)))
 
 
 @query

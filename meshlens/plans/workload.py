@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshlens.functions import identity as I
 from meshlens.functions import paths as P
-from meshlens.operators.checkpoints import checkpointed
+from meshlens.operators.checkpoints import written
 from meshlens.operators.fanout import endpoint_fanout
 from meshlens.operators.resolve import resolve
 from meshlens.sources import code
@@ -304,7 +304,7 @@ def varied_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpointed(heads(code_files(spark, sf_dir)))  # read once, as the engine stores them
+    return written(heads(code_files(spark, sf_dir)))  # read once, as the engine stores them
 
 
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
