@@ -122,7 +122,8 @@ def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op11_sampled_splitters: sizes, and that no shard's sum is further than 2 % and a record from the mean."""
     sharded = op11_sampled_splitters(spark, sf_dir)
     sums = sharded.groupBy("shard").agg(F.sum("size").alias("bytes"), F.max("size").alias("most")).agg((F.max("bytes") - F.min("bytes")).alias("spread"), F.avg("bytes").alias("mean"), F.max("most").alias("most"))
-    return sharded.join(F.broadcast(sums)).select("doc_id", "size", (F.col("spread") <= 0.02 * F.col("mean") + F.col("most")).alias("even"))  # one row of sums
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(sharded).join(F.broadcast(one(sums)), "one").select("doc_id", "size", (F.col("spread") <= 0.02 * F.col("mean") + F.col("most")).alias("even"))  # one row of sums
 
 
 def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
