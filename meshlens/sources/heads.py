@@ -7,6 +7,7 @@ head means (a request, a route, a message) is decided by Columns and joins over
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -165,9 +166,8 @@ class _Lexer:
 
     def bare(self, a: int, b: int) -> str:
         """Source from a to b without its comments, trimmed."""
-        inside = [c for c in self.comments[-64:] if a <= c[0] < b]
         out = []
-        for begin, end in inside:
+        for begin, end in self.comments[bisect.bisect_left(self.comments, (a, 0)) : bisect.bisect_left(self.comments, (b, 0))]:
             out.append(self.s[a:begin])
             a = end
         return "".join([*out, self.s[a:b]]).strip()

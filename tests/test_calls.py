@@ -95,3 +95,9 @@ def test_messages(spark):
     h, _ = found(spark, [("r", "a.py", "python", py)])
     imports = spark.createDataFrame([("r", "a.py", 1, "grpc")], "repo string, path string, line int, module string")
     assert {(r.line, r.target, r.dep_type) for r in calls.messages(h, imports).collect()} == {(2, "orders", "kafka"), (5, "sent", "kafka"), (7, "host:1", "grpc"), (8, "unknown", "grpc")}
+
+
+def test_comments_within_arguments():
+    source = "f(a, // one\n" + "\n".join(f"  /* {i}, ) */" for i in range(200)) + "\n b + /* x */ 'y')\n"
+    (head,) = lex(source, "typescript")
+    assert [(a["kind"], a["raw"]) for a in head["args"]] == [("name", "a"), ("sum", "b +  'y'")]
