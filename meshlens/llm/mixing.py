@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshlens.llm.common import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,21 +78,26 @@ def deal(spark: SparkSession, quotas: list[int], shards: int, seed: int) -> Data
     return spark.range(shards).mapInPandas(walk, "sid int, draw long, shard int")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, block_docs: int = 256, max_blocks: int = 65536, shard_draws: int = 8) -> DataFrame:
-    """One row per row of docs: row (struct of all its columns), size, source_size, target, draws, taken.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, block_docs: int = 256, max_blocks: int = 65536, shard_draws: int = 8, columns: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of docs: row (struct of the named columns, or of all), size, source_size, target, draws, taken.
 
     draws is an array of (pass, shard, words); words is below size only where the source's target ends
     within the document. Null texts have size 0 and are never drawn; null keys and sources are
     values like any other (source null is last). Repeated rows are each mixed. An empty table gives an
     empty result. A shard holds about shard_draws blocks. Only one line of statistics per source reaches the driver.
+
+    Sizes are counted once and written without texts; everything is planned over that table. Name the columns that are
+    wanted where texts aren't: that table then holds them, and no text is read again or shuffled.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "mixing")
     rows = docs.select(
-        F.struct("*").alias("row"), F.col(source).cast("string").alias("src"),
+        F.struct(*(["*"] if columns is None else [F.col(f"`{c}`") for c in columns])).alias("row"), F.col(source).cast("string").alias("src"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"),
     )
-    stats = sorted(((r.src, int(r.n), int(r.words)) for r in rows.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    narrow = scratch.cut(rows.drop("row") if columns is None else rows)
+    rows = rows if columns is None else narrow
+    stats = sorted(((r.src, int(r.n), int(r.words)) for r in narrow.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([(s, w) for s, _, w in stats], weights, share, cap)
     blocks = [min(max_blocks, -(-n // block_docs)) for _, n, _ in stats]
     known = spark.createDataFrame(
@@ -99,9 +106,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     )
     if len(stats) <= 10_000:  # a row of some 60 bytes for each source
         known = F.broadcast(known)
-    rows = rows.join(known, F.col("src").eqNullSafe(F.col("src2"))).drop("src", "src2").withColumn("block", F.expr("cast(pmod(h, n_blocks) as int)"))
+    placed = lambda frame: frame.join(known, F.col("src").eqNullSafe(F.col("src2"))).drop("src", "src2").withColumn("block", F.expr("cast(pmod(h, n_blocks) as int)"))
 
-    block = rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("n_blocks").alias("n_blocks"), F.first("goal").alias("goal"))
+    block = placed(narrow).groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("n_blocks").alias("n_blocks"), F.first("goal").alias("goal"))
     passes = max(1, int(np.ceil(cap)))
     block = block.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(passes)])))
     order = Window.partitionBy("sid").orderBy("pass", F.xxhash64(F.lit(seed), "pass", "block"), "block")
@@ -109,13 +116,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "draw": (F.row_number().over(order) - 1).cast("long"),
         "start": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"),
     }).where("start < goal").withColumn("take", F.expr("least(words, goal - start)"))
+    block = scratch.cut(block)
     quotas = [0] * len(stats)
     for r in block.groupBy("sid").count().collect():
         quotas[r.sid] = r["count"]
     shards = max(1, -(-sum(quotas) // shard_draws))
     drawn = block.join(deal(spark, quotas, shards, seed), ["sid", "draw"]).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "take"))).alias("instances"))
     within = Window.partitionBy("sid", "block").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("before", F.sum("size").over(within) - F.col("size")).join(drawn, ["sid", "block"], "left")
+    rows = placed(rows).withColumn("before", F.sum("size").over(within) - F.col("size")).join(drawn, ["sid", "block"], "left")
     draws = F.expr("filter(transform(coalesce(instances, array()), x -> named_struct('pass', x.pass, 'shard', x.shard, 'words', greatest(0L, least(size, x.take - before)))), x -> x.words > 0)")
     return rows.select("row", "size", "source_size", "target", draws.alias("draws")).withColumn("taken", F.expr("aggregate(draws, 0L, (a, x) -> a + x.words)"))
 

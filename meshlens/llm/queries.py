@@ -14,7 +14,7 @@ PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs, columns=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
