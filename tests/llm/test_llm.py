@@ -66,6 +66,14 @@ def test_mixing(spark, docs, corpus):
     assert sum(map(size, out["text"])) == got["taken"].sum() and list(out.columns[:5]) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_mixing_without_texts(spark, docs):
+    """Named columns change what a row holds, and nothing else; none of the plan behind it reads texts."""
+    key = lambda d: sorted((-1 if k is None else k, n, t) for k, n, t in d.select("row.doc_id", "size", "taken").collect())
+    few = mixing.mix(docs, columns=["doc_id"])
+    assert few.schema["row"].dataType.names == ["doc_id"] and key(few) == key(mixing.mix(docs))
+    assert "text" not in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing_targets():
     sizes = [("a", 100), ("b", 1000), (None, 50)]
     t = mixing.targets(sizes)
@@ -405,6 +413,15 @@ def test_ledger_scans_only_unseen(spark, tmp_path):
         assert got == {1: 1, 3: 1, 4: 1} and secrets.scan_unseen(new, ledger.read()).count() == 0 and ledger.read().count() == 3
 
 
+def test_findings_join_hot_content(spark, tmp_path):
+    """Rows of one content that a third of all rows have are joined without a shuffle of their texts."""
+    rows = [(i, "token: abcdef12" if i % 3 == 0 else f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = secrets.find_secrets(df, secrets.Ledger(spark, str(tmp_path / "ledger")))
+    assert {r["row"].doc_id: len(r.spans) for r in found.collect()} == {i: int(i % 3 == 0) for i, _ in rows}
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
 # 6 quality
 
 def test_quality(spark):
@@ -421,6 +438,38 @@ def test_quality(spark):
     assert len(got) == 403 and got["quality_score"].between(0, 1).all() and (held["quality_predicted"] == held["doc_id"] % 2).mean() > 0.97
 
 
+def test_quality_sample_is_bounded_by_rows(spark):
+    """A key with many texts counts as many rows, equal rows as one, a key with both labels in both samples."""
+    df = spark.createDataFrame([(1, f"text {i % 50}") for i in range(200)] + [(2, "two"), (3, None), (6, "six")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    got = sorted((r.k, r.label, r.text) for r in compression_quality.labelled_rows(df, labels, per_label=20, holdout=None).collect())
+    assert [g for g in got if g[1] == 0] == [(2, 0, "two"), (3, 0, "")]
+    assert len({g for g in got if g[1] == 1}) == len([g for g in got if g[1] == 1]) == 20
+    every = compression_quality.labelled_rows(df, labels, holdout=None).collect()
+    assert sorted((r.k, r.label) for r in every if r.k != 1) == [(2, 0), (2, 1), (3, 0)] and sum(r.k == 1 for r in every) == 50
+
+
+def test_dictionaries_use_all_pieces(spark):
+    """One group is plain training on all pieces; dictionaries merged from small groups still tell the labels apart."""
+    rng = random.Random(5)
+    pieces = [(i, i % 2, 0, " ".join(f"{'good' if i % 2 else 'bad'}{rng.randint(0, 400)}" for _ in range(60)).encode()) for i in range(400)]
+    df = spark.createDataFrame(pieces, "k long, label int, at long, piece binary").repartition(4)
+    one, some = compression_quality.dictionaries(df, 1 << 15, 8192), compression_quality.dictionaries(df.repartition(7), 1 << 15, 50)
+    assert one == compression_quality.dictionaries(df.repartition(3), 1 << 15, 200) and some != one
+    label = np.array([v for _, v, *_ in pieces])
+    for d in (one, some):
+        size = compression_quality.sizes([p.decode() for *_, p in pieces], compression_quality.Model(*d, ()))
+        assert (((size[:, 2] - size[:, 1]) > 0) == (label == 1)).mean() > 0.95
+    assert compression_quality.dictionaries(df.where("label = 1"), 1 << 15, 50)[1] == b" "
+
+
+def test_quality_score_names(spark):
+    df = spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, quality_score double")
+    model = compression_quality.Model(b" ", b" ", (0.0,) * 6)
+    got = compression_quality.score(df, model, names=("s_", "p_")).first()
+    assert (got.quality_score, got.s_, got.p_) == (0.5, 0.5, 1)
+
+
 def test_quality_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = compression_quality.fit(docs, labels)
