@@ -69,12 +69,13 @@ class Ledger:
         scan_unseen(versions, self.read(), text, rules).write.mode("append").parquet(self.folder)
 
     def spans(self, rules: dict = RULES) -> DataFrame:
-        """blob, and spans: all findings by the rules' present versions, by start and then by the rules' order."""
+        """blob, and spans: all findings by the rules' present versions, by start and then by the rules' order. Only
+        content with a finding has a row."""
         place = F.create_map(*[x for i, k in enumerate(rules) for x in (F.lit(k), F.lit(i))])
         present = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r[3]).alias("version")) for k, r in rules.items()])
         kept = F.filter("findings", lambda f: F.array_contains(present, F.struct(f["kind"].alias("kind"), f["version"].alias("version"))))
         flat = F.flatten(F.transform(kept, lambda f: F.transform(f["spans"], lambda s: F.struct(s["begin"].alias("begin"), place[f["kind"]].alias("place"), s["stop"].alias("stop"), f["kind"].alias("kind")))))
-        each = self.read().select("blob", flat.alias("spans"))
+        each = self.read().select("blob", flat.alias("spans")).where(F.size("spans") > 0)
         # a blob has a row for each scan that had a rule version new to it
         return each.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
@@ -95,10 +96,14 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame, text: str = "text", rule
 
 def find_secrets(versions: DataFrame, ledger: Ledger, text: str = "text", rules: dict = RULES) -> DataFrame:
     """row (struct of all columns of versions), blob, and spans, after the ledger's update with versions.
-    Rows without findings have an empty list."""
+    Rows without findings have an empty list.
+
+    The findings are a table of their own when they are joined, so that Spark knows their size: few of them are
+    broadcast, and of many, the rows of one content that a third of all rows have can be split."""
     ledger.update(versions, text, rules)
+    found = Scratch(versions.sparkSession, "findings").cut(ledger.spans(rules))
     rows = versions.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("blob"))
-    return rows.join(ledger.spans(rules), "blob", "left")
+    return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
 
 
 def redact(found: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
