@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.llm import compression_quality, mixing, order_minhash, secrets, sentencepiece_nbest
-from meshlens.llm.common import Scratch, table
+from meshlens.llm.common import Scratch, table, unused
 from meshlens.llm.queries import PIECES
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = compression_quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = compression_quality.score(docs, model)
-    return scored.where(F.col("quality_predicted") == 1).select(docs.columns)
+    names = unused(docs, "quality_score"), unused(docs, "quality_predicted")
+    scored = compression_quality.score(docs, model, names=names)
+    return scored.where(F.col(names[1]) == 1).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
