@@ -297,3 +297,9 @@ _CALLED = "SELECT from_repo, count(*) AS total_deps, count(*) FILTER (confidence
 SQL["document_summaries"] = with_views("deps", f"SELECT 'p' || p_partkey AS repo, '/repos/' || p_brand AS path, coalesce(total_deps, 0) AS total_deps, coalesce(high_confidence, 0) AS high_confidence, coalesce(array_to_string(called, ','), '') AS services_called, true AS whole FROM part LEFT JOIN ({_CALLED}) ON from_repo = 'p' || p_partkey")
 SQL["document_violations"] = with_views("deps", "SELECT from_repo AS repo, '$.dependencies[' || k || '].tier' AS path, 'is none of its words' AS rule FROM (SELECT from_repo, tier, row_number() OVER (PARTITION BY from_repo ORDER BY ord, to_repo) - 1 AS k FROM deps JOIN (SELECT from_repo, to_repo, min(ord) AS ord FROM lines GROUP BY ALL) o USING (from_repo, to_repo)) JOIN part ON from_repo = 'p' || p_partkey WHERE p_partkey % 4 = 1 AND tier = 'call-site' UNION ALL SELECT 'p' || p_partkey, '$.version', 'is missing' FROM part WHERE p_partkey % 4 = 2 UNION ALL SELECT 'p' || p_partkey, '$', 'is not JSON' FROM part WHERE p_partkey % 4 = 3")
 SQL["impact_of_symbol"] = with_views("sym", "(SELECT 'definition' AS kind, repo, file, start_line AS line, qualified_name AS name FROM sym WHERE sym.name ILIKE '%Ring%' ORDER BY sym.name = 'Ring' DESC, length(sym.name), sym.name, repo, file, start_line, ord LIMIT 50) UNION ALL SELECT 'caller', * FROM (SELECT * FROM (SELECT 'u' || user_id AS repo, 'F' || (event_id % 50) || '.java' AS file, CAST(event_id % 400 AS INTEGER) AS line, 'Ring' AS name FROM events WHERE event_type = 'click' ORDER BY repo, file, line, event_id LIMIT 100) WHERE repo <> 'u7')")
+_FACTS = (
+    ("'d' || page_id", "config", 1.0, "true"), ("word || '-ledger' || (page_id % 5)", "package", 0.9, "true"), ("word || '-mod' || (page_id % 5)", "go", 0.9, "true"),
+    ("word || CASE WHEN page_id % 2 = 0 THEN '-boot' ELSE '-props' END", "spring", 0.95, "true"), ("word || '-svc' || (page_id % 5)", "k8s", 0.9, "true"), ("'core-' || word || '-' || page_id", "k8s", 0.9, "true"),
+    ("word || CASE WHEN page_id % 3 = 0 THEN ' Books' ELSE ' Orders' END", "openapi", 0.7, "true"), ("'https://' || host || '/api'", "openapi", 0.85, "page_id % 3 > 0"), ("'http://' || word || '.internal:80'", "openapi", 0.85, "page_id % 3 > 0"), ("word || '-repo'", "git", 0.85, "true"),
+)
+SQL["declared_documents"] = with_views("pg", "SELECT repo, alias, raw, source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo, alias ORDER BY confidence DESC, ord) AS n FROM (SELECT *, " + identity("raw") + " AS alias FROM named) WHERE alias <> '') WHERE n = 1", False, {"named": " UNION ALL ".join(f"SELECT 'd' || page_id AS repo, {raw} AS raw, '{source}' AS source, {confidence}::DOUBLE AS confidence, {ord} AS ord FROM pg WHERE {where}" for ord, (raw, source, confidence, where) in enumerate(_FACTS))})

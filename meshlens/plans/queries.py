@@ -682,6 +682,12 @@ def declared_identities(spark, sf):
     return identities.identities(named, W.config_files(spark, sf)).select("repo", "alias", "raw", "source", "confidence")
 
 
+@query
+def declared_documents(spark, sf):
+    named = W.pages(spark, sf).select(F.concat(F.lit("d"), "page_id").alias("name"))
+    return identities.identities(named, W.declared_files(spark, sf)).select("repo", "alias", "raw", "source", "confidence")
+
+
 @query
 def declared_base_paths(spark, sf):
     return identities.base_paths(W.config_files(spark, sf))

@@ -312,3 +312,24 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), "page_id"))
     plain = rows.select("repo", F.lit("src/main/resources/application.properties").alias("path"), _filled(CONFIG).alias("content"))
     return plain.union(rows.select("repo", F.lit("package.json"), F.concat(F.lit('{"name": "@shop/'), "word", F.lit('-api"}'))))
+
+
+#: Files in which a page's repository declares names: (path, which pages by id, content).
+DECLARED = (
+    ("pyproject.toml", "true", '# name = "no"\n[tool.x]\nname = "no"\n[project]\nkeywords = ["a[b]"]\nname = "{word}-ledger{five}"\n'),
+    ("go.mod", "true", "// module no\nmodule git.example/x/{word}-mod{five}\n"),
+    ("application.yaml", "page_id % 2 = 0", "spring:\n  profiles: {{name: no}}\n  application: {{name: '{word}-boot'}}\n"),
+    ("src/main/resources/application.properties", "true", "server.port=1\nspring.application.name={word}-props\n"),
+    ("deploy/all.yaml", "true", "kind: Deployment\nmetadata: {{name: no}}\n---\nkind: Service\nmetadata:\n  labels:\n    name: no\n  name: {word}-svc{five}\n---\nmetadata: {{name: 'core-{word}-{id}'}}\nkind: Service\n---\n[\n---\nkind: Service\nmetadata: {{name: no-{word}}}\n"),
+    ("openapi.yaml", "page_id % 3 = 0", "info: [\n"),
+    ("openapi.yaml", "page_id % 3 > 0", "info: {{title: '{word} Orders'}}\nservers:\n- url: https://{host}/api\n- url: /relative\n- url: http://{word}.internal:80\n"),
+    ("swagger.json", "true", '{{"info": {{"title": "{word} Books", "name": "no"}}}}'),
+    (".git/config", "true", '[remote "origin"]\n\turl = git@{host}:o/{word}-repo.git\n'),
+)
+
+
+def declared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of DECLARED for each page, in repositories of their own."""
+    rows = pages(spark, sf_dir).withColumn("repo", F.concat(F.lit("d"), "page_id"))
+    each = [F.when(F.expr(where), F.struct(F.lit(path).alias("path"), _filled(content).alias("content"))) for path, where, content in DECLARED]
+    return rows.select("repo", F.explode(F.array_compact(F.array(*each))).alias("file")).select("repo", "file.*")

@@ -1,7 +1,9 @@
-"""Configuration files: properties as Columns, YAML by a table function."""
+"""Configuration files: properties as Columns, YAML, JSON and TOML by table functions."""
 
 from __future__ import annotations
 
+import json
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,3 +72,42 @@ def yaml_properties(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["repo", "path", "key", "value", "line"])
 
     return files.select("repo", "path", "content").mapInPandas(run, "repo string, path string, key string, value string, line int")
+
+
+def documents(files: DataFrame) -> DataFrame:
+    """files (repo, path, content) of YAML, JSON and TOML by their endings -> (repo, path, whole, bodies): the documents of a
+    file as JSON, in order. Where a document can't be read, whole is false and bodies holds those before it.
+
+    Dates and other values that JSON doesn't have are text; null content is an empty file, which as YAML has no document."""
+
+    def each(path: str, content: str) -> Iterator:
+        import yaml
+
+        if path.endswith(".json"):
+            yield json.loads(content)
+        elif path.endswith(".toml"):
+            yield tomllib.loads(content)
+        else:
+            yield from yaml.safe_load_all(content)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for frame in frames:
+            out = []
+            for path, content in zip(frame["path"], frame["content"]):
+                bodies, whole = [], True
+                try:
+                    for body in each(path, content or ""):
+                        bodies.append(json.dumps(body, default=str, skipkeys=True))
+                except (yaml.YAMLError, ValueError, RecursionError):  # a value that holds itself is a ValueError, too
+                    whole = False
+                out.append((whole, bodies))
+            yield pd.DataFrame({"repo": frame["repo"], "path": frame["path"], "whole": [w for w, _ in out], "bodies": [b for _, b in out]})
+
+    return files.select("repo", "path", "content").mapInPandas(run, "repo string, path string, whole boolean, bodies array<string>")
+
+
+def text_at(document: Column, path: str) -> Column:
+    """The string at a path of a variant; null for numbers, other values, and where nothing is."""
+    return F.when(F.schema_of_variant(F.try_variant_get(document, path, "variant")) == "STRING", F.try_variant_get(document, path, "string"))

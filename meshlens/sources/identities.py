@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,12 @@ from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.functions.predicates import resolve_placeholder
 from meshlens.operators.resolve import first_per
-from meshlens.sources.configs import properties, yaml_properties
+from meshlens.sources.configs import documents, properties, text_at, yaml_properties
+
+# Files that declare a name, in the order in which they count.
+SPRING_FILES = ("src/main/resources/application.yml", "src/main/resources/application.yaml", "application.yml", "application.yaml")
+SPRING_PROPERTIES = "src/main/resources/application.properties"
+OPENAPI_FILES = ("openapi.yaml", "openapi.yml", "openapi.json", "swagger.yaml", "swagger.json")
 
 # Base configuration files in order, the keys of each role, and the folders that are skipped.
 BASE_FILES = ("application.properties", "application.yml", "application.yaml", "bootstrap.properties", "bootstrap.yml", "bootstrap.yaml")
@@ -21,31 +28,41 @@ def identities(repos: DataFrame, files: DataFrame) -> DataFrame:
     """repos (name), files (repo, path, content) -> aliases (repo, alias, raw, source, confidence, ord).
 
     Declared names of package files, Spring, Kubernetes services, OpenAPI and the git remote, with the repository's own
-    name; of equal aliases the most confident one stays. The remote is read from the checkout's config file."""
+    name; of equal aliases the most confident one stays, then the first in this order. Documents are read as such: a
+    name that isn't a string is none, and a broken file counts up to where it breaks for Kubernetes, and not at all
+    elsewhere. Spring's name is that of the first YAML file of one document that has one, else that of its properties;
+    OpenAPI's are those of the first file that can be read. The remote is read from the checkout's config file."""
     c, at = F.col("content"), F.col("path")
     line = lambda pattern: F.regexp_extract(c, pattern, 1)
     last = lambda x: F.regexp_extract(x, r"([^/]*)/*\z", 1)
-    rules = [
-        (at == "package.json", last(F.get_json_object(c, "$.name")), "package", 0.9),
-        (at == "pyproject.toml", line(r"(?ms)^\[project\][^\[]*?^name\s*=\s*[\"']([^\"']+)"), "package", 0.9),
-        (at == "go.mod", last(line(r"(?m)^module\s+(\S+)")), "go", 0.9),
-        (at == "src/main/resources/application.properties", line(r"(?m)spring\.application\.name\s*=\s*(\S+)"), "spring", 0.95),
-        (at.isin("openapi.json", "swagger.json"), F.get_json_object(c, "$.info.title"), "openapi", 0.7),
-        (at.isin(".git/config"), last(F.regexp_replace(line(r"(?m)^\s*url\s*=\s*(\S+)"), r"\.git\z", "")), "git", 0.85),
+    fact = lambda raw, source, confidence, ord, place=F.lit(0): (F.col("repo"), raw.alias("raw"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.lit(ord).alias("ord"), F.col("path"), place.alias("place"))
+
+    service = at.rlike(r"\.ya?ml\z") & ~at.rlike(r"(?:^|/)(?:node_modules|\.git|vendor)/") & c.rlike("kind: ?Service")
+    read = documents(files.where(at.isin("package.json", "pyproject.toml", *SPRING_FILES, *OPENAPI_FILES) | service))
+    body = F.try_parse_json(F.get("bodies", F.lit(0)))
+    one = read.where("whole and size(bodies) <= 1").withColumn("body", body)
+    name = text_at(F.col("body"), "$.name")
+    parts = [
+        repos.select(F.col("name").alias("repo"), F.col("name").alias("raw"), F.lit("config").alias("source"), F.lit(1.0).alias("confidence"), F.lit(0).alias("ord"), F.lit("").alias("path"), F.lit(0).alias("place")),
+        one.where(at == "package.json").select(*fact(F.substring_index(name, "/", -1), "package", 0.9, 1)),
+        one.where(at == "pyproject.toml").select(*fact(text_at(F.col("body"), "$.project.name"), "package", 0.9, 2)),
+        files.where(at == "go.mod").select(*fact(last(line(r"(?m)^module\s+(\S+)")), "go", 0.9, 3)),
     ]
-    parts = repos.select(F.col("name").alias("repo"), F.col("name").alias("raw"), F.lit("config").alias("source"), F.lit(1.0).alias("confidence"), F.lit(0).alias("ord"))
-    for i, (where, raw, source, confidence) in enumerate(rules, 1):
-        parts = parts.union(files.where(where).select("repo", raw, F.lit(source), F.lit(confidence), F.lit(i)))
-    yaml = files.where(at.rlike(r"\.ya?ml\z") & ~at.rlike(r"(?:^|/)(?:node_modules|\.git|vendor)/"))
-    props = yaml_properties(yaml)
-    spring = props.where((F.col("key") == "spring.application.name") & F.col("path").rlike(r"^(?:src/main/resources/)?application\.ya?ml\z")).select("repo", "value", F.lit("spring"), F.lit(0.95), F.lit(20))
-    api = props.where(F.col("path").rlike(r"^(?:openapi|swagger)\.ya?ml\z"))
-    titles = api.where("key = 'info.title'").select("repo", "value", F.lit("openapi"), F.lit(0.7), F.lit(21))
-    servers = api.where("key = 'servers.url' and value like '%://%'").select("repo", "value", F.lit("openapi"), F.lit(0.85), F.lit(22))
-    documents = yaml.where(F.col("content").rlike(r"kind:\s*Service\b")).select("repo", F.explode(F.split("content", r"(?m)^---\s*$")).alias("doc"))
-    services = documents.where(F.col("doc").rlike(r"(?m)^kind:\s*[\"']?Service[\"']?\s*$")).select("repo", F.regexp_extract("doc", r"(?ms)^metadata:.*?^\s+name:\s*[\"']?([\w.-]+)", 1), F.lit("k8s"), F.lit(0.9), F.lit(23))
-    rows = parts.union(spring).union(titles).union(servers).union(services).withColumn("alias", I.normalize_identity(F.col("raw"))).where("alias <> ''")
-    return first_per(rows, ["repo", "alias"], F.desc("confidence"), "ord", "raw").select("repo", "alias", "raw", "source", "confidence", "ord")
+    rank = F.array_position(F.array(*[F.lit(n) for n in (*SPRING_FILES, SPRING_PROPERTIES)]), at).cast("int")
+    spring = one.where(at.isin(*SPRING_FILES)).select(*fact(text_at(F.col("body"), "$.spring.application.name"), "spring", 0.95, 4, rank))
+    plain = files.where(at == SPRING_PROPERTIES).select(*fact(line(r"spring\.application\.name\s*=\s*(\S+)"), "spring", 0.95, 4, rank))
+    parts.append(first_per(spring.union(plain).where("raw <> ''"), ["repo"], "place"))
+    docs = read.where(at.rlike(r"\.ya?ml\z")).select("repo", "path", F.posexplode("bodies").alias("place", "text")).withColumn("body", F.try_parse_json("text"))
+    kept = docs.where(~at.rlike(r"(?:^|/)(?:node_modules|\.git|vendor)/") & (text_at(F.col("body"), "$.kind") == "Service"))
+    parts.append(kept.select(*fact(text_at(F.col("body"), "$.metadata.name"), "k8s", 0.9, 5, F.col("place"))))
+    rank = F.array_position(F.array(*[F.lit(n) for n in OPENAPI_FILES]), at)
+    api = first_per(one.where(at.isin(*OPENAPI_FILES)).select("repo", "path", "bodies", rank.alias("rank")), ["repo"], "rank").withColumn("body", body)
+    parts.append(api.select(*fact(text_at(F.col("body"), "$.info.title"), "openapi", 0.7, 6)))
+    servers = api.select("repo", "path", F.posexplode(F.try_variant_get("body", "$.servers", "array<variant>")).alias("place", "server"))
+    parts.append(servers.select(*fact(text_at(F.col("server"), "$.url"), "openapi", 0.85, 7, F.col("place"))).where("contains(raw, '://')"))
+    parts.append(files.where(at == ".git/config").select(*fact(last(F.regexp_replace(line(r"(?m)^\s*url\s*=\s*(\S+)"), r"\.git\z", "")), "git", 0.85, 8)))
+    rows = functools.reduce(DataFrame.unionByName, parts).withColumn("alias", I.normalize_identity(F.col("raw"))).where("alias <> ''")
+    return first_per(rows, ["repo", "alias"], F.desc("confidence"), "ord", "path", "place", "raw").select("repo", "alias", "raw", "source", "confidence", "ord")
 
 
 def base_paths(files: DataFrame) -> DataFrame:

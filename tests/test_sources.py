@@ -150,3 +150,32 @@ def test_identities_and_bases(spark):
     got = {(r.alias, r.source) for r in identities.identities(spark.createDataFrame([("my-repo",)], "name string").selectExpr("'r' as name"), df).collect()}
     assert got == {("r", "config"), ("billing", "package"), ("ledger", "go"), ("tax", "package"), ("payments", "k8s"), ("pss", "spring"), ("pay", "git")}
     assert {(r.framework, r.base) for r in identities.base_paths(df).collect()} == {("spring", "/pss"), ("jaxrs", "/pss")}
+
+
+def test_identities_of_documents(spark):
+    """Structured documents: several in a file, names elsewhere in them, broken ones, and the order of files."""
+    from meshlens.sources import identities
+
+    rows = [
+        ("a", "deploy/all.yml", "apiVersion: v1\nkind: Service\nmetadata: {labels: {name: wrong}, name: right}\n---\nspec:\n  name: other\nkind: Service\nmetadata:\n  annotations:\n    name: no\n---\nkind: Service\nmetadata:\n    name: deep\n---\nkind: Service\nmetadata: {name: 7}\n"),
+        ("a", "deploy/broken.yaml", "kind: Service\nmetadata: {name: before}\n---\n{:\n---\nkind: Service\nmetadata: {name: after}\n"),
+        ("a", "vendor/x.yaml", "kind: Service\nmetadata: {name: vendored}\n"),
+        ("a", "notes.yaml", "text: 'kind: Service'\nmetadata: {name: quoted}\n"),
+        ("b", "openapi.yaml", "info: [\n"), ("b", "openapi.json", '{"info": {"title": "Ledger"}, "servers": [{"url": "https://books.internal/v1"}, {"url": "/rel"}, 3]}'), ("b", "swagger.json", '{"info": {"title": "Later"}}'),
+        ("c", "application.yml", "spring: {application: {name: 5}}"), ("c", "application.yaml", "spring: {application: {name: flat}}"), ("c", "src/main/resources/application.properties", "spring.application.name=props"),
+        ("d", "src/main/resources/application.properties", "x=1\nspring.application.name = props"), ("d", "application.yml", "spring: {}\n---\nspring: {application: {name: second}}\n"),
+        ("d", "package.json", '{"name": ["list"]}'), ("d", "pyproject.toml", "# name = 'no'\n[tool.x]\nname = 'tool'\n[project]\ndependencies = ['a[b]']\nname = 'tax'\n"),
+        ("e", "package.json", "{"), ("e", "pyproject.toml", "[project"), ("e", "openapi.yml", None), ("e", "go.mod", ""),
+    ]
+    df = spark.createDataFrame(rows, "repo string, path string, content string")
+    names = df.select("repo").distinct().withColumnRenamed("repo", "name")
+    got = {}
+    for r in identities.identities(names, df).where("source <> 'config'").collect():
+        got.setdefault(r.repo, set()).add((r.alias, r.source, r.confidence))
+    assert got == {
+        "a": {("right", "k8s", 0.9), ("deep", "k8s", 0.9), ("before", "k8s", 0.9)},
+        "b": {("ledger", "openapi", 0.7), ("books", "openapi", 0.85)},
+        "c": {("flat", "spring", 0.95)},
+        "d": {("props", "spring", 0.95), ("tax", "package", 0.9)},
+    }
+    assert identities.identities(names.where("false"), df.where("false")).count() == 0
