@@ -38,28 +38,28 @@ def identities(repos: DataFrame, files: DataFrame) -> DataFrame:
     fact = lambda raw, source, confidence, ord, place=F.lit(0): (F.col("repo"), raw.alias("raw"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.lit(ord).alias("ord"), F.col("path"), place.alias("place"))
 
     service = at.rlike(r"\.ya?ml\z") & ~at.rlike(r"(?:^|/)(?:node_modules|\.git|vendor)/") & c.rlike("kind: ?Service")
-    read = documents(files.where(at.isin("package.json", "pyproject.toml", *SPRING_FILES, *OPENAPI_FILES) | service))
-    body = F.try_parse_json(F.get("bodies", F.lit(0)))
-    one = read.where("whole and size(bodies) <= 1").withColumn("body", body)
+    # each file is read for one kind of fact only, so none is parsed twice
+    one = lambda *paths: documents(files.where(at.isin(*paths))).where("whole and size(bodies) <= 1").withColumn("body", F.try_parse_json(F.get("bodies", F.lit(0))))
     name = text_at(F.col("body"), "$.name")
     parts = [
         repos.select(F.col("name").alias("repo"), F.col("name").alias("raw"), F.lit("config").alias("source"), F.lit(1.0).alias("confidence"), F.lit(0).alias("ord"), F.lit("").alias("path"), F.lit(0).alias("place")),
-        one.where(at == "package.json").select(*fact(F.substring_index(name, "/", -1), "package", 0.9, 1)),
-        one.where(at == "pyproject.toml").select(*fact(text_at(F.col("body"), "$.project.name"), "package", 0.9, 2)),
+        one("package.json").select(*fact(F.substring_index(name, "/", -1), "package", 0.9, 1)),
+        one("pyproject.toml").select(*fact(text_at(F.col("body"), "$.project.name"), "package", 0.9, 2)),
         files.where(at == "go.mod").select(*fact(last(line(r"(?m)^module\s+(\S+)")), "go", 0.9, 3)),
     ]
     rank = F.array_position(F.array(*[F.lit(n) for n in (*SPRING_FILES, SPRING_PROPERTIES)]), at).cast("int")
-    spring = one.where(at.isin(*SPRING_FILES)).select(*fact(text_at(F.col("body"), "$.spring.application.name"), "spring", 0.95, 4, rank))
+    spring = one(*SPRING_FILES).select(*fact(text_at(F.col("body"), "$.spring.application.name"), "spring", 0.95, 4, rank))
     plain = files.where(at == SPRING_PROPERTIES).select(*fact(line(r"spring\.application\.name\s*=\s*(\S+)"), "spring", 0.95, 4, rank))
     parts.append(first_per(spring.union(plain).where("raw <> ''"), ["repo"], "place"))
-    docs = read.where(at.rlike(r"\.ya?ml\z")).select("repo", "path", F.posexplode("bodies").alias("place", "text")).withColumn("body", F.try_parse_json("text"))
-    kept = docs.where(~at.rlike(r"(?:^|/)(?:node_modules|\.git|vendor)/") & (text_at(F.col("body"), "$.kind") == "Service"))
+    docs = documents(files.where(service)).select("repo", "path", F.posexplode("bodies").alias("place", "text")).withColumn("body", F.try_parse_json("text"))
+    kept = docs.where(text_at(F.col("body"), "$.kind") == "Service")
     parts.append(kept.select(*fact(text_at(F.col("body"), "$.metadata.name"), "k8s", 0.9, 5, F.col("place"))))
     rank = F.array_position(F.array(*[F.lit(n) for n in OPENAPI_FILES]), at)
-    api = first_per(one.where(at.isin(*OPENAPI_FILES)).select("repo", "path", "bodies", rank.alias("rank")), ["repo"], "rank").withColumn("body", body)
-    parts.append(api.select(*fact(text_at(F.col("body"), "$.info.title"), "openapi", 0.7, 6)))
-    servers = api.select("repo", "path", F.posexplode(F.try_variant_get("body", "$.servers", "array<variant>")).alias("place", "server"))
-    parts.append(servers.select(*fact(text_at(F.col("server"), "$.url"), "openapi", 0.85, 7, F.col("place"))).where("contains(raw, '://')"))
+    api = first_per(one(*OPENAPI_FILES).select("repo", "path", "body", rank.alias("rank")), ["repo"], "rank")
+    stated = lambda raw, confidence, ord: F.struct(raw.alias("raw"), F.lit("openapi").alias("source"), F.lit(confidence).alias("confidence"), F.lit(ord).alias("ord"))
+    servers = F.transform(F.try_variant_get("body", "$.servers", "array<variant>"), lambda server: stated(text_at(server, "$.url"), 0.85, 7))
+    facts = F.flatten(F.array_compact(F.array(F.array(stated(text_at(F.col("body"), "$.info.title"), 0.7, 6)), F.filter(servers, lambda x: x["raw"].contains("://")))))
+    parts.append(api.select("repo", "path", F.posexplode(facts).alias("place", "fact")).select("repo", "fact.*", "path", "place"))
     parts.append(files.where(at == ".git/config").select(*fact(last(F.regexp_replace(line(r"(?m)^\s*url\s*=\s*(\S+)"), r"\.git\z", "")), "git", 0.85, 8)))
     rows = functools.reduce(DataFrame.unionByName, parts).withColumn("alias", I.normalize_identity(F.col("raw"))).where("alias <> ''")
     return first_per(rows, ["repo", "alias"], F.desc("confidence"), "ord", "path", "place", "raw").select("repo", "alias", "raw", "source", "confidence", "ord")
