@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from meshlens.functions import paths as P
 from meshlens.functions.predicates import fanout_confidence
-from meshlens.operators.checkpoints import checkpointed
-from meshlens.operators.resolve import first_per
+from meshlens.operators.checkpoints import written
 
 
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -31,39 +30,72 @@ def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
     return at.join(found, ["repo", "base", "line"]).select("id", F.col("span.qualified_name").alias("qualified_name"))
 
 
+def _callable(symbols: DataFrame) -> DataFrame:
+    """(repo, name, qualified_name) of methods and functions, each once."""
+    return symbols.where(F.col("kind").isin("method", "function")).select("repo", "name", "qualified_name").distinct()
+
+
 def call_graph(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """(repo, from_repo, to_repo): caller and callee by qualified name, callees looked up by name within the repository."""
-    named = symbols.where(F.col("kind").isin("method", "function")).select("repo", F.col("name").alias("callee_name"), F.col("qualified_name").alias("callee"))
-    return calls.select("repo", "caller", "callee_name").distinct().join(named.distinct(), ["repo", "callee_name"]).where("caller <> callee").select("repo", "caller", "callee").distinct()
+    """(repo, caller, callee): caller and callee by qualified name, callees looked up by name within the repository.
+
+    A name stands for every symbol that bears it, so there are far more pairs than calls and symbols: pairs aren't dealt anew. They
+    are distinct as they come, for calls and named symbols are; but a symbol of several names is first given those that call it."""
+    named = _callable(symbols).withColumn("names", F.count("*").over(Window.partitionBy("repo", "qualified_name")))
+    called = calls.select("repo", "caller", F.col("callee_name").alias("name")).distinct()
+    pairs = lambda rows: called.join(rows.select("repo", "name", F.col("qualified_name").alias("callee")), ["repo", "name"]).where("caller <> callee").select("repo", "caller", "callee")
+    return pairs(named.where("names = 1")).union(pairs(named.where("names > 1")).distinct())
+
+
+def call_reach(symbols: DataFrame, calls: DataFrame, start: DataFrame, max_hops: int) -> DataFrame:
+    """start (repo, node) -> (repo, node, hops): the fewest calls to each symbol by qualified name, 0 to the start itself.
+
+    Walks from symbols to the names that they call and on to the symbols of these, so the call graph's pairs are never made."""
+    named, called = _callable(symbols), calls.select("repo", F.col("caller").alias("node"), F.col("callee_name").alias("name")).distinct()
+    seen = frontier = written(start.select("repo", "node", F.lit(0).alias("hops")).distinct())
+    for hops in range(1, max_hops + 1):
+        names = frontier.join(called, ["repo", "node"]).select("repo", "name").distinct()
+        found = names.join(named, ["repo", "name"]).select("repo", F.col("qualified_name").alias("node")).distinct()
+        frontier = written(found.join(seen.select("repo", "node"), ["repo", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        seen = seen.union(frontier)
+    return seen
 
 
 def endpoint_fanout(routes: DataFrame, symbols: DataFrame, calls: DataFrame, surfaces: DataFrame, max_hops: int = 4) -> DataFrame:
     """routes (repo, method, path, file, line), surfaces (repo, target, method, path, key, matched, file, line) ->
     (repo, ep_key, target, key, hops, confidence, via): for each endpoint and outbound call the fewest hops.
 
-    A level holds, for each endpoint and symbol first reached there, the symbol before it on the smallest path by names, and
-    the path's rank among the endpoint's of that level: a smaller rank before makes a smaller path, so no path is carried
-    along. The paths told are put together from the levels at the end. The call graph and each level are cut
-    with a checkpoint, so no level computes the ones before it anew."""
+    A call names its callee, and all symbols of that name are reached at once and from the same caller. So a level holds, for each
+    endpoint, the names first called there, not their symbols, which are many times as many; of a name's symbols only the first
+    that calls a further name, or that holds a sink, can lie on a smallest path. (A symbol reached before, as a handler or by another
+    name, may be taken for it: but what that one calls has been reached before, too.) With each name goes the symbol that calls it
+    on the smallest path by names, and that path's rank among the endpoint's of the level: a smaller rank before makes a smaller
+    path, so no path is carried along. The paths told are put together from the levels at the end. The tables that are read
+    at every level, and each level, are written, so no level computes the ones before it anew."""
     at = routes.select(F.xxhash64("repo", "method", "path", "file", "line").alias("id"), "repo", "file", "line", P.endpoint_key(F.col("method"), F.col("path")).alias("ep_key")).distinct()
-    handlers = enclosing(at, symbols).join(at, "id").select("repo", "ep_key", F.col("qualified_name").alias("node")).distinct()
+    handlers = written(enclosing(at, symbols).join(at, "id").select("repo", "ep_key", F.col("qualified_name").alias("node")).distinct())
     out = surfaces.withColumn("id", F.xxhash64("repo", "file", "line"))
-    sinks = checkpointed(enclosing(out.select("id", "repo", "file", "line").distinct(), symbols).join(out, "id").select("repo", F.col("qualified_name").alias("node"), "target", "key").distinct())
-    graph = checkpointed(call_graph(symbols, calls).withColumnRenamed("caller", "node"))
-    ranked = lambda *order: F.row_number().over(Window.partitionBy("repo", "ep_key").orderBy(*order))
-    levels = [checkpointed(handlers.select("repo", "ep_key", "node", F.lit(None).cast("string").alias("before"), ranked("node").alias("rank"), F.lit(0).alias("hops")))]
+    sinks = written(enclosing(out.select("id", "repo", "file", "line").distinct(), symbols).join(out, "id").select("repo", F.col("qualified_name").alias("node"), "target", "key").distinct())
+    named = written(_callable(symbols).withColumnRenamed("qualified_name", "node"))
+    known = named.select("repo", F.col("name").alias("callee")).distinct()
+    called = written(calls.select("repo", F.col("caller").alias("node"), F.col("callee_name").alias("callee")).distinct().join(known, ["repo", "callee"], "left_semi"))
+    by_name = written(called.join(named, ["repo", "node"]).groupBy("repo", "name", "callee").agg(F.min("node").alias("node")))
+    first_sinks = written(sinks.join(named, ["repo", "node"]).groupBy("repo", "name", "target", "key").agg(F.min("node").alias("node")))
+    ranked = F.dense_rank().over(Window.partitionBy("repo", "ep_key").orderBy("from.rank", "from.node"))
+    step = handlers.join(called, ["repo", "node"]).select("repo", "ep_key", "callee", F.struct(F.lit(0).alias("rank"), "node", F.lit(None).cast("string").alias("name")).alias("from"))
+    levels = []
     for hops in range(1, max_hops + 1):
-        step = levels[-1].select("repo", "ep_key", F.col("node").alias("before"), F.col("rank").alias("rank_before")).join(graph.withColumnRenamed("node", "before"), ["repo", "before"])
-        new = step.groupBy("repo", "ep_key", F.col("callee").alias("node")).agg(F.min(F.struct("rank_before", "before")).alias("from"))
-        seen = functools.reduce(DataFrame.union, [x.select("repo", "ep_key", "node") for x in levels])
-        new = new.join(seen, ["repo", "ep_key", "node"], "left_anti")
-        levels.append(checkpointed(new.select("repo", "ep_key", "node", "from.before", ranked("from.rank_before", "node").alias("rank"), F.lit(hops).alias("hops"))))
-    reached = functools.reduce(DataFrame.union, levels)
-    best = first_per(reached.join(sinks, ["repo", "node"]).select("repo", "ep_key", "target", "key", "node", "hops", "rank"), ["repo", "ep_key", "target", "key"], "hops", "rank")
-    told = best.select("*", F.array("node").alias("via"))
+        new = step.groupBy("repo", "ep_key", F.col("callee").alias("name")).agg(F.min("from").alias("from"))
+        for level in levels:
+            new = new.join(level.select("repo", "ep_key", "name"), ["repo", "ep_key", "name"], "left_anti")
+        levels.append(written(new.select("repo", "ep_key", "name", F.col("from.node").alias("before"), F.col("from.name").alias("name_before"), ranked.alias("rank"), F.lit(hops).alias("hops"))))
+        step = levels[-1].join(by_name, ["repo", "name"]).select("repo", "ep_key", "callee", F.struct("rank", "node", "name").alias("from"))
+    keys, place = ["repo", "ep_key", "target", "key"], F.struct("hops", "rank", "node", "name")
+    own = handlers.join(sinks, ["repo", "node"]).select(*keys, F.struct(F.lit(0).alias("hops"), F.lit(0).alias("rank"), "node", F.lit(None).cast("string").alias("name")).alias("place"))
+    reached = [level.join(first_sinks, ["repo", "name"]).select(*keys, place.alias("place")) for level in levels]
+    told = functools.reduce(DataFrame.union, reached, own).groupBy(*keys).agg(F.min("place").alias("place")).select(*keys, "place.hops", "place.name", F.array("place.node").alias("via"))
     for hops in range(max_hops, 0, -1):
-        here = levels[hops].select("repo", "ep_key", "node", F.col("before"), F.lit(hops).alias("at"))
-        told = told.join(here, ["repo", "ep_key", "node"], "left").withColumns({"via": F.when(F.col("at").isNotNull(), F.concat(F.array("before"), "via")).otherwise(F.col("via")), "node": F.coalesce("before", "node")}).drop("before", "at")
+        here = levels[hops - 1].select("repo", "ep_key", "name", "before", "name_before", F.lit(True).alias("found"))
+        told = told.join(here, ["repo", "ep_key", "name"], "left").withColumns({"via": F.when(F.col("found"), F.concat(F.array("before"), "via")).otherwise(F.col("via")), "name": F.when(F.col("found"), F.col("name_before")).otherwise(F.col("name"))}).drop("before", "name_before", "found")
     return told.select("repo", "ep_key", "target", "key", "hops", fanout_confidence(F.col("hops")).alias("confidence"), F.transform("via", lambda q: F.substring_index(q, ".", -1)).alias("via"))
 
 

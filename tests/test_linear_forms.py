@@ -63,6 +63,58 @@ def test_fanout_tells_the_smallest_path(spark):
     assert {(r.ep_key, r.target, r.key): (r.hops + 1, tuple(f"C.{v}" for v in r.via)) for r in got.collect()} == want
 
 
+def _namesakes():
+    """Forty symbols bear each of six names, one symbol has two names; calls name a few."""
+    rng = random.Random(7)
+    symbols = [("r", "f.java", "method", f"n{k % 6}", f"C{k:03}.n{k % 6}", 10 * k + 1, 10 * k + 9, k) for k in range(240)] + [("r", "f.java", "method", "n5", "C001.n1", 9001, 9009, 999)]
+    calls = [("r", s[4], f"n{b}") for s in symbols[:240] for b in rng.sample(range(6), 2) if rng.random() < 0.05]
+    return symbols, calls
+
+
+SYMBOLS = "repo string, file string, kind string, name string, qualified_name string, start_line int, end_line int, ord int"
+
+
+def test_call_graph_deals_no_pairs(spark):
+    symbols, calls = _namesakes()
+    got = fanout.call_graph(spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(calls, "repo string, caller string, callee_name string"))
+    assert sorted((r.caller, r.callee) for r in got.collect()) == sorted({(a, s[4]) for _, a, b in calls for s in symbols if s[3] == b and s[4] != a})
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # no aggregate over the pairs of single names
+
+
+def test_walks_go_from_name_to_name(spark, monkeypatch):
+    """Fan-out and reach of namesakes are right, and no call graph is made for them."""
+    symbols, calls = _namesakes()
+    graph = {}
+    for _, a, b in calls:
+        graph.setdefault(a, set()).update(s[4] for s in symbols if s[3] == b and s[4] != a)
+    monkeypatch.setattr(fanout, "call_graph", None)
+    frames = spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(calls, "repo string, caller string, callee_name string")
+    starts = [a for _, a, _ in calls][:3]
+    best, level = {}, {}
+    for a in starts:
+        best[a], level[a] = {a: (a,)}, {a: (a,)}
+        for _ in range(4):
+            new = {}
+            for p in level[a].values():
+                for b in graph.get(p[-1], ()):
+                    if b not in best[a]:
+                        new[b] = min(new.get(b, (*p, b)), (*p, b))
+            best[a], level[a] = best[a] | new, new
+    got = fanout.call_reach(*frames, spark.createDataFrame([("r", starts[0])], "repo string, node string"), 4)
+    assert {r.node: r.hops for r in got.collect()} == {b: len(p) - 1 for b, p in best[starts[0]].items()}
+    lines = {s[4]: s[5] for s in symbols[:240]}
+    routes = spark.createDataFrame([("r", "GET", f"/{'abc'[k]}", "f.java", lines[a] + 1) for k, a in enumerate(starts)], "repo string, method string, path string, file string, line int")
+    out = spark.createDataFrame([("r", f"t{k % 7}", "GET /k", "f.java", line + 2) for k, line in enumerate(lines.values())], "repo string, target string, key string, file string, line int")
+    want = {}
+    for k, a in enumerate(starts):
+        for j, node in enumerate(lines):
+            if node in best[a]:
+                key, p = (f"GET /{'abc'[k]}", f"t{j % 7}"), best[a][node]
+                want[key] = min(want.get(key, (len(p), p)), (len(p), p))
+    told = fanout.endpoint_fanout(routes, *frames, out)
+    assert {(r.ep_key, r.target): (r.hops + 1, tuple(r.via)) for r in told.collect()} == {k: (n, tuple(v.split(".")[-1] for v in p)) for k, (n, p) in want.items()}
+
+
 def plain_binding(norm, exclude, aliases):
     """The cascade over the whole catalog, in its order."""
     stem = lambda x: x[:-1] if len(x.rsplit("-", 1)[-1]) > 3 and x.endswith("s") else x
