@@ -244,10 +244,8 @@ def callgraph_reach(spark, sf):
 @query
 def callgraph_reach_whole(spark, sf):
     """START's symbol and what it reaches in the call graph in up to 4 calls."""
-    node = lambda name: F.concat_ws("/", "repo", name)
-    graph = fanout.call_graph(W.symbols(spark, sf), W.part_calls(spark, sf)).select(node("caller").alias("from_repo"), node("callee").alias("to_repo"))
-    start = W.symbols(spark, sf).where(F.concat(F.lit("p"), "ord") == START).select(node("qualified_name").alias("origin"))
-    return traversal.reached(graph, start, 4, forward=True).select("node", "hops")
+    start = W.symbols(spark, sf).where(F.concat(F.lit("p"), "ord") == START).select("repo", F.col("qualified_name").alias("node"))
+    return fanout.call_reach(W.symbols(spark, sf), W.part_calls(spark, sf), start, 4).select(F.concat_ws("/", "repo", "node").alias("node"), "hops")
 
 
 @query
