@@ -3,9 +3,10 @@
 Vectors are turned by a random rotation and dealt to lists by nearest centroid. Within the lists that a
 query probes, candidates are scanned in blocks of columns: after each block a hypothesis test abandons
 those whose partial inner product makes it unlikely that the whole one reaches the query's best so far.
-After d of D rotated columns the rest of the product has, over random rotations, mean 0 and standard
-deviation |rest of query| |rest of candidate| / sqrt(D - d); SIGMAS of these are allowed for, and never
-more than the product of the norms, which is the exact bound.
+Of a product P, d of D rotated columns hold, over random rotations, d / D P on average, with a variance
+of at most d (D - d) / (D^2 (D - 1)) times (|query|^2 |candidate|^2 + P^2). Abandoned is who lies more than
+SIGMAS deviations below what a product at the bound would hold, or can't reach it with the product of the
+rests' norms, which is exact.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from meshlens.llm.common import Scratch
 
 COLUMNS, SIGMAS, STEP, SLACK = 16, 4.0, 1024, 1e-5
+NEAR = 16  # a query's bound is the k-th best of lists that hold NEAR * k candidates
+QUERIES = 400  # so many are answered by brute force, to learn how many lists a query must go through
 
 
 @dataclass
@@ -51,7 +54,7 @@ def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def fit(sample: np.ndarray, lists: int, k: int = 20, recall: float = 0.96, seed: int = 3, steps: int = 8) -> Index:
-    """Rotation, k-means centroids, and as many probes as give the wished recall within the sample."""
+    """Rotation, k-means centroids, and as many probes as give the wished recall within the sample; rows outside it take more."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
@@ -70,7 +73,7 @@ def fit(sample: np.ndarray, lists: int, k: int = 20, recall: float = 0.96, seed:
     best = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
     place = np.argsort(index.order(x[asked]), axis=1)  # of each list in the query's order
     rank = np.take_along_axis(place, index.nearest(x)[best], axis=1)
-    index.probes = int(np.quantile(rank, recall)) + 1 if rank.size else 1
+    index.probes = probes_for(rank, recall)
     return index
 
 
@@ -85,28 +88,33 @@ def scan(q: np.ndarray, x: np.ndarray, need: int, bound: np.ndarray | None = Non
     tail = lambda v, d: np.sqrt((v[:, d:] ** 2).sum(1))
     bound = np.full(len(q), -np.inf) if bound is None else bound.astype(float).copy()
     kept_q, kept_x, kept_s = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    rest_q = [tail(q, d) for d in cuts[:-1]]
+    norm_q, rest_q = tail(q, 0), [tail(q, d) for d in cuts[:-1]]
     for first in range(0, len(x), STEP):
         part = x[first : first + STEP]
-        abandoned = 0
+        norm, abandoned = tail(part, 0), 0
+        slack = SLACK + 1e-12 * norm_q * norm.max()  # what rounding makes of products of long vectors
         if len(cuts) == 1 or not np.isfinite(bound).any():
             score = q @ part.T
             least = np.partition(score, len(part) - need, axis=1)[:, len(part) - need] if len(part) >= need else np.full(len(q), -np.inf)
-            a, b = np.nonzero(score >= np.maximum(least, bound)[:, None] - SLACK)
+            a, b = np.nonzero(score >= (np.maximum(least, bound) - slack)[:, None])
             s = score[a, b]
         else:
             some = q[:, : cuts[0]] @ part[:, : cuts[0]].T
             for k, d in enumerate(cuts[:-1]):
-                spread, rest = min(1.0, SIGMAS / np.sqrt(dim - d)), tail(part, d)
+                spread, rest = SIGMAS * np.sqrt(d * (dim - d) / (dim - 1)) / dim, tail(part, d)
                 if k == 0:
-                    a, b = np.nonzero(some + spread * rest_q[k][:, None] * rest[None, :] >= bound[:, None] - SLACK)
+                    a, b = np.nonzero(some + rest_q[k][:, None] * rest[None, :] >= (bound - slack)[:, None])
                     s = some[a, b]
                 else:
-                    stay = s + spread * rest_q[k][a] * rest[b] >= bound[a] - SLACK
+                    stay = s + rest_q[k][a] * rest[b] >= bound[a] - slack[a]
                     a, b, s = a[stay], b[stay], s[stay]
+                some_bound = np.isfinite(bound[a])
+                least = np.where(some_bound, bound[a], 0.0)
+                stay = ~some_bound | (s + spread * np.hypot(norm_q[a] * norm[b], least) >= d / dim * least - slack[a])
+                a, b, s = a[stay], b[stay], s[stay]
                 s = s + np.einsum("ij,ij->i", q[a, d : cuts[k + 1]], part[b, d : cuts[k + 1]])
             abandoned = len(q) * len(part) - len(a)
-            stay = s >= bound[a] - SLACK
+            stay = s >= bound[a] - slack[a]
             a, b, s = a[stay], b[stay], s[stay]
         if tally is not None:
             tally["pairs"] = tally.get("pairs", 0) + len(q) * len(part)
@@ -118,7 +126,7 @@ def scan(q: np.ndarray, x: np.ndarray, need: int, bound: np.ndarray | None = Non
         size = np.diff(np.append(begin, len(kept_q)))
         full = size >= need
         bound[full] = np.maximum(bound[full], kept_s[begin[full] + need - 1])
-        stay = kept_s >= bound[kept_q] - SLACK
+        stay = kept_s >= (bound - slack)[kept_q]
         kept_q, kept_x, kept_s = kept_q[stay], kept_x[stay], kept_s[stay]
     return np.split(kept_x, np.searchsorted(kept_q, np.arange(1, len(q))))
 
@@ -136,21 +144,55 @@ def top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, rota
         yield int(q_ids[i]), x_ids[rows][order], score[order]
 
 
+def probes_for(ranks: np.ndarray, recall: float) -> int:
+    """How many lists to go through, most promising first, so that a share recall of the neighbours at these places is met."""
+    return int(np.quantile(ranks, recall, method="higher")) + 1 if ranks.size else 1
+
+
+def _nearest_lists(dealt: DataFrame, asked: pd.DataFrame, k: int, dim: int) -> pd.DataFrame:
+    """(query, list) of the exact k nearest in all of dealt (id, list, raw) to the few asked (id, x): each task compares its vectors
+    with all of these and keeps k a query."""
+    shared = dealt.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), np.stack(asked["x"].to_numpy()).astype(float)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q = shared.value
+        best = pd.DataFrame({"query": np.zeros(0, int), "list": np.zeros(0, int), "id": np.zeros(0, int), "score": np.zeros(0)})
+        for frame in frames:
+            for at in range(0, len(frame), 4096):
+                some = frame.iloc[at : at + 4096]
+                ids, lists = some["id"].to_numpy(), some["list"].to_numpy()
+                score = np.where(q_ids[:, None] == ids[None, :], -np.inf, q @ matrix(some["raw"], dim).T)
+                top_ = np.argpartition(-score, min(k, len(some)) - 1, axis=1)[:, :k]
+                new = pd.DataFrame({"query": np.arange(len(q)).repeat(top_.shape[1]), "list": lists[top_].ravel(), "id": ids[top_].ravel(), "score": np.take_along_axis(score, top_, axis=1).ravel()})
+                best = pd.concat([best, new[new["score"] > -np.inf]]).sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
+        yield best
+
+    found = dealt.select("id", "list", "raw").mapInPandas(run, "query int, list int, id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "list").toPandas()
+
+
 def _dimension(rows: DataFrame) -> tuple[int, int]:
     """The most frequent length of vectors (of equally frequent ones the smaller), and how many have it."""
     sizes = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     return (sizes[0]["dim"], sizes[0]["count"]) if sizes else (0, 0)
 
 
+def matrix(column: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<f4").reshape(len(column), dim).astype(float)
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int | None = None, lists: int | None = None, chunk: int = 8192, recall: float = 0.96) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each id divisible by every, the k nearest found among all others
     by inner product in double precision, nearest first, ties to smaller ids.
 
     The index is fitted on at most sample vectors, by a hash of the id (16 a list, 8,192 to 131,072, by default;
-    2 * sqrt(vectors) lists, 16,384 at most); every vector is in it. Vectors null, zero or not finite take no part,
+    2 * sqrt(vectors) lists, 16,384 at most); every vector is in it. How many lists a query goes through is learnt from at most
+    QUERIES of the queries, by a hash of the id, each compared with every vector: the places of their true neighbours' lists tell
+    what the wished recall takes. The sample that the centroids were fitted on doesn't, since it lies nearer to them than the rest. Vectors null, zero or not finite take no part,
     and neither do those of another length than the most frequent one. A query goes through further lists until they
-    hold k candidates besides itself; these are scanned first, and the k-th best of them is the bound that candidates of its
-    other lists must be likely to reach. Rows that repeat an id are candidates each, but ask once (the least
+    hold k candidates besides itself. Those that hold the first NEAR * k are scanned first, and the k-th best of them is the
+    bound that candidates of its other lists must be likely to reach. Rows that repeat an id are candidates each, but ask once (the least
     vector does). Lists and their queries are cut into chunks of a bounded size, by the counts of each list, so a
     list that holds a third of all vectors is many tasks' work.
     """
@@ -166,9 +208,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
     index = fit(np.stack([np.asarray(x, dtype=float) for x in few["x"]]), lists, k, recall)
     shared = spark.sparkContext.broadcast(index)  # lists x dim numbers, at most 16,384 lists
 
-    def matrix(column: pd.Series) -> np.ndarray:
-        return np.frombuffer(b"".join(column), "<f4").reshape(len(column), dim).astype(float)
-
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
@@ -180,6 +219,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
     held_by = {r["list"]: r["count"] for r in dealt.groupBy("list").count().collect()}  # one line a list
     sizes = spark.sparkContext.broadcast(np.array([held_by.get(i, 0) for i in range(len(index.centroids))]))
 
+    asking = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"), F.count("*").alias("rows"))
+    trial = asking.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(QUERIES).toPandas()
+    probes = 1
+    if len(trial):
+        near = _nearest_lists(dealt, trial, k, dim)
+        place = np.argsort(index.order(np.stack(trial["x"].to_numpy()) @ index.rotation), axis=1)
+        probes = probes_for(place[near["query"].to_numpy(), near["list"].to_numpy()], recall)
+
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 512):
@@ -189,16 +236,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
                 reach = np.cumsum(sizes.value[order], axis=1) - some["rows"].to_numpy()[:, None]  # the query's own rows may be among them
                 enough = np.minimum((reach < k).sum(1) + 1, order.shape[1])
                 place = np.arange(order.shape[1])[None, :]
-                used = place < np.maximum(shared.value.probes, enough)[:, None]
-                yield pd.DataFrame({"id": some["id"].to_numpy().repeat(used.sum(1)), "list": order[used].astype(np.int32), "near": (place < enough[:, None])[used], "raw": np.repeat(np.array([v.astype("<f4").tobytes() for v in x], dtype=object), used.sum(1))})
+                used = place < np.maximum(probes, enough)[:, None]
+                near = used & (place < ((reach < NEAR * k).sum(1) + 1)[:, None])
+                yield pd.DataFrame({"id": some["id"].to_numpy().repeat(used.sum(1)), "list": order[used].astype(np.int32), "near": near[used], "raw": np.repeat(np.array([v.astype("<f4").tobytes() for v in x], dtype=object), used.sum(1))})
 
-    asking = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"), F.count("*").alias("rows"))
     asked = scratch.cut(asking.mapInPandas(probe, "id long, list int, near boolean, raw binary"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "found": []})
-        got = list(top(right["id"].to_numpy(), matrix(right["raw"]), left["id"].to_numpy(), matrix(left["raw"]), shared.value.rotation, k, right["bound"].to_numpy(float)))
+        got = list(top(right["id"].to_numpy(), matrix(right["raw"], dim), left["id"].to_numpy(), matrix(left["raw"], dim), shared.value.rotation, k, right["bound"].to_numpy(float)))
         return pd.DataFrame({"query_id": [g[0] for g in got], "found": [[{"vec_id": int(i), "score": float(s)} for i, s in zip(g[1], g[2])] for g in got]})
 
     def scanned(asked: DataFrame) -> DataFrame:

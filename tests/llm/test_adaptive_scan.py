@@ -43,6 +43,27 @@ def test_search_recall_over_the_whole_table(spark):
     assert found.groupBy("query_id").count().where("count <> 20").count() == 0 and D.recall_of(found, vectors) >= 0.9
 
 
+def test_search_recall_where_the_sample_tells_too_little(spark):
+    """Vectors without clusters, of which the index is fitted on a twentieth: its own sample lies nearer to the centroids than the rest."""
+    x = np.random.default_rng(9).standard_normal((6000, 32)) * np.random.default_rng(10).lognormal(0, 0.3, (6000, 1))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = D.search(vectors, sample=300).cache()
+    assert found.groupBy("query_id").count().where("count <> 20").count() == 0 and D.recall_of(found, vectors) >= 0.93
+
+
+def test_bounds_lose_no_near_neighbours_of_tight_clusters():
+    """Of vectors that lie close together the columns not yet seen hold much of the product: their mean isn't 0."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20, 64))[rng.integers(0, 20, 4000)] + 0.7 * rng.standard_normal((4000, 64))
+    turn = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    lost, tally = 0, {}
+    for q in range(0, 4000, 40):
+        score = x @ x[q]
+        best = np.argsort(-score)[:20]
+        lost += len(set(best) - set(D.scan(x[[q]] @ turn, x @ turn, 20, score[best[-1:]], tally)[0]))
+    assert lost <= 0.002 * 2000 and tally["abandoned"] > 0.3 * tally["pairs"], (lost, tally)
+
+
 @pytest.fixture(scope="module")
 def model():
     return html_tree.train(labelled_pages.pages())
