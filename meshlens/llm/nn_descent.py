@@ -219,9 +219,12 @@ def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int = 25
     return min(float(np.average(share[kind == c], weights=weight[kind == c])) for c in np.unique(kind))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", max_rounds: int = 6, recall: float = 0.99, seed: int = 23, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", max_rounds: int = 6, recall: float = 0.99, seed: int = 23, scratch: Scratch | None = None, exact: bool = False) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
+    exact: whatever recall the audit tells, all vectors of each label are compared at last, so that no link is lost; that work
+    grows with the square of a label's vectors, in tiles of a bounded size.
+
     Vectors link if their labels are equal and not null and the cosine found reaches threshold. n_links counts
     other rows linked directly, component_id is the smallest vec_id that links reach, kept tells whether the
     row has it. Vectors that are null, zero or not finite, and those without id or label, link with nothing:
@@ -260,9 +263,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 10, ve
         saturated = graph.where(F.col("worst") >= threshold).select(F.col("u").alias("node")).distinct()
         if not saturated.isEmpty():
             roots = joined_across(nodes, roots, saturated, threshold, scratch)
-        if audit(nodes, roots, threshold) >= recall:
+        if not exact and audit(nodes, roots, threshold) >= recall:
             break
-        if k >= 80:  # longer lists didn't help: all nodes of a label are compared
+        if exact or k >= 80:  # longer lists didn't help: all nodes of a label are compared
             roots = joined_across(nodes, roots, nodes, threshold, scratch)
             break
         k *= 2

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from meshlens.llm import dimension_scan as D
-from meshlens.llm import html_tree, labelled_pages
+from meshlens.llm import html_tree, labelled_pages, nn_descent
 
 
 def test_bounds_abandon_candidates():
@@ -64,6 +64,21 @@ def test_bounds_lose_no_near_neighbours_of_tight_clusters():
     assert lost <= 0.002 * 2000 and tally["abandoned"] > 0.3 * tally["pairs"], (lost, tally)
 
 
+def test_exact_links_whatever_the_audit_lets_pass(spark):
+    """Short lists, one round and an audit that is always content: the exact comparison still finds every link."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((150, 16)).repeat(4, axis=0) + 0.13 * rng.standard_normal((600, 16))
+    x = x.astype("f4").astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(600, dtype=bool)
+    root, old = np.arange(600), None
+    while old is None or (old != root).any():
+        old, root = root, np.minimum(root, np.where(near, root[None, :], 600).min(1))
+    vectors = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = nn_descent.near_duplicates(vectors, k=1, max_rounds=1, recall=0.0, exact=True).toPandas().set_index("vec_id").sort_index()
+    assert near.any() and (got["n_links"].to_numpy() == near.sum(1)).all() and (got["component_id"].to_numpy() == root).all()
+
+
 @pytest.fixture(scope="module")
 def model():
     return html_tree.train(labelled_pages.pages())
