@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlens.operators.checkpoints import written
 from meshlens.operators.exports import _place
 
 _SURFACE = "struct<channel:string,method:string,path:string,key:string,matched:boolean,match_kind:string,evidence:string>"
@@ -99,8 +100,10 @@ def _broken(rows: DataFrame, place: str) -> DataFrame:
 
 
 def violations(docs: DataFrame) -> DataFrame:
-    """docs (repo, document) -> (repo, path, rule): what breaks the document's constraints, by JSON path; $ where it isn't JSON."""
-    root = docs.select("repo", F.lit("$").alias("path"), F.try_parse_json("document").alias("v"))
+    """docs (repo, document) -> (repo, path, rule): what breaks the document's constraints, by JSON path; $ where it isn't JSON.
+
+    Each kind of constraint reads the documents, which are therefore written once instead of being made anew for each."""
+    root = written(docs.select("repo", "document")).select("repo", F.lit("$").alias("path"), F.try_parse_json("document").alias("v"))
     under = lambda rows, name: rows.select("repo", F.concat("path", F.lit(f".{name}")).alias("path"), F.try_variant_get("v", f"$.{name}", "variant").alias("v")).where("v is not null")
 
     def each(rows: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from meshlens.operators import fanout, lookups, reconcile
+from meshlens.operators import documents, fanout, lookups, reconcile
 
 
 def test_enclosing(spark):
@@ -115,6 +115,13 @@ def test_walks_go_from_name_to_name(spark, monkeypatch):
     assert {(r.ep_key, r.target): (r.hops + 1, tuple(r.via)) for r in told.collect()} == {k: (n, tuple(v.split(".")[-1] for v in p)) for k, (n, p) in want.items()}
 
 
+def test_violations_make_the_documents_once(spark):
+    rows = spark.createDataFrame([("a", '{"version":'), ("a", '{"version":'), ("b", '{"dependencies": [1]}')], "repo string, document string")
+    got = documents.violations(rows.groupBy("repo", "document").agg(F.count("*").alias("n")))
+    assert ("a", "$", "is not JSON") in [tuple(r) for r in got.collect()] and ("b", "$.dependencies[0]", "is not of kind object") in [tuple(r) for r in got.collect()]
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def plain_binding(norm, exclude, aliases):
     """The cascade over the whole catalog, in its order."""
     stem = lambda x: x[:-1] if len(x.rsplit("-", 1)[-1]) > 3 and x.endswith("s") else x
