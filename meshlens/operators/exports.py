@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import paths as P
 from meshlens.operators import surfaces as S
 from meshlens.operators import traversal
+from meshlens.operators.checkpoints import written
 
 PLACE = "struct<file:string,line:int,snippet:string>"
 EXPORT = f"from_repo string, to_repo string, types array<string>, confidence double, tier string, evidence array<{PLACE}>"
@@ -47,8 +48,9 @@ def as_dependencies(rows: DataFrame) -> DataFrame:
 
 def export_summary(deps: DataFrame, top: int = 5) -> DataFrame:
     """One row: total_deps, high_confidence (0.8 or more), and the graph's most depended-on nodes."""
-    best = traversal.summary(deps, top).select("most_depended")
-    counts = deps.agg(F.count("*").alias("total_deps"), F.count_if(F.col("confidence") >= 0.8).alias("high_confidence"))
+    d = written(traversal.degrees(deps, total_deps=F.lit(1), high_confidence=(F.col("confidence") >= 0.8).cast("int")))
+    counts = d.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_deps", "high_confidence")])
+    best = traversal.most_depended(d, top)
     return counts.withColumn("k_", F.lit(1)).join(best.withColumn("k_", F.lit(1)), "k_").select("total_deps", "high_confidence", F.col("most_depended").alias("services_called"))  # one row each
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.operators.checkpoints import checkpointed
+from meshlens.operators.checkpoints import checkpointed, written
 
 
 def reached(edges: DataFrame, start: DataFrame, hops: int | None = None, forward: bool = False) -> DataFrame:
@@ -53,20 +53,31 @@ def affected(edges: DataFrame, deps: DataFrame, repo: str, depth: int | None = N
     return parts.groupBy("repo").agg(F.min(F.struct("part", "a", "b")).alias("ord"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(node, in_degree, out_degree) of every node of the graph; with first, where it first appears, if edges have ord."""
+def degrees(edges: DataFrame, **sums: Column) -> DataFrame:
+    """(node, in_degree, out_degree) of every node of the graph; with first, where it first appears, if edges have ord; and with
+    what sums tell of edges, added up over those that leave the node.
+
+    Edges are read once for both of their ends, and all that a node keeps are numbers, so that hashing groups it without a sort."""
     place = F.min("ord") if "ord" in edges.columns else F.lit(0)
-    once = edges.groupBy("from_repo", "to_repo").agg(place.alias("ord"))
-    ends = once.select(F.col("from_repo").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), "ord").union(once.select("to_repo", F.lit(1), F.lit(0), "ord"))
-    out = ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.min(F.struct("ord", "i")).alias("first"))
-    return out if "ord" in edges.columns else out.drop("first")
+    once = edges.groupBy("from_repo", "to_repo").agg(place.alias("ord"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    end = lambda node, i, o: F.struct(F.col(node).alias("node"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = once.select("ord", *sums, F.explode(F.array(end("from_repo", 0, 1), end("to_repo", 1, 0))).alias("end")).select("end.*", "ord", *sums)
+    leaving, arriving = F.min(F.when(F.col("o") == 1, F.col("ord"))), F.min(F.when(F.col("i") == 1, F.col("ord")))
+    out = ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), leaving.alias("leaving"), arriving.alias("arriving"), *[F.sum(F.col(name) * F.col("o")).alias(name) for name in sums])
+    first = F.struct(F.least("leaving", "arriving").alias("ord"), F.when(F.col("leaving") <= F.coalesce("arriving", "leaving"), 0).otherwise(1).alias("i"))
+    return out.select("node", "in_degree", "out_degree", *([first.alias("first")] if "ord" in edges.columns else []), *sums)
+
+
+def most_depended(d: DataFrame, top: int = 5) -> DataFrame:
+    """One row: of the nodes of degrees, those of highest in-degree, as in summary."""
+    d = d if "first" in d.columns else d.withColumn("first", F.lit(0))
+    return d.orderBy(F.desc("in_degree"), "first", "node").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("in_degree")).alias("k"), "first", "node"))), lambda s: s["node"]), ",").alias("most_depended"))
 
 
 def summary(edges: DataFrame, top: int = 5) -> DataFrame:
     """One row: nodes, edges, the nodes of highest in-degree, and how many have none. Ties go to the node that appears
     first, where edges have ord, else by name."""
-    d = degrees(edges)
-    d = d if "first" in d.columns else d.withColumn("first", F.lit(0))
-    best = d.orderBy(F.desc("in_degree"), "first", "node").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("in_degree")).alias("k"), "first", "node"))), lambda s: s["node"]), ",").alias("most_depended"))
+    d = written(degrees(edges))
+    best = most_depended(d, top)
     counts = d.agg(F.count("*").alias("nodes"), F.sum("out_degree").alias("edges"), F.count_if(F.col("in_degree") == 0).alias("orphans"))
     return counts.withColumn("k_", F.lit(1)).join(best.withColumn("k_", F.lit(1)), "k_").drop("k_")  # one row each

@@ -9,6 +9,7 @@ from meshlens.functions import identity as I
 from meshlens.functions import paths as P
 from meshlens.operators.checkpoints import written
 from meshlens.operators.fanout import endpoint_fanout
+from meshlens.operators.partitions import dealt, partitions_for
 from meshlens.operators.resolve import resolve
 from meshlens.sources import code
 from meshlens.sources.heads import heads
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive lines of an order: a's part calls b's part."""
+    """Consecutive lines of an order: a's part calls b's part. A large table's are dealt by their parts in partitions of its size."""
+    n = partitions_for(table(spark, sf_dir, "lineitem"))
     item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag", "l_linestatus")
     a = item.withColumn("next_line", F.col("l_linenumber") + 1)
     b = item.select("l_orderkey", F.col("l_linenumber").alias("next_line"), F.col("l_partkey").alias("to_part"))
-    rows = a.join(b, ["l_orderkey", "next_line"]).where("l_partkey <> to_part")
-    return rows.select(
+    keys = ["l_orderkey", "next_line"]
+    rows = dealt(a, n, *keys).join(dealt(b, n, *keys), keys).where("l_partkey <> to_part")
+    rows = rows.select(
         F.concat(F.lit("p"), "l_partkey").alias("from_repo"), F.concat(F.lit("p"), "to_part").alias("to_repo"),
         F.when(F.col("l_returnflag") == "A", "http").when(F.col("l_returnflag") == "N", "kafka").otherwise("import").alias("dep_type"),
         ((F.round(F.col("l_discount") * 100).cast("int") * 5 + 50) / 100.0).alias("confidence"),
@@ -32,6 +35,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "call-site").otherwise("config").alias("tier"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
     )
+    return dealt(rows, n, "from_repo", "to_repo")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from meshlens.operators import documents, fanout, lookups, reconcile
+from meshlens.operators import documents, exports, fanout, lookups, partitions, reconcile, traversal
+from meshlens.plans import workload
 
 
 def test_enclosing(spark):
@@ -122,6 +123,35 @@ def test_violations_make_the_documents_once(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_degrees_hash_without_a_sort(spark):
+    rng = random.Random(9)
+    edges = [(f"n{rng.randint(0, 30)}", f"n{rng.randint(0, 30)}", rng.choice([0.5, 0.8, 0.9, None]), k) for k in rng.sample(range(900), 200)]
+    frame = spark.createDataFrame(edges, "from_repo string, to_repo string, confidence double, ord long")
+    got = traversal.degrees(frame)
+    pairs = {(a, b) for a, b, _, _ in edges}
+    first = lambda n: min([(o, 0) for a, _, _, o in edges if a == n] + [(o, 1) for _, b, _, o in edges if b == n])
+    assert {r.node: (r.in_degree, r.out_degree, tuple(r.first)) for r in got.collect()} == {n: (sum(b == n for _, b in pairs), sum(a == n for a, _ in pairs), first(n)) for p in pairs for n in p}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Union" not in plan
+    summary = exports.export_summary(frame).first()
+    nodes = sorted({n for p in pairs for n in p}, key=lambda n: (-sum(b == n for _, b in pairs), first(n)))
+    assert tuple(summary) == (200, sum((c or 0) >= 0.8 for _, _, c, _ in edges), ",".join(nodes[:5]))
+    assert tuple(exports.export_summary(frame.where("false")).first()) == (0, 0, "")
+
+
+def test_large_tables_are_dealt_in_partitions_of_their_size(spark, monkeypatch):
+    """What the session's number of partitions says doesn't bound what a task holds of a large table."""
+    sf = "/root/testdata/sf0.001"
+    assert partitions.partitions_for(spark.range(4000), 1000) is None and partitions.partitions_for(spark.range(4001), 1000) == 5
+    views = {"lines": workload.lines, "edges": workload.edges, "dependencies": workload.dependencies}
+    plain = {name: view(spark, sf) for name, view in views.items()}
+    monkeypatch.setattr(workload, "partitions_for", lambda rows: 11)
+    for name, view in views.items():
+        wide = view(spark, sf)
+        assert sorted(map(str, wide.collect())) == sorted(map(str, plain[name].collect())), name
+        assert wide.groupBy(F.spark_partition_id()).count().count() == 11, name
+
+
 def plain_binding(norm, exclude, aliases):
     """The cascade over the whole catalog, in its order."""
     stem = lambda x: x[:-1] if len(x.rsplit("-", 1)[-1]) > 3 and x.endswith("s") else x
