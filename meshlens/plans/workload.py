@@ -111,12 +111,12 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, caller, callee_name): within a size's repository, a part calls the next line's part's name."""
+    """(repo, caller, callee_name): within a size's repository, a part calls the next line's part's name. Dealt as lines are."""
+    n = partitions_for(table(spark, sf_dir, "lineitem"))
     sym = symbols(spark, sf_dir).select("repo", "qualified_name", "name", F.concat(F.lit("p"), "ord").alias("node"))
-    return (
-        edges(spark, sf_dir).join(sym.select("repo", F.col("qualified_name").alias("caller"), F.col("node").alias("from_repo")), "from_repo")
-        .join(sym.select(F.col("name").alias("callee_name"), F.col("node").alias("to_repo")), "to_repo").select("repo", "caller", "callee_name").distinct()
-    )
+    callers, callees = sym.select("repo", F.col("qualified_name").alias("caller"), F.col("node").alias("from_repo")), sym.select(F.col("name").alias("callee_name"), F.col("node").alias("to_repo"))
+    called = dealt(dealt(edges(spark, sf_dir), n, "from_repo").join(callers, "from_repo"), n, "to_repo").join(callees, "to_repo")
+    return dealt(called.select("repo", "caller", "callee_name"), n, "repo", "caller", "callee_name").distinct()
 
 
 def part_routes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def test_large_tables_are_dealt_in_partitions_of_their_size(spark, monkeypatch):
     """What the session's number of partitions says doesn't bound what a task holds of a large table."""
     sf = "/root/testdata/sf0.001"
     assert partitions.partitions_for(spark.range(4000), 1000) is None and partitions.partitions_for(spark.range(4001), 1000) == 5
-    views = {"lines": workload.lines, "edges": workload.edges, "dependencies": workload.dependencies}
+    views = {"lines": workload.lines, "edges": workload.edges, "dependencies": workload.dependencies, "part_calls": workload.part_calls}
     plain = {name: view(spark, sf) for name, view in views.items()}
     monkeypatch.setattr(workload, "partitions_for", lambda rows: 11)
     for name, view in views.items():
