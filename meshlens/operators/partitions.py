@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def partitions_for(rows: DataFrame, each: int = 400_000) -> int | None:
-    """The partitions that rows take at some each a partition; none if the session's own number is enough. Of a Parquet table only footers are read."""
+    """The partitions that rows take at some each a partition; none if they are too few to fill the cores. A number of its own also
+    keeps Spark from joining partitions that are small only while they are compressed. Of a Parquet table only footers are read."""
     n = -(-rows.count() // each)
-    return n if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    return n if n > rows.sparkSession.sparkContext.defaultParallelism else None
 
 
 def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:

@@ -611,7 +611,7 @@ def code_http_calls(spark, sf):
 def code_varied_calls(spark, sf):
     """Calls of files that differ: several on a line, commas and brackets in arguments, texts, comments and patterns that look like calls."""
     files = W.varied_files(spark, sf)
-    return calls.http_calls(written(heads(files)), code.variables(code.lines(files))).select("repo", "path", "line", "method", "target", "confidence", "tier")
+    return calls.http_calls(written(heads(files)), code.variables(code.lines(files, W.file_partitions(spark, sf)))).select("repo", "path", "line", "method", "target", "confidence", "tier")
 
 
 @query
@@ -624,7 +624,7 @@ def code_mounted_routes(spark, sf):
 def code_feign_surfaces(spark, sf):
     """What declared clients' methods ask for."""
     files = W.varied_files(spark, sf).where("language = 'java'")
-    return calls.feign_surfaces(written(heads(files)), code.symbols(code.lines(files)))
+    return calls.feign_surfaces(written(heads(files)), code.symbols(code.lines(files, W.file_partitions(spark, sf))))
 
 
 @query

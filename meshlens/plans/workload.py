@@ -256,8 +256,13 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """As many as the pages' files take at 4000 of them a partition."""
+    return partitions_for(table(spark, sf_dir, "pages"), 4000)
+
+
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.lines(code_files(spark, sf_dir))
+    return code.lines(code_files(spark, sf_dir), file_partitions(spark, sf_dir))
 
 
 #: Statements of files that differ from page to page: {i} is the statement's place. Their facts stand in the SQL twin.

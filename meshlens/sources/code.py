@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlens.functions import paths as P
+from meshlens.operators.partitions import dealt
 from meshlens.sources.calls import express_routes
 
 _STRING = r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)"""
@@ -38,11 +39,12 @@ def without_comments(rows: DataFrame) -> DataFrame:
     return marked.withColumn("text", kept).drop("plain", "quotes", "mark", "inside")
 
 
-def lines(files: DataFrame) -> DataFrame:
+def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """files (repo, path, language, content) -> (repo, path, language, line, text, more, code, annotation): text without
     comments; more, the same with the rest of the statement behind it; code, text with an x for what each string holds;
-    annotation, whether the line is part of one."""
-    split = files.select("repo", "path", "language", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "text")).withColumn("line", F.col("pos") + 1).drop("pos")
+    annotation, whether the line is part of one. With a number of partitions whole files are dealt to as many, so that what a
+    task sorts doesn't grow with the files."""
+    split = dealt(files, partitions, "repo", "path").select("repo", "path", "language", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "text")).withColumn("line", F.col("pos") + 1).drop("pos")
     file = Window.partitionBy("repo", "path").orderBy("line")
     rows = without_comments(split)
     rows = rows.withColumn("code", F.regexp_replace("text", _CONTENT, "$1x$1"))

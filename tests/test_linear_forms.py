@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from meshlens.operators import documents, exports, fanout, lookups, partitions, reconcile, traversal
 from meshlens.plans import workload
+from meshlens.sources import code
+from meshlens.sources.heads import heads
 
 
 def test_enclosing(spark):
@@ -152,6 +154,15 @@ def test_large_tables_are_dealt_in_partitions_of_their_size(spark, monkeypatch):
         assert wide.groupBy(F.spark_partition_id()).count().count() == 11, name
 
 
+def test_lines_of_many_files_are_dealt_by_their_number(spark):
+    files = workload.code_files(spark, "/root/testdata/sf0.001")
+    wide, plain = code.routes(code.lines(files, 13), heads(files)), code.routes(code.lines(files), heads(files))
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, plain.collect())) and plain.count() > 50
+    rows = code.lines(files, 13)
+    assert rows.groupBy(F.spark_partition_id()).count().count() == 13
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # files, once; their lines are not dealt again
+
+
 def plain_binding(norm, exclude, aliases):
     """The cascade over the whole catalog, in its order."""
     stem = lambda x: x[:-1] if len(x.rsplit("-", 1)[-1]) > 3 and x.endswith("s") else x
