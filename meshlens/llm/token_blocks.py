@@ -10,6 +10,7 @@ fit is an exception, so one rare id doesn't widen the whole block.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 from array import array
@@ -103,6 +104,7 @@ class Encoder:
     def __init__(self, path: str, most_stretches: int = 800_000, most_ids: int = 16_000_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, so the library's threads only wait for each other
         self.model = Tokenizer.from_file(path)
         assert self.model.get_vocab_size() <= 1 << 16
         said = json.loads(self.model.to_str())
@@ -162,7 +164,8 @@ class Encoder:
         slots = self._slots(each.dictionary.to_pylist())[each.indices.to_numpy()]
         counts = self.counts[slots]
         ends = np.cumsum(counts)
-        at = np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(ends[-1])
+        at = np.repeat((self.starts[slots] - (ends - counts)).astype(np.int32), counts)
+        at += np.arange(len(at), dtype=np.int32)
         text_ends = np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy())]
         return self.ids[at], np.diff(text_ends, prepend=0)
 

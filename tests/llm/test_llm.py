@@ -2,6 +2,7 @@
 
 import html
 import itertools
+import os
 import random
 import re
 import zlib
@@ -557,6 +558,14 @@ def test_token_blocks(spark, docs, corpus, tmp_path):
         at += len(ids)
 
 
+def test_token_encoder_keeps_to_one_thread(monkeypatch):
+    """A task has one core: the library's threads would only wait for each other, and be counted."""
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "")
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM")
+    token_blocks.Encoder(WORDS)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_token_ids_are_the_library_s():
     """Seeded text of spaces of all kinds, marks, letters that lower case splits, and special tokens."""
     model = token_blocks.Encoder(WORDS, most_stretches=900)
