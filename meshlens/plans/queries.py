@@ -233,7 +233,7 @@ def enclosing_span(spark, sf):
 
 @query
 def call_graph(spark, sf):
-    return fanout.call_graph(W.symbols(spark, sf), W.part_calls(spark, sf))
+    return fanout.call_graph(W.symbols(spark, sf), W.found_calls(spark, sf), W.pair_partitions(spark, sf))
 
 
 @query

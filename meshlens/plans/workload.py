@@ -19,15 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive lines of an order: a's part calls b's part. A large table's are dealt by their parts in partitions of its size."""
-    n = partitions_for(table(spark, sf_dir, "lineitem"))
+def _next_lines(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
     item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag", "l_linestatus")
     a = item.withColumn("next_line", F.col("l_linenumber") + 1)
     b = item.select("l_orderkey", F.col("l_linenumber").alias("next_line"), F.col("l_partkey").alias("to_part"))
     keys = ["l_orderkey", "next_line"]
     rows = dealt(a, n, *keys).join(dealt(b, n, *keys), keys).where("l_partkey <> to_part")
-    rows = rows.select(
+    return rows.select(
         F.concat(F.lit("p"), "l_partkey").alias("from_repo"), F.concat(F.lit("p"), "to_part").alias("to_repo"),
         F.when(F.col("l_returnflag") == "A", "http").when(F.col("l_returnflag") == "N", "kafka").otherwise("import").alias("dep_type"),
         ((F.round(F.col("l_discount") * 100).cast("int") * 5 + 50) / 100.0).alias("confidence"),
@@ -35,7 +33,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "call-site").otherwise("config").alias("tier"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
     )
-    return dealt(rows, n, "from_repo", "to_repo")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive lines of an order: a's part calls b's part. A large table's are dealt by their parts in partitions of its size."""
+    n = partitions_for(table(spark, sf_dir, "lineitem"))
+    return dealt(_next_lines(spark, sf_dir, n), n, "from_repo", "to_repo")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +113,25 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, caller, callee_name): within a size's repository, a part calls the next line's part's name. Dealt as lines are."""
+def found_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, caller, callee_name): within a size's repository, a part calls the next line's part's name. Some may be found twice.
+
+    Names are looked up first: a part calls fewer names than parts, and its own name is the longest of the columns."""
     n = partitions_for(table(spark, sf_dir, "lineitem"))
     sym = symbols(spark, sf_dir).select("repo", "qualified_name", "name", F.concat(F.lit("p"), "ord").alias("node"))
     callers, callees = sym.select("repo", F.col("qualified_name").alias("caller"), F.col("node").alias("from_repo")), sym.select(F.col("name").alias("callee_name"), F.col("node").alias("to_repo"))
-    called = dealt(dealt(edges(spark, sf_dir), n, "from_repo").join(callers, "from_repo"), n, "to_repo").join(callees, "to_repo")
-    return dealt(called.select("repo", "caller", "callee_name"), n, "repo", "caller", "callee_name").distinct()
+    named = dealt(_next_lines(spark, sf_dir, n).select("from_repo", "to_repo"), n, "to_repo").join(callees, "to_repo").select("from_repo", "callee_name")
+    return dealt(named, n, "from_repo").distinct().join(callers, "from_repo").select("repo", "caller", "callee_name")
+
+
+def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls found, each once. Dealt as lines are."""
+    return dealt(found_calls(spark, sf_dir), partitions_for(table(spark, sf_dir, "lineitem")), "repo", "caller", "callee_name").distinct()
+
+
+def pair_partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """More partitions for the pairs of the call graph, which are many times as many as the lines."""
+    return partitions_for(table(spark, sf_dir, "lineitem"), 50_000)
 
 
 def part_routes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,29 @@ def test_call_graph_deals_no_pairs(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # no aggregate over the pairs of single names
 
 
+def test_call_graph_puts_a_names_pairs_together(spark, tmp_path):
+    """Files of pairs take under a byte a row, and a name's calls are dealt once, by the name, in as many partitions as are asked for."""
+    symbols = spark.range(2000).select(F.lit("r").alias("repo"), F.lit("method").alias("kind"), F.concat(F.lit("n"), F.col("id") % 40).alias("name"), F.concat(F.sha1(F.col("id").cast("string")), F.lit(".q")).alias("qualified_name"))
+    calls = spark.range(6000).select(F.lit("r").alias("repo"), F.sha1((F.col("id") % 3000).cast("string")).alias("caller"), F.concat(F.lit("n"), F.col("id") * 7 % 40).alias("callee_name"))
+    got = fanout.call_graph(symbols, calls.union(calls), 7)  # calls found twice make no pairs more
+    got.write.parquet(path := str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(path)
+    assert pairs.count() == pairs.distinct().count() == 150_000  # 3000 calls, 50 symbols of each name
+    files = [p for p in (tmp_path / "pairs").iterdir() if p.suffix == ".parquet"]
+    assert sum(p.stat().st_size for p in files) - 41 * 5000 < 150_000  # but for each caller's and callee's own name
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "hashpartitioning(repo" in plan and ", 7)" in plan
+
+
+def test_found_calls_hold_the_calls(spark):
+    """Names are looked up before callers: the same calls as by pairs of parts."""
+    sf = "/root/testdata/sf0.001"
+    sym = workload.symbols(spark, sf).select("repo", "qualified_name", "name", F.concat(F.lit("p"), "ord").alias("node"))
+    callers, callees = sym.select("repo", F.col("qualified_name").alias("caller"), F.col("node").alias("from_repo")), sym.select(F.col("name").alias("callee_name"), F.col("node").alias("to_repo"))
+    want = workload.edges(spark, sf).join(callers, "from_repo").join(callees, "to_repo").select("repo", "caller", "callee_name").distinct()
+    assert sorted(map(tuple, workload.part_calls(spark, sf).collect())) == sorted(map(tuple, want.collect())) == sorted(map(tuple, workload.found_calls(spark, sf).distinct().collect()))
+
+
 def test_walks_go_from_name_to_name(spark, monkeypatch):
     """Fan-out and reach of namesakes are right, and no call graph is made for them."""
     symbols, calls = _namesakes()
