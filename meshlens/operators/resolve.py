@@ -18,18 +18,30 @@ def ordered(value: str, *order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("kept_")))), lambda s: s["kept_"])
 
 
+def by_first(value: str, *order: str) -> Column:
+    """The distinct values of a group, by the least of each order column among a value's rows; where these are equal, by the value."""
+    rows = F.collect_list(F.struct(F.col(value).alias("kept_"), *order))
+
+    def place(kept: Column) -> Column:
+        own = F.filter(rows, lambda r: r["kept_"].eqNullSafe(kept))
+        return F.struct(*[F.array_min(own[name]).alias(name) for name in order], kept.alias("kept_"))
+
+    return F.transform(F.array_sort(F.transform(F.array_distinct(rows["kept_"]), place)), lambda s: s["kept_"])
+
+
 def strongest(tier: str = "tier") -> Column:
     return F.max_by(tier, F.struct(P.tier_rank(F.col(tier)), F.col(tier)))
 
 
 def resolve(signals: DataFrame) -> DataFrame:
-    """signals (from_repo, to_repo, dep_type, confidence, evidence, tier, ord [, surface]) -> dependencies.
+    """signals (from_repo, to_repo, dep_type, confidence, evidence, tier, ord [, place] [, surface]) -> dependencies.
 
-    ord is the first of a dependency's. Types and surfaces are distinct in order of first appearance, evidence keeps repetitions, the confidence
-    is the best one and the tier the strongest. Signals to the repository itself, to nothing and to standard libraries are dropped."""
+    ord is the first of a dependency's. Surfaces are distinct in order of first appearance; types, too, and where two begin at one ord, the one of
+    the least evidence of all its signals comes first, then the one of the first place, if signals have places. Evidence keeps repetitions, the
+    confidence is the best one and the tier the strongest. Signals to the repository itself, to nothing and to standard libraries are dropped."""
     rows = signals.where((F.col("to_repo") != F.col("from_repo")) & ~F.col("to_repo").isin(*NOISE))
     aggregates = [
-        F.array_distinct(ordered("dep_type", "ord", "evidence")).alias("dep_types"), F.max("confidence").alias("confidence"),
+        by_first("dep_type", "ord", "evidence", *(["place"] if "place" in signals.columns else [])).alias("dep_types"), F.max("confidence").alias("confidence"),
         ordered("evidence", "ord", "evidence").alias("evidence"), strongest().alias("tier"), F.min("ord").alias("ord"),
     ]
     if "surface" in signals.columns:

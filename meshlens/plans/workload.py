@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _next_lines(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag", "l_linestatus")
-    a = item.withColumn("next_line", F.col("l_linenumber") + 1)
+    item = table(spark, sf_dir, "lineitem")
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    a = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag", "l_linestatus", (F.col("l_linenumber") + 1).alias("next_line"), place)
     b = item.select("l_orderkey", F.col("l_linenumber").alias("next_line"), F.col("l_partkey").alias("to_part"))
     keys = ["l_orderkey", "next_line"]
     rows = dealt(a, n, *keys).join(dealt(b, n, *keys), keys).where("l_partkey <> to_part")
@@ -31,12 +32,14 @@ def _next_lines(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
         ((F.round(F.col("l_discount") * 100).cast("int") * 5 + 50) / 100.0).alias("confidence"),
         F.concat(F.lit("o"), "l_orderkey", F.lit(":"), "l_linenumber").alias("evidence"),
         F.when(F.col("l_linestatus") == "O", "call-site").otherwise("config").alias("tier"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "place",
     )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive lines of an order: a's part calls b's part. A large table's are dealt by their parts in partitions of its size."""
+    """Consecutive lines of an order: a's part calls b's part. A large table's are dealt by their parts in partitions of its size.
+
+    An order may have several lines of one number, which are equal in ord and evidence; place is a's in the table."""
     n = partitions_for(table(spark, sf_dir, "lineitem"))
     return dealt(_next_lines(spark, sf_dir, n), n, "from_repo", "to_repo")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlens.operators import fanout, lookups, reconcile, resolve, store, surfaces, traversal
+from meshlens.plans import queries
 
 ALIAS = "repo string, alias string, source string, confidence double, ord long"
 DEP = "from_repo string, to_repo string, dep_types array<string>, confidence double, evidence array<string>, tier string, ord long"
@@ -116,6 +117,24 @@ def test_whole_depth_queries(spark, monkeypatch):
     assert {r.node: r.hops for r in queries.QUERIES["callgraph_reach_whole"](spark, "").collect()} == {f"s/A.f{i}": i - 1 for i in range(1, 6)}
 
 
+def test_types_of_one_ord(spark):
+    """Types that begin at one ord stand by the least evidence of all their signals, then by place, then by name."""
+    rows = [("a", "b", t, 0.5, e, "config", o, p) for t, e, o, p in [("http", "o10:1", 101, 1), ("import", "o10:1", 101, 2), ("import", "o100:1", 1001, 3), ("x", "o10:1", 101, 0)]]
+    schema = "from_repo string, to_repo string, dep_type string, confidence double, evidence string, tier string, ord long, place long"
+    signals = spark.createDataFrame(rows, schema)
+    assert resolve.resolve(signals).first().dep_types == ["import", "x", "http"]
+    assert resolve.resolve(signals.drop("place")).first().dep_types == ["import", "http", "x"]
+
+
+def test_lines_of_one_number_stand_by_their_place(spark, tmp_path):
+    """Two lines of one number call one part: the type of the line that stands first in the table comes first."""
+    lines = [(order, number, part, flag) for order, flags in ((1, "RA"), (2, "NR"), (3, "AN"), (4, "RN")) for number, part, flag in [(1, order * 10, flags[0]), (1, order * 10, flags[1]), (2, 99, "R")]]
+    table = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").withColumns({"l_discount": F.lit(0.05), "l_linestatus": F.lit("O")})
+    table.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.from_repo: r.types for r in queries.resolve_edges(spark, str(tmp_path)).collect()}
+    assert got == {"p10": "import,http", "p20": "kafka,import", "p30": "http,kafka", "p40": "import,kafka"}
+
+
 def test_resolve_keeps_order(spark):
     rows = [("a", "b", "http", 0.4, "x:2", "inferred", 2), ("a", "b", "feign", 0.9, "x:1", "config", 1), ("a", "b", "http", 0.4, "x:2", "inferred", 3), ("a", "a", "http", 1.0, "s", "config", 4)]
     got = resolve.resolve(spark.createDataFrame(rows, "from_repo string, to_repo string, dep_type string, confidence double, evidence string, tier string, ord long")).collect()
